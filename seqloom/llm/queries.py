@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import bpe, tokens
+from seqloom.llm import bpe, html, tokens, warc
 from seqloom.llm.common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -20,5 +20,13 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op8_bpe)}
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op2_token_counts, op8_bpe, op9_html_text, op10_warc)}
 ORACLE_SQL: dict[str, str] = {}
