@@ -5,13 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import bpe, html, langid, tokens, toxicity, warc
+from seqloom.llm import ann, bpe, html, langid, tokens, toxicity, warc
 from seqloom.llm.common import crc_mod, table
 
 BYTE_BPE = "byte_bpe_50k.json"
 TOKEN_LIMIT = 1024
 
 
+def op1_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.search(ann.build(rows), rows.where(ann.is_query()), 20)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), TOKEN_LIMIT)
 
@@ -42,5 +47,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op6_toxicity, op7_language_id, op8_bpe, op9_html_text, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_additive_quantisation, op2_token_counts, op6_toxicity, op7_language_id, op8_bpe, op9_html_text, op10_warc)}
 ORACLE_SQL: dict[str, str] = {}
