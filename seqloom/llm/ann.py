@@ -29,13 +29,13 @@ from pyspark.sql import functions as F
 
 from seqloom.llm.common import materialize, single_threaded
 
-STAGES = 8
+STAGES = 12
 WORDS = 256
 BEAM = 4
 SAMPLE = 8192
 BLOCK = 4096
 CHUNK = 512
-SHORTLIST = 64
+SHORTLIST = 128
 HASHES = 1 << 30
 
 
