@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import ann, bpe, html, langid, tokens, toxicity, warc
+from seqloom.llm import ann, bpe, html, jaccard, langid, tokens, toxicity, warc
 from seqloom.llm.common import crc_mod, table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -21,6 +21,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), TOKEN_LIMIT)
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = crc_mod("doc_id", 5) == 0
@@ -47,5 +51,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_additive_quantisation, op2_token_counts, op6_toxicity, op7_language_id, op8_bpe, op9_html_text, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_additive_quantisation, op2_token_counts, op5_jaccard_join, op6_toxicity, op7_language_id, op8_bpe, op9_html_text, op10_warc)}
 ORACLE_SQL: dict[str, str] = {}
