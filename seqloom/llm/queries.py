@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import ann, bpe, html, jaccard, langid, tokens, toxicity, warc
+from seqloom.llm import ann, bpe, decontam, html, jaccard, langid, licenses, tokens, toxicity, warc
 from seqloom.llm.common import crc_mod, table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -21,6 +21,14 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), TOKEN_LIMIT)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(table(spark, sf_dir, "documents"))
 
@@ -51,5 +59,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_additive_quantisation, op2_token_counts, op5_jaccard_join, op6_toxicity, op7_language_id, op8_bpe, op9_html_text, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_additive_quantisation, op2_token_counts, op3_decontamination, op4_license_scan, op5_jaccard_join, op6_toxicity, op7_language_id, op8_bpe, op9_html_text, op10_warc)}
 ORACLE_SQL: dict[str, str] = {}
