@@ -280,3 +280,9 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     named = classes.join(least, "comp").select("sig", "component_id")
     out = sets.select("doc_id", "n", "sig").join(named, "sig", "left")
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with the least id of their component, with all their columns. Rows that share that id stay."""
+    gone = link(docs, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
+    return docs.join(maybe_broadcast(materialize(gone, "jaccard-gone")), id_col, "left_anti").select(*docs.columns)

@@ -78,6 +78,21 @@ class Model:
         order = np.sort(loss, 1)
         return loss.argmin(1), share.max(1), order[:, 1] - order[:, 0] < AMBIGUOUS
 
+    def of_texts(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, score and ambiguity of each text."""
+        lang, score, doubt = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
+        known = [i for i, t in enumerate(texts) if t and self.langs and LETTER.search(t)]
+        for a in range(0, len(known), 512):
+            part = known[a : a + 512]
+            if len(self.langs) == 1:
+                best, s, d = np.zeros(len(part), int), np.ones(len(part)), np.zeros(len(part), bool)
+            else:
+                best, s, d = self.predict(np.array([features(texts[i]) for i in part]))
+            score[part], doubt[part] = s, d
+            for i, k in zip(part, best.tolist(), strict=True):
+                lang[i] = self.langs[k]
+        return lang, score, doubt
+
 
 def fit(x: np.ndarray, langs: list[str], rounds: int = 150, rate: float = 20.0, ridge: float = 1e-5) -> Model:
     """Logistic classifiers for all bits at once, by accelerated gradient steps."""
@@ -124,21 +139,22 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         single_threaded()
-        m = shared.value
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            lang, score, doubt = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
-            known = [i for i, t in enumerate(texts) if t and m.langs and LETTER.search(t)]
-            for a in range(0, len(known), 512):
-                part = known[a : a + 512]
-                if len(m.langs) == 1:
-                    best, s, d = np.zeros(len(part), int), np.ones(len(part)), np.zeros(len(part), bool)
-                else:
-                    best, s, d = m.predict(np.array([features(texts[i]) for i in part]))
-                score[part], doubt[part] = s, d
-                for i, k in zip(part, best.tolist(), strict=True):
-                    lang[i] = m.langs[k]
+            lang, score, doubt = shared.value.of_texts(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang), pa.array(score), pa.array(doubt)], ["id", "lang_pred", "score", "ambiguous"])
 
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return picked.mapInArrow(run, "id long, lang_pred string, score double, ambiguous boolean").withColumnRenamed("id", id_col)
+
+
+def clean(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` in a known language, with all their columns; ambiguous ones with a score under ``least`` go."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        single_threaded()
+        for batch in batches:
+            lang, score, doubt = shared.value.of_texts(batch.column(at).to_pylist())
+            yield batch.filter(pa.array((np.array(lang, object) != "und") & ~(doubt & (score < least))))
+
+    return docs.mapInArrow(run, docs.schema)
