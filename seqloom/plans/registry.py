@@ -1,4 +1,341 @@
-"""Names of the queries, what runs them, and their DuckDB SQL."""
+"""Names of the queries, what runs them, and their DuckDB SQL.
 
-QUERIES: dict = {}
+All queries run over whole tables: the first ten documents by id are the reference sequence, every other one a target.
+What follows from the greedy parse has no SQL that ends in reasonable time; those queries are tested by brute force.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from seqloom.functions import symbols as S
+from seqloom.operators import factors as O
+from seqloom.operators import search
+from seqloom.operators.running import running_sums
+from seqloom.scratch import shared_path, written
+from seqloom.sources import factor_files, index
+from seqloom.sources.sequences import HEAD, Collection, from_documents
+from seqloom.streaming import requests as streams
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+PATTERNS = ((0, "acgtgt"), (1, "nn"), (2, "gagag"), (3, "TCTGACG"), (4, "xa"), (5, "ctctctctc"))
+
+#: The reference sequence and the targets of the documents table, for the SQL side.
+WITH = f"""with docs as (select doc_id, regexp_replace(translate(coalesce(text, ''), '{S.LETTERS}', '{S.AS_BASES}'), '[^acgt]', 'n', 'g') as seq
+  from documents where doc_id is not null),
+head as (select doc_id, seq from docs order by doc_id limit {HEAD}),
+ref as (select coalesce(string_agg(seq, 'n' order by doc_id), '') as ref from head),
+targets as (select doc_id + 1 as seq_id, 'doc' || doc_id as name, seq, cast(length(seq) as bigint) as len from docs where doc_id not in (select doc_id from head)),
+sequences as (select 0 as seq_id, 'reference' as name, ref as seq, cast(length(ref) as bigint) as len from ref union all select * from targets),
+patterns(pattern_id, pattern) as (values {", ".join(f"({i}, '{p}')" for i, p in PATTERNS)}),
+requests as (select 2 * seq_id + k as req_id, seq_id, (seq_id * 7919 + k * 104729) % (len + 1) as "start",
+  least(len, (seq_id * 7919 + k * 104729) % (len + 1) + seq_id % 91) as "end" from sequences, (values (0), (1)) as t(k)) """
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable[[Collection], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(from_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+        if sql:
+            ORACLE_SQL[f.__name__] = WITH + sql
+        return f
+
+    return add
+
+
+def patterns(c: Collection) -> DataFrame:
+    return c.spark.createDataFrame(list(PATTERNS), "pattern_id long, pattern string")
+
+
+def requests(c: Collection) -> DataFrame:
+    """Two windows of each sequence, at places that follow from its number."""
+    rows = c.sequences().select("seq_id", "len", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
+    start = (F.col("seq_id") * 7919 + F.col("k") * 104729) % (F.col("len") + 1)
+    return rows.select((2 * F.col("seq_id") + F.col("k")).alias("req_id"), "seq_id", start.alias("start"), F.least("len", start + F.col("seq_id") % 91).alias("end"))
+
+
+@query("select * from sequences")
+def seq_sanitize(c):
+    return c.sequences()
+
+
+@query("select seq_id, len, " + ", ".join(f"cast(len - length(replace(seq, '{x}', '')) as bigint) as n_{x}" for x in S.ALPHABET) + " from sequences")
+def seq_stats(c):
+    return c.sequences().select("seq_id", "len", *[(F.col("len") - F.length(F.replace("seq", F.lit(x), F.lit("")))).cast("long").alias(f"n_{x}") for x in S.ALPHABET])
+
+
+def seq_validate(spark, sf_dir):
+    text = F.coalesce("text", F.lit(""))
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return rows.select("doc_id", S.is_valid(text).alias("valid"), S.first_invalid(text).alias("first_invalid"), F.regexp_count(text, F.lit("[^acgntACGNT]")).cast("long").alias("n_invalid"))
+
+
+QUERIES["seq_validate"] = seq_validate
+ORACLE_SQL["seq_validate"] = """select doc_id, n_invalid = 0 as valid, case when n_invalid = 0 then -1 else cast(length(regexp_extract(t, '^[acgntACGNT]*')) as bigint) end as first_invalid, n_invalid
+from (select doc_id, coalesce(text, '') as t, cast(length(regexp_replace(coalesce(text, ''), '[acgntACGNT]', '', 'g')) as bigint) as n_invalid from documents)"""
+
+
+@query("select seq_id, len, cast(coalesce(sum(len) over (order by seq_id rows between unbounded preceding and 1 preceding), 0) as bigint) as abs_start from targets")
+def seq_catalog(c):
+    return running_sums(c.targets.select("seq_id", F.length("seq").cast("long").alias("len")), "seq_id", {"abs_start": "len"})
+
+
+@query("""select seq_id, cast(min(i) as bigint) as start, cast(count(*) as bigint) as len from (select seq_id, i, i - row_number() over (partition by seq_id order by i) as g
+from (select seq_id, unnest(range(len)) as i, seq from sequences) where substring(seq, i + 1, 1) = 'n') group by seq_id, g""")
+def n_runs(c):
+    runs = F.split("seq", "(?<=n)(?=[^n])|(?<=[^n])(?=n)")
+    pieces = c.sequences().where("len > 0").select("seq_id", F.posexplode(F.transform(runs, lambda r: F.struct(F.substring(r, 1, 1).alias("c"), F.length(r).cast("long").alias("len")))).alias("no", "r"))
+    from pyspark.sql import Window
+
+    before = Window.partitionBy("seq_id").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
+    return pieces.select("seq_id", F.coalesce(F.sum("r.len").over(before), F.lit(0)).cast("long").alias("start"), F.col("r.len").alias("len"), F.col("r.c").alias("c")).where("c = 'n'").drop("c")
+
+
+@query("""select symbol, cast(instr('acgnt', symbol) as bigint) as code, cast(instr('acgt', symbol) - 1 as bigint) as two_bit, substring('acgnt', instr('acgnt', symbol), 1) as back, cast(n as bigint) as n
+from (select symbol, sum(len - length(replace(seq, symbol, ''))) as n from sequences, (values ('a'), ('c'), ('g'), ('n'), ('t')) as s(symbol) group by symbol)""")
+def symbol_codes(c):
+    counts = c.sequences().select(F.explode(F.array(*[F.struct(F.lit(x).alias("symbol"), (F.col("len") - F.length(F.replace("seq", F.lit(x), F.lit("")))).alias("n")) for x in S.ALPHABET])).alias("r"))
+    rows = counts.groupBy(F.col("r.symbol").alias("symbol")).agg(F.sum("r.n").cast("long").alias("n"))
+    return rows.select("symbol", S.code(F.col("symbol")).alias("code"), S.two_bit(F.col("symbol")).alias("two_bit"), S.symbol_of(S.code(F.col("symbol"))).alias("back"), "n")
+
+
+@query("select cast(row_number() over (order by substring(ref, i + 1)) - 1 as bigint) as rank, cast(i as bigint) as pos from (select ref, unnest(range(length(ref) + 1)) as i from ref)")
+def suffix_array(c):
+    return index.suffix_table(c.spark, c.ref)
+
+
+@query("""select p.pattern_id, min(rank) as lo, max(rank) as hi from patterns p left join (select row_number() over (order by substring(ref, i + 1)) - 1 as rank, ref, i
+from (select ref, unnest(range(length(ref) + 1)) as i from ref)) s on substring(ref, i + 1, length(pattern)) = lower(pattern) group by p.pattern_id""")
+def sa_interval(c):
+    return search.intervals(c.ref, patterns(c))
+
+
+@query()
+def factorize(c):
+    return O.numbered(O.parse(c), len(c.ref))
+
+
+@query()
+def factor_stats(c):
+    return O.statistics(O.parse(c), len(c.ref))
+
+
+@query()
+def factor_neighbours(c):
+    return O.neighbours(O.exploded(O.parse(c), len(c.ref)))
+
+
+@query()
+def factor_sites(c):
+    return O.sites(O.exploded(O.parse(c), len(c.ref)))
+
+
+@query()
+def factor_catalog(c):
+    return O.catalog(O.parse(c))
+
+
+@query("select seq_id, name, seq from targets")
+def defactorize(c):
+    return O.expand(O.parse(c), c.ref)
+
+
+@query("select cast(count(*) as bigint) as n_seqs, cast(coalesce(sum(len), 0) as bigint) as n_symbols, cast(0 as bigint) as n_diffs from targets")
+def round_trip(c):
+    return O.round_trip(c, written(O.parse(c), "parsed"))
+
+
+@query('select req_id, substring(seq, "start" + 1, "end" - "start") as text from requests join sequences using (seq_id) where seq_id = 0')
+def display_ref(c):
+    return search.display(O.parse(c), c.ref, requests(c).where("seq_id = 0"))
+
+
+@query('select req_id, substring(seq, "start" + 1, "end" - "start") as text from requests join sequences using (seq_id)')
+def display_target(c):
+    return search.display(O.parse(c), c.ref, requests(c))
+
+
+HITS = """hits as (select pattern_id, seq_id, unnest(list_filter(range(len - length(pattern) + 1), lambda i: substring(seq, i + 1, length(pattern)) = lower(pattern))) as pos
+  from patterns, sequences where regexp_full_match(lower(pattern), '[acgnt]+')) """
+
+
+@query("select 1")
+def locate_patterns(c):
+    return search.locate(O.parse(c), c.ref, patterns(c))
+
+
+ORACLE_SQL["locate_patterns"] = WITH + ", " + HITS + "select pattern_id, seq_id, pos from hits"
+
+
+@query("select 1")
+def count_patterns(c):
+    return search.count(O.parse(c), c.ref, patterns(c))
+
+
+ORACLE_SQL["count_patterns"] = WITH + ", " + HITS + "select pattern_id, pattern, count(pos) as n from patterns left join hits using (pattern_id) group by all"
+
+
+@query("select 1")
+def count_lines(c):
+    """Counts as the console shows them."""
+    return search.count(O.parse(c), c.ref, patterns(c)).select(F.format_string("%s : %d", "pattern", "n").alias("line"))
+
+
+ORACLE_SQL["count_lines"] = WITH + ", " + HITS + "select pattern || ' : ' || count(pos) as line from patterns left join hits using (pattern_id) group by pattern_id, pattern"
+
+
+@query("select 1")
+def count_by_regex(c):
+    """Overlapping counts on plain sequences, by look-ahead."""
+    rows = c.sequences().crossJoin(F.broadcast(search.valid(patterns(c))))  # a fixed list of patterns, not a table
+    return rows.groupBy("pattern_id").agg(F.sum(F.regexp_count("seq", F.concat(F.lit("(?="), "pattern", F.lit(")")))).cast("long").alias("n"))
+
+
+ORACLE_SQL["count_by_regex"] = WITH + ", " + HITS + "select pattern_id, count(pos) as n from patterns left join hits using (pattern_id) where pattern_id <> 4 group by pattern_id"
+
+
+@query()
+def count_strict(c):
+    return search.count(O.parse(c), c.ref, patterns(c), "strict")
+
+
+@query()
+def locate_strict(c):
+    return search.locate(O.parse(c), c.ref, patterns(c), "strict")
+
+
+@query()
+def locate_in_factor(c):
+    return search.in_factors(O.exploded(O.parse(c), len(c.ref)), c.ref, patterns(c))
+
+
+@query()
+def locate_boundary(c):
+    return search.across(O.exploded(O.parse(c), len(c.ref)), c.ref, patterns(c))
+
+
+@query()
+def rank_factor(c):
+    """The factor that holds the first symbol of each requested window: the last start at or before it."""
+    spans = written(O.parse(c), "parsed")
+    at = F.size(F.filter("starts", lambda s: s <= F.col("a"))) - 1
+    rows = spans.select("seq_id", "len", F.col("start").alias("starts")).join(requests(c).select("req_id", "seq_id", F.col("start").alias("a")), "seq_id").where("a < len")
+    return rows.select("req_id", "seq_id", at.cast("long").alias("fac_no"), F.element_at("starts", at + 1).alias("seq_start"))
+
+
+@query()
+def select_factor(c):
+    """The start of the k-th factor of each sequence, k from its number."""
+    parsed = O.parse(c).where(F.size("pos") > 0)
+    k = F.col("seq_id") % F.size("pos")
+    return parsed.select("seq_id", k.cast("long").alias("fac_no"), F.element_at("start", (k + 1).cast("int")).alias("seq_start"))
+
+
+@query()
+def nested_levels(c):
+    return O.nested_levels(O.exploded(O.parse(c), len(c.ref)))
+
+
+@query()
+def short_factors(c):
+    return O.short_factors(O.exploded(O.parse(c), len(c.ref)), c.ref)
+
+
+@query()
+def encoded_bits(c):
+    return O.encoded_bits(O.parse(c), c.ref)
+
+
+@query()
+def factor_codes(c):
+    return O.code_strings(O.exploded(O.parse(c), len(c.ref)), len(c.ref))
+
+
+@query("""select seq_id, len, repeat('1', len // 64) || '0' || lpad(bin(len % 64), 6, '0') as code, len // 64 + 7 as n_bits, len as back, lpad(bin(len), 40, '0') as fixed, len as fixed_back from sequences""")
+def golomb_codes(c):
+    rows = c.sequences().select("seq_id", "len", S.rice(F.col("len"), 64).alias("code"), S.rice_bits(F.col("len"), 64).cast("long").alias("n_bits"), S.fixed_binary(F.col("len"), F.lit(40)).alias("fixed"))
+    return rows.select("*", S.from_rice(F.col("code"), 64).alias("back"), S.from_binary(F.col("fixed")).alias("fixed_back"))
+
+
+@query()
+def rising_factors(c):
+    return O.rising(O.parse(c), len(c.ref))
+
+
+@query()
+def rising_restored(c):
+    parsed = written(O.parse(c), "parsed")
+    return O.restore_rising(O.rising(parsed, len(c.ref)), O.exploded(parsed, len(c.ref)))
+
+
+def codec(text: bool, short: bool, liss: bool) -> Callable[[Collection], DataFrame]:
+    return lambda c: factor_files.decode(factor_files.encode(O.parse(c), c.ref, text, short, liss), c.ref)
+
+
+for _text in (False, True):
+    for _short in (False, True):
+        for _liss in (False, True):
+            _f = codec(_text, _short, _liss)
+            _f.__name__ = "codec_" + ("text" if _text else "binary") + "_short" * _short + "_liss" * _liss
+            query("select seq_id, name, seq from targets")(_f)
+
+
+@query()
+def factor_file_rows(c):
+    return factor_files.factors(factor_files.encode(O.parse(c), c.ref, short=True, liss=True), c.ref)
+
+
+@query("select req_id, substring(seq, \"start\" + 1, \"end\" - \"start\") as text from requests join sequences using (seq_id)")
+def index_display(c):
+    """Through a saved display-only index."""
+    folder = shared_path(c.spark, "index")
+    index.write(c, folder, display_only=True)
+    return index.load(c.spark, folder).display(requests(c))
+
+
+@query("select 1")
+def index_count(c):
+    """Through a saved index."""
+    folder = shared_path(c.spark, "index")
+    index.write(c, folder)
+    return index.load(c.spark, folder).count(patterns(c))
+
+
+ORACLE_SQL["index_count"] = ORACLE_SQL["count_patterns"]
+
+
+@query()
+def index_sizes(c):
+    return index.size_report(O.parse(c), len(c.ref))
+
+
+@query("select req_id, seq_id, \"start\", \"end\" from requests")
+def display_requests(c):
+    return requests(c)
+
+
+@query("select req_id, substring(seq, \"start\" + 1, \"end\" - \"start\") as text from requests join sequences using (seq_id)")
+def stream_display(c):
+    """Requests as a stream of files."""
+    spark, folder = c.spark, shared_path(c.spark, "stream")
+    requests(c).write.parquet(f"{folder}/in")
+    parsed = written(O.parse(c), "parsed")
+    streams.display(spark.readStream.schema(streams.REQUESTS).parquet(f"{folder}/in"), parsed, c.ref, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.schema("req_id long, text string").parquet(f"{folder}/out/batch=*")
+
+
+@query("select 1")
+def stream_count(c):
+    """Patterns as a stream of files."""
+    spark, folder = c.spark, shared_path(c.spark, "stream")
+    patterns(c).write.parquet(f"{folder}/in")
+    parsed = written(O.parse(c), "parsed")
+    streams.count(spark.readStream.schema(streams.PATTERNS).parquet(f"{folder}/in"), parsed, c.ref, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.schema("pattern_id long, pattern string, n long").parquet(f"{folder}/out/batch=*")
+
+
+ORACLE_SQL["stream_count"] = ORACLE_SQL["count_patterns"]
