@@ -91,8 +91,8 @@ def sites(factors: DataFrame) -> DataFrame:
 
 def short_factors(factors: DataFrame, ref: bytes) -> DataFrame:
     """The factors that the short encoding writes as literals, with their text."""
-    whole = F.lit(ref.decode("ascii"))
-    text = F.coalesce("literal", F.substring(whole, F.col("pos").cast("int") + 1, F.col("len").cast("int")))
+    whole = F.lit(bytearray(ref))  # slices of bytes cost their own length, slices of a string what lies before them too
+    text = F.coalesce("literal", F.decode(F.substring(whole, F.col("pos").cast("int") + 1, F.col("len").cast("int")), "US-ASCII"))
     limit = kernels.short_limit(ref)
     return factors.where(f"not is_n and (len <= {limit} or literal is not null)").withColumn("text", text).where("not contains(text, 'n')").select("seq_id", "fac_no", "len", "text")
 

@@ -5,8 +5,12 @@ The reference sequence is sequence 0. It is the one object that every task holds
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +67,18 @@ def read_files(spark: SparkSession, paths: list[str], clean: bool = False) -> Co
     return Collection(bounded(ref), rows.where("seq_id > 0"))
 
 
-def write_texts(sequences: DataFrame, folder: str) -> None:
-    """One raw file a sequence, by name."""
-    sequences.select("name", F.col("seq").alias("value")).write.partitionBy("name").text(folder, lineSep="")
+def write_texts(sequences: DataFrame, folder: str) -> int:
+    """One raw file a sequence, by name, without a line end; the number of files. A file appears when it is complete."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        fs.create_dir(base, recursive=True)
+        for batch in batches:
+            for name, seq in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                part = f"{base}/.{name}.{uuid.uuid4().hex}"
+                with fs.open_output_stream(part, compression=None) as out:
+                    out.write(seq.encode("ascii"))
+                fs.move(part, f"{base}/{name}")
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    return sequences.select("name", "seq").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
