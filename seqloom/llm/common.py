@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: Rows of at most 8-byte keys that may be broadcast; beyond it a shuffle join is used.
 BROADCAST_KEYS = 1_000_000
+BATCH_ROWS = 1000
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -49,8 +50,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches to ``BATCH_ROWS`` rows from now on in this session, as one row may be a long text."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -87,6 +95,13 @@ def by_bytes(sizes: Iterable[int], budget: int) -> Iterator[tuple[int, int]]:
         yield start, end + 1
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows, to bound what a task holds beside them."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def single_threaded() -> None:
     """Keep native libraries to the one core that a task owns."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

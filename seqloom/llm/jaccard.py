@@ -6,14 +6,14 @@ of n - ceil(0.8 n) + l shingles: two linked sets share at least l of them in pre
 
 Each document gets its own l. A shingle in more than ``HOT`` classes costs too many candidates, so it is not followed;
 instead the prefix grows by one for each of them and as many more shared shingles would be needed, which leaves the
-requirement on the others as it was. Where the rest still promises many candidates, the prefix grows further and two
-or four shared shingles are required before a pair is verified. The rule for a pair is the smaller requirement, which
+requirement on the others as it was. Where the rest still promises many candidates, the prefix grows further, in
+proportion to them and up to a quarter, and as many more shared shingles are required before a pair is verified. The rule for a pair is the smaller requirement, which
 loses no pair. A document with too few shingles that are not hot is handled apart: its full set, the exact order by
 frequency among such documents, prefixes for the smaller and the larger side of a pair, and the positional bound.
 
 Equal sets are one class, so copies are never paired. Before the join, a class is compared with one centre for each of
-its ``STARS`` least shingles; what links is one component, and only shingles that stand in several components are
-followed. So a group of thousands of near copies costs some comparisons a member, and no pair in it is listed; links
+its ``STARS`` least shingles, and while that joins components, with the plainest class of each of its hot shingles; what
+links is one component, and only shingles that stand in several components are followed. So a group of thousands of near copies costs some comparisons a member, and no pair in it is listed; links
 between different components are all found. Every candidate is verified on its full sets of 64-bit shingle hashes
 (two different shingles of one pair agree with a chance below 1e-12 a pair; two different sets have one class id with a
 chance of N^2 / 2^65 for N sets).
@@ -33,13 +33,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import BROADCAST_KEYS, materialize, maybe_broadcast, small_enough
+from seqloom.llm.common import BROADCAST_KEYS, materialize, maybe_broadcast, slices, small_enough
 from seqloom.llm.components import components
 
 SHINGLE = 5
 HOT = 48
 STARS = 4
-CACHE = 400_000
+HOT_ROUNDS = 3
+CACHE = 200_000
 FILTER_BITS = 26
 TOKEN_BYTES = 5
 #: Fixed odd multipliers, one for each place in a shingle.
@@ -107,7 +108,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler()
-        for batch in batches:
+        for batch in slices(batches):
             n, sig, pre = [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingle(text)
@@ -124,23 +125,32 @@ def entries(sets: DataFrame, most: int | None = None, bits: np.ndarray | None =
     shared = None if bits is None else sets.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sig, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             parts = [unpack(x if most is None else x[: most * TOKEN_BYTES]) for x in batch.column(2).to_pylist()]
-            for a in range(0, len(parts), 1000):
-                sizes = [len(x) for x in parts[a : a + 1000]]
-                token = np.concatenate(parts[a : a + 1000])
-                row = np.repeat(np.arange(a, a + len(sizes)), sizes)
-                r = np.concatenate([np.arange(k) for k in sizes])
-                if shared is not None:
-                    at = place(token)
-                    held = (shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
-                    token, row, r = token[held], row[held], r[held]
-                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(sig[row]), pa.array(n[row]), pa.array(r.astype(np.int64))], ["token", "sig", "n", "r"])
+            sizes = [len(x) for x in parts]
+            token, row, r = np.concatenate(parts), np.repeat(np.arange(len(sizes)), sizes), np.concatenate([np.arange(k) for k in sizes])
+            if shared is not None:
+                at = place(token)
+                held = (shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+                token, row, r = token[held], row[held], r[held]
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(sig[row]), pa.array(n[row]), pa.array(r.astype(np.int64))], ["token", "sig", "n", "r"])
 
     return sets.where("sig is not null").select("sig", "n", "pre").mapInArrow(run, "token long, sig long, n long, r long")
 
 
+MAP = ("m0", "m1", "m2", "m3")
+
+
+def parities(s: np.ndarray) -> np.ndarray:
+    """256 bits: for each value of a shingle's last byte, whether an odd number of shingles has it.
+
+    Two sets differ in at least as many shingles as their bits differ, which bounds their intersection from above.
+    """
+    odd = np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def place(token: np.ndarray) -> np.ndarray:
     """A token's bit in the filter."""
     return ((token.astype(np.uint64) * ODD[1]) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
@@ -168,7 +178,10 @@ def sizes_fit(a: str, b: str) -> Column:
 
 
 def full_sets(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(sig, n, s) with all shingle hashes for the classes in ``wanted`` (sig), made again from one text of each."""
+    """(sig, n, s) with all shingle hashes for the classes in ``wanted`` (sig), made again from one text of each.
+
+    A class comes out twice only if its text stands in several rows of one id; that adds candidates, never links.
+    """
     few = small_enough(wanted, BROADCAST_KEYS)
     mark = F.broadcast if few else (lambda df: df)
     rep = sets.select("doc_id", "sig").join(mark(wanted), "sig").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
@@ -176,7 +189,7 @@ def full_sets(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler()
-        for batch in batches:
+        for batch in slices(batches):
             found = [shingle(t) for t in batch.column(1).to_pylist()]
             # another text under the same id is not the class asked for
             right = [i for i, (s, x) in enumerate(zip(batch.column(0).to_pylist(), found, strict=True)) if len(x) and xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) == s]
@@ -189,10 +202,10 @@ def verify(docs: DataFrame, sets: DataFrame, pairs: DataFrame, label: str) -> Da
     """Of candidate pairs (a, b) of classes, those that link."""
     pairs = materialize(pairs, f"{label}-pairs")
     wanted = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
-    full = materialize(full_sets(docs, sets, wanted).dropDuplicates(["sig"]), f"{label}-sets")
+    full = materialize(full_sets(docs, sets, wanted), f"{label}-sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             link = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -208,21 +221,47 @@ def verify(docs: DataFrame, sets: DataFrame, pairs: DataFrame, label: str) -> Da
 
 
 def star_pairs(sets: DataFrame) -> DataFrame:
-    """Each class with the centre, the least class, of each of its least shingles."""
+    """Each class with a centre that it has in common for two of its least shingles; the centre is the least class."""
     first = entries(sets, STARS).select("token", "sig", "n").distinct()
     centre = first.groupBy("token").agg(F.min(F.struct("sig", "n")).alias("c"), F.max("sig").alias("last")).where("c.sig < last")
     pairs = first.join(centre.select("token", F.col("c.sig").alias("a"), F.col("c.n").alias("an")), "token").where(F.col("sig") != F.col("a"))
-    return pairs.where(sizes_fit("n", "an")).select("a", F.col("sig").alias("b")).distinct()
+    met = pairs.where(sizes_fit("n", "an")).groupBy("a", F.col("sig").alias("b"), "n").agg(F.count("*").alias("c"))
+    return met.where(F.col("c") >= F.least(F.lit(2), F.col("n"))).select("a", "b")
 
 
-def candidate_pairs(docs: DataFrame, sets: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs of classes of different components that may link."""
+def shared_entries(sets: DataFrame) -> DataFrame:
+    """token, sig, n, r of the kept shingles that more than one document has (and a few more that the filter lets pass)."""
     often = entries(sets).groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
-    bits = token_filter(often)
-    shared = entries(sets, bits=bits).groupBy("token", "sig", "n", "r").agg(F.count("*").alias("copies")).drop("copies")
-    shared = shared.join(maybe_broadcast(comp.select(F.col("node").alias("sig"), "comp")), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-    shared = materialize(shared, "jaccard-entries")
-    groups = shared.groupBy("token").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token", "c")
+    found = entries(sets, bits=token_filter(often)).groupBy("token", "sig", "n", "r").agg(F.count("*").alias("copies")).drop("copies")
+    return materialize(found, "jaccard-entries")
+
+
+def with_comp(shared: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The entries with their class's component, and (token, c) of the shingles that stand in several components."""
+    named = shared.join(maybe_broadcast(comp.select(F.col("node").alias("sig"), "comp")), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+    groups = named.groupBy("token").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token", "c")
+    return named, groups
+
+
+def hot_star_pairs(shared: DataFrame, comp: DataFrame) -> DataFrame:
+    """For each hot shingle in several components its plainest class, and the classes of other components that have it.
+
+    The plainest class is the one whose shingles are the most frequent ones: of a family of near copies, one with few
+    changes of its own, to which most others link.
+    """
+    named, groups = with_comp(shared, comp)
+    hot = materialize(named.join(groups.where(F.col("c") > HOT), "token"), "jaccard-hot")
+    plain = hot.groupBy("sig").agg(F.sum("c").alias("weight"))
+    hot = hot.join(plain, "sig")
+    centre = hot.groupBy("token").agg(F.max(F.struct("weight", "sig", "n", "comp")).alias("m"))
+    met = hot.join(centre.select("token", F.col("m.sig").alias("a"), F.col("m.n").alias("an"), F.col("m.comp").alias("acomp")), "token")
+    met = met.where("comp <> acomp").where(sizes_fit("n", "an")).groupBy("a", F.col("sig").alias("b"), "n").agg(F.count("*").alias("c"))
+    return met.where(F.col("c") >= F.least(F.lit(2), F.col("n"))).select("a", "b")
+
+
+def candidate_pairs(docs: DataFrame, sets: DataFrame, shared: DataFrame, comp: DataFrame) -> DataFrame:
+    """Pairs of classes of different components that may link."""
+    shared, groups = with_comp(shared, comp)
     followed = shared.join(groups, "token").withColumn("hot", (F.col("c") > HOT).cast("int"))
     in_order = Window.partitionBy("sig").orderBy("r").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy("sig").orderBy("r").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -231,7 +270,7 @@ def candidate_pairs(docs: DataFrame, sets: DataFrame, comp: DataFrame) -> DataFr
     cost = F.sum(F.when(F.col("hot") == 0, F.col("c") - 1).otherwise(0)).over(whole)
     followed = followed.withColumn("at", F.col("r") - F.sum("hot").over(in_order)).withColumn("hots", F.sum("hot").over(whole)).withColumn("cost", cost)
     followed = followed.withColumn("p", p).withColumn("spare", room - p - F.col("hots"))
-    match = F.when((F.col("cost") > 512) & (F.col("spare") >= 3), 4).when((F.col("cost") > 64) & (F.col("spare") >= 1), 2).otherwise(1)
+    match = F.greatest(F.lit(1), F.least(F.col("spare") + 1, F.floor(F.col("cost") / 4)))
     followed = materialize(followed.withColumn("match", match).select("token", "sig", "n", "comp", "hot", "at", "p", "match", (F.col("spare") < 0).alias("over")), "jaccard-followed")
     used = followed.where("not over and hot = 0 and at < p + match - 1").select("token", "sig", "n", "comp", "match")
 
@@ -251,17 +290,19 @@ def candidate_pairs(docs: DataFrame, sets: DataFrame, comp: DataFrame) -> DataFr
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for sig, n, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                token = unpack(pack(np.frombuffer(s, np.uint64)))
-                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.full(len(token), sig)), pa.array(np.full(len(token), n))], ["token", "sig", "n"])
+                s = np.frombuffer(s, np.uint64)
+                token = unpack(pack(s))
+                yield pa.RecordBatch.from_arrays([pa.array(token), *(pa.array(np.full(len(token), x)) for x in (sig, n, *parities(s)))], ["token", "sig", "n", *MAP])
 
-    full = full_sets(docs, sets, over.select("sig")).dropDuplicates(["sig"]).mapInArrow(explode, "token long, sig long, n long")
-    full = materialize(full.join(maybe_broadcast(over), "sig").select("token", "sig", "n", "comp"), "jaccard-full")
-    mixed = pairs(joined(used, full.withColumn("match", F.lit(1)), "true").withColumn("match", F.col("match1")), "shared >= match")
+    full = full_sets(docs, sets, over.select("sig")).mapInArrow(explode, "token long, sig long, n long, " + ", ".join(f"{m} long" for m in MAP))
+    full = materialize(full.join(maybe_broadcast(over), "sig").select("token", "sig", "n", *MAP, "comp"), "jaccard-full")
+    mixed = pairs(joined(used, full.drop(*MAP).withColumn("match", F.lit(1)), "true").withColumn("match", F.col("match1")), "shared >= match")
     counted = full.join(full.groupBy("token").agg(F.count("*").alias("c")), "token")
     ranked = counted.withColumn("at", F.row_number().over(Window.partitionBy("sig").orderBy("c", "token")) - 1).where("c > 1")
-    large = ranked.where("at <= n - floor((80 * n + 99) / 100)").select("token", "sig", "n", "comp", "at")
+    large = ranked.where("at <= n - floor((80 * n + 99) / 100)").select("token", "sig", "n", *MAP, "comp", "at")
     small = large.where("at <= n - floor((160 * n + 179) / 180)")
-    bound = "(n1 < n2 or n1 = n2 and sig1 < sig2) and 180 * least(n1 - at1, n2 - at2) >= 80 * (n1 + n2)"
+    differ = " + ".join(f"bit_count({m}1 ^ {m}2)" for m in MAP)
+    bound = f"(n1 < n2 or n1 = n2 and sig1 < sig2) and 180 * least(n1 - at1, n2 - at2) >= 80 * (n1 + n2) and 90 * (n1 + n2 - ({differ})) >= 80 * (n1 + n2)"
     rare = pairs(joined(small, large, bound).withColumn("match", F.lit(1)), "shared >= 1")
     return usual.unionByName(mixed).unionByName(rare).distinct()
 
@@ -270,10 +311,20 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """Per row: id, n_shingles and component_id, the least id reachable by links."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sets = materialize(sets_of(docs), "jaccard-sets")
-    stars = verify(docs, sets, star_pairs(sets), "star")
-    comp = materialize(components(stars), "jaccard-comp")
-    links = verify(docs, sets, candidate_pairs(docs, sets, comp), "prefix")
-    comp = materialize(components(stars.unionByName(links)), "jaccard-comp")
+    links = verify(docs, sets, star_pairs(sets), "star")
+    comp = materialize(components(links), "jaccard-comp")
+    shared = shared_entries(sets)
+    for _ in range(HOT_ROUNDS):
+        pairs = materialize(hot_star_pairs(shared, comp), "hot-pairs")
+        if pairs.isEmpty():
+            break
+        found = verify(docs, sets, pairs, "hot")
+        if found.isEmpty():
+            break
+        links = links.unionByName(found)
+        comp = materialize(components(links), "jaccard-comp")
+    found = verify(docs, sets, candidate_pairs(docs, sets, shared, comp), "prefix")
+    comp = materialize(components(links.unionByName(found)), "jaccard-comp")
     classes = sets.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"))
     classes = classes.join(comp.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
     least = classes.groupBy("comp").agg(F.min("least").alias("component_id"))
