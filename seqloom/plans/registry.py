@@ -191,8 +191,9 @@ ORACLE_SQL["count_lines"] = WITH + ", " + HITS + "select pattern || ' : ' || cou
 @query("select 1")
 def count_by_regex(c):
     """Overlapping counts on plain sequences, by look-ahead."""
-    rows = c.sequences().crossJoin(F.broadcast(search.valid(patterns(c))))  # a fixed list of patterns, not a table
-    return rows.groupBy("pattern_id").agg(F.sum(F.regexp_count("seq", F.concat(F.lit("(?="), "pattern", F.lit(")")))).cast("long").alias("n"))
+    usable = [(i, p.lower()) for i, p in PATTERNS if p and not set(p.lower()) - set(S.ALPHABET)]
+    sums = c.sequences().agg(*[F.sum(F.regexp_count("seq", F.lit(f"(?={p})"))).cast("long").alias(f"n{i}") for i, p in usable])
+    return sums.select(F.inline(F.array(*[F.struct(F.lit(i).cast("long").alias("pattern_id"), F.col(f"n{i}").alias("n")) for i, _ in usable])))
 
 
 ORACLE_SQL["count_by_regex"] = WITH + ", " + HITS + "select pattern_id, count(pos) as n from patterns left join hits using (pattern_id) where pattern_id <> 4 group by pattern_id"
