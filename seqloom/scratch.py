@@ -36,3 +36,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """The table, marked for a broadcast if a count bounds it, else as it is."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def spread(df: DataFrame, most_bytes: int = 1 << 30) -> DataFrame:
+    """A small table of fewer files than the cluster has cores, dealt over the cores; any other table as it is.
+
+    A file with one row group is one task, however many cores wait. The size is that of the files, from the plan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= most_bytes and len(df.inputFiles()) < cores else df
