@@ -23,13 +23,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import by_bytes, texts_of
+from seqloom.llm.common import by_bytes, slices, texts_of
 from seqloom.llm.tokens import PIECE_CHARS, pieces
 
 #: Fixed value: the split of byte-level BPE, with white space as Unicode has it.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 NEVER = np.int64(1) << 40
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 CHUNK_BYTES = 1 << 20
 
 
@@ -192,7 +192,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = Bpe(tokenizer)
-        for batch in batches:
+        for batch in slices(batches):
             texts = texts_of(batch, "text")
             for a, b in by_bytes(map(len, texts), CHUNK_BYTES):
                 ids = bpe.encode(texts[a:b])

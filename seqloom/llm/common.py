@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqloom.scratch import spread
+
 #: Rows of at most 8-byte keys that may be broadcast; beyond it a shuffle join is used.
 BROADCAST_KEYS = 1_000_000
 BATCH_ROWS = 1000
@@ -57,9 +59,9 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables."""
+    """One of the given tables; a small one in few files is dealt over the cores."""
     bounded_batches(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def small_enough(keys: DataFrame, most: int = BROADCAST_KEYS) -> bool:

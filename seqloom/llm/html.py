@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import texts_of
+from seqloom.llm.common import slices, texts_of
 
 #: Fixed values of HTML: elements that end a block, that hold no markup, that never have an end tag.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
@@ -194,7 +194,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """Per row: page id, url, main text, its code points, and the numbers of kept and of all blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [main_text(h) for h in texts_of(batch, "html")]
             cols = [batch.column(0), batch.column(1), pa.array([t for t, _, _ in found], pa.string()), pa.array([len(t) for t, _, _ in found], pa.int64())]
             cols += [pa.array([x[k] for x in found], pa.int64()) for k in (1, 2)]

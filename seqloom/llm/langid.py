@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import single_threaded
+from seqloom.llm.common import single_threaded, slices
 
 PER_LANG = 500
 BITS = 11
@@ -125,7 +125,7 @@ def learn(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str
     picked = rows.where(hashed < limit[F.col(lang_col)]).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([features(t).tobytes() for t in texts], pa.binary())], ["id", "lang", "x"])
 
@@ -139,7 +139,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         single_threaded()
-        for batch in batches:
+        for batch in slices(batches):
             lang, score, doubt = shared.value.of_texts(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang), pa.array(score), pa.array(doubt)], ["id", "lang_pred", "score", "ambiguous"])
 
@@ -153,7 +153,7 @@ def clean(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         single_threaded()
-        for batch in batches:
+        for batch in slices(batches):
             lang, score, doubt = shared.value.of_texts(batch.column(at).to_pylist())
             yield batch.filter(pa.array((np.array(lang, object) != "und") & ~(doubt & (score < least))))
 

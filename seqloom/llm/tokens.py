@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import by_bytes, single_threaded, texts_of
+from seqloom.llm.common import by_bytes, single_threaded, slices, texts_of
 
 PIECE_CHARS = 1 << 18
 BATCH_BYTES = 1 << 20
@@ -82,7 +82,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int, id_col: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, safe = load(tokenizer)
-        for batch in batches:
+        for batch in slices(batches):
             sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
             tokens = lengths(texts_of(batch, "text"), count, safe)
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(tokens), pa.array(tokens > limit)], ["id", "n_bytes", "n_tokens", "over_limit"])
