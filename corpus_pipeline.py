@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from seqloom.llm import bpe, decontam, jaccard, langid, toxicity
-from seqloom.llm.common import crc_mod, materialize, table
+from seqloom.llm.common import bounded_batches, crc_mod, materialize, table
 
 
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,11 +16,13 @@ def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or of no clear language, go."""
+    bounded_batches(spark)
     return langid.clean(docs, langid.learn(docs, crc_mod("doc_id", 4) != 2))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that link, directly or over others, the one with the least id stays."""
+    bounded_batches(spark)
     return jaccard.representatives(docs)
 
 
@@ -31,6 +33,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left, as counts and digests."""
+    bounded_batches(spark)
     return bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
