@@ -18,6 +18,7 @@ ROUNDS = 60
 def components(edges: DataFrame) -> DataFrame:
     """From edges (a, b): every node that has an edge to another, with the least node of its component (node, comp)."""
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), "edges")
+    known = None
     for _ in range(ROUNDS):
         # large star: neighbours above a node join its least neighbour
         both = now.unionByName(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
@@ -28,19 +29,15 @@ def components(edges: DataFrame) -> DataFrame:
         moved = large.join(low, "v")
         small = moved.where("u <> low").select(F.col("u").alias("v"), F.col("low").alias("u")).unionByName(low.select("v", F.col("low").alias("u")))
         after = materialize(small.where("v <> u").distinct(), "edges")
-        if _same(now, after):
+        if (seen := _digest(after)) == known:
             break
-        now = after
+        now, known = after, seen
     else:
         raise RuntimeError("components did not settle")
     nodes = after.select(F.col("v").alias("node"), F.col("u").alias("comp"))
     return nodes.unionByName(after.select(F.col("u").alias("node"), F.col("u").alias("comp")).distinct())
 
 
-def _same(a: DataFrame, b: DataFrame) -> bool:
-    """Whether two edge tables without repeats are equal, by count and an order-free digest."""
-
-    def digest(df: DataFrame):
-        return df.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")), F.sum(F.xxhash64("u", "v", F.lit(3)).cast("decimal(38,0)"))).first()
-
-    return digest(a) == digest(b)
+def _digest(edges: DataFrame) -> tuple:
+    """Count and order-free digest of an edge table without repeats."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")), F.sum(F.xxhash64("u", "v", F.lit(3)).cast("decimal(38,0)"))).first())

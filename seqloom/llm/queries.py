@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import ann, bpe, decontam, html, jaccard, langid, licenses, tokens, toxicity, warc
+from seqloom.llm import ann, bpe, decontam, html, jaccard, langid, licenses, oracles, tokens, toxicity, warc
 from seqloom.llm.common import crc_mod, table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -56,8 +56,8 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(table(spark, sf_dir, "pages"))
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("target_uri")
 
 
 QUERIES = {f.__name__: f for f in (op1_additive_quantisation, op2_token_counts, op3_decontamination, op4_license_scan, op5_jaccard_join, op6_toxicity, op7_language_id, op8_bpe, op9_html_text, op10_warc)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_jaccard_join": oracles.JACCARD, "op10_warc": oracles.WARC}
