@@ -12,7 +12,7 @@ loses no pair. A document with too few shingles that are not hot is handled apar
 frequency among such documents, prefixes for the smaller and the larger side of a pair, and the positional bound.
 
 Equal sets are one class, so copies are never paired. Before the join, a class is compared with one centre for each of
-its ``STARS`` least shingles, and while that joins components, with the plainest class of each of its hot shingles; what
+its ``STARS`` least shingles, and then with the plainest class of each of its hot shingles; what
 links is one component, and only shingles that stand in several components are followed. So a group of thousands of near copies costs some comparisons a member, and no pair in it is listed; links
 between different components are all found. Every candidate is verified on its full sets of 64-bit shingle hashes
 (two different shingles of one pair agree with a chance below 1e-12 a pair; two different sets have one class id with a
@@ -20,7 +20,8 @@ chance of N^2 / 2^65 for N sets).
 
 Null and empty texts, and texts without words, have empty sets, link with nothing and are their own components. Fewer
 than five words make one shingle. Rows that share an id are separate texts of one document id: each is linked by its
-own set, and the id's row shows what its own text is linked with.
+own set, and the id's row shows what its own text is linked with. A row without an id has the component of the rows with an
+equal text, if they have ids.
 """
 
 from __future__ import annotations
@@ -39,8 +40,8 @@ from seqloom.llm.components import components
 SHINGLE = 5
 HOT = 48
 STARS = 4
-HOT_ROUNDS = 3
-CACHE = 200_000
+HOT_ROUNDS = 1
+CACHE = 100_000
 FILTER_BITS = 26
 TOKEN_BYTES = 5
 #: Fixed odd multipliers, one for each place in a shingle.
@@ -103,6 +104,11 @@ def unpack(raw: bytes) -> np.ndarray:
     return wide.view(">u8").ravel().astype(np.int64)
 
 
+def class_of(s: np.ndarray) -> int:
+    """The class of a set: a hash of all its shingles."""
+    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+
+
 def sets_of(docs: DataFrame) -> DataFrame:
     """From (doc_id, text): doc_id, n, sig (the class of equal sets, null for empty sets), pre (the least shingles)."""
 
@@ -113,7 +119,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
             for text in batch.column(1).to_pylist():
                 s = shingle(text)
                 n.append(len(s))
-                sig.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None)
+                sig.append(class_of(s) if len(s) else None)
                 pre.append(pack(s[: kept(len(s))]) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(pre, pa.binary())], ["doc_id", "n", "sig", "pre"])
 
@@ -177,24 +183,45 @@ def sizes_fit(a: str, b: str) -> Column:
     return (F.col(a) * 100 >= F.col(b) * 80) & (F.col(b) * 100 >= F.col(a) * 80)
 
 
-def full_sets(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
+def full_sets(docs: DataFrame, sets: DataFrame, wanted: DataFrame, exploded: bool = False) -> DataFrame:
     """(sig, n, s) with all shingle hashes for the classes in ``wanted`` (sig), made again from one text of each.
 
-    A class comes out twice only if its text stands in several rows of one id; that adds candidates, never links.
+    With ``exploded`` a row for each shingle instead: token, sig, n and the parity bits. A class comes out twice only
+    if its text stands in several rows of one id; that adds candidates, never links.
     """
     few = small_enough(wanted, BROADCAST_KEYS)
     mark = F.broadcast if few else (lambda df: df)
     rep = sets.select("doc_id", "sig").join(mark(wanted), "sig").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
     picked = docs.join(mark(rep), "doc_id").select("sig", "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
         shingle = Shingler()
         for batch in slices(batches):
-            found = [shingle(t) for t in batch.column(1).to_pylist()]
-            # another text under the same id is not the class asked for
-            right = [i for i, (s, x) in enumerate(zip(batch.column(0).to_pylist(), found, strict=True)) if len(x) and xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) == s]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(right, pa.int64())), pa.array([len(found[i]) for i in right], pa.int64()), pa.array([found[i].tobytes() for i in right], pa.binary())], ["sig", "n", "s"])
+            for sig, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x = shingle(text)
+                # another text under the same id is not the class asked for
+                if len(x) and class_of(x) == sig:
+                    yield sig, x
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, np.ndarray]] = []
+        for item in found(batches):
+            held.append(item)
+            if len(held) >= 200:
+                yield from packed(held)
+                held = []
+        if held:
+            yield from packed(held)
+
+    def packed(held: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in held], pa.int64()), pa.array([len(x) for _, x in held], pa.int64()), pa.array([x.tobytes() for _, x in held], pa.binary())], ["sig", "n", "s"])
+
+    def run_exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for sig, x in found(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(unpack(pack(x))), *(pa.array(np.full(len(x), v)) for v in (sig, len(x), *parities(x)))], ["token", "sig", "n", *MAP])
+
+    if exploded:
+        return picked.mapInArrow(run_exploded, "token long, sig long, n long, " + ", ".join(f"{m} long" for m in MAP))
     return picked.mapInArrow(run, "sig long, n long, s binary")
 
 
@@ -254,7 +281,8 @@ def hot_star_pairs(shared: DataFrame, comp: DataFrame) -> DataFrame:
     plain = hot.groupBy("sig").agg(F.sum("c").alias("weight"))
     hot = hot.join(plain, "sig")
     centre = hot.groupBy("token").agg(F.max(F.struct("weight", "sig", "n", "comp")).alias("m"))
-    met = hot.join(centre.select("token", F.col("m.sig").alias("a"), F.col("m.n").alias("an"), F.col("m.comp").alias("acomp")), "token")
+    centre = materialize(centre.select("token", F.col("m.sig").alias("a"), F.col("m.n").alias("an"), F.col("m.comp").alias("acomp")), "jaccard-centre")
+    met = hot.join(maybe_broadcast(centre), "token")
     met = met.where("comp <> acomp").where(sizes_fit("n", "an")).groupBy("a", F.col("sig").alias("b"), "n").agg(F.count("*").alias("c"))
     return met.where(F.col("c") >= F.least(F.lit(2), F.col("n"))).select("a", "b")
 
@@ -287,14 +315,7 @@ def candidate_pairs(docs: DataFrame, sets: DataFrame, shared: DataFrame, comp: D
     if over.isEmpty():
         return usual
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for sig, n, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                s = np.frombuffer(s, np.uint64)
-                token = unpack(pack(s))
-                yield pa.RecordBatch.from_arrays([pa.array(token), *(pa.array(np.full(len(token), x)) for x in (sig, n, *parities(s)))], ["token", "sig", "n", *MAP])
-
-    full = full_sets(docs, sets, over.select("sig")).mapInArrow(explode, "token long, sig long, n long, " + ", ".join(f"{m} long" for m in MAP))
+    full = full_sets(docs, sets, over.select("sig"), exploded=True)
     full = materialize(full.join(maybe_broadcast(over), "sig").select("token", "sig", "n", *MAP, "comp"), "jaccard-full")
     mixed = pairs(joined(used, full.drop(*MAP).withColumn("match", F.lit(1)), "true").withColumn("match", F.col("match1")), "shared >= match")
     counted = full.join(full.groupBy("token").agg(F.count("*").alias("c")), "token")
