@@ -30,13 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-EDITS = 5
-GRAM = 10
-TABLES = 40
-PLACES = 4
+from seqloom.llm.common import slices
+
+EDITS = 6
+GRAM = 9
+TABLES = 64
+PLACES = 3
 RATIO = 1.25
 GROUP_BYTES = 16 << 20
-BITS = 24
+BITS = 21
+OWN = 1 << 12
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -50,16 +53,19 @@ def chars(text: str) -> np.ndarray:
 
 
 def grams(x: np.ndarray) -> np.ndarray:
-    """Places in the bitmap of the q-grams that start at each character."""
+    """Places in the bitmap of the q-grams that start at each character: eight bytes as one word, and the rest."""
     n = len(x) - GRAM + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    h = np.zeros(n, np.uint64)
-    wide = x.astype(np.uint64)
-    for i in range(GRAM):
-        h *= np.uint64(0x100000001B3)
-        h ^= wide[i : i + n]
-    return ((h * MULTIPLIER) >> np.uint64(64 - BITS)).astype(np.int64)
+    word = x.astype(np.uint64)
+    for step in (1, 2, 4):
+        word = word[: len(word) - step] | (word[step:] << np.uint64(8 * step))
+    h = word[:n] * MULTIPLIER
+    for i in range(8, GRAM):
+        h ^= h >> np.uint64(32)
+        h += x[i : i + n]
+        h *= MULTIPLIER
+    return (h >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def edits(length: int) -> int:
@@ -147,14 +153,24 @@ class Finder:
                     table[key].append(k)
                 found = grams(chars(self.items[k][1]))
                 self.bits[found] = True
-                self.own[k] = found
+                self.own[k] = np.zeros(OWN, bool)
+                self.own[k][found & (OWN - 1)] = True
             longest = max(len(self.items[k][1]) for k in own)
             self.classes.append((walk, dict(table), longest + edits(longest), min(least_grams(len(self.items[k][1])) for k in own)))
 
+        self.least = min((c[3] for c in self.classes), default=0)
+        self.reach = max((c[2] + 2 * edits(c[0].length) + 2 for c in self.classes), default=0)
+
+    def most_hits(self, total: np.ndarray) -> int:
+        """No fewer than the hits of any stretch that a window may look at, from sums at every 64th place."""
+        coarse, span = total[::64], -(-self.reach // 64) + 1
+        return int(total[-1] if len(coarse) <= span else max((coarse[span:] - coarse[:-span]).max(), total[-1] - coarse[-span]))
+
     def find(self, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
         """(text, item id, distance, end of the passage in the normal text) of every leak."""
         out = []
         windows: list[list[tuple[int, str, int]]] = [[] for _ in self.classes]
+        codes: dict[int, np.ndarray] = {}
         for t, text in enumerate(texts):
             text = normal(text)
             for k in self.short:
@@ -165,10 +181,11 @@ class Finder:
             if not self.classes or len(text) < GRAM:
                 continue
             x = chars(text)
-            hit = self.bits[grams(x)]
-            if hit.sum() < min(c[3] for c in self.classes):
-                continue
+            g = grams(x)
+            hit = self.bits[g]
             total = np.concatenate(([0], np.cumsum(hit)))
+            if self.most_hits(total) < self.least:
+                continue
             starts = np.concatenate(([0], np.flatnonzero(x[:-1] == 32) + 1))
             for c, (walk, _, span, least) in enumerate(self.classes):
                 # a passage may start up to k characters before the word it is seen from
@@ -176,6 +193,8 @@ class Finder:
                 a, b = np.clip(starts - lead, 0, len(hit)), np.minimum(starts + span + lead, len(hit))
                 for s in starts[(total[b] - total[np.minimum(a, b)] >= least) & (starts + walk.length // 2 <= len(x))].tolist():
                     windows[c].append((t, text, s))
+                    if t not in codes:
+                        codes[t] = (g & (OWN - 1)).astype(np.uint16)
         for (walk, table, span, _), own in zip(self.classes, windows, strict=True):
             for a in range(0, len(own), 4096):
                 part = own[a : a + 4096]
@@ -195,7 +214,7 @@ class Finder:
                     margin = len(item) // 4 + 16
                     for lo, hi in stretches(sorted(set(at)), len(item) + margin):
                         lo = max(0, lo - margin)
-                        if np.isin(grams(chars(texts_of[t][lo:hi])), self.own[k]).sum() < least_grams(len(item)):
+                        if np.count_nonzero(self.own[k][codes[t][lo:hi]]) < least_grams(len(item)):
                             continue
                         d, end = distance(item, texts_of[t][lo:hi])
                         if d <= edits(len(item)) and (best is None or d < best[0]):
@@ -240,7 +259,7 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             finder = Finder(shared.value)
-            for batch in batches:
+            for batch in slices(batches, 1000):
                 got = finder.find(batch.column(1).to_pylist())
                 ids = batch.column(0).take(pa.array([g[0] for g in got], pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array([g[k] for g in got], t) for k, t in ((1, pa.int64()), (2, pa.int32()), (3, pa.int64())))], ["doc_id", "item_id", "distance", "ends_at"])
@@ -260,7 +279,7 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: s
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             finder = Finder(shared.value)
-            for batch in batches:
+            for batch in slices(batches, 1000):
                 leaks = {g[0] for g in finder.find(batch.column(at).to_pylist())}
                 yield batch.take(pa.array([i for i in range(batch.num_rows) if i not in leaks], pa.int64()))
 
