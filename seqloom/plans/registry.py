@@ -116,7 +116,7 @@ def sa_interval(c):
 
 @query()
 def factorize(c):
-    return O.numbered(O.parse(c), len(c.ref))
+    return O.numbered(written(O.parse(c), "parsed"), len(c.ref))
 
 
 @query()
@@ -136,7 +136,7 @@ def factor_sites(c):
 
 @query()
 def factor_catalog(c):
-    return O.catalog(O.parse(c))
+    return O.catalog(written(O.parse(c), "parsed"))
 
 
 @query("select seq_id, name, seq from targets")
