@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from seqloom.llm.common import materialize, scratch_path
 
-LEVEL = 6
+LEVEL = 3
 PIECE = 1 << 20
 DATE = "2024-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
