@@ -39,17 +39,20 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def drop_scratch(spark: SparkSession, path: str) -> None:
-    """Delete a scratch table that no later step reads."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write a table to the shared folder and read it again."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete materialized tables that no later step reads."""
+    for df in tables:
+        where = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.scratch)
+        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def bounded_batches(spark: SparkSession) -> None:

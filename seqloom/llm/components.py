@@ -10,15 +10,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import materialize
+from seqloom.llm.common import materialize, release
 
 ROUNDS = 60
+#: Edges of a written file at least, so that a small table is not hundreds of files.
+FILE_ROWS = 250_000
 
 
 def components(edges: DataFrame) -> DataFrame:
     """From edges (a, b): every node that has an edge to another, with the least node of its component (node, comp)."""
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), "edges")
-    known = None
+    known = _digest(now)
     for _ in range(ROUNDS):
         # large star: neighbours above a node join its least neighbour
         both = now.unionByName(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
@@ -28,9 +30,12 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("v").agg(F.min("u").alias("low"))
         moved = large.join(low, "v")
         small = moved.where("u <> low").select(F.col("u").alias("v"), F.col("low").alias("u")).unionByName(low.select("v", F.col("low").alias("u")))
-        after = materialize(small.where("v <> u").distinct(), "edges")
+        # a round never has more edges than twice those of the one before
+        after = materialize(small.where("v <> u").distinct().coalesce(1 + 2 * known[0] // FILE_ROWS), "edges")
         if (seen := _digest(after)) == known:
+            release(now)
             break
+        release(now)
         now, known = after, seen
     else:
         raise RuntimeError("components did not settle")

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import BROADCAST_KEYS, materialize, maybe_broadcast, slices, small_enough
+from seqloom.llm.common import BROADCAST_KEYS, materialize, maybe_broadcast, release, slices, small_enough
 from seqloom.llm.components import components
 
 SHINGLE = 5
@@ -244,7 +244,9 @@ def verify(docs: DataFrame, sets: DataFrame, pairs: DataFrame, label: str) -> Da
 
     left = pairs.join(full.select(F.col("sig").alias("b"), F.col("s").alias("y")), "b")
     both = left.join(full.select(F.col("sig").alias("a"), F.col("s").alias("x")), "a").select("a", "b", "x", "y")
-    return materialize(both.mapInArrow(run, "a long, b long, link boolean").where("link").select("a", "b"), f"{label}-links")
+    links = materialize(both.mapInArrow(run, "a long, b long, link boolean").where("link").select("a", "b"), f"{label}-links")
+    release(pairs, full)
+    return links
 
 
 def star_pairs(sets: DataFrame) -> DataFrame:
@@ -287,8 +289,8 @@ def hot_star_pairs(shared: DataFrame, comp: DataFrame) -> DataFrame:
     return met.where(F.col("c") >= F.least(F.lit(2), F.col("n"))).select("a", "b")
 
 
-def candidate_pairs(docs: DataFrame, sets: DataFrame, shared: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs of classes of different components that may link."""
+def candidate_pairs(docs: DataFrame, sets: DataFrame, shared: DataFrame, comp: DataFrame, scratch: list[DataFrame]) -> DataFrame:
+    """Pairs of classes of different components that may link; ``scratch`` gets the tables that they are made from."""
     shared, groups = with_comp(shared, comp)
     followed = shared.join(groups, "token").withColumn("hot", (F.col("c") > HOT).cast("int"))
     in_order = Window.partitionBy("sig").orderBy("r").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -300,6 +302,7 @@ def candidate_pairs(docs: DataFrame, sets: DataFrame, shared: DataFrame, comp: D
     followed = followed.withColumn("p", p).withColumn("spare", room - p - F.col("hots"))
     match = F.greatest(F.lit(1), F.least(F.col("spare") + 1, F.floor(F.col("cost") / 4)))
     followed = materialize(followed.withColumn("match", match).select("token", "sig", "n", "comp", "hot", "at", "p", "match", (F.col("spare") < 0).alias("over")), "jaccard-followed")
+    scratch.append(followed)
     used = followed.where("not over and hot = 0 and at < p + match - 1").select("token", "sig", "n", "comp", "match")
 
     def joined(x: DataFrame, y: DataFrame, extra: str) -> DataFrame:
@@ -312,11 +315,13 @@ def candidate_pairs(docs: DataFrame, sets: DataFrame, shared: DataFrame, comp: D
 
     usual = pairs(joined(used, used, "sig1 < sig2").withColumn("match", F.least("match1", "match2")), "shared >= match")
     over = materialize(followed.where("over").select("sig", "comp").distinct(), "jaccard-over")
+    scratch.append(over)
     if over.isEmpty():
         return usual
 
     full = full_sets(docs, sets, over.select("sig"), exploded=True)
     full = materialize(full.join(maybe_broadcast(over), "sig").select("token", "sig", "n", *MAP, "comp"), "jaccard-full")
+    scratch.append(full)
     mixed = pairs(joined(used, full.drop(*MAP).withColumn("match", F.lit(1)), "true").withColumn("match", F.col("match1")), "shared >= match")
     counted = full.join(full.groupBy("token").agg(F.count("*").alias("c")), "token")
     ranked = counted.withColumn("at", F.row_number().over(Window.partitionBy("sig").orderBy("c", "token")) - 1).where("c > 1")
@@ -344,7 +349,9 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             break
         links = links.unionByName(found)
         comp = materialize(components(links), "jaccard-comp")
-    found = verify(docs, sets, candidate_pairs(docs, sets, shared, comp), "prefix")
+    scratch = [shared]
+    found = verify(docs, sets, candidate_pairs(docs, sets, shared, comp, scratch), "prefix")
+    release(*scratch)
     comp = materialize(components(links.unionByName(found)), "jaccard-comp")
     classes = sets.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"))
     classes = classes.join(comp.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
