@@ -186,13 +186,14 @@ def sizes_fit(a: str, b: str) -> Column:
 def full_sets(docs: DataFrame, sets: DataFrame, wanted: DataFrame, exploded: bool = False) -> DataFrame:
     """(sig, n, s) with all shingle hashes for the classes in ``wanted`` (sig), made again from one text of each.
 
-    With ``exploded`` a row for each shingle instead: token, sig, n and the parity bits. A class comes out twice only
-    if its text stands in several rows of one id; that adds candidates, never links.
+    With ``exploded`` a row for each shingle instead: token, sig, n and the parity bits. A class comes out once, also
+    if its text stands in several rows of one id.
     """
     few = small_enough(wanted, BROADCAST_KEYS)
     mark = F.broadcast if few else (lambda df: df)
-    rep = sets.select("doc_id", "sig").join(mark(wanted), "sig").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
-    picked = docs.join(mark(rep), "doc_id").select("sig", "text")
+    ids = sets.select("doc_id", "sig").join(mark(wanted), "sig").groupBy("sig", "doc_id").agg(F.count("*").alias("copies"))
+    rep = materialize(ids.groupBy("sig").agg(F.min(F.struct("doc_id", "copies")).alias("m")).select("sig", "m.doc_id", "m.copies"), "jaccard-rep")
+    again = rep.where("copies > 1")
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
         shingle = Shingler()
@@ -216,13 +217,26 @@ def full_sets(docs: DataFrame, sets: DataFrame, wanted: DataFrame, exploded: boo
     def packed(held: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in held], pa.int64()), pa.array([len(x) for _, x in held], pa.int64()), pa.array([x.tobytes() for _, x in held], pa.binary())], ["sig", "n", "s"])
 
+    def row_each(sig: int, x: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(unpack(pack(x))), *(pa.array(np.full(len(x), v)) for v in (sig, len(x), *parities(x)))], ["token", "sig", "n", *MAP])
+
     def run_exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for sig, x in found(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(unpack(pack(x))), *(pa.array(np.full(len(x), v)) for v in (sig, len(x), *parities(x)))], ["token", "sig", "n", *MAP])
+            yield row_each(sig, x)
+
+    def run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield from map(row_each, batch.column(0).to_pylist(), (np.frombuffer(s, np.uint64) for s in batch.column(1).to_pylist()))
+
+    def texts(rep: DataFrame) -> DataFrame:
+        return docs.join(mark(rep), "doc_id").select("sig", "text")
 
-    if exploded:
-        return picked.mapInArrow(run_exploded, "token long, sig long, n long, " + ", ".join(f"{m} long" for m in MAP))
-    return picked.mapInArrow(run, "sig long, n long, s binary")
+    kinds = "sig long, n long, s binary", "token long, sig long, n long, " + ", ".join(f"{m} long" for m in MAP)
+    once = texts(rep.where("copies = 1")).mapInArrow(run_exploded if exploded else run, kinds[exploded])
+    if again.isEmpty():
+        return once
+    repeated = texts(again).mapInArrow(run, kinds[0]).dropDuplicates(["sig"])
+    return once.unionByName(repeated.select("sig", "s").mapInArrow(run_rows, kinds[1]) if exploded else repeated)
 
 
 def verify(docs: DataFrame, sets: DataFrame, pairs: DataFrame, label: str) -> DataFrame:

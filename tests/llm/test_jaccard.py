@@ -79,6 +79,28 @@ def test_shared_page_with_little_else(spark, monkeypatch):
     check(spark, rows)
 
 
+def test_repeated_rows_keep_every_candidate(spark, monkeypatch):
+    """A shared page whose rows stand twice under their id, some in other letters: no linked pair may be left out."""
+    monkeypatch.setattr(jaccard, "HOT", 5)
+    rng = random.Random(2)
+    page = [f"p{i}" for i in range(104)]
+    rows = []
+    for i in range(30):
+        words = list(page)
+        for at in rng.sample(range(5, 99), rng.choice([1, 2])):
+            words[at] = f"u{i}x{at}"
+        rows += [(i, " ".join(words)), (i, " ".join(words).upper() if i % 2 else " ".join(words))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = jaccard.materialize(jaccard.sets_of(docs), "sets")
+    none = spark.createDataFrame([], "node long, comp long")
+    got = {(r.a, r.b) for r in jaccard.candidate_pairs(docs, sets, jaccard.shared_entries(sets), none, []).collect()}
+    made = {jaccard.class_of(x): set(x.tolist()) for x in (jaccard.Shingler()(t) for _, t in rows)}
+    want = {(a, b) for a in made for b in made if a < b and 100 * len(made[a] & made[b]) >= 80 * len(made[a] | made[b])}
+    assert want and want <= got
+    wanted = spark.createDataFrame([(x,) for x in made], "sig long")
+    assert jaccard.full_sets(docs, sets, wanted).count() == len(made)
+
+
 def test_empty_table_and_repeats(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.link(df).collect() == []
