@@ -7,9 +7,10 @@ word stands, over both classes). Counts that split between the classes as chance
 expression that one class happens to lack costs nothing. N-grams count once a text. Words below ``MIN_WORD`` texts
 count as one unknown word, equally likely under both.
 
-The n-gram counts come from every labelled row that may be learned from (of about ``MAX_LABELS`` labels, if there are
-more), except one fold, on which the logistic curve is fitted (on at most ``CURVE_ROWS`` rows of it); Spark sums them, and the classifier keeps the ``MAX_WORDS`` words and
-``MAX_PAIRS`` pairs seen most in toxic, then in ordinary texts. These bounds are parameters of the classifier. Whole
+The n-gram counts come from every labelled row that may be learned from, except one fold, on which the logistic curve is
+fitted (on at most ``CURVE_ROWS`` rows of it). More labelled ids than a broadcast may hold are taken in several passes
+over the documents. Spark sums the counts and compares them between the classes; the driver gets the words and pairs that
+are not pooled, as only these bear on a score, so the model grows with the evidence in the input. Whole
 texts are counted and scored. Null and empty texts get the score of a text without known words. Without labels of both
 classes every text gets the share of toxic labels, or 0 without labels.
 """
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,16 +27,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import crc_mod, single_threaded, slices
+from seqloom.llm.common import BROADCAST_KEYS, crc_mod, materialize, maybe_broadcast, release, single_threaded, slices
 
 MIN_WORD = 5
 MIN_PAIR = 50
-MAX_WORDS = 150_000
-MAX_PAIRS = 150_000
 CURVE_ROWS = 20_000
-#: Labelled ids that may be learned from, picked by a hash beyond that; so their table always fits a broadcast.
-MAX_LABELS = 500_000
-HASHES = 1 << 30
 #: Below this likelihood-ratio statistic (one degree of freedom) a difference between the classes counts as chance.
 SURPRISE = 12.0
 FLUSH = 1_000_000
@@ -84,7 +81,8 @@ class Model:
             return 0.0
         at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
         known = self.words[at] == words
-        total = self.word_llr[at[known]].sum() + self.word_back[at[:-1][known[:-1] & known[1:]]].sum()
+        # backing off behind a word weighs the same whatever comes next, also a word with one probability in both models
+        total = self.word_llr[at[known]].sum() + self.word_back[at[:-1][known[:-1]]].sum()
         if len(self.pairs):
             key = pairs_of(words)[1:][known[:-1] & known[1:]]
             p = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
@@ -180,49 +178,83 @@ def count_pairs(rows: DataFrame) -> DataFrame:
     return rows.select("text", "toxic").mapInArrow(run, "key long, n0 int, n1 int").groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def statistics(pairs: DataFrame) -> DataFrame:
-    """Word rows (kind 1), pair rows (kind 2) and totals of words (3) and pairs (4), in one pass over the pair counts."""
-    words = pairs.groupBy(F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).alias("key")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.count("*").alias("c"))
+def words_of(pairs: DataFrame) -> DataFrame:
+    """From pair counts: key, n0, n1 and the number of contexts of each word."""
+    return pairs.groupBy(F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).alias("key")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.count("*").alias("c"))
 
-    def top(rows: DataFrame, least: int, most: int, kind: int) -> DataFrame:
-        kept = rows.where(F.col("n0") + F.col("n1") >= least).orderBy(F.desc("n1"), F.desc("n0"), "key").limit(most)
-        return kept.select(F.lit(kind).alias("kind"), "key", F.array("n0", "n1", "c").alias("v"))
+
+def totals_of(words: DataFrame, pairs: DataFrame) -> tuple[list[int], list[int]]:
+    """Sums over all words and over all pairs, by class: n, things seen once, twice, at all, contexts not seen; and all contexts."""
 
     def totals(rows: DataFrame, kind: int) -> DataFrame:
         cells = [f(F.col(f"n{c}")) for f in (lambda n: F.sum(n), lambda n: F.count_if(n == 1), lambda n: F.count_if(n == 2), lambda n: F.count_if(n > 0)) for c in (0, 1)]
         cells += [F.sum(F.when(F.col(f"n{c}") == 0, F.col("c")).otherwise(0)) for c in (0, 1)] + [F.sum("c")]
-        return rows.agg(F.array(*[F.coalesce(x.cast("long"), F.lit(0).cast("long")) for x in cells]).alias("v")).select(F.lit(kind).alias("kind"), F.lit(0).cast("long").alias("key"), "v")
+        return rows.agg(F.array(*[F.coalesce(x.cast("long"), F.lit(0).cast("long")) for x in cells]).alias("v")).select(F.lit(kind).alias("kind"), "v")
+
+    got = {r.kind: r.v for r in totals(words, 1).unionByName(totals(pairs.withColumn("c", F.lit(1).cast("long")), 2)).collect()}
+    return got[1], got[2]
+
+
+def surprising(n0: Column, n1: Column, share: Column) -> Column:
+    """``surprise`` at or above its limit, as a column; a little below it too, as ``build`` decides."""
+
+    def part(x: Column, r: Column) -> Column:
+        return F.when(x > 0, x * F.log(x / F.greatest((n0 + n1) * r, F.lit(1e-12)))).otherwise(0.0)
+
+    return 2 * (part(n1, share) + part(n0, 1 - share)) >= SURPRISE * 0.999
 
-    paired = pairs.withColumn("c", F.lit(1).cast("long"))
-    return top(words, MIN_WORD, MAX_WORDS, 1).unionByName(top(paired, MIN_PAIR, MAX_PAIRS, 2)).unionByName(totals(words, 3)).unionByName(totals(paired, 4))
+
+def evidence(words: DataFrame, pairs: DataFrame, totals: dict[str, np.ndarray], types: float) -> tuple[np.ndarray, np.ndarray]:
+    """The word rows and pair rows of ``build`` that are not pooled, and the words of those pairs."""
+    tokens = [float(x) for x in totals["tokens"]]
+    share = F.lit(tokens[1] / sum(tokens))
+    apart = surprising(F.col("n0"), F.col("n1"), share)
+    known = words.where(F.col("n0") + F.col("n1") >= MIN_WORD).withColumn("apart", apart)
+    for c in (0, 1):
+        d = float(discount(totals["ones"][c], totals["twos"][c]))
+        own = (F.greatest(F.col(f"n{c}") - d, F.lit(0.0)) + d * float(totals["types"][c]) / max(types, 1) * F.col("c")) / tokens[c]
+        known = known.withColumn(f"p{c}", F.when(F.col("apart"), own).otherwise((F.col("n0") + F.col("n1")) / sum(tokens)))
+    known = materialize(known, "toxic-words")
+    v, w = (known.select(*(F.col(x).alias(f"{x}{k}") for x in known.columns)) for k in "vw")
+    joined = pairs.withColumn("keyv", F.shiftrightunsigned("key", 32)).withColumn("keyw", F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)))
+    joined = joined.where(F.col("n0") + F.col("n1") >= MIN_PAIR).join(maybe_broadcast(v), "keyv").join(maybe_broadcast(w), "keyw")
+    e0, e1 = F.col("n0v") * F.col("p0w"), F.col("n1v") * F.col("p1w")
+    kept = joined.where(surprising(F.col("n0"), F.col("n1"), e1 / F.greatest(e0 + e1, F.lit(1e-300)))).select("key", "n0", "n1", *(f"{x}{k}" for k in "vw" for x in ("key", "n0", "n1", "c")))
+
+    def columns(table: pa.Table) -> np.ndarray:
+        return np.column_stack([x.to_numpy().astype(np.int64) for x in table.columns]) if len(table) else np.zeros((0, table.num_columns), np.int64)
+
+    single, pair = columns(known.where("apart").select("key", "n0", "n1", "c").toArrow()), columns(kept.toArrow())
+    return np.unique(np.concatenate([single, pair[:, 3:7], pair[:, 7:11]]), axis=0), pair[:, :3]
 
 
 def learn(docs: DataFrame, labels: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on the labelled documents whose id passes ``trains`` (a condition on the column doc_id). An id with several labels counts as toxic if one is."""
     single_threaded()
     y = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
-    n = y.count()
-    y = F.broadcast(y.where(F.pmod(F.xxhash64("doc_id"), F.lit(HASHES)) < int(min(1.0, MAX_LABELS / max(n, 1)) * HASHES)))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(trains & F.col("text").isNotNull()).join(y, "doc_id")
+    parts = -(-y.count() // BROADCAST_KEYS)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(trains & F.col("text").isNotNull())
     curve = crc_mod("doc_id", 7) == 0
-    got = statistics(count_pairs(rows.where(~curve))).toArrow()
-    kind, key = got["kind"].to_numpy(), got["key"].to_numpy()
-    v = np.array(got["v"].combine_chunks().flatten()).reshape(-1) if len(got) else np.zeros(0, np.int64)
-    ends = np.cumsum([3 if k in (1, 2) else 11 for k in kind.tolist()])
-
-    def rows_of(k: int) -> list[np.ndarray]:
-        return [v[e - (3 if k in (1, 2) else 11) : e] for e in ends[kind == k].tolist()]
-
-    one, two = rows_of(3)[0], rows_of(4)[0]
+    counts = []
+    for k in range(max(parts, 1)):
+        some = y if parts <= 1 else y.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == k)
+        counts.append(materialize(count_pairs(texts.join(F.broadcast(some.where(~curve)), "doc_id")), "toxic-pairs"))
+    counted = counts[0]
+    if len(counts) > 1:
+        counted = materialize(reduce(DataFrame.unionByName, counts).groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "toxic-pairs")
+        release(*counts)
+    one, two = totals_of(words_of(counted), counted)
+    one, two = np.array(one), np.array(two)
     if not one[0] or not one[1]:
         share = labels.agg(F.avg(F.col(label_col).cast("double"))).first()[0] or 0.0
         return Model(shift=float(np.log(share / (1 - share))) if 0 < share < 1 else 30.0 if share else -30.0)
     totals = {"tokens": one[0:2], "ones": one[2:4], "twos": one[4:6], "types": one[6:8], "unseen_contexts": one[8:10], "pair_ones": two[2:4], "pair_twos": two[4:6]}
-    words = np.column_stack([key[kind == 1], np.array(rows_of(1)).reshape(-1, 3)]).astype(np.int64)
-    pairs = np.column_stack([key[kind == 2], np.array(rows_of(2)).reshape(-1, 3)[:, :2]]).astype(np.int64)
+    words, pairs = evidence(words_of(counted), counted, totals, float(one[10]))
+    release(counted)
     model = build(words, pairs, totals, float(one[10]))
-    held = llr(rows.where(curve), model, ("toxic",))
-    xy = held.orderBy(F.xxhash64("doc_id")).limit(CURVE_ROWS).select("llr", "toxic").toArrow()
+    # ids are picked first, so that no texts are shuffled or sent for a sample of bounded size
+    picked = texts.select("doc_id").join(y.where(curve), "doc_id").distinct().orderBy(F.xxhash64("doc_id")).limit(CURVE_ROWS)
+    xy = llr(texts.join(F.broadcast(picked), "doc_id"), model, ("toxic",)).select("llr", "toxic").toArrow()
     x, t = np.maximum(xy["llr"].to_numpy(), 0), xy["toxic"].to_numpy()
     if t.any() and not t.all():
         model.slope, model.shift = fit_curve(x, t)

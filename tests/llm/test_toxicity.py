@@ -71,3 +71,22 @@ def test_pair_evidence_counts():
     tot = {"tokens": table[:, 1:3].sum(0), "types": (table[:, 1:3] > 0).sum(0), "ones": [0, 0], "twos": [0, 0], "pair_ones": [0, 0], "pair_twos": [0, 0]}
     model = toxicity.build(table, pairs, tot, len(pairs))
     assert model.mean_llr(split("it so you are")) > model.mean_llr(split("it so are you"))
+
+
+def test_every_label_counts_in_bounded_passes(spark, monkeypatch):
+    """Counts hold every labelled row, whether its ids fit one broadcast or need several passes."""
+    docs, labels = corpus(400)
+    df = spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    seen = []
+    keep = toxicity.totals_of
+    monkeypatch.setattr(toxicity, "totals_of", lambda words, pairs: seen.append(keep(words, pairs)) or seen[-1])
+    models = []
+    for most in (1_000_000, 150):
+        monkeypatch.setattr(toxicity, "BROADCAST_KEYS", most)
+        models.append(toxicity.learn(df, lab, F.lit(True)))
+    split = toxicity.Words()
+    used = [r.doc_id for r in df.where(crc_mod("doc_id", 7) != 0).collect()]
+    assert seen[0] == seen[1] and sum(seen[0][1][:2]) == sum(len(set(toxicity.pairs_of(split(docs[i][1])).tolist())) for i in used)
+    assert (models[0].words == models[1].words).all() and models[0].slope == pytest.approx(models[1].slope)
+    assert not hasattr(toxicity, "MAX_LABELS") and not hasattr(toxicity, "MAX_WORDS") and not hasattr(toxicity, "MAX_PAIRS")
