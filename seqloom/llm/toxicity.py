@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 from seqloom.llm.common import BROADCAST_KEYS, crc_mod, materialize, maybe_broadcast, release, single_threaded, slices
 
 MIN_WORD = 5
-MIN_PAIR = 50
 CURVE_ROWS = 20_000
 #: Below this likelihood-ratio statistic (one degree of freedom) a difference between the classes counts as chance.
 SURPRISE = 12.0
@@ -217,7 +216,7 @@ def evidence(words: DataFrame, pairs: DataFrame, totals: dict[str, np.ndarray],
     known = materialize(known, "toxic-words")
     v, w = (known.select(*(F.col(x).alias(f"{x}{k}") for x in known.columns)) for k in "vw")
     joined = pairs.withColumn("keyv", F.shiftrightunsigned("key", 32)).withColumn("keyw", F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)))
-    joined = joined.where(F.col("n0") + F.col("n1") >= MIN_PAIR).join(maybe_broadcast(v), "keyv").join(maybe_broadcast(w), "keyw")
+    joined = joined.join(maybe_broadcast(v), "keyv").join(maybe_broadcast(w), "keyw")
     e0, e1 = F.col("n0v") * F.col("p0w"), F.col("n1v") * F.col("p1w")
     kept = joined.where(surprising(F.col("n0"), F.col("n1"), e1 / F.greatest(e0 + e1, F.lit(1e-300)))).select("key", "n0", "n1", *(f"{x}{k}" for k in "vw" for x in ("key", "n0", "n1", "c")))
 

@@ -90,3 +90,26 @@ def test_every_label_counts_in_bounded_passes(spark, monkeypatch):
     assert seen[0] == seen[1] and sum(seen[0][1][:2]) == sum(len(set(toxicity.pairs_of(split(docs[i][1])).tolist())) for i in used)
     assert (models[0].words == models[1].words).all() and models[0].slope == pytest.approx(models[1].slope)
     assert not hasattr(toxicity, "MAX_LABELS") and not hasattr(toxicity, "MAX_WORDS") and not hasattr(toxicity, "MAX_PAIRS")
+
+
+def test_rare_phrase_of_common_words(spark):
+    """A phrase in about ten toxic texts, whose words are common in both classes, raises the score of a text."""
+    rng = np.random.default_rng(8)
+    common = [f"{a}{b}" for a in "bcdfgklmnprt" for b in "aeiou"]
+    docs, labels = [], []
+    for i in range(900):
+        words = list(rng.choice(common, 30))
+        if i % 6 == 0:
+            words[9] = "rude"
+            if i < 72:
+                words[20:22] = ["ba", "ce"]
+        text = " ".join(words) if i < 72 and i % 6 == 0 else " ".join(words).replace("ba ce ", "ba di ")
+        docs.append((i, text))
+        labels.append((i, int(i % 6 == 0)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    model = toxicity.learn(df, spark.createDataFrame(labels, "doc_id long, toxic int"), F.lit(True))
+    split = toxicity.Words()
+    assert model.mean_llr(split("fo ba ce gu")) > max(model.mean_llr(split("fo ce ba gu")), 0) + 0.5
+    ask = spark.createDataFrame([(0, "fo ba ce gu"), (1, "fo ce ba gu")], "doc_id long, text string")
+    got = {x.doc_id: x.score for x in toxicity.score(ask, model).collect()}
+    assert got[0] > got[1]
