@@ -4,7 +4,8 @@ A document leaks an item if it holds a passage within an edit distance of ``EDIT
 in lower case, with white space collapsed). The CGK random walk copies a text into a longer one, stepping on or
 staying by a shared random bit for each place and character, so that texts a few edits apart fall into step again
 after each edit and differ in few places: edit distance becomes Hamming distance. Windows of a document as long as an
-item (items are put into classes by length; a class is embedded up to its shortest item) start at its words. A window
+item (items are put into classes by length; a class is embedded up to its shortest item) start at its words, and every ``STRIDE`` characters in runs without a space that are
+longer than what a window may be off its passage. A window
 meets an item if it agrees with it on the sampled places of one of ``TABLES`` tables, and a bit-parallel
 alignment of the item with the stretch about the window gives the exact distance.
 
@@ -36,6 +37,7 @@ EDITS = 6
 GRAM = 9
 TABLES = 64
 PLACES = 3
+STRIDE = 3
 RATIO = 1.25
 GROUP_BYTES = 16 << 20
 BITS = 21
@@ -48,8 +50,23 @@ def normal(text: str | None) -> str:
 
 
 def chars(text: str) -> np.ndarray:
-    """Characters as bytes; all beyond Latin-1 are one. Only search uses this, distances use the characters."""
-    return np.frombuffer(text.encode("latin-1", "replace"), np.uint8)
+    """Characters as bytes; those beyond Latin-1 share its upper half. Only search uses this, distances use the characters."""
+    try:
+        return np.frombuffer(text.encode("latin-1"), np.uint8)
+    except UnicodeEncodeError:
+        c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        return np.where(c < 256, c, 128 + (c * np.uint32(0x9E3779B1) >> np.uint32(25))).astype(np.uint8)
+
+
+def starts_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where windows may start, and the length of the run that a start lies in; starts of words have more than any run."""
+    first = np.concatenate(([0], np.flatnonzero(x[:-1] == 32) + 1))
+    size = np.diff(np.append(first, len(x) + 1)) - 1
+    more = np.maximum(size - 1, 0) // STRIDE
+    at = np.repeat(first, more) + STRIDE * (np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + 1)
+    every, run = np.concatenate([first, at]), np.concatenate([np.full(len(first), len(x) + 1), np.repeat(size, more)])
+    order = np.argsort(every)
+    return every[order], run[order]
 
 
 def grams(x: np.ndarray) -> np.ndarray:
@@ -186,10 +203,11 @@ class Finder:
             total = np.concatenate(([0], np.cumsum(hit)))
             if self.most_hits(total) < self.least:
                 continue
-            starts = np.concatenate(([0], np.flatnonzero(x[:-1] == 32) + 1))
+            every, run = starts_of(x)
             for c, (walk, _, span, least) in enumerate(self.classes):
                 # a passage may start up to k characters before the word it is seen from
                 lead = edits(walk.length) + 1
+                starts = every[run > lead]
                 a, b = np.clip(starts - lead, 0, len(hit)), np.minimum(starts + span + lead, len(hit))
                 for s in starts[(total[b] - total[np.minimum(a, b)] >= least) & (starts + walk.length // 2 <= len(x))].tolist():
                     windows[c].append((t, text, s))

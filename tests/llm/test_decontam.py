@@ -52,6 +52,18 @@ def test_recall_within_the_limit():
             assert slow_distance(decontam.normal(items[i][1]), decontam.normal(texts[t]))[0] == d
 
 
+@pytest.mark.parametrize("alphabet", ["etaoinshrdlu", "的一是在不了有和人这中大为上个国"])
+def test_runs_without_spaces(alphabet):
+    """Exact items at any place in long runs without a space, spaced items or not, and other text of that kind."""
+    rng = random.Random(9)
+    run = lambda n: "".join(rng.choices(alphabet, k=n))
+    items = [(i, run(rng.randint(90, 400)) if i % 2 else words(rng, 30)) for i in range(30)]
+    finder = decontam.Finder(items)
+    texts = [run(rng.randint(300, 3000)) + t + run(rng.randint(0, 600)) for _, t in items]
+    assert {(t, i, d) for t, i, d, _ in finder.find(texts)} == {(k, k, 0) for k in range(30)}
+    assert finder.find([run(3000) for _ in range(5)]) == []
+
+
 def test_no_false_alarm():
     rng = random.Random(6)
     items = [(i, words(rng, 40)) for i in range(40)]
