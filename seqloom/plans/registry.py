@@ -15,7 +15,7 @@ from seqloom.functions import symbols as S
 from seqloom.operators import factors as O
 from seqloom.operators import search
 from seqloom.operators.running import running_sums
-from seqloom.scratch import shared_path, spread, written
+from seqloom.scratch import bounded_batches, shared_path, spread, written
 from seqloom.sources import factor_files, index
 from seqloom.sources.sequences import HEAD, Collection, from_documents
 from seqloom.streaming import requests as streams
@@ -39,7 +39,11 @@ requests as (select 2 * seq_id + k as req_id, seq_id, (seq_id * 7919 + k * 10472
 
 def query(sql: str | None = None) -> Callable:
     def add(f: Callable[[Collection], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(from_documents(spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            bounded_batches(spark)
+            return f(from_documents(spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))))
+
+        QUERIES[f.__name__] = run
         if sql:
             ORACLE_SQL[f.__name__] = WITH + sql
         return f

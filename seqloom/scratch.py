@@ -1,4 +1,4 @@
-"""Tables in the folder that driver and executors share."""
+"""Tables in the folder that driver and executors share, sizes of broadcasts and of Arrow batches."""
 
 from __future__ import annotations
 
@@ -10,27 +10,61 @@ from pyspark.sql import functions as F
 
 #: Rows of narrow tables that may be broadcast once counted; beyond it joins shuffle.
 BROADCAST_ROWS = 500_000
+#: A row may be a long text or a whole sequence, so Arrow batches are bounded by rows and by bytes.
+BATCH_ROWS = 1000
+BATCH_BYTES = 16 << 20
 
 
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under spark.checkpoint.dir, or a temporary folder in local mode; removed with the driver's JVM."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one in local mode."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         root = f"file://{tempfile.mkdtemp(prefix='seqloom-')}"
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def _place(spark: SparkSession, path: str):
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in the shared folder, removed when the driver's JVM ends."""
+    path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    fs, where = _place(spark, path)
+    fs.deleteOnExit(where)
     return path
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of the shared folder that no later step reads."""
+    fs, where = _place(spark, path)
+    fs.delete(where, True)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """The table, computed once and read from the shared folder."""
+    """The table, computed once and read from the shared folder; ``scratch`` names its place."""
     path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete written tables that no later step reads."""
+    for df in tables:
+        remove(df.sparkSession, df.scratch)
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep the Arrow batches of this session to ``BATCH_ROWS`` rows and ``BATCH_BYTES`` bytes from now on."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:

@@ -29,3 +29,9 @@ def test_nothing_else_imports_the_optional_operators():
 def test_flagship(spark):
     df = entry.entry(spark)
     assert df.columns == ["req_id", "text"]
+
+
+def test_works_where_the_optional_operators_cannot_be_imported(tmp_path):
+    """A missing library of theirs leaves the other queries as they are."""
+    code = "import sys; sys.modules['public_tokenizers'] = None; import __spark_entry__ as e; q = e.queries(); assert 'display_target' in q and 'pipeline' not in q and not any(n.startswith('op') for n in q)"
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
