@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import by_bytes, slices, texts_of
+from seqloom.llm.common import by_bytes, slices, texts_of, utf8_sizes
 from seqloom.llm.tokens import PIECE_CHARS, pieces
 
 #: Fixed value: the split of byte-level BPE, with white space as Unicode has it.
@@ -194,7 +194,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
         bpe = Bpe(tokenizer)
         for batch in slices(batches):
             texts = texts_of(batch, "text")
-            for a, b in by_bytes(map(len, texts), CHUNK_BYTES):
+            for a, b in by_bytes(utf8_sizes(texts), CHUNK_BYTES):
                 ids = bpe.encode(texts[a:b])
                 back = [bpe.decode(x) for x in ids]
                 cols = [batch.column(0).slice(a, b - a), pa.array([len(x) // 4 for x in ids], pa.int64())]

@@ -3,62 +3,19 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.scratch import spread
+from seqloom.scratch import bounded_batches, release, remove, shared_path, spread
+from seqloom.scratch import written as materialize
 
 #: Rows of at most 8-byte keys that may be broadcast; beyond it a shuffle join is used.
 BROADCAST_KEYS = 1_000_000
-BATCH_ROWS = 1000
 
-
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one in local mode."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the whole cluster shares")
-    root = tempfile.mkdtemp(prefix="seqloom-")
-    spark.conf.set("spark.checkpoint.dir", f"file://{root}")
-    return f"file://{root}"
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder, removed when the driver's JVM ends."""
-    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write a table to the shared folder and read it again."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.scratch = path
-    return out
-
-
-def release(*tables: DataFrame) -> None:
-    """Delete materialized tables that no later step reads."""
-    for df in tables:
-        where = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.scratch)
-        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches to ``BATCH_ROWS`` rows from now on in this session, as one row may be a long text."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+__all__ = ["BROADCAST_KEYS", "bounded_batches", "by_bytes", "crc_mod", "materialize", "maybe_broadcast", "release", "remove", "shared_path", "single_threaded", "slices", "small_enough", "spread", "table", "texts_of", "utf8_sizes"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,6 +44,11 @@ def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     return [x or "" for x in batch.column(batch.schema.get_field_index(column)).to_pylist()]
 
 
+def utf8_sizes(texts: Iterable[str]) -> Iterator[int]:
+    """Bytes of each text in UTF-8."""
+    return (len(t) if t.isascii() else len(t.encode()) for t in texts)
+
+
 def by_bytes(sizes: Iterable[int], budget: int) -> Iterator[tuple[int, int]]:
     """Consecutive ranges whose sizes sum to about the budget; one larger item is a range of its own."""
     start = held = 0

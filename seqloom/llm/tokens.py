@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import by_bytes, single_threaded, slices, texts_of
+from seqloom.llm.common import by_bytes, single_threaded, slices, texts_of, utf8_sizes
 
 PIECE_CHARS = 1 << 18
 BATCH_BYTES = 1 << 20
@@ -72,7 +72,7 @@ def lengths(texts: list[str], count: Callable[[list[str]], list[int]], safe: boo
             parts.append(part)
             owner.append(i)
     out = np.zeros(len(texts), dtype=np.int64)
-    for a, b in by_bytes((len(x) for x in parts), BATCH_BYTES):
+    for a, b in by_bytes(utf8_sizes(parts), BATCH_BYTES):
         np.add.at(out, owner[a:b], count(parts[a:b]))
     return out
 

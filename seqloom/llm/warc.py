@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import materialize, scratch_path
+from seqloom.llm.common import materialize, shared_path
 
 LEVEL = 3
 PIECE = 1 << 20
@@ -194,7 +194,7 @@ def read(index: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
 
 def archive(pages: DataFrame, min_bytes: int = 0, folder: str | None = None) -> tuple[DataFrame, str]:
     """Write and normalise; the index table and the folder of the archives."""
-    folder = folder or scratch_path(pages.sparkSession, "warc")
+    folder = folder or shared_path(pages.sparkSession, "warc")
     index = normalise(write(plan(pages, min_bytes), f"{folder}/whole"), f"{folder}/records")
     return materialize(index, "warc-index"), folder
 
