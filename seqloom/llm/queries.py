@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from seqloom.llm import ann, bpe, decontam, html, jaccard, langid, licenses, oracles, tokens, toxicity, warc
 from seqloom.llm.common import crc_mod, table
@@ -35,14 +36,14 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = crc_mod("doc_id", 5) == 0
+    held_out = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"), ~held_out)
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted", "llr")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = crc_mod("doc_id", 4) == 2
+    held_out = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))
     model = langid.learn(docs, ~held_out)
     return langid.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
 

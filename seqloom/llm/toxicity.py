@@ -1,25 +1,41 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two bigram models, of toxic and of ordinary labelled texts, score a text; the difference of the two log-likelihoods
-per word, put through a logistic curve where it is above 0, is the score. Both models use absolute discounting and give what they
-discount to unseen words in proportion to one shared table of continuation counts (in how many different contexts a
-word stands, over both classes). Counts that split between the classes as chance may split them are pooled, so a rare
-expression that one class happens to lack costs nothing. N-grams count once a text. Words below ``MIN_WORD`` texts
-count as one unknown word, equally likely under both.
-
-The n-gram counts come from every labelled row that may be learned from, except one fold, on which the logistic curve is
-fitted (on at most ``CURVE_ROWS`` rows of it). More labelled ids than a broadcast may hold are taken in several passes
-over the documents. Spark sums the counts and compares them between the classes; the driver gets the words and pairs that
-are not pooled, as only these bear on a score, so the model grows with the evidence in the input. Whole
-texts are counted and scored. Null and empty texts get the score of a text without known words. Without labels of both
-classes every text gets the share of toxic labels, or 0 without labels.
+per word, put through a rising logistic curve, is the score. Counts are of texts: an n-gram counts once a text.
+
+Both models back off to one shared Kneser-Ney bigram, from the counts of both classes and with continuation counts (in
+how many different contexts a word stands) below it::
+
+    shared(w | v) = (max(n(vw) - D, 0) + D t(v) N(.w) / N(..)) / n(v)
+
+A class adds to it what it has beyond its part of the shared counts, with an absolute discount, first for words and
+then for pairs::
+
+    p_c(w)     = m_c(w) / N_c + back_c shared(w)               m_c(w)  = max(n_c(w) - e_c(w) - d(e_c(w)), 0)
+    p_c(w | v) = m_c(vw) / n_c(v) + back_c(v) adapted_c(w | v)   m_c(vw) = max(n_c(vw) - e_c(vw) - d(e_c(vw)), 0)
+
+``adapted_c(w | v)`` is shared(w | v) p_c(w) / shared(w), the shared pair with the class's word probability; e_c is the
+class's part of a shared count, by its size for words and in proportion to n_c(v) p_c(w) for pairs; the discount d is ``DISCOUNT``
+texts and ``SPREAD`` standard deviations of how chance deals a shared count to the classes; the weights of backing off, back_c, are what the
+discounts leave over. So a rare expression that stands in a class as often as chance may have it is smoothed by the shared
+counts and tells the classes apart by nothing, and one that a class has in excess counts at any frequency. A word
+outside the counts has the two weights of backing off alone. Nothing is cut off: an n-gram has a term of its own in the log ratio exactly
+if a class has an excess of it, and all others have the terms of their words' weights of backing off.
+
+The counts come from every labelled row that may be learned from, except one fold, on which the logistic curve is
+fitted (on at most ``CURVE_ROWS`` rows of it). Spark makes the terms. The ``HOT`` most frequent terms, a bounded
+number, are broadcast for scoring; texts meet the others, if there are more, through a join on the n-gram, so no task holds a model that grows with the
+input. Words are 32-bit hashes, texts in that join 64-bit ones. Whole texts are counted and scored.
+
+Null and empty texts have the end of a text as their one symbol. Without labels of both classes every text gets the
+share of toxic labels, or 0 without labels. Rows with a null id are scored but not learned from. Rows that share an id
+are scored one by one; an id with several labels counts as toxic if one is.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,19 +43,22 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import BROADCAST_KEYS, crc_mod, materialize, maybe_broadcast, release, single_threaded, slices
+from seqloom.llm.common import crc_mod, materialize, maybe_broadcast, release, single_threaded, slices
 
-MIN_WORD = 5
+DISCOUNT = 1.0
+SPREAD = 3.0
+HOT = 2_000_000
 CURVE_ROWS = 20_000
-#: Below this likelihood-ratio statistic (one degree of freedom) a difference between the classes counts as chance.
-SURPRISE = 12.0
 FLUSH = 1_000_000
 CACHE = 200_000
+EDGE = 1
+#: Places of the filter of terms that are joined; fuller than that it lets more n-grams through to the join.
+FILTER_BITS = 26
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 or b == 39 else 32 for b in range(256))
 
 
 class Words:
-    """Texts to arrays of 32-bit word hashes; 0 stands for the start of a text."""
+    """Texts to arrays of 32-bit word hashes, with the edge of a text in front."""
 
     def __init__(self) -> None:
         self.seen: dict[bytes, int] = {}
@@ -49,94 +68,61 @@ class Words:
         seen = self.seen
         if len(seen) > CACHE:
             seen.clear()
-        out = []
+        out = [EDGE]
         for w in words:
             h = seen.get(w)
             if h is None:
-                h = seen[w] = xxhash.xxh32_intdigest(w) or 1
+                h = seen[w] = max(xxhash.xxh32_intdigest(w), EDGE + 1)
             out.append(h)
-        return np.array(out, np.uint32)
+        return np.array(out, np.uint64)
 
 
 def pairs_of(words: np.ndarray) -> np.ndarray:
-    """Each word with the one before it, as one 64-bit key."""
-    w = words.astype(np.uint64)
-    return ((np.concatenate(([np.uint64(0)], w[:-1])) << np.uint64(32)) | w).view(np.int64) if len(w) else np.zeros(0, np.int64)
+    """Each word with the one behind it, as one 64-bit key; the last meets the edge."""
+    return ((words << np.uint64(32)) | np.append(words[1:], np.uint64(EDGE))).view(np.int64)
 
 
 @dataclass
 class Model:
-    words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint32))  # sorted hashes
-    word_llr: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    word_back: np.ndarray = field(default_factory=lambda: np.zeros(0))  # log ratio of the weights of backing off behind it
-    pairs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # sorted keys
-    pair_more: np.ndarray = field(default_factory=lambda: np.zeros(0))  # what a pair's ratio has over backing off
+    keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # sorted words and pairs
+    terms: np.ndarray = field(default_factory=lambda: np.zeros(0))  # what each adds to the log ratio
+    base: float = 0.0  # what any word adds
     slope: float = 0.0
     shift: float = -30.0
+    rest: DataFrame | None = None  # key, term of the words and pairs that are not among the keys
+    bits: np.ndarray | None = None  # filter of their keys
 
-    def mean_llr(self, words: np.ndarray) -> float:
-        """Toxic minus ordinary log-likelihood, per word."""
-        if not len(words) or not len(self.words):
-            return 0.0
-        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        known = self.words[at] == words
-        # backing off behind a word weighs the same whatever comes next, also a word with one probability in both models
-        total = self.word_llr[at[known]].sum() + self.word_back[at[:-1][known[:-1]]].sum()
-        if len(self.pairs):
-            key = pairs_of(words)[1:][known[:-1] & known[1:]]
-            p = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-            total += self.pair_more[p[self.pairs[p] == key]].sum()
-        return float(total / len(words))
-
-
-def discount(ones: float, twos: float) -> float:
-    """The usual estimate from the numbers of things seen once and twice."""
-    return ones / (ones + 2 * twos) if ones and twos else 0.5
-
-
-def surprise(n: np.ndarray, share: np.ndarray | float) -> np.ndarray:
-    """The likelihood-ratio statistic of counts (n0, n1) against an expected toxic share."""
-    total = n.sum(1)
-    return 2 * sum(np.where(x > 0, x * np.log(np.maximum(x, 1) / np.maximum(total * r, 1e-12)), 0.0) for x, r in ((n[:, 1], share), (n[:, 0], 1 - share)))
-
-
-def build(words: np.ndarray, pairs: np.ndarray, totals: dict[str, np.ndarray], types: float) -> Model:
-    """The model from rows (hash, n0, n1, contexts), rows (key, n0, n1) and, by class, the totals over all rows.
-
-    Counts that split between the classes as chance may split them are pooled: such a word or pair has one
-    probability under both models. That is the first level of the shared backoff; the continuation counts are the last.
-    """
-    words, pairs = words[np.argsort(words[:, 0])], pairs[np.argsort(pairs[:, 0])]
-    h, n, cont = words[:, 0].astype(np.uint32), words[:, 1:3].astype(float), words[:, 3] / max(types, 1)
-    p = np.zeros_like(n)
-    for c in (0, 1):
-        d = discount(totals["ones"][c], totals["twos"][c])
-        p[:, c] = (np.maximum(n[:, c] - d, 0) + d * totals["types"][c] * cont) / totals["tokens"][c]
-    pooled = surprise(n, totals["tokens"][1] / totals["tokens"].sum()) < SURPRISE
-    p[pooled] = (n[pooled].sum(1) / totals["tokens"].sum())[:, None]
-    before, after = pairs[:, 0].view(np.uint64) >> np.uint64(32), pairs[:, 0].view(np.uint64) & np.uint64(0xFFFFFFFF)
-    at_v, at_w = (np.minimum(np.searchsorted(h, x), max(len(h) - 1, 0)) for x in (before, after))
-    known = (h[at_v] == before) & (h[at_w] == after) if len(h) else np.zeros(len(pairs), bool)
-    pairs, v, w = pairs[known], at_v[known], at_w[known]
-    expected = n[v] * p[w]
-    apart = surprise(pairs[:, 1:3].astype(float), expected[:, 1] / np.maximum(expected.sum(1), 1e-300)) >= SURPRISE
-    pairs, v, w = pairs[apart], v[apart], w[apart]
-    back, ratio = np.ones_like(n), np.zeros((len(pairs), 2))
-    for c in (0, 1):
-        d = discount(totals["pair_ones"][c], totals["pair_twos"][c])
-        direct = np.maximum(pairs[:, 1 + c] - d, 0) / np.maximum(n[v, c], 1)
-        left, rest = np.ones(len(h)), np.ones(len(h))
-        np.subtract.at(left, v, direct)
-        np.subtract.at(rest, v, p[w, c])
-        back[:, c] = np.clip(left, 0.01, 1) / np.clip(rest, 0.01, 1)
-        ratio[:, c] = np.where(direct > 0, direct, back[v, c] * p[w, c] * 0.1)
-    llr, back = np.log(p[:, 1] / p[:, 0]), np.log(back[:, 1] / back[:, 0])
-    more = np.log(ratio[:, 1] / ratio[:, 0]) - llr[w] - back[v]
-    return Model(h, llr, back, pairs[:, 0], more)
+    def shared(self) -> tuple:
+        return self.keys, self.terms, self.base, self.bits
+
+
+def looked_up(keys: np.ndarray, terms: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The terms of the asked keys, 0 for others, and which keys are known."""
+    if not len(keys):
+        return np.zeros(len(asked)), np.zeros(len(asked), bool)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    known = keys[at] == asked
+    return np.where(known, terms[at], 0.0), known
+
+
+def place(keys: np.ndarray) -> np.ndarray:
+    """A key's bit in the filter."""
+    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def ratios(texts: list[str | None], split: Words, keys: np.ndarray, terms: np.ndarray, base: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each text the sum of its known terms, and how many symbols it has."""
+    parts = [split(t) for t in texts]
+    if not parts:
+        return np.zeros(0), np.zeros(0)
+    sizes = np.array([len(p) for p in parts])
+    words = np.concatenate(parts)
+    found = looked_up(keys, terms, words.view(np.int64))[0] + looked_up(keys, terms, pairs_of(words))[0]
+    return np.add.reduceat(found, np.cumsum(sizes) - sizes) + base * sizes, sizes
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic curve, by Newton steps with a weak ridge."""
+    """Slope and shift of a rising logistic curve, by Newton steps with a weak ridge."""
     scale = x.std() or 1.0
     a = np.column_stack([x / scale, np.ones(len(x))])
     w = np.zeros(2)
@@ -144,11 +130,11 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
         g = a.T @ (p - y) + 1e-2 * w
         w -= np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + 1e-2 * np.eye(2), g)
-    return float(max(w[0], 0) / scale), float(w[1])
+    return float(max(w[0], 1e-3) / scale), float(w[1])
 
 
 def count_pairs(rows: DataFrame) -> DataFrame:
-    """From (text, toxic): key, n0, n1 of every pair of neighbouring words."""
+    """From (text, toxic): key, n0, n1 of every pair of neighbouring words: in how many texts of each class it stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = Words()
@@ -177,121 +163,166 @@ def count_pairs(rows: DataFrame) -> DataFrame:
     return rows.select("text", "toxic").mapInArrow(run, "key long, n0 int, n1 int").groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def words_of(pairs: DataFrame) -> DataFrame:
-    """From pair counts: key, n0, n1 and the number of contexts of each word."""
-    return pairs.groupBy(F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).alias("key")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.count("*").alias("c"))
-
+def word_counts(pairs: DataFrame) -> DataFrame:
+    """Per word: n0, n1 and contexts as the second of a pair; h0, h1 and types as the first. Every word is both."""
+    sums = lambda k: (F.sum("n0").alias(f"{k}0"), F.sum("n1").alias(f"{k}1"))
+    after = pairs.groupBy(F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).alias("word")).agg(*sums("n"), F.count("*").alias("contexts"))
+    return after.join(pairs.groupBy(F.shiftrightunsigned("key", 32).alias("word")).agg(*sums("h"), F.count("*").alias("types")), "word")
+
+
+def excess(own: Column, both: Column, part: Column) -> Column:
+    """What a class has beyond its part of a shared count, discounted."""
+    return F.greatest(own - both * part - DISCOUNT - SPREAD * F.sqrt(both * part * (1 - part)), F.lit(0.0))
+
+
+def make_terms(pairs: DataFrame) -> tuple[DataFrame, float] | None:
+    """(key, term, n): every word and pair with a term of its own, and the term of any word; nothing without two classes."""
+    t = pairs.agg(*[F.coalesce(F.sum(x).cast("double"), F.lit(0.0)) for x in (F.col("n0"), F.col("n1"), F.lit(1), (F.expr("n0 + n1") == 1).cast("int"), (F.expr("n0 + n1") == 2).cast("int"))]).first()
+    n0, n1, kinds, ones, twos = t
+    if not n0 or not n1:
+        return None
+    d = ones / (ones + 2 * twos) if ones and twos else 0.5
+    total = {0: n0, 1: n1}
+    words = word_counts(pairs).withColumn("n", F.expr("n0 + n1"))
+    words = materialize(words.select("*", *[excess(F.col(f"n{c}"), F.col("n"), F.lit(total[c] / (n0 + n1))).alias(f"m{c}") for c in (0, 1)]), "toxic-words")
+    back = [1 - x / total[c] for c, x in enumerate(words.agg(F.sum("m0"), F.sum("m1")).first())]
+    # p_c(w) / shared(w), the class's factor of a word
+    factor = [(F.col(f"m{c}") / F.lit(total[c]) / (F.col("n") / F.lit(n0 + n1)) + back[c]).alias(f"f{c}") for c in (0, 1)]
+    second = words.select(F.col("word").alias("w"), "contexts", *factor)
+    first = words.select(F.col("word").alias("v"), "h0", "h1", "types")
+    # a pair below the discount in both classes cannot exceed it
+    rows = pairs.where(F.greatest("n0", "n1") > DISCOUNT).withColumn("n", F.expr("n0 + n1"))
+    rows = rows.withColumn("v", F.shiftrightunsigned("key", 32)).withColumn("w", F.col("key").bitwiseAND(F.lit(0xFFFFFFFF))).join(first, "v").join(second, "w")
+    part = F.expr("h0 * f0 + h1 * f1")
+    rows = rows.select("*", *[excess(F.col(f"n{c}"), F.col("n"), F.col(f"h{c}") * F.col(f"f{c}") / part).alias(f"m{c}") for c in (0, 1)])
+    rows = materialize(rows.where("m0 > 0 or m1 > 0"), "toxic-excess")
+    left = rows.groupBy("v").agg(*[(1 - F.sum(f"m{c}") / F.greatest(F.max(f"h{c}"), F.lit(1))).alias(f"b{c}") for c in (0, 1)])
+    shared = (F.greatest(F.col("n") - d, F.lit(0.0)) + d * F.col("types") * F.col("contexts") / kinds) / F.expr("h0 + h1")
+    p = [F.col(f"m{c}") / F.greatest(F.col(f"h{c}"), F.lit(1)) + F.col(f"b{c}") * shared * F.col(f"f{c}") for c in (0, 1)]
+    of_pairs = rows.join(left, "v").select("key", (F.log(p[1] / p[0]) - F.expr("ln(f1 / f0) + ln(b1 / b0)")).alias("term"), "n")
+    base = float(np.log(back[1] / back[0]))
+    weights = words.join(left.withColumnRenamed("v", "word"), "word", "left").where("m0 > 0 or m1 > 0 or b0 is not null").select("word", "n", *factor, *[F.coalesce(f"b{c}", F.lit(1.0)).alias(f"b{c}") for c in (0, 1)])
+    of_words = weights.select(F.col("word").alias("key"), (F.expr("ln(f1 / f0) + ln(b1 / b0)") - base).alias("term"), "n")
+    terms = materialize(of_words.unionByName(of_pairs), "toxic-terms")
+    release(words, rows)
+    return terms, base
+
+
+def model_of(terms: DataFrame, base: float) -> Model:
+    """The most frequent terms, at most ``HOT``, as arrays; the others, if any, as a table with a filter of its keys."""
+    rest = bits = None
+    hot = terms
+    if terms.count() > HOT:
+        step = F.floor(F.log2("n") * 8).alias("step")
+        least, held = 0, 0
+        for r in sorted(terms.groupBy(step).count().collect(), reverse=True):
+            held += r[1]
+            if held > HOT:
+                least = r[0] + 1
+                break
+        hot, rest = terms.where(F.floor(F.log2("n") * 8) >= least), terms.where(F.floor(F.log2("n") * 8) < least).select("key", "term")
+        bits = key_filter(rest)
+    got = hot.select("key", "term").toArrow()
+    keys, values = got["key"].to_numpy(), got["term"].to_numpy()
+    order = np.argsort(keys)
+    return Model(keys[order], values[order], base, rest=rest, bits=bits)
+
+
+def key_filter(rows: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size with a set bit for each key."""
 
-def totals_of(words: DataFrame, pairs: DataFrame) -> tuple[list[int], list[int]]:
-    """Sums over all words and over all pairs, by class: n, things seen once, twice, at all, contexts not seen; and all contexts."""
-
-    def totals(rows: DataFrame, kind: int) -> DataFrame:
-        cells = [f(F.col(f"n{c}")) for f in (lambda n: F.sum(n), lambda n: F.count_if(n == 1), lambda n: F.count_if(n == 2), lambda n: F.count_if(n > 0)) for c in (0, 1)]
-        cells += [F.sum(F.when(F.col(f"n{c}") == 0, F.col("c")).otherwise(0)) for c in (0, 1)] + [F.sum("c")]
-        return rows.agg(F.array(*[F.coalesce(x.cast("long"), F.lit(0).cast("long")) for x in cells]).alias("v")).select(F.lit(kind).alias("kind"), "v")
-
-    got = {r.kind: r.v for r in totals(words, 1).unionByName(totals(pairs.withColumn("c", F.lit(1).cast("long")), 2)).collect()}
-    return got[1], got[2]
-
-
-def surprising(n0: Column, n1: Column, share: Column) -> Column:
-    """``surprise`` at or above its limit, as a column; a little below it too, as ``build`` decides."""
-
-    def part(x: Column, r: Column) -> Column:
-        return F.when(x > 0, x * F.log(x / F.greatest((n0 + n1) * r, F.lit(1e-12)))).otherwise(0.0)
-
-    return 2 * (part(n1, share) + part(n0, 1 - share)) >= SURPRISE * 0.999
-
-
-def evidence(words: DataFrame, pairs: DataFrame, totals: dict[str, np.ndarray], types: float) -> tuple[np.ndarray, np.ndarray]:
-    """The word rows and pair rows of ``build`` that are not pooled, and the words of those pairs."""
-    tokens = [float(x) for x in totals["tokens"]]
-    share = F.lit(tokens[1] / sum(tokens))
-    apart = surprising(F.col("n0"), F.col("n1"), share)
-    known = words.where(F.col("n0") + F.col("n1") >= MIN_WORD).withColumn("apart", apart)
-    for c in (0, 1):
-        d = float(discount(totals["ones"][c], totals["twos"][c]))
-        own = (F.greatest(F.col(f"n{c}") - d, F.lit(0.0)) + d * float(totals["types"][c]) / max(types, 1) * F.col("c")) / tokens[c]
-        known = known.withColumn(f"p{c}", F.when(F.col("apart"), own).otherwise((F.col("n0") + F.col("n1")) / sum(tokens)))
-    known = materialize(known, "toxic-words")
-    v, w = (known.select(*(F.col(x).alias(f"{x}{k}") for x in known.columns)) for k in "vw")
-    joined = pairs.withColumn("keyv", F.shiftrightunsigned("key", 32)).withColumn("keyw", F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)))
-    joined = joined.join(maybe_broadcast(v), "keyv").join(maybe_broadcast(w), "keyw")
-    e0, e1 = F.col("n0v") * F.col("p0w"), F.col("n1v") * F.col("p1w")
-    kept = joined.where(surprising(F.col("n0"), F.col("n1"), e1 / F.greatest(e0 + e1, F.lit(1e-300)))).select("key", "n0", "n1", *(f"{x}{k}" for k in "vw" for x in ("key", "n0", "n1", "c")))
-
-    def columns(table: pa.Table) -> np.ndarray:
-        return np.column_stack([x.to_numpy().astype(np.int64) for x in table.columns]) if len(table) else np.zeros((0, table.num_columns), np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = place(batch.column(0).to_numpy())
+            word, inverse = np.unique(at >> 6, return_inverse=True)
+            bits = np.zeros(len(word), np.uint64)
+            np.bitwise_or.at(bits, inverse, np.uint64(1) << (at & 63).astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bits.view(np.int64))], ["word", "bits"])
 
-    single, pair = columns(known.where("apart").select("key", "n0", "n1", "c").toArrow()), columns(kept.toArrow())
-    return np.unique(np.concatenate([single, pair[:, 3:7], pair[:, 7:11]]), axis=0), pair[:, :3]
+    got = rows.select("key").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    out[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
+    return out
 
 
 def learn(docs: DataFrame, labels: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fit on the labelled documents whose id passes ``trains`` (a condition on the column doc_id). An id with several labels counts as toxic if one is."""
+    """Fit on the labelled documents whose id passes ``trains`` (a condition on the column doc_id)."""
     single_threaded()
-    y = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
-    parts = -(-y.count() // BROADCAST_KEYS)
+    y = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic")).where("doc_id is not null")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(trains & F.col("text").isNotNull())
     curve = crc_mod("doc_id", 7) == 0
-    counts = []
-    for k in range(max(parts, 1)):
-        some = y if parts <= 1 else y.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == k)
-        counts.append(materialize(count_pairs(texts.join(F.broadcast(some.where(~curve)), "doc_id")), "toxic-pairs"))
-    counted = counts[0]
-    if len(counts) > 1:
-        counted = materialize(reduce(DataFrame.unionByName, counts).groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "toxic-pairs")
-        release(*counts)
-    one, two = totals_of(words_of(counted), counted)
-    one, two = np.array(one), np.array(two)
-    if not one[0] or not one[1]:
+    pairs = materialize(count_pairs(texts.join(maybe_broadcast(y.where(~curve)), "doc_id")), "toxic-pairs")
+    made = make_terms(pairs)
+    release(pairs)
+    if made is None:
         share = labels.agg(F.avg(F.col(label_col).cast("double"))).first()[0] or 0.0
         return Model(shift=float(np.log(share / (1 - share))) if 0 < share < 1 else 30.0 if share else -30.0)
-    totals = {"tokens": one[0:2], "ones": one[2:4], "twos": one[4:6], "types": one[6:8], "unseen_contexts": one[8:10], "pair_ones": two[2:4], "pair_twos": two[4:6]}
-    words, pairs = evidence(words_of(counted), counted, totals, float(one[10]))
-    release(counted)
-    model = build(words, pairs, totals, float(one[10]))
+    model = model_of(*made)
     # ids are picked first, so that no texts are shuffled or sent for a sample of bounded size
-    picked = texts.select("doc_id").join(y.where(curve), "doc_id").distinct().orderBy(F.xxhash64("doc_id")).limit(CURVE_ROWS)
+    picked = texts.select("doc_id").join(maybe_broadcast(y.where(curve)), "doc_id").distinct().orderBy(F.xxhash64("doc_id")).limit(CURVE_ROWS)
     xy = llr(texts.join(F.broadcast(picked), "doc_id"), model, ("toxic",)).select("llr", "toxic").toArrow()
-    x, t = np.maximum(xy["llr"].to_numpy(), 0), xy["toxic"].to_numpy()
+    x, t = xy["llr"].to_numpy(), xy["toxic"].to_numpy()
     if t.any() and not t.all():
         model.slope, model.shift = fit_curve(x, t)
     else:
-        share = one[1] / one[:2].sum()
-        model.slope, model.shift = 30.0, float(np.log(share / (1 - share)))
+        model.slope, model.shift = 30.0, 0.0
     return model
 
 
 def llr(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the kept integer columns, and the likelihood ratio per word."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """doc_id, the kept integer columns, and the log ratio per symbol; ``t``, a hash of the text, where terms are joined."""
+    shared = docs.sparkSession.sparkContext.broadcast(model.shared())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, m = Words(), shared.value
+        split = Words()
+        keys, terms, base, _ = shared.value
         for batch in slices(batches):
-            x = [m.mean_llr(split(t)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(x, pa.float64())], ["doc_id", *keep, "llr"])
+            total, size = ratios(batch.column(2).to_pylist(), split, keys, terms, base)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *batch.columns[3:], pa.array(total), pa.array(size.astype(float))], ["doc_id", "t", *keep, "total", "size"])
 
-    return docs.select("doc_id", "text", *keep).mapInArrow(run, "doc_id long, " + "".join(f"{k} int, " for k in keep) + "llr double")
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = Words()
+        keys, terms, _, bits = shared.value
+        for batch in slices(batches):
+            for t, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = split(text)
+                asked, times = np.unique(np.concatenate([words.view(np.int64), pairs_of(words)]), return_counts=True)
+                at = place(asked)
+                open_ = ~looked_up(keys, terms, asked)[1] & ((bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)
+                asked, times = asked[open_], times[open_]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(asked), t, np.int64)), pa.array(asked), pa.array(times)], ["t", "key", "times"])
+
+    texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), "text", *keep)
+    kinds = "doc_id long, t long, " + "".join(f"{k} int, " for k in keep) + "total double, size double"
+    rows = texts.mapInArrow(run, kinds)
+    if model.rest is not None:
+        # equal texts ask the same; a key's rows lie together after the join, so they are counted once there
+        asked = texts.select("t", "text").mapInArrow(ask, "t long, key long, times long").join(model.rest, "key").dropDuplicates(["key", "t"])
+        rows = rows.join(asked.groupBy("t").agg(F.sum(F.col("times") * F.col("term")).alias("more")), "t", "left").withColumn("total", F.expr("total + coalesce(more, 0.0)"))
+    return rows.select("doc_id", "t", *keep, (F.col("total") / F.col("size")).alias("llr"))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, score from 0 to 1, predicted (1 from 0.5 on), and the likelihood ratio per word."""
+    """Per row: id, score from 0 to 1, predicted (1 from 0.5 on), and the log ratio per symbol."""
     rows = llr(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), model)
-    bent = F.lit(model.slope) * F.greatest(F.col("llr"), F.lit(0.0)) + F.lit(model.shift)
+    bent = F.lit(model.slope) * F.col("llr") + F.lit(model.shift)
     out = rows.withColumn("score", 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), bent)))))
     return out.select(F.col("doc_id").alias(id_col), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "llr")
 
 
 def clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with all their columns."""
-    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+    if model.rest is not None:
+        scored = llr(docs.select(F.lit(0).cast("long").alias("doc_id"), F.col(text_col).alias("text")), model)
+        toxic = materialize(scored.where(F.lit(model.slope) * F.col("llr") + F.lit(model.shift) >= 0).select(F.col("t").alias("_t")).distinct(), "toxic-texts")
+        return docs.withColumn("_t", F.xxhash64(F.coalesce(text_col, F.lit("")))).join(maybe_broadcast(toxic), "_t", "left_anti").select(*docs.columns)
+    shared, at = docs.sparkSession.sparkContext.broadcast((*model.shared()[:3], model.slope, model.shift)), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, m = Words(), shared.value
+        split = Words()
+        keys, terms, base, slope, shift = shared.value
         for batch in slices(batches):
-            x = np.array([m.mean_llr(split(t)) for t in batch.column(at).to_pylist()])
-            yield batch.filter(pa.array(m.slope * np.maximum(x, 0) + m.shift < 0))
+            total, size = ratios(batch.column(at).to_pylist(), split, keys, terms, base)
+            yield batch.filter(pa.array(slope * (total / size) + shift < 0))
 
     return docs.mapInArrow(run, docs.schema)
