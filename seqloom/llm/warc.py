@@ -2,13 +2,17 @@
 
 ``write`` makes archives as careless tools do, one gzip stream over a whole file. ``normalise`` inflates such a stream
 once, in pieces, rewrites every record as a gzip member of its own and writes a sidecar index (offset, length, record
-id) beside the archive. ``read`` fetches single members by their offsets. Files go to the folder that the cluster
-shares, under a temporary name first and then moved, so that a task which runs again after a lost executor replaces
-them as a whole.
+id) beside the archive. ``read`` fetches single members by their offsets, in tasks of about equal bytes. A stream that ends
+early, within a record or between two, is an error.
+
+Files go to the folder that the cluster shares, each attempt of a task to files of its own, under a temporary name first and then moved, and the
+index names the files of the attempt that counts; so a task that runs again, or twice at once, disturbs nothing. Files of
+attempts that do not count are named by no index.
 
 Of records with equal payloads of at least ``min_bytes`` bytes the one with the smallest page id is a response and the
-others are revisits that refer to it. Null html is an empty payload; rows that share the smallest id are all responses.
-The rows of one payload are found by a sort-merge join on its digest, whose large partitions Spark splits.
+others are revisits that refer to it. Null html is an empty payload; rows that share the smallest id are all responses, and so are
+rows without an id. The digests that occur more than once are broadcast if a count bounds them; beyond it a sort-merge join on the
+digest follows, whose large partitions Spark splits.
 """
 
 from __future__ import annotations
@@ -26,10 +30,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import materialize, shared_path
+from seqloom.llm.common import materialize, maybe_broadcast, remove, shared_path
 
 LEVEL = 3
 PIECE = 1 << 20
+#: Compressed bytes that lie together in a reading task, and that a task reads in all.
+RUN_BYTES = 4 << 20
+TASK_BYTES = 64 << 20
 DATE = "2024-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
@@ -38,10 +45,10 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload, usedforsecurity=False).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, first: int | None) -> bytes:
-    """One record; ``first`` is the page that a revisit refers to."""
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, first: int | None, place: str = "") -> bytes:
+    """One record; ``first`` is the page that a revisit refers to. Its id follows from what it holds and its place."""
     body = HTTP if first is not None else HTTP + payload
-    head = ["WARC/1.1", f"WARC-Type: {'response' if first is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}:{uuid.uuid4()}>", f"WARC-Date: {DATE}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if first is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url} {digest} {place}')}>", f"WARC-Date: {DATE}"]
     if url is not None:
         head.append(f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=%~\'')}")
     if first is not None:
@@ -77,15 +84,21 @@ def records(stream: Iterator[bytes]) -> Iterator[bytes]:
 
 
 def inflated(source) -> Iterator[bytes]:
-    """Pieces of a gzip file's content, of one member or many."""
+    """Pieces of a gzip file's content, of one member or many; a member that does not end is an error."""
     unzip = zlib.decompressobj(31)
+    fresh = True
     while piece := source.read(PIECE):
         while piece:
-            yield unzip.decompress(piece, PIECE)
-            piece = unzip.unconsumed_tail or unzip.unused_data
-            if unzip.eof and piece:
+            if unzip.eof:
                 unzip = zlib.decompressobj(31)
-    yield unzip.flush()
+            fresh = False
+            yield unzip.decompress(piece, PIECE)
+            piece = unzip.unused_data if unzip.eof else unzip.unconsumed_tail
+    # what is left when all input is in
+    while not unzip.eof and (piece := unzip.decompress(b"", PIECE)):
+        yield piece
+    if not fresh and not unzip.eof:
+        raise ValueError("the gzip stream ends early")
 
 
 class Target:
@@ -108,8 +121,8 @@ def plan(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", url_col:
     """page_id, url, html and ``first``: the page that a revisit refers to, null for a response."""
     p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     p = p.withColumn("size", F.octet_length("html").cast("long")).withColumn("sha", F.unhex(F.sha1("html")))
-    lead = p.where(F.col("size") >= min_bytes).groupBy("sha", "size").agg(F.min("page_id").alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = p.join(lead, ["sha", "size"], "left")
+    lead = p.where(F.col("size") >= min_bytes).groupBy("sha", "size").agg(F.min("page_id").alias("lead"), F.count("*").alias("n")).where("n > 1 and lead is not null").drop("n")
+    joined = p.join(maybe_broadcast(materialize(lead, "warc-lead")), ["sha", "size"], "left")
     return joined.select("page_id", "url", "html", F.when(F.col("lead") < F.col("page_id"), F.col("lead")).alias("first"))
 
 
@@ -121,13 +134,14 @@ def write(planned: DataFrame, folder: str) -> DataFrame:
         fs.create_dir(base, recursive=True)
         target = zipper = None
         count = 0
-        path = f"{base}/whole-{TaskContext.get().partitionId():06d}.warc.gz"
+        task = TaskContext.get()
+        path = f"{base}/whole-{task.partitionId():06d}-{task.taskAttemptId()}.warc.gz"
         for batch in batches:
             for page_id, url, html, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if target is None:
                     target, zipper = Target(fs, path), zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
                 payload = html.encode()
-                target.write(zipper.compress(record(page_id, url, payload, base32_sha1(payload), first)))
+                target.write(zipper.compress(record(page_id, url, payload, base32_sha1(payload), first, f"{task.partitionId()} {count}")))
                 count += 1
         if target is not None:
             target.write(zipper.flush())
@@ -137,15 +151,18 @@ def write(planned: DataFrame, folder: str) -> DataFrame:
     return planned.mapInArrow(run, "path string, records long")
 
 
-def normalise(files: DataFrame, folder: str) -> DataFrame:
-    """Rewrite each file record by record; the index rows: path, offset, length, record id. Sidecars hold the same."""
+def normalise(files: DataFrame, folder: str, consume: bool = False) -> DataFrame:
+    """Rewrite each file record by record; the index rows: path, offset, length, record id. Sidecars hold the same.
+
+    With ``consume`` a file is deleted once it is rewritten, for files that the same task has written.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                name = f"{base}/{path.rsplit('/', 1)[1].replace('whole-', 'records-')}"
+                name = f"{base}/{path.rsplit('/', 1)[1].replace('whole-', 'records-').removesuffix('.warc.gz')}-{TaskContext.get().taskAttemptId()}.warc.gz"
                 target, index = Target(fs, name), []
                 with fs.open_input_stream(path, compression=None) as source:
                     for rec in records(inflated(source)):
@@ -157,6 +174,8 @@ def normalise(files: DataFrame, folder: str) -> DataFrame:
                 side = Target(fs, name.replace(".warc.gz", ".idx"))
                 side.write("".join(f"{o}\t{n}\t{r}\n" for o, n, r in index).encode())
                 side.close()
+                if consume:
+                    fs.delete_file(path)
                 yield pa.RecordBatch.from_pydict({"path": [name] * len(index), "offset": [x[0] for x in index], "length": [x[1] for x in index], "record_id": [x[2] for x in index]}, schema=pa.schema([("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("record_id", pa.string())]))
 
     return files.mapInArrow(run, "path string, offset long, length long, record_id string")
@@ -195,11 +214,20 @@ def read(index: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
 def archive(pages: DataFrame, min_bytes: int = 0, folder: str | None = None) -> tuple[DataFrame, str]:
     """Write and normalise; the index table and the folder of the archives."""
     folder = folder or shared_path(pages.sparkSession, "warc")
-    index = normalise(write(plan(pages, min_bytes), f"{folder}/whole"), f"{folder}/records")
-    return materialize(index, "warc-index"), folder
+    index = materialize(normalise(write(plan(pages, min_bytes), f"{folder}/whole"), f"{folder}/records", consume=True), "warc-index")
+    remove(pages.sparkSession, f"{folder}/whole")
+    return index, folder
+
+
+def dealt(index: DataFrame) -> DataFrame:
+    """The index in tasks of about equal bytes, each reading runs of neighbouring records."""
+    total = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+    run = F.floor(F.col("offset") / min(RUN_BYTES, max(total // (8 * tasks), 1)))
+    return index.repartition(tasks, "path", run).sortWithinPartitions("path", "offset")
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0, payloads: bool = False) -> DataFrame:
     """What the archives of a table say of each of its pages."""
     index, folder = archive(pages, min_bytes)
-    return read(index.repartitionByRange("path", "offset").sortWithinPartitions("path", "offset"), folder, payloads)
+    return read(dealt(index), folder, payloads)

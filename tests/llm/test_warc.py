@@ -1,6 +1,8 @@
 import gzip
 import io
+import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import pytest
 
@@ -45,6 +47,31 @@ def test_normaliser_reads_one_stream_or_many():
         list(warc.records(iter([recs[5][:-1]])))
 
 
+def test_a_stream_that_ends_early_is_an_error():
+    """Also one that is cut where a record ends, so that no record is broken."""
+    recs = [warc.record(i, "u", bytes([i]) * 200_000, "D", None) for i in range(8)]
+    zipper = zlib.compressobj(3, zlib.DEFLATED, 31)
+    cut = b"".join(zipper.compress(r) + zipper.flush(zlib.Z_FULL_FLUSH) for r in recs[:5])
+    with pytest.raises(ValueError, match="ends early"):
+        list(warc.records(warc.inflated(io.BytesIO(cut))))
+    assert list(warc.records(warc.inflated(io.BytesIO(gzip.compress(b""))))) == [] == list(warc.records(warc.inflated(io.BytesIO(b""))))
+
+
+def test_records_repeat_themselves(spark):
+    """Records have ids of their own, and the same ones when a task writes them again."""
+    assert warc.record(1, "u", b"x", "D", None, "0 1") == warc.record(1, "u", b"x", "D", None, "0 1") != warc.record(1, "u", b"x", "D", None, "0 2")
+    index, folder = warc.archive(spark.createDataFrame(ROWS, "page_id long, url string, html string").coalesce(1))
+    ids = [r.record_id for r in index.collect()]
+    assert len(set(ids)) == len(ids) == len(ROWS) and not Path(folder.removeprefix("file://"), "whole").exists()
+    many = warc.dealt(index)
+    assert many.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and many.count() == len(ROWS)
+
+
+def test_null_ids_are_responses(spark):
+    got = warc.round_trip(spark.createDataFrame([(None, "u", "same"), (2, "v", "same"), (None, "w", "own")], "page_id long, url string, html string")).collect()
+    assert sorted((str(r.page_id), r.record_type) for r in got) == [("2", "response"), ("None", "response"), ("None", "response")]
+
+
 def test_members_stand_alone(spark):
     df = spark.createDataFrame(ROWS, "page_id long, url string, html string")
     index, folder = warc.archive(df)
