@@ -1,32 +1,37 @@
 """License scans: MinHash bands over overlapping windows retrieve templates, exact shingle containment decides.
 
-Only DataFrame functions run on the main path. Texts become lower-case words of letters and digits. Only texts that
+Only DataFrame functions run on the main path. Texts become words of letters and digits, with A-Z lowered. Only texts that
 hold an anchor word are cut into windows; the anchors of the templates are chosen so that a text without any of them
 lacks more than a fifth of each template's shingles, so nothing that could match is passed over, and windows without an
-anchor are left out for the same reason. Templates fall into classes by length; windows are as long as the class's
+anchor are left out for the same reason. Templates fall into classes of like length; windows are as long as the class's
 longest template with a fifth to spare, and start so often that each such stretch lies within one of them. A window
-is compared with the templates that agree with it in one of ``BANDS`` MinHash values of five-word shingles: for a
-window that contains the share c of a template's shingles at Jaccard similarity j the chance to be retrieved is
-1 - (1 - j)^BANDS, over 0.999 at the least j that occurs (1/11; every shingle's own hash is kept as a band too for
-templates of a few shingles, which makes it certain for them). Then the share of the template's shingles in the
+is compared with the templates of its class that agree with it in one of the MinHash values of their five-word shingles. A
+window that holds ``CONTAINED`` of a template's shingles has at least the Jaccard similarity j with it that follows from the sizes
+of its class, and the class has as many bands as make 1 - (1 - j)^bands at least 1 - ``MISSED``. Then the share of the template's shingles in the
 window is counted exactly; from ``CONTAINED`` on the text has that license.
 
 Null and empty texts match nothing. A template shorter than five words is one shingle of all its words. One row comes
-out for each id and license; repeated ids count as one.
+out for each id and license; repeated ids count as one, rows with a null id as one more.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.llm.common import maybe_broadcast
+
 SHINGLE = 5
 CONTAINED = 0.8
-BANDS = 80
-CLASSES = (16, 64, 256)
+MISSED = 1e-6
+#: The longest template of a class is at most so many times as long as its shortest.
+RATIO = 1.3
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: License notices as they stand in texts.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -48,21 +53,60 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0 Universal."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 )
 
 
 def words_of(text: str) -> list[str]:
-    return re.findall(r"[a-z0-9]+", text.lower())
+    return re.findall(r"[a-z0-9]+", text.translate(str.maketrans(UPPER, LOWER)))
 
 
 def shingles_of(words: list[str]) -> list[str]:
     return sorted({" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))})
 
 
+def least(shingles: int) -> int:
+    """How many shingles of a template make it contained."""
+    return math.ceil(shingles * CONTAINED - 1e-9)
+
+
+@dataclass
+class Class:
+    """Templates of like length, by their place in the list, and the windows and bands for them."""
+
+    members: list[int]
+    step: int
+    span: int
+    bands: int
+
+
+def classes(templates: tuple[tuple[str, str], ...]) -> list[Class]:
+    """The classes by rising length."""
+    lens = [len(words_of(t)) for _, t in templates]
+    rest, out = sorted(range(len(lens)), key=lambda i: lens[i]), []
+    while rest:
+        shortest = lens[rest[0]]
+        members = [i for i in rest if lens[i] <= max(shortest * RATIO, shortest + 1)]
+        rest = rest[len(members) :]
+        longest, step = lens[members[-1]], max(1, shortest // 5)
+        span = longest + -(-longest // 5) + step
+        sizes = [len(shingles_of(words_of(templates[i][1]))) for i in members]
+        similar = min(least(n) / (max(span - SHINGLE + 1, 1) + n - least(n)) for n in sizes)
+        out.append(Class(members, step, span, math.ceil(math.log(MISSED) / math.log1p(-similar)) if similar < 1 else 1))
+    return out
+
+
 def anchors(templates: tuple[tuple[str, str], ...] = TEMPLATES) -> list[str]:
     """Words such that, in every template, those shingles that hold one of them are more than a fifth of all."""
     sets = [shingles_of(words_of(t)) for _, t in templates]
-    common = {"the", "of", "to", "and", "in", "a", "is", "this", "you", "may", "or", "for", "by", "it", "at", "not", "use", "with", "are", "that"}
+    common = {"the", "of", "to", "and", "in", "a", "is", "this", "you", "may", "or", "for", "by", "it", "at", "not", "use", "with", "are", "that", "under", "without", "any", "all", "no", "be", "on"}
     found: list[str] = []
 
     def open_sets() -> list[list[str]]:
@@ -82,42 +126,48 @@ def shingled(words: Column, size: int = SHINGLE) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(words, i, size), " ")))
 
 
-def band_values(hashes: Column) -> Column:
-    """The MinHash values, one row a band."""
-    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, b)))))
+def band_values(hashes: Column, bands: int) -> Column:
+    """The MinHash values, each with its band."""
+    return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, b)))))
 
 
-def template_table(spark, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
-    """template, license, its shingles' hashes, class; a table as long as the list of templates."""
-    rows = [(i, name, shingles_of(words_of(text)), next(k for k, most in enumerate(CLASSES) if len(words_of(text)) <= most)) for i, (name, text) in enumerate(templates)]
-    df = spark.createDataFrame(rows, "template int, license string, shingles array<string>, class int")
-    return df.withColumn("hashes", F.transform("shingles", lambda s: F.xxhash64(s))).drop("shingles")
+def template_table(spark, templates: tuple[tuple[str, str], ...], k: int, own: Class) -> DataFrame:
+    """license, class, the hashes of a template's shingles and the key of each of its bands."""
+    df = spark.createDataFrame([(templates[i][0], shingles_of(words_of(templates[i][1]))) for i in own.members], "license string, shingles array<string>")
+    df = df.select("license", F.lit(k).alias("class"), F.transform("shingles", lambda s: F.xxhash64(s)).alias("wanted"))
+    return df.withColumn("key", F.explode(F.array_distinct(band_values(F.col("wanted"), own.bands))))
 
 
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, license, the best share of a template's shingles, and the word at which the first such window starts."""
+    """id, license, the best share of a template's shingles, and the word at which the first window with a contained one starts."""
     held = anchors(templates)
-    lens = [len(words_of(t)) for _, t in templates]
-    spark = docs.sparkSession
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(text_col).alias("text")).where(F.col("text").rlike("|".join(held)))
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.translate(text_col, UPPER, LOWER).alias("text")).where(F.col("text").rlike("|".join(held)))
     words = picked.select("doc_id", F.filter(F.split("text", "[^a-z0-9]+"), lambda w: w != "").alias("words"))
-    parts = []
-    for k, most in enumerate(CLASSES):
-        own = [n for n in lens if n <= most and (k == 0 or n > CLASSES[k - 1])]
-        if not own:
-            continue
-        step = max(1, min(own) // 2)
-        span = max(own) + -(-max(own) // 5) + step
-        starts = F.sequence(F.lit(1), F.greatest(F.size("words") - (span - step), F.lit(1)), F.lit(step))
-        cut = words.withColumn("start", F.explode(starts)).select("doc_id", "start", F.slice("words", F.col("start"), span).alias("words"), F.lit(k).alias("class"))
-        parts.append(cut.where(F.arrays_overlap("words", F.array(*map(F.lit, held)))))
-    windows = reduce(DataFrame.unionByName, parts)
-    windows = windows.select("doc_id", "start", "class", F.transform(shingled(F.col("words")), lambda s: F.xxhash64(s)).alias("hashes"))
-    keyed = lambda df: F.concat(band_values(df["hashes"]), F.when(F.size(df["hashes"]) <= CLASSES[0] * 2, df["hashes"]).otherwise(F.array()))
-    bands = template_table(spark, templates)
-    bands = bands.select("template", "license", "class", F.col("hashes").alias("wanted"), F.explode(F.array_distinct(keyed(bands))).alias("key"))
-    found = windows.withColumn("key", F.explode(F.array_distinct(keyed(windows)))).join(F.broadcast(bands), ["class", "key"])
+    windows, bands = [], []
+    for k, own in enumerate(classes(templates)):
+        starts = F.sequence(F.lit(1), F.greatest(F.size("words") - (own.span - own.step), F.lit(1)), F.lit(own.step))
+        cut = words.withColumn("start", F.explode(starts)).select("doc_id", "start", F.slice("words", F.col("start"), own.span).alias("words"))
+        cut = cut.where(F.arrays_overlap("words", F.array(*map(F.lit, held)))).select("doc_id", "start", F.transform(shingled(F.col("words")), lambda s: F.xxhash64(s)).alias("hashes"))
+        windows.append(cut.select("doc_id", "start", F.lit(k).alias("class"), "hashes", F.explode(F.array_distinct(band_values(F.col("hashes"), own.bands))).alias("key")))
+        bands.append(template_table(docs.sparkSession, templates, k, own))
+    found = reduce(DataFrame.unionByName, windows).join(maybe_broadcast(reduce(DataFrame.unionByName, bands)), ["class", "key"])
     share = F.size(F.array_intersect("hashes", "wanted")) / F.size("wanted")
     found = found.select("doc_id", "license", "start", share.alias("containment")).where(F.col("containment") >= CONTAINED)
     out = found.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.min("start").cast("long").alias("first_word"))
     return out.withColumnRenamed("doc_id", id_col)
+
+
+def oracle(templates: tuple[tuple[str, str], ...] = TEMPLATES) -> str:
+    """DuckDB SQL for ``scan`` over documents: every shingle of every window against every template, without bands or anchors."""
+    rows = []
+    for own in classes(templates):
+        for i in own.members:
+            shingles = shingles_of(words_of(templates[i][1]))
+            rows += [f"({i}, '{templates[i][0]}', {own.step}, {own.span}, {len(shingles)}, '{x}')" for x in shingles]
+    return f"""with words as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[a-z0-9]+') as w from documents),
+wanted(template, license, step, span, total, shingle) as (values {", ".join(rows)}),
+said as (select doc_id, cast(len(w) as bigint) as n, unnest(range(1, greatest(cast(len(w) as bigint) - {SHINGLE - 2}, 2))) as pos, w from words where len(w) > 0),
+hits as (select distinct s.doc_id, s.n, s.pos, t.* from said s join wanted t on array_to_string(s.w[s.pos:s.pos + {SHINGLE - 1}], ' ') = t.shingle),
+held as (select *, unnest(range(1, greatest(n - (span - step), 1) + 1, step)) as start from hits),
+counted as (select doc_id, license, template, start, total, count(distinct shingle) as k from held where pos >= start and pos + least({SHINGLE - 1}, n - 1) <= start + span - 1 group by all)
+select doc_id, license, max(k / total) as containment, min(start) as first_word from counted where k / total >= {CONTAINED} group by doc_id, license"""

@@ -61,4 +61,4 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_additive_quantisation, op2_token_counts, op3_decontamination, op4_license_scan, op5_jaccard_join, op6_toxicity, op7_language_id, op8_bpe, op9_html_text, op10_warc)}
-ORACLE_SQL: dict[str, str] = {"op5_jaccard_join": oracles.JACCARD, "op10_warc": oracles.WARC}
+ORACLE_SQL: dict[str, str] = {"op5_jaccard_join": oracles.JACCARD, "op10_warc": oracles.WARC, "op4_license_scan": licenses.oracle()}
