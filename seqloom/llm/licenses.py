@@ -18,8 +18,8 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -126,16 +126,17 @@ def shingled(words: Column, size: int = SHINGLE) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(words, i, size), " ")))
 
 
-def band_values(hashes: Column, bands: int) -> Column:
+def band_values(hashes: Column, bands: Column) -> Column:
     """The MinHash values, each with its band."""
-    return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, b)))))
+    return F.transform(F.sequence(F.lit(0), bands - 1), lambda b: F.xxhash64(b, F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, b)))))
 
 
-def template_table(spark, templates: tuple[tuple[str, str], ...], k: int, own: Class) -> DataFrame:
+def template_table(spark, templates: tuple[tuple[str, str], ...], known: list[Class]) -> DataFrame:
     """license, class, the hashes of a template's shingles and the key of each of its bands."""
-    df = spark.createDataFrame([(templates[i][0], shingles_of(words_of(templates[i][1]))) for i in own.members], "license string, shingles array<string>")
-    df = df.select("license", F.lit(k).alias("class"), F.transform("shingles", lambda s: F.xxhash64(s)).alias("wanted"))
-    return df.withColumn("key", F.explode(F.array_distinct(band_values(F.col("wanted"), own.bands))))
+    rows = [(templates[i][0], k, own.bands, shingles_of(words_of(templates[i][1]))) for k, own in enumerate(known) for i in own.members]
+    df = spark.createDataFrame(rows, "license string, class int, bands int, shingles array<string>").coalesce(1)
+    df = df.select("license", "class", "bands", F.transform("shingles", lambda s: F.xxhash64(s)).alias("wanted"))
+    return df.withColumn("key", F.explode(F.array_distinct(band_values(F.col("wanted"), F.col("bands"))))).drop("bands")
 
 
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -143,14 +144,26 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, id
     held = anchors(templates)
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.translate(text_col, UPPER, LOWER).alias("text")).where(F.col("text").rlike("|".join(held)))
     words = picked.select("doc_id", F.filter(F.split("text", "[^a-z0-9]+"), lambda w: w != "").alias("words"))
-    windows, bands = [], []
-    for k, own in enumerate(classes(templates)):
-        starts = F.sequence(F.lit(1), F.greatest(F.size("words") - (own.span - own.step), F.lit(1)), F.lit(own.step))
-        cut = words.withColumn("start", F.explode(starts)).select("doc_id", "start", F.slice("words", F.col("start"), own.span).alias("words"))
-        cut = cut.where(F.arrays_overlap("words", F.array(*map(F.lit, held)))).select("doc_id", "start", F.transform(shingled(F.col("words")), lambda s: F.xxhash64(s)).alias("hashes"))
-        windows.append(cut.select("doc_id", "start", F.lit(k).alias("class"), "hashes", F.explode(F.array_distinct(band_values(F.col("hashes"), own.bands))).alias("key")))
-        bands.append(template_table(docs.sparkSession, templates, k, own))
-    found = reduce(DataFrame.unionByName, windows).join(maybe_broadcast(reduce(DataFrame.unionByName, bands)), ["class", "key"])
+    known = classes(templates)
+    # windows are numbered through all classes; without a lambda the generator and the cut stay in one compiled loop,
+    # in which a text's words are not copied for each window
+    ends, total = [], F.lit(0)
+    for own in known:
+        total = total + F.greatest(F.ceil((F.size("words") - (own.span - own.step)) / own.step), F.lit(1)).cast("int")
+        ends.append(total)
+    numbered = words.select("doc_id", "words", *[e.alias(f"e{k}") for k, e in enumerate(ends)])
+    numbered = numbered.withColumn("i", F.explode(F.sequence(F.lit(0), F.col(f"e{len(known) - 1}") - 1)))
+
+    def of_class(value: Callable) -> Column:
+        """What holds for the class of window i."""
+        return F.coalesce(*[F.when(F.col("i") < F.col(f"e{k}"), value(k)) for k in range(len(known))])
+
+    start = of_class(lambda k: (F.col("i") - (F.col(f"e{k - 1}") if k else 0)) * known[k].step + 1)
+    windows = numbered.select("doc_id", of_class(lambda k: k).alias("class"), start.alias("start"), F.slice("words", start, of_class(lambda k: known[k].span)).alias("words"), of_class(lambda k: known[k].bands).alias("bands"))
+    windows = windows.where(F.arrays_overlap("words", F.array(*map(F.lit, held))))
+    windows = windows.select("doc_id", "class", "start", "bands", F.transform(shingled(F.col("words")), lambda s: F.xxhash64(s)).alias("hashes"))
+    windows = windows.withColumn("key", F.explode(F.array_distinct(band_values(F.col("hashes"), F.col("bands")))))
+    found = windows.join(maybe_broadcast(template_table(docs.sparkSession, templates, known)), ["class", "key"])
     share = F.size(F.array_intersect("hashes", "wanted")) / F.size("wanted")
     found = found.select("doc_id", "license", "start", share.alias("containment")).where(F.col("containment") >= CONTAINED)
     out = found.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.min("start").cast("long").alias("first_word"))
