@@ -50,10 +50,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, sourc
     out: list[str] = []
     if a.command == "compress":
         c = sequences.read_files(spark, a.files)
-        factor_files.encode(factors.parse(c), c.ref, a.encoding == "t", a.short, a.liss).write.mode("overwrite").parquet(a.out)
+        factor_files.write(factor_files.encode(factors.parse(c), c.ref, a.encoding == "t", a.short, a.liss), a.out)
     elif a.command == "decompress":
         ref = sequences.read_files(spark, a.files[:1]).ref
-        sequences.write_texts(factor_files.decode(spark.read.parquet(a.files[1]), ref), a.out)
+        sequences.write_texts(factor_files.decode(factor_files.read(spark, a.files[1]), ref), a.out)
     elif a.command == "index":
         index.write(sequences.read_files(spark, a.files), a.out, a.display_only)
     else:

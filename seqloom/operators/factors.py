@@ -1,7 +1,8 @@
 """Relative parsing of sequences, and what is derived from the factors.
 
 A parsed sequence is one row with arrays of positions, lengths and starts; ``exploded`` gives one row a factor. Parsing
-takes one stage without a shuffle: every worker holds the reference sequence and parses the sequences it reads.
+takes one stage without a shuffle: every worker maps the
+reference sequence and its suffix array and parses the sequences it reads.
 """
 
 from __future__ import annotations
@@ -15,19 +16,22 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import symbols
 from seqloom.operators import kernels
+from seqloom.operators.range_join import range_join
 from seqloom.operators.running import running_sums
+from seqloom.sources import reference
 from seqloom.sources.sequences import Collection
 
 PARSED = "seq_id long, name string, len long, pos array<long>, size array<long>, start array<long>"
 LISTS = pa.list_(pa.int64())
+LEVEL_BLOCK = 4096
 
 
 def parse(c: Collection) -> DataFrame:
     """Every target as factors."""
-    ref = c.spark.sparkContext.broadcast(c.ref)
+    where = reference.stored(c.spark, c.ref)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = kernels.parser(ref.value)
+        p = reference.parser(where)
         for batch in batches:
             found = [p.parse((s or "").encode("ascii")) for s in batch.column(2).to_pylist()]
             starts = [np.concatenate(([0], np.cumsum(k)[:-1])).astype(np.int64) if k else np.zeros(0, np.int64) for _, k in found]
@@ -149,23 +153,28 @@ def restore_rising(chosen: DataFrame, factors: DataFrame) -> DataFrame:
     return rows.withColumn("restored", F.sum(step).over(w) + F.col("seq_start")).select("seq_id", "fac_no", "pos", "restored")
 
 
-def nested_levels(factors: DataFrame, most: int = 2_000_000) -> DataFrame:
+def nested_levels(factors: DataFrame, block: int = LEVEL_BLOCK) -> DataFrame:
     """Levels of the different intervals of the reference sequence, by start and falling length.
 
-    An interval's level depends on those before it only; equal intervals share one. The number of different ones is
-    bounded by the reference sequence, and checked. Search does not need levels; they are a report.
+    An interval's level depends only on those that contain it, and all of these meet the place where it starts. So
+    intervals are copied to every block of positions that they meet, and each block gives the levels of those that start in it.
     """
     spans = factors.where("not is_n and pos is not null").groupBy("pos", "len").agg(F.count("*").alias("n"))
-    if spans.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} different intervals")
+    cut = spans.withColumn("block", F.explode(F.sequence(F.floor(F.col("pos") / block), F.floor((F.col("pos") + F.col("len") - 1) / block))))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("pos", "ascending"), ("len", "descending")])
+        got = kernels.levels(table["pos"].to_pylist(), table["len"].to_pylist())
+        own = pa.array(table["pos"].to_numpy() // block == table["block"].to_numpy())
+        return table.select(["pos", "len", "n"]).append_column("level", pa.array(got, pa.int64())).filter(own)
+
+    return cut.groupBy("block").applyInArrow(run, "pos long, len long, n long, level long")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-        rows.sort(key=lambda r: (r[0], -r[1]))
-        got = kernels.levels([r[0] for r in rows], [r[1] for r in rows])
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)] + [pa.array(got, pa.int64())], ["pos", "len", "n", "level"])
 
-    return spans.coalesce(1).mapInArrow(run, "pos long, len long, n long, level long")
+def in_sequences(places: DataFrame, catalog: DataFrame) -> DataFrame:
+    """From positions in the whole collection (a column ``abs_pos``): the sequence and the position in it, as more columns."""
+    spans = catalog.select("seq_id", F.col("abs_start").alias("_lo"), (F.col("abs_start") + F.col("len")).alias("_hi"))
+    return range_join(places, spans, "abs_pos", "_lo", "_hi", width=1 << 16).select(*places.columns, "seq_id", (F.col("abs_pos") - F.col("_lo")).alias("pos"))
 
 
 def code_strings(factors: DataFrame, ref_len: int) -> DataFrame:

@@ -7,7 +7,7 @@ literal symbol that the reference sequence lacks, as -(byte + 1).
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
 
 import numpy as np
@@ -19,23 +19,47 @@ RUN = re.compile(rb"n+")
 
 
 def suffix_array(text: bytes) -> np.ndarray:
-    """Starts of all suffixes in order, the empty one first; ranks double their reach each round."""
+    """Starts of all suffixes in order, the empty one first.
+
+    Suffixes are sorted by as many symbols as fit one word; those that still tie are sorted again by the ranks of what follows,
+    and the reach of a rank doubles each round.
+    """
     n = len(text)
-    rank = np.zeros(n + 1, np.int64)
-    rank[:n] = np.frombuffer(text, np.uint8)
-    rank[:n] += 1
-    reach = 1
-    while True:
-        after = np.zeros(n + 1, np.int64)
-        after[: max(n + 1 - reach, 0)] = rank[reach:] + 1
-        order = np.lexsort((after, rank))
-        step = (rank[order][1:] != rank[order][:-1]) | (after[order][1:] != after[order][:-1])
-        new = np.empty(n + 1, np.int64)
-        new[order] = np.concatenate(([0], np.cumsum(step)))
-        rank = new
-        if rank[order[-1]] == n:
-            return order
+    kind = np.int32 if n < 1 << 31 else np.int64
+    raw = np.frombuffer(text, np.uint8)
+    symbols, codes = np.unique(raw, return_inverse=True)
+    bits = max(1, len(symbols).bit_length())
+    reach = 62 // bits
+    key = np.zeros(n + 1, np.int64)
+    padded = np.concatenate([codes.astype(np.int64) + 1, np.zeros(reach + 1, np.int64)])
+    for j in range(reach):
+        key <<= bits
+        key |= padded[j : j + n + 1]
+    order = np.argsort(key, kind="stable").astype(kind)
+    rank = np.empty(n + 1, kind)
+    rank[order], tied = _groups(key[order])
+    del key, padded, codes
+    places = np.flatnonzero(tied)
+    while len(places):
+        own = order[places]
+        # a suffix that ends within the reach comes before its equals
+        after = np.where(own + reach <= n, rank[np.minimum(own + reach, n)].astype(np.int64) + 1, 0)
+        both = rank[own].astype(np.int64) * (n + 2) + after
+        by = np.argsort(both, kind="stable")
+        own, both = own[by], both[by]
+        order[places] = own
+        first, tied = _groups(both)
+        rank[own] = places[first]
+        places = places[tied]
         reach *= 2
+    return order
+
+
+def _groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted values, where each one's group of equals starts, and whether it has equals."""
+    new = np.concatenate(([True], values[1:] != values[:-1]))
+    starts = np.flatnonzero(new)
+    return np.repeat(starts, np.diff(np.append(starts, len(values)))), ~(new & np.append(new[1:], True))
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -53,33 +77,82 @@ def common(a: bytes, b: bytes) -> int:
     return lo
 
 
+def word_length(n: int, kinds: int) -> int:
+    """How many symbols index the table of a reference sequence: about as many entries as it has symbols."""
+    return max(1, int(np.log(max(n, 2)) / np.log(max(kinds, 2)) + 1e-9))
+
+
+def code_words(text: bytes, symbols: bytes, size: int) -> np.ndarray:
+    """The number of each run of ``size`` symbols, -1 where it has a symbol of another kind."""
+    code = np.full(256, -1, np.int64)
+    code[list(symbols)] = np.arange(len(symbols))
+    x = code[np.frombuffer(text, np.uint8)]
+    n = len(x) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    out = np.zeros(n, np.int64)
+    bad = np.concatenate(([0], np.cumsum(x < 0)))
+    for j in range(size):
+        out *= len(symbols)
+        out += x[j : j + n]
+    out[bad[size:] > bad[:-size]] = -1
+    return out
+
+
+def word_table(ref: bytes, sa: np.ndarray) -> np.ndarray:
+    """Row 0 and 1: for each word of ``word_length`` symbols, where its suffixes start and end in the suffix array."""
+    symbols = bytes(sorted(set(ref)))
+    size = word_length(len(ref), len(symbols))
+    table = np.zeros((2, max(len(symbols), 1) ** size), sa.dtype)
+    codes = code_words(ref, symbols, size)
+    ranks = np.flatnonzero(sa < len(codes))
+    if len(ranks):
+        sorted_codes = codes[sa[ranks]]
+        first = np.concatenate(([True], sorted_codes[1:] != sorted_codes[:-1]))
+        last = np.append(first[1:], True)
+        table[0, sorted_codes[first]], table[1, sorted_codes[last]] = ranks[first], ranks[last] + 1
+    return table
+
+
 class Parser:
-    """Greedy parsing against one reference sequence.
+    """Greedy parsing against one reference sequence, and its occurrences of patterns.
 
-    Prefixes up to a depth at which most are unique lie in a table with their suffix-array ranges; a longer match is
-    found between the two suffixes next to the rest of the text. Of equal matches the first in suffix order counts.
+    The words of a fixed number of symbols have a table of their ranges in the suffix array, as arrays that may be mapped from files; a longer
+    match is found within the range, between the two suffixes next to the rest of the text. Of equal matches the first in
+    suffix order counts.
     """
 
-    def __init__(self, ref: bytes, sa: np.ndarray) -> None:
-        self.ref, self.sa = ref, sa.tolist()
-        self.depth = max(1, min(12, len(ref).bit_length() // 2 + 1))
-        self.range: dict[bytes, list[int]] = {}
-        for k in range(1, self.depth + 1):
-            for i, p in enumerate(self.sa):
-                if p + k <= len(ref):
-                    self.range.setdefault(ref[p : p + k], [i, i])[1] = i + 1
-
-    def longest(self, text: bytes, i: int, stop: int) -> tuple[int, int]:
-        """The longest match of text[i:stop]: position and length, (-1, 0) if there is none."""
-        k = min(self.depth, stop - i)
-        while k and (found := self.range.get(text[i : i + k])) is None:
-            k -= 1
-        if not k:
-            return -1, 0
-        lo, hi = found
-        if k < self.depth or stop - i == k:
-            return self.sa[lo], k
-        ref, sa, width, best = self.ref, self.sa, 32, k
+    def __init__(self, ref: bytes, sa: np.ndarray, table: np.ndarray | None = None) -> None:
+        table = word_table(ref, sa) if table is None else table
+        self.ref, self.sa, self.symbols = ref, memoryview(sa), bytes(sorted(set(ref)))
+        self.size = word_length(len(ref), len(self.symbols))
+        self.low, self.high = table
+        self.array = sa
+
+    def interval(self, pattern: bytes) -> tuple[int, int]:
+        """The ranks of the suffixes that start with the pattern, end exclusive."""
+        ref, k = self.ref, len(pattern)
+        lo = bisect_left(self.sa, pattern, key=lambda p: ref[p : p + k])
+        return lo, bisect_right(self.sa, pattern, lo, key=lambda p: ref[p : p + k])
+
+    def occurrences(self, pattern: bytes) -> np.ndarray:
+        """All starts of a pattern, rising."""
+        if not pattern:
+            return np.zeros(0, np.int64)
+        lo, hi = self.interval(pattern)
+        return np.sort(self.array[lo:hi]).astype(np.int64)
+
+    def longest(self, text: bytes, i: int, stop: int, lo: int, hi: int, known: int) -> tuple[int, int]:
+        """The longest match of text[i:stop] among ranks lo .. hi, all of which match ``known`` symbols: position and length."""
+        ref, sa, width, best = self.ref, self.sa, max(32, known), known
+        if hi - lo == 1:
+            p = sa[lo]
+            while True:
+                got = common(ref[p + best : p + best + width], text[i + best : min(stop, i + best + width)])
+                best += got
+                if got < width:
+                    return p, best
+                width *= 4
         while True:
             want = text[i : min(stop, i + width)]
             at = bisect_left(sa, want, lo, hi, key=lambda p: ref[p : p + width])
@@ -87,12 +160,17 @@ class Parser:
             if best < width or i + best == stop:
                 break
             width *= 4
+        if not best:
+            return -1, 0
         want = text[i : i + best]
         return sa[bisect_left(sa, want, lo, hi, key=lambda p: ref[p : p + best])], best
 
     def parse(self, text: bytes) -> tuple[list[int], list[int]]:
         """Positions and lengths of the factors of a lower-case sequence."""
-        pos, size, i, n, run = [], [], 0, len(text), len(self.ref)
+        pos, size, i, n, run, word = [], [], 0, len(text), len(self.ref), self.size
+        codes = code_words(text, self.symbols, word)
+        lows, highs = (memoryview(np.where(codes >= 0, side[codes], 0)) for side in (self.low, self.high))
+        every = len(self.sa)
         while i < n:
             if text[i] == N:
                 end = RUN.match(text, i).end()
@@ -103,7 +181,8 @@ class Parser:
             stop = text.find(b"n", i)
             stop = n if stop < 0 else stop
             while i < stop:
-                p, k = self.longest(text, i, stop)
+                lo, hi = (lows[i], highs[i]) if stop - i >= word else (0, 0)
+                p, k = self.longest(text, i, stop, lo, hi, word) if hi > lo else self.longest(text, i, stop, 0, every, 0)
                 if not k:
                     p, k = -1 - text[i], 1
                 pos.append(p)
@@ -114,7 +193,7 @@ class Parser:
 
 @lru_cache(2)
 def parser(ref: bytes) -> Parser:
-    """A parser for each reference sequence that a worker meets."""
+    """A parser of a short reference sequence, for use in one process."""
     return Parser(ref, suffix_array(ref))
 
 
@@ -125,6 +204,16 @@ def text_of(ref: bytes, p: int, k: int) -> bytes:
     return b"n" * k if p == len(ref) else ref[p : p + k]
 
 
+def head_of(ref: bytes, p: int, k: int, m: int) -> bytes:
+    """The first m symbols of one factor."""
+    return text_of(ref, p, min(k, m))
+
+
+def tail_of(ref: bytes, p: int, k: int, m: int) -> bytes:
+    """The last m symbols of one factor."""
+    return text_of(ref, p + k - min(k, m), min(k, m)) if 0 <= p < len(ref) else text_of(ref, p, min(k, m))
+
+
 def expand(ref: bytes, pos: list[int], size: list[int]) -> bytes:
     """The sequence of its factors."""
     return b"".join([text_of(ref, p, k) for p, k in zip(pos, size, strict=True)])

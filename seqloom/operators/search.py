@@ -1,10 +1,18 @@
-"""Reading windows and finding patterns in parsed sequences.
+"""Reading windows and finding patterns in parsed sequences, from the factors alone; no sequence is expanded for a search.
 
-``find`` sends the patterns, in groups of bounded size, and the reference sequence to the workers; each parsed sequence
-is expanded and searched where it is read, and every hit is put into its class by the factors that it meets. ``strict``
-keeps hits within one factor or across two neighbouring ones without a run of n; ``complete`` keeps all.
-``in_factors`` and ``across`` find the same strict hits by joins alone: occurrences of the pattern, or of its two parts
-for every split, in the reference sequence meet factors that contain them, start with them or end with them.
+A hit in a target lies within one factor, or it has a first border between factors at some split of the pattern. The
+parse is greedy, so what follows that border is known from the pattern: if the rest of the pattern occurs in the
+reference sequence, the next factor starts with it; else the next factor is the first one of the rest's own parse. So a hit
+is found by one of these equi-joins between keys of the patterns and keys of the factors:
+
+* ``in_factor``: an occurrence of the pattern in the reference sequence and a factor that contains it, by bins of positions;
+* ``border``: the longer part of a split, by the places where it occurs and where the factor behind the border starts, or the factor
+  before it ends; the shorter part is compared;
+* ``chain``: the position and length of the first factor of the rest's parse; the rest is compared;
+* ``run``: a pattern of n and a run of n.
+
+Factors whose keys no pattern asks for are passed over before the join, as long as the keys of the patterns are few
+enough to be sent. ``strict`` leaves out, in targets, chains and whatever meets a run of n; ``complete`` keeps all.
 """
 
 from __future__ import annotations
@@ -13,15 +21,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.operators import kernels
-from seqloom.operators.range_join import range_join
-from seqloom.scratch import small
+from seqloom.scratch import BROADCAST_ROWS, small, written
+from seqloom.sources import reference
 
-GROUP_BYTES = 1 << 20
-KINDS = {"in_factor": "spans = 1 and not meets_n", "boundary": "spans = 2 and not meets_n", "strict": "spans <= 2 and not meets_n", "complete": "true"}
+#: Positions that share a key of ``in_factor``.
+BIN = 64
+IN_FACTOR, STARTS, ENDS, CHAIN, RUN = range(5)
+#: The place of a run of n as a key; literals have their negative positions.
+RUN_PLACE = -1
+MODES = {"complete": "true", "strict": "not meets_n and kind <= 2", "in_factor": f"not meets_n and kind = {IN_FACTOR}", "boundary": "not meets_n and kind in (1, 2)"}
+REQUESTS_A_ROW = 10_000
 
 
 def valid(patterns: DataFrame) -> DataFrame:
@@ -29,57 +42,169 @@ def valid(patterns: DataFrame) -> DataFrame:
     return patterns.select("pattern_id", F.lower("pattern").alias("pattern")).where("pattern rlike '^[acgnt]+$'")
 
 
-def pattern_groups(patterns: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
-    rows = valid(patterns)
-    size = rows.agg(F.sum(F.length("pattern"))).first()[0] or 0
-    n = -(-size // GROUP_BYTES)
-    for g in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("pattern_id", "pattern"), F.lit(n)) == g)
-        yield sorted((r[0], r[1].encode()) for r in part.collect())
+SIDES = "kind int, key long, pattern_id long, m int, i int, place long, before string, behind string"
+
+
+def sides(ref: bytes, patterns: DataFrame) -> DataFrame:
+    """The keys of the patterns, with what is to be compared: a row for each split and place."""
+    where = reference.stored(patterns.sparkSession, ref)
+
+    def places(p: kernels.Parser, part: bytes) -> np.ndarray:
+        """Where a part that stands in one factor may lie: its occurrences, or the place of runs or of a literal."""
+        if not part.strip(b"n"):
+            return np.array([RUN_PLACE])
+        if len(part) == 1 and part not in p.ref:
+            return np.array([-1 - part[0]])
+        return p.occurrences(part) if b"n" not in part else np.zeros(0, np.int64)
+
+    def of(p: kernels.Parser, pattern: bytes) -> Iterator[tuple[int, np.ndarray, int, np.ndarray, bytes, bytes]]:
+        """kind, keys, split, places, and the texts before and behind the split to compare."""
+        m = len(pattern)
+        none = np.zeros(1, np.int64)
+        if pattern.strip(b"n"):
+            at = places(p, pattern)
+            yield IN_FACTOR, at // BIN, 0, at, b"", b""
+        else:
+            yield RUN, none, 0, none, b"", b""
+        for i in range(1, m):
+            before, behind = pattern[:i], pattern[i:]
+            pos, size = p.parse(behind)
+            if len(pos) > 1:
+                yield CHAIN, np.array([chain_key(pos[0], size[0])]), i, none, before, behind
+            elif m - i >= i:
+                at = places(p, behind)
+                yield STARTS, at, i, at, before, b""
+            else:
+                at = places(p, before)
+                at = at + i * (at >= 0)
+                yield ENDS, at, i, at, b"", behind
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = reference.parser(where)
+        for batch in batches:
+            for pattern_id, pattern in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for kind, keys, i, at, before, behind in of(p, pattern.encode()):
+                    for a in range(0, len(keys), 1 << 16):
+                        n = len(keys[a : a + (1 << 16)])
+                        same = lambda v, t, n=n: pa.array([v], t).take(pa.array(np.zeros(n, np.int32)))
+                        yield pa.RecordBatch.from_arrays([same(kind, pa.int32()), pa.array(keys[a : a + n].astype(np.int64)), same(pattern_id, pa.int64()), same(len(pattern), pa.int32()), same(i, pa.int32()), pa.array(at[a : a + n].astype(np.int64)), same(before.decode(), pa.string()), same(behind.decode(), pa.string())], SIDES_NAMES)
+
+    return valid(patterns).mapInArrow(run, SIDES)
+
+
+SIDES_NAMES = [x.split()[0] for x in SIDES.split(", ")]
+
+
+def chain_key(p, k):
+    """One key of a factor's position and length; equal keys are told apart by comparing the text."""
+    return p * 1_000_003 + k
+
+
+FACTORS = "kind int, key long, seq_id long, at long, pos long, len long, prev_pos long, prev_len long, ahead string"
+
+
+def keyed(parsed: DataFrame, ref: bytes, asked: DataFrame) -> DataFrame:
+    """The keys of the factors, a row for each: those that ``asked`` has, if these are few enough to be sent."""
+    spark = parsed.sparkSession
+    keys = asked.select("kind", "key").distinct()
+    wanted = None
+    if keys.limit(2 * BROADCAST_ROWS + 1).count() <= 2 * BROADCAST_ROWS:
+        got = keys.toArrow()
+        wanted = [np.sort(got["key"].to_numpy()[got["kind"].to_numpy() == kind]) for kind in range(5)]
+    longest = asked.where(F.col("kind") == CHAIN).agg(F.max("m")).first()[0] or 0
+    shared, text = spark.sparkContext.broadcast(wanted), spark.sparkContext.broadcast(ref)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = text.value
+        held = shared.value
+        for batch in batches:
+            for seq_id, pos, size, start in zip(batch.column(0).to_pylist(), *(batch.column(c) for c in (1, 2, 3)), strict=True):
+                p, k, at = (np.asarray(x.values) for x in (pos, size, start))
+                if not len(p):
+                    continue
+                is_run = p == len(r)
+                place = np.where(is_run, RUN_PLACE, p)
+                end = np.where(is_run, RUN_PLACE, np.where(p < 0, p, p + k))
+                every = np.arange(len(p))
+                inner = every[~is_run]
+                low, high = p[inner] // BIN, np.where(p[inner] < 0, p[inner], p[inner] + k[inner] - 1) // BIN
+                bins = np.repeat(low, high - low + 1) + runs(high - low + 1)
+                for kind, key, row in ((IN_FACTOR, bins, np.repeat(inner, high - low + 1)), (STARTS, place[1:], every[1:]), (ENDS, end[:-1], every[1:]), (CHAIN, chain_key(p, k)[1:], every[1:]), (RUN, np.zeros(int(is_run.sum()), np.int64), every[is_run])):
+                    if held is not None:
+                        at_key = np.minimum(np.searchsorted(held[kind], key), max(len(held[kind]) - 1, 0))
+                        met = held[kind][at_key] == key if len(held[kind]) else np.zeros(len(key), bool)
+                        key, row = key[met], row[met]
+                    for a in range(0, len(row), 1 << 14):
+                        own, n = row[a : a + (1 << 14)], len(row[a : a + (1 << 14)])
+                        ahead = [kernels.window(r, p, k, at, int(at[j]), min(int(at[j]) + longest, int(at[-1] + k[-1]))).decode() for j in own] if kind == CHAIN else [None] * n
+                        prev = np.maximum(own - 1, 0)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(key[a : a + n].astype(np.int64)), pa.array(np.full(n, seq_id, np.int64)), *(pa.array(x.astype(np.int64)) for x in (at[own], p[own], k[own], p[prev], k[prev])), pa.array(ahead, pa.string())], FACTORS_NAMES)
+
+    return parsed.select("seq_id", "pos", "size", "start").mapInArrow(run, FACTORS)
+
+
+FACTORS_NAMES = [x.split()[0] for x in FACTORS.split(", ")]
+
+
+def runs(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, .. for each of the sizes."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
 def hits(parsed: DataFrame, ref: bytes, patterns: DataFrame) -> DataFrame:
-    """pattern_id, seq_id, pos, spans (factors met), meets_n: all hits in the targets."""
-    spark, out = parsed.sparkSession, None
-    whole = spark.sparkContext.broadcast(ref)
-    schema = "pattern_id long, seq_id long, pos long, spans int, meets_n boolean"
-    for group in pattern_groups(patterns):
-        shared = spark.sparkContext.broadcast(group)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            r = whole.value
-            for batch in batches:
-                for seq_id, pos, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    text = kernels.expand(r, pos, size)
-                    starts = np.concatenate(([0], np.cumsum(size)))
-                    runs = np.concatenate(([0], np.cumsum(np.array(pos) == len(r))))
-                    for pattern_id, pattern in shared.value:
-                        at = np.array(kernels.occurrences(text, pattern), np.int64)
-                        if len(at):
-                            a, b = np.searchsorted(starts, at, "right") - 1, np.searchsorted(starts, at + len(pattern), "left")
-                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), pattern_id)), pa.array(np.full(len(at), seq_id)), pa.array(at), pa.array((b - a).astype(np.int32)), pa.array(runs[b] > runs[a])], ["pattern_id", "seq_id", "pos", "spans", "meets_n"])
-
-        found = parsed.select("seq_id", "pos", "size").mapInArrow(run, schema)
-        out = found if out is None else out.unionByName(found)
-    return spark.createDataFrame([], schema) if out is None else out
+    """pattern_id, seq_id, pos, kind, meets_n: all hits in the targets."""
+    spark = parsed.sparkSession
+    asked = written(sides(ref, patterns), "pattern-keys")
+    text = spark.sparkContext.broadcast(ref)
+    n, inner = len(ref), F.col("kind") == IN_FACTOR
+    length = F.when(F.col("pos") < 0, F.lit(1)).otherwise(F.col("len"))
+    holds = (F.col("place") >= F.col("pos")) & (F.col("place") + F.col("m") <= F.col("pos") + length)
+    fits = (F.col("prev_len") >= F.col("i")) & ((F.col("kind") == CHAIN) | (F.col("len") >= F.col("m") - F.col("i")))
+    met = keyed(parsed, ref, asked).join(small(asked), ["kind", "key"])
+    met = met.where(F.when(inner, holds).when(F.col("kind") == RUN, F.col("len") >= F.col("m")).otherwise(fits))
+    first = F.when(inner, F.col("at") + F.col("place") - F.col("pos")).otherwise(F.col("at") - F.col("i"))
+    meets_n = (F.col("kind") == RUN) | (~inner & ((F.col("pos") == n) | (F.col("prev_pos") == n)))
+    sure = met.where(inner).select("pattern_id", "seq_id", first.alias("pos"), "kind", meets_n.alias("meets_n"))
+    in_runs = met.where(F.col("kind") == RUN).select("pattern_id", "seq_id", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("len") - F.col("m"))).alias("pos"), "kind", meets_n.alias("meets_n"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = text.value
+        for batch in batches:
+            same = []
+            for pos, size, prev_pos, prev_len, ahead, kind, m, i, before, behind in zip(*(c.to_pylist() for c in batch.columns[5:]), strict=True):
+                ok = kind == ENDS or kernels.tail_of(r, prev_pos, prev_len, i) == before.encode()
+                if ok and kind == ENDS:
+                    ok = kernels.head_of(r, pos, size, m - i) == behind.encode()
+                same.append(ok and (kind != CHAIN or ahead.startswith(behind)))
+            yield pa.RecordBatch.from_arrays(batch.columns[:5], ["pattern_id", "seq_id", "first", "k", "meets_n"]).filter(pa.array(same, pa.bool_()))
+
+    open_ = met.where(F.col("kind").isin(STARTS, ENDS, CHAIN)).select("pattern_id", "seq_id", first.alias("first"), F.col("kind").alias("k"), meets_n.alias("meets_n"), "pos", "len", "prev_pos", "prev_len", "ahead", "kind", "m", "i", "before", "behind")
+    checked = open_.mapInArrow(compare, "pattern_id long, seq_id long, first long, k int, meets_n boolean")
+    return sure.unionByName(in_runs).unionByName(checked.withColumnsRenamed({"first": "pos", "k": "kind"}))
 
 
 def in_reference(ref: bytes, patterns: DataFrame) -> DataFrame:
-    """pattern_id, seq_id (0), pos: hits in the reference sequence."""
-    whole = patterns.sparkSession.sparkContext.broadcast(ref)
+    """pattern_id, seq_id (0), pos: hits in the reference sequence, from its suffix array."""
+    where = reference.stored(patterns.sparkSession, ref)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = reference.parser(where)
         for batch in batches:
             for pattern_id, pattern in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                at = np.array(kernels.occurrences(whole.value, pattern.encode()), np.int64)
+                at = p.occurrences(pattern.encode())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), pattern_id)), pa.array(np.zeros(len(at), np.int64)), pa.array(at)], ["pattern_id", "seq_id", "pos"])
 
     return valid(patterns).mapInArrow(run, "pattern_id long, seq_id long, pos long")
 
 
+def in_targets(parsed: DataFrame, ref: bytes, patterns: DataFrame, mode: str = "complete") -> DataFrame:
+    """pattern_id, seq_id, pos of the hits of a mode in the targets."""
+    return hits(parsed, ref, patterns).where(MODES[mode]).select("pattern_id", "seq_id", "pos")
+
+
 def locate(parsed: DataFrame, ref: bytes, patterns: DataFrame, mode: str = "complete") -> DataFrame:
     """pattern_id, seq_id, pos of all hits, those in the reference sequence as sequence 0."""
-    return in_reference(ref, patterns).unionByName(hits(parsed, ref, patterns).where(KINDS[mode]).select("pattern_id", "seq_id", "pos"))
+    return in_reference(ref, patterns).unionByName(in_targets(parsed, ref, patterns, mode))
 
 
 def count(parsed: DataFrame, ref: bytes, patterns: DataFrame, mode: str = "complete") -> DataFrame:
@@ -88,66 +213,48 @@ def count(parsed: DataFrame, ref: bytes, patterns: DataFrame, mode: str = "compl
     return patterns.join(n, "pattern_id", "left").select("pattern_id", "pattern", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+def workload(patterns: DataFrame, counted: DataFrame) -> DataFrame:
+    """One row about a run of patterns: queries, their symbols, all hits, the most of one pattern, and patterns without a hit."""
+    rows = patterns.select("pattern_id", F.length("pattern").alias("m")).join(counted.select("pattern_id", "n"), "pattern_id")
+    return rows.agg(F.count("*").alias("n_queries"), F.coalesce(F.sum("m"), F.lit(0)).cast("long").alias("n_symbols"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_hits"), F.coalesce(F.max("n"), F.lit(0)).cast("long").alias("most_hits"), F.count_if(F.col("n") == 0).alias("n_without"))
+
+
 def intervals(ref: bytes, patterns: DataFrame) -> DataFrame:
     """pattern_id, lo, hi: the ranks in the suffix array whose suffixes start with the pattern; null without a hit."""
-    from bisect import bisect_left, bisect_right
-
-    whole = patterns.sparkSession.sparkContext.broadcast(ref)
+    where = reference.stored(patterns.sparkSession, ref)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = whole.value
-        sa = kernels.parser(r).sa
+        p = reference.parser(where)
         for batch in batches:
             out = []
             for pattern_id, pattern in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                key = lambda p, m=len(pattern): r[p : p + m]
-                lo, hi = bisect_left(sa, pattern.encode(), key=key), bisect_right(sa, pattern.encode(), key=key) - 1
-                out.append((pattern_id, lo, hi) if lo <= hi else (pattern_id, None, None))
+                lo, hi = p.interval(pattern.encode())
+                out.append((pattern_id, lo, hi - 1) if lo < hi else (pattern_id, None, None))
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(3)], ["pattern_id", "lo", "hi"])
 
     return patterns.select("pattern_id").join(valid(patterns).mapInArrow(run, "pattern_id long, lo long, hi long"), "pattern_id", "left")
 
 
-def in_factors(factors: DataFrame, ref: bytes, patterns: DataFrame) -> DataFrame:
-    """pattern_id, seq_id, pos of hits within one factor: hits in the reference sequence joined to the spans that hold them."""
-    points = in_reference(ref, patterns).join(small(valid(patterns)), "pattern_id").select("pattern_id", F.length("pattern").cast("long").alias("m"), F.col("pos").alias("p"))
-    spans = factors.where("not is_n and pos is not null").select("seq_id", "seq_start", F.col("pos").alias("lo"), (F.col("pos") + F.col("len")).alias("hi"))
-    found = range_join(points, spans, "p", "lo", "hi", F.col("p") + F.col("m") <= F.col("hi"))
-    return found.select("pattern_id", "seq_id", (F.col("seq_start") + F.col("p") - F.col("lo")).alias("pos"))
-
-
-def across(factors: DataFrame, ref: bytes, patterns: DataFrame) -> DataFrame:
-    """pattern_id, seq_id, pos of hits across two neighbouring factors.
-
-    For each split the first part must end where the factor before ends, the second start where the factor starts;
-    both are equi-joins on places of the parts in the reference sequence.
-    """
-    whole = patterns.sparkSession.sparkContext.broadcast(ref)
+def same_in_reference(rows: DataFrame, ref: bytes, pos: Column, text: Column) -> DataFrame:
+    """Adds ``same``: whether the reference sequence reads the text from the position on."""
+    whole = rows.sparkSession.sparkContext.broadcast(ref)
+    names = rows.columns
+    schema = rows.select("*", F.lit(True).alias("same")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = whole.value
         for batch in batches:
-            for pattern_id, pattern in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw = pattern.encode()
-                for i in range(1, len(raw)):
-                    for side, part, shift in ((0, raw[:i], i), (1, raw[i:], 0)):
-                        at = np.array(kernels.occurrences(r, part), np.int64) + shift
-                        n = len(at)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, pattern_id)), pa.array(np.full(n, i)), pa.array(np.full(n, len(raw))), pa.array(np.full(n, side)), pa.array(at)], ["pattern_id", "i", "m", "side", "place"])
-
-    parts = valid(patterns).mapInArrow(run, "pattern_id long, i long, m long, side long, place long")
-    w = Window.partitionBy("seq_id").orderBy("fac_no")
-    real = F.col("pos").isNotNull() & ~F.col("is_n")
-    rows = factors.select("seq_id", "seq_start", "pos", "len", real.alias("real"), F.lag(F.when(real, F.col("pos") + F.col("len"))).over(w).alias("prev_end"), F.lag("len").over(w).alias("prev_len")).where("real and prev_end is not null")
-    found = rows.join(parts.where("side = 1"), F.col("place") == F.col("pos")).where("len >= m - i and prev_len >= i").drop("side", "place")
-    heads = parts.where("side = 0").select("pattern_id", "i", F.col("place").alias("prev_end"))
-    return found.join(heads, ["pattern_id", "i", "prev_end"]).select("pattern_id", "seq_id", (F.col("seq_start") - F.col("i")).alias("pos"))
+            same = [p is not None and t is not None and p >= 0 and r.startswith(t.encode(), p) for p, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(same, pa.bool_())], [*names, "same"])
+
+    return rows.select(pos.cast("long").alias("_p"), text.alias("_t"), "*").mapInArrow(run, schema)
 
 
 def display(parsed: DataFrame, ref: bytes, requests: DataFrame) -> DataFrame:
     """req_id, text of the windows (req_id, seq_id, start, end), end exclusive.
 
     A window that is empty or turned round is empty text; one outside its sequence, or of an unknown sequence, is null.
+    The requests of a sequence meet it as lists of at most about ``REQUESTS_A_ROW``, so its factors are sent once for each list.
     """
     whole = requests.sparkSession.sparkContext.broadcast(ref)
     requests = requests.select("req_id", "seq_id", "start", "end")
@@ -155,14 +262,19 @@ def display(parsed: DataFrame, ref: bytes, requests: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = whole.value
         for batch in batches:
-            out = []
-            for a, b, pos, size, starts in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
-                total = sum(size)
-                out.append("" if a >= b else None if a < 0 or b > total else kernels.window(r, pos, size, np.array(starts), a, b).decode())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["req_id", "text"])
-
-    met = parsed.select("seq_id", "pos", "size", F.col("start").alias("starts")).join(small(requests.where("seq_id <> 0")), "seq_id")
-    targets = met.select("req_id", F.col("start").alias("a"), F.col("end").alias("b"), "pos", "size", "starts").mapInArrow(run, "req_id long, text string")
+            for asked, *arrays in zip(batch.column(0).to_pylist(), *(batch.column(c) for c in (1, 2, 3)), strict=True):
+                pos, size, starts = (np.asarray(x.values) for x in arrays)
+                total = int(size.sum())
+                text = ["" if q["a"] >= q["b"] else None if q["a"] < 0 or q["b"] > total else kernels.window(r, pos, size, starts, q["a"], q["b"]).decode() for q in asked]
+                yield pa.RecordBatch.from_arrays([pa.array([q["req_id"] for q in asked], pa.int64()), pa.array(text, pa.string())], ["req_id", "text"])
+
+    targets = requests.where("seq_id <> 0")
+    few = targets.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    many = targets.groupBy("seq_id").agg(F.ceil(F.count("*") / REQUESTS_A_ROW).alias("lists"))
+    listed = targets.join(F.broadcast(many) if few else many, "seq_id").withColumn("list", F.pmod(F.xxhash64("req_id", "start", "end"), F.col("lists")))
+    listed = listed.groupBy("seq_id", "list").agg(F.collect_list(F.struct("req_id", F.col("start").alias("a"), F.col("end").alias("b"))).alias("asked")).select("seq_id", "asked")
+    met = parsed.select("seq_id", "pos", "size", F.col("start").alias("starts")).join(F.broadcast(listed) if few else listed, "seq_id")
+    found = met.select("asked", "pos", "size", "starts").mapInArrow(run, "req_id long, text string")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = whole.value
@@ -171,5 +283,4 @@ def display(parsed: DataFrame, ref: bytes, requests: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["req_id", "text"])
 
     own = requests.where("seq_id = 0").select("req_id", "start", "end").mapInArrow(cut, "req_id long, text string")
-    found = targets.unionByName(own)
-    return requests.select("req_id").join(found, "req_id", "left")
+    return requests.select("req_id").join(found.unionByName(own), "req_id", "left")

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.operators import kernels
+from seqloom.sources.sequences import write_files
+
+ENDING = ".fac"
 
 
 def encode(parsed: DataFrame, ref: bytes, text: bool = False, short: bool = False, liss: bool = False) -> DataFrame:
@@ -50,9 +53,14 @@ def decode(files: DataFrame, ref: bytes) -> DataFrame:
     return files.select("seq_id", "name", "content").mapInArrow(run, "seq_id long, name string, seq string")
 
 
+def write(files: DataFrame, folder: str) -> int:
+    """One factor file a sequence, by its name with the ending .fac; the number of files."""
+    return write_files(files.select(F.concat("name", F.lit(ENDING)).alias("name"), "content"), folder)
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """seq_id, name, content of factor files in a folder or by a pattern; numbered from 1 in the order of their names."""
-    raw = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+    raw = spark.read.format("binaryFile").load(path).select(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.fac$", "").alias("name"), "content")
     names = sorted(r[0] for r in raw.select("name").collect())
     numbers = F.create_map(*[F.lit(x) for i, n in enumerate(names, 1) for x in (n, i)]) if names else F.create_map()
     return raw.select(numbers[F.col("name")].cast("long").alias("seq_id"), "name", "content")

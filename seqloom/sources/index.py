@@ -1,18 +1,20 @@
 """A saved index: the reference sequence, parsed sequences, their catalog and the suffix array.
 
-Everything lies in one folder named after the digest of the reference sequence, so a suffix array is never used with
-another one. A display-only index has no suffix array; searching one fails with a clear message.
+The suffix array lies in a folder named after the digest of the reference sequence, so it is never used with
+another one; a loaded index searches with it and does not build it again. A display-only index has no suffix array; searching one fails with a clear message.
 """
 
 from __future__ import annotations
 
-import hashlib
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.operators import factors, kernels, search
+from seqloom.operators import factors, search
+from seqloom.sources import reference
 from seqloom.sources.sequences import Collection
 
 
@@ -21,7 +23,7 @@ class Index:
     ref: bytes
     parsed: DataFrame
     catalog: DataFrame
-    suffixes: DataFrame | None
+    suffixes: str | None
 
     def display(self, requests: DataFrame) -> DataFrame:
         return search.display(self.parsed, self.ref, requests)
@@ -58,23 +60,23 @@ def size_report(parsed: DataFrame, ref_len: int, display_only: bool = False) ->
 
 def write(c: Collection, folder: str, display_only: bool = False) -> None:
     spark = c.spark
-    key = hashlib.sha256(c.ref).hexdigest()
+    key = reference.digest(c.ref)
+    if not display_only:
+        reference.save(c.ref, place := f"{folder}/suffixes-{key[:16]}")
+        reference.use(spark, c.ref, place)
     spark.createDataFrame([(key, c.ref.decode(), display_only)], "digest string, seq string, display_only boolean").coalesce(1).write.mode("overwrite").parquet(f"{folder}/reference")
     factors.parse(c).write.mode("overwrite").parquet(f"{folder}/parsed")
     factors.catalog(spark.read.parquet(f"{folder}/parsed")).write.mode("overwrite").parquet(f"{folder}/catalog")
-    if not display_only:
-        suffix_table(spark, c.ref).write.mode("overwrite").parquet(f"{folder}/suffixes-{key[:16]}")
 
 
 def suffix_table(spark: SparkSession, ref: bytes) -> DataFrame:
     """rank, pos of every suffix, the empty one first."""
-    import pyarrow as pa
-
-    sa = kernels.suffix_array(ref)
-    return spark.createDataFrame(pa.table({"rank": pa.array(range(len(sa)), pa.int64()), "pos": pa.array(sa, pa.int64())}))
+    sa = reference.parser(reference.stored(spark, ref)).array
+    return spark.createDataFrame(pa.table({"rank": pa.array(np.arange(len(sa)), pa.int64()), "pos": pa.array(sa.astype(np.int64))}))
 
 
 def load(spark: SparkSession, folder: str) -> Index:
     head = spark.read.parquet(f"{folder}/reference").first()
-    suffixes = None if head["display_only"] else spark.read.parquet(f"{folder}/suffixes-{head['digest'][:16]}")
-    return Index(head["seq"].encode(), spark.read.parquet(f"{folder}/parsed"), spark.read.parquet(f"{folder}/catalog"), suffixes)
+    ref = head["seq"].encode()
+    suffixes = None if head["display_only"] else reference.use(spark, ref, f"{folder}/suffixes-{head['digest'][:16]}")
+    return Index(ref, spark.read.parquet(f"{folder}/parsed"), spark.read.parquet(f"{folder}/catalog"), suffixes)

@@ -67,18 +67,23 @@ def read_files(spark: SparkSession, paths: list[str], clean: bool = False) -> Co
     return Collection(bounded(ref), rows.where("seq_id > 0"))
 
 
-def write_texts(sequences: DataFrame, folder: str) -> int:
-    """One raw file a sequence, by name, without a line end; the number of files. A file appears when it is complete."""
+def write_files(rows: DataFrame, folder: str) -> int:
+    """One file a row of (name, content); the number of files. A file appears under its name when it is complete."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
         fs.create_dir(base, recursive=True)
         for batch in batches:
-            for name, seq in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 part = f"{base}/.{name}.{uuid.uuid4().hex}"
                 with fs.open_output_stream(part, compression=None) as out:
-                    out.write(seq.encode("ascii"))
+                    out.write(content)
                 fs.move(part, f"{base}/{name}")
             yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
 
-    return sequences.select("name", "seq").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return rows.select("name", "content").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def write_texts(sequences: DataFrame, folder: str) -> int:
+    """One raw file a sequence, by name, without a line end; the number of files."""
+    return write_files(sequences.select("name", F.encode("seq", "US-ASCII").alias("content")), folder)

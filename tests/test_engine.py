@@ -9,7 +9,7 @@ from seqloom.operators import factors as O
 from seqloom.operators import kernels, search
 from seqloom.operators.range_join import range_join
 from seqloom.operators.running import running_sums
-from seqloom.sources import factor_files, index
+from seqloom.sources import factor_files, index, reference
 from seqloom.sources.sequences import Collection, from_documents, read_files, write_texts
 from seqloom.streaming import requests as streams
 
@@ -57,7 +57,15 @@ def brute_hits(ref, targets, patterns):
     return out
 
 
-PATTERNS = [(0, "a"), (1, "ac"), (2, "gta"), (3, "nn"), (4, "ACGT"), (5, "tgcat"), (6, "xa"), (7, "")]
+PATTERNS = [(0, "a"), (1, "ac"), (2, "gta"), (3, "nn"), (4, "ACGT"), (5, "tgcat"), (6, "xa"), (7, ""), (8, "n")]
+
+
+def own_patterns(seed, targets):
+    """Pieces of the targets of all lengths, so that they meet borders, chains of factors and runs of n."""
+    rng = random.Random(seed)
+    texts = [t for _, t in targets if len(t) > 60]
+    pieces = [t[a : a + k] for t in texts for k in (2, 3, 5, 9, 17, 40, 60) for a in [rng.randrange(len(t) - k + 1)]]
+    return [(100 + i, p) for i, p in enumerate(pieces)]
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -65,17 +73,17 @@ def test_search_modes_equal_brute_force(spark, seed):
     ref, targets = family(seed)
     c = collection(spark, ref, targets)
     parsed = O.parse(c).cache()
-    patterns = spark.createDataFrame(PATTERNS, "pattern_id long, pattern string")
-    want = brute_hits(ref, targets, PATTERNS)
+    asked = PATTERNS + own_patterns(seed, targets)
+    patterns = spark.createDataFrame(asked, "pattern_id long, pattern string")
+    want = brute_hits(ref, targets, asked)
     got = lambda df: sorted(map(tuple, df.select("pattern_id", "seq_id", "pos").collect()))
     assert got(search.locate(parsed, c.ref, patterns)) == sorted(w[:3] for w in want)
     strict = sorted(w[:3] for w in want if not w[1] or w[3] <= 2 and not w[4])
     assert got(search.locate(parsed, c.ref, patterns, "strict")) == strict
-    rows = O.exploded(parsed, len(ref))
-    assert got(search.in_factors(rows, c.ref, patterns)) == sorted(w[:3] for w in want if w[1] and w[3] == 1 and not w[4])
-    assert got(search.across(rows, c.ref, patterns)) == sorted(w[:3] for w in want if w[1] and w[3] == 2 and not w[4])
+    assert got(search.in_targets(parsed, c.ref, patterns, "in_factor")) == sorted(w[:3] for w in want if w[1] and w[3] == 1 and not w[4])
+    assert got(search.in_targets(parsed, c.ref, patterns, "boundary")) == sorted(w[:3] for w in want if w[1] and w[3] == 2 and not w[4])
     counts = {r.pattern_id: r.n for r in search.count(parsed, c.ref, patterns).collect()}
-    assert counts == {i: sum(w[0] == i for w in want) for i, _ in PATTERNS}
+    assert counts == {i: sum(w[0] == i for w in want) for i, _ in asked}
 
 
 def test_worked_example(spark):
@@ -115,11 +123,45 @@ def test_parse_and_derived_tables(spark):
     real = [(p, k) for fs in want.values() for p, k, _ in fs if 0 <= p < len(ref)]
     assert {(r.kind, r.pos): r.n for r in O.sites(O.exploded(parsed, len(ref))).collect()} == {(kind, x): n for kind, xs in (("start", [p for p, _ in real]), ("end", [p + k for p, k in real])) for x in set(xs) for n in [xs.count(x)]}
     spans = sorted(set(real), key=lambda s: (s[0], -s[1]))
-    assert {(r.pos, r.len): r.level for r in O.nested_levels(O.exploded(parsed, len(ref))).collect()} == dict(zip(spans, kernels.levels([p for p, _ in spans], [k for _, k in spans]), strict=True))
+    for block in (7, 4096):
+        assert {(r.pos, r.len): r.level for r in O.nested_levels(O.exploded(parsed, len(ref)), block).collect()} == dict(zip(spans, kernels.levels([p for p, _ in spans], [k for _, k in spans]), strict=True))
     short = {(r.seq_id, r.fac_no): r.text for r in O.short_factors(O.exploded(parsed, len(ref)), c.ref).collect()}
     assert short == {(i, n): kernels.text_of(c.ref, p, k).decode() for i, fs in want.items() for n, (p, k, _) in enumerate(fs) if kernels.is_short(c.ref, p, k)}
 
 
+def test_places_in_the_collection(spark):
+    ref, targets = family(5)
+    c = collection(spark, ref, targets)
+    joined = [(i, k) for i, t in sorted(targets) for k in range(len(t))]
+    got = O.in_sequences(spark.range(len(joined) + 5).withColumnRenamed("id", "abs_pos"), O.catalog(O.parse(c)))
+    assert {r.abs_pos: (r.seq_id, r.pos) for r in got.collect()} == dict(enumerate(joined))
+
+
+def test_literals_are_found(spark):
+    """Symbols that the reference sequence lacks are factors of their own."""
+    targets = [(1, "aactgat"), (2, "ttnnt")]
+    c = collection(spark, "acaggc", targets)
+    asked = [(i, p) for i, p in enumerate(["t", "at", "ta", "ctg", "ct", "tn", "tt", "nnt", "actga", "n", "g"])]
+    got = search.locate(O.parse(c), c.ref, spark.createDataFrame(asked, "pattern_id long, pattern string")).collect()
+    assert sorted(map(tuple, got)) == sorted(h[:3] for h in brute_hits("acaggc", targets, asked))
+    rows = spark.createDataFrame([(0, "aca"), (1, "aca"), (5, "c"), (5, "cc"), (None, "c")], "p long, t string")
+    assert sorted((r.p if r.p is not None else -1, r.t, r.same) for r in search.same_in_reference(rows, c.ref, F.col("p"), F.col("t")).collect()) == [(-1, "c", False), (0, "aca", True), (1, "aca", False), (5, "c", True), (5, "cc", False)]
+    counted = search.count(O.parse(c), c.ref, spark.createDataFrame(asked, "pattern_id long, pattern string"))
+    n = [sum(h[0] == i for h in brute_hits("acaggc", targets, asked)) for i, _ in asked]
+    assert tuple(search.workload(counted, counted).first()) == (len(asked), sum(len(p) for _, p in asked), sum(n), max(n), n.count(0))
+
+
+def test_a_saved_suffix_array_is_used(spark, tmp_path, monkeypatch):
+    ref, targets = family(8, n=4)
+    c = collection(spark, ref + "acgacg", targets)
+    index.write(c, f"{tmp_path}/i")
+    monkeypatch.setattr(reference, "_places", {})
+    monkeypatch.setattr(reference, "suffix_array", None)  # building another one would fail
+    asked = [(0, "acg"), (1, "nn")]
+    got = index.load(spark, f"{tmp_path}/i").locate(spark.createDataFrame(asked, "pattern_id long, pattern string"))
+    assert sorted(map(tuple, got.collect())) == sorted(h[:3] for h in brute_hits(ref + "acgacg", targets, asked))
+
+
 def test_encodings(spark):
     ref, targets = family(4)
     c = collection(spark, ref, targets)
@@ -145,7 +187,7 @@ def test_encodings(spark):
 
 def test_helpers(spark):
     df = spark.createDataFrame([(i * 37 % 1000, i) for i in range(200)], "k long, v long").repartition(5)
-    got = {r.k: r.s for r in running_sums(df, "k", {"s": "v"}, span=50).collect()}
+    got = {r.k: r.s for r in running_sums(df, "k", {"s": "v"}, rows=50).collect()}
     total, want = 0, {}
     for k, v in sorted((i * 37 % 1000, i) for i in range(200)):
         want[k], total = total, total + v
@@ -182,11 +224,9 @@ def test_files_index_and_command_line(spark, tmp_path, capsys):
     with pytest.raises(ValueError, match="display only"):
         cli.main(["count", f"{tmp_path}/light"], spark, ["ac"])
     full = index.load(spark, f"{tmp_path}/full")
-    assert full.suffixes.count() == len(ref) + 1 and full.sizes().count() == 8 and index.load(spark, f"{tmp_path}/light").sizes().count() == 5
+    assert full.sizes().count() == 8 and index.load(spark, f"{tmp_path}/light").sizes().count() == 5
     files = factor_files.encode(O.parse(read_files(spark, paths)), full.ref)
-    for r in files.collect():
-        (tmp_path / "fac").mkdir(exist_ok=True)
-        (tmp_path / "fac" / f"{r.name}.fac").write_bytes(r.content)
+    assert factor_files.write(files, f"{tmp_path}/fac") == len(want) and {f.name for f in (tmp_path / "fac").iterdir() if f.suffix == ".fac"} == {f"{n}.fac" for n in want}
     back = factor_files.decode(factor_files.read(spark, f"{tmp_path}/fac"), full.ref)
     assert sorted(r.seq for r in back.collect()) == sorted(t.lower() for t in want.values())
 
