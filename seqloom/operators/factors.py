@@ -183,6 +183,47 @@ def code_strings(factors: DataFrame, ref_len: int) -> DataFrame:
     return factors.where("pos is not null").select("seq_id", "fac_no", symbols.fixed_binary(F.col("pos"), width).alias("pos_bits"), symbols.rice(F.col("len"), symbols.LENGTH_DIVISOR).alias("len_bits"))
 
 
+def symbols_at(rows: DataFrame, ref: bytes) -> DataFrame:
+    """Adds ``symbol``: the one at ``offset`` in the factor (pos, len)."""
+    shared = rows.sparkSession.sparkContext.broadcast(ref)
+    names = [*rows.columns, "symbol"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = shared.value
+        for batch in batches:
+            cells = zip(*(batch.column(names.index(n)).to_pylist() for n in ("pos", "len", "offset")), strict=True)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([kernels.tail_of(r, p, k, k - o)[:1].decode() for p, k, o in cells], pa.string())], names)
+
+    return rows.mapInArrow(run, rows.select("*", F.lit("").alias("symbol")).schema)
+
+
+def properties(c: Collection, parsed: DataFrame) -> DataFrame:
+    """Per sequence: symbols, runs of n, gaps between factors, factors that read otherwise than the sequence, and factors
+    that could be longer. Found from the sequences by plain search in the reference sequence, not by its suffix array."""
+    shared = c.spark.sparkContext.broadcast(c.ref)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = shared.value
+        for batch in batches:
+            out = []
+            for text, pos, size, start in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3, 4)), strict=True):
+                text, at = text.encode("ascii"), 0
+                runs = gaps = wrong = longer = 0
+                for p, k, a in zip(pos, size, start, strict=True):
+                    own, after = text[a : a + k], text[a + k : a + k + 1]
+                    runs += p == len(r)
+                    gaps += a != at
+                    wrong += kernels.text_of(r, p, k) != own
+                    longer += after == b"n" if p == len(r) else after not in (b"", b"n") and (own + after in r) or (p < 0 and own in r)
+                    at = a + k
+                out.append((len(text), runs, gaps + (at != len(text)), wrong, longer))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([o[k] for o in out], pa.int64()) for k in range(5))], names)
+
+    names = ["seq_id", "len", "n_runs", "n_gaps", "n_wrong", "n_longer"]
+    rows = c.targets.select("seq_id", F.lower("seq").alias("seq")).join(parsed.select("seq_id", "pos", "size", "start"), "seq_id")
+    return rows.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
 def round_trip(c: Collection, parsed: DataFrame) -> DataFrame:
     """One row: sequences, symbols, and sequences that do not come back as they were."""
     back = expand(parsed, c.ref).select("seq_id", F.sha2("seq", 256).alias("after"))

@@ -7,8 +7,8 @@ is found by one of these equi-joins between keys of the patterns and keys of the
 
 * ``in_factor``: an occurrence of the pattern in the reference sequence and a factor that contains it, by bins of positions;
 * ``border``: the longer part of a split, by the places where it occurs and where the factor behind the border starts, or the factor
-  before it ends; the shorter part is compared;
-* ``chain``: the position and length of the first factor of the rest's parse; the rest is compared;
+  before it ends, with the symbol on the other side; the shorter part is compared;
+* ``chain``: the positions and lengths of the first factors of the rest's parse, up to three of them, with the symbol before; the rest is compared;
 * ``run``: a pattern of n and a run of n.
 
 Factors whose keys no pattern asks for are passed over before the join, as long as the keys of the patterns are few
@@ -30,7 +30,10 @@ from seqloom.sources import reference
 
 #: Positions that share a key of ``in_factor``.
 BIN = 64
-IN_FACTOR, STARTS, ENDS, CHAIN, RUN = range(5)
+IN_FACTOR, STARTS, ENDS, RUN, CHAIN = range(5)
+#: Kinds from ``CHAIN`` on have one factor more each.
+LINKS = 3
+KINDS = CHAIN + LINKS
 #: The place of a run of n as a key; literals have their negative positions.
 RUN_PLACE = -1
 MODES = {"complete": "true", "strict": "not meets_n and kind <= 2", "in_factor": f"not meets_n and kind = {IN_FACTOR}", "boundary": "not meets_n and kind in (1, 2)"}
@@ -70,14 +73,15 @@ def sides(ref: bytes, patterns: DataFrame) -> DataFrame:
             before, behind = pattern[:i], pattern[i:]
             pos, size = p.parse(behind)
             if len(pos) > 1:
-                yield CHAIN, np.array([chain_key(pos[0], size[0])]), i, none, before, behind
+                links = min(LINKS, len(pos) - 1)
+                yield CHAIN + links - 1, beside(chain_keys(np.array(pos[:links]), np.array(size[:links]))[links - 1], pattern[i - 1]), i, none, before, behind
             elif m - i >= i:
                 at = places(p, behind)
-                yield STARTS, at, i, at, before, b""
+                yield STARTS, beside(at, pattern[i - 1]), i, at, before, b""
             else:
                 at = places(p, before)
                 at = at + i * (at >= 0)
-                yield ENDS, at, i, at, b"", behind
+                yield ENDS, beside(at, pattern[i]), i, at, b"", behind
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = reference.parser(where)
@@ -95,9 +99,13 @@ def sides(ref: bytes, patterns: DataFrame) -> DataFrame:
 SIDES_NAMES = [x.split()[0] for x in SIDES.split(", ")]
 
 
-def chain_key(p, k):
-    """One key of a factor's position and length; equal keys are told apart by comparing the text."""
-    return p * 1_000_003 + k
+def chain_keys(p: np.ndarray, k: np.ndarray) -> list[np.ndarray]:
+    """For 1 .. ``LINKS`` factors the keys of each factor with those behind it; equal keys are told apart by comparing the text."""
+    one = p.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ k.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    out = [one]
+    for _ in range(1, LINKS):
+        out.append((out[-1][:-1] ^ (out[-1][:-1] >> np.uint64(29))) * np.uint64(0x165667B19E3779F9) ^ one[len(out) :])
+    return [x.view(np.int64) for x in out]
 
 
 FACTORS = "kind int, key long, seq_id long, at long, pos long, len long, prev_pos long, prev_len long, ahead string"
@@ -110,35 +118,45 @@ def keyed(parsed: DataFrame, ref: bytes, asked: DataFrame) -> DataFrame:
     wanted = None
     if keys.limit(2 * BROADCAST_ROWS + 1).count() <= 2 * BROADCAST_ROWS:
         got = keys.toArrow()
-        wanted = [np.sort(got["key"].to_numpy()[got["kind"].to_numpy() == kind]) for kind in range(5)]
-    longest = asked.where(F.col("kind") == CHAIN).agg(F.max("m")).first()[0] or 0
+        wanted = [np.sort(got["key"].to_numpy()[got["kind"].to_numpy() == kind]) for kind in range(KINDS)]
+    longest = asked.where(F.col("kind") >= CHAIN).agg(F.max("m")).first()[0] or 0
     shared, text = spark.sparkContext.broadcast(wanted), spark.sparkContext.broadcast(ref)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = text.value
         held = shared.value
+        symbols = np.frombuffer(r + b"n", np.uint8)
         for batch in batches:
-            for seq_id, pos, size, start in zip(batch.column(0).to_pylist(), *(batch.column(c) for c in (1, 2, 3)), strict=True):
-                p, k, at = (np.asarray(x.values) for x in (pos, size, start))
-                if not len(p):
-                    continue
-                is_run = p == len(r)
-                place = np.where(is_run, RUN_PLACE, p)
-                end = np.where(is_run, RUN_PLACE, np.where(p < 0, p, p + k))
-                every = np.arange(len(p))
-                inner = every[~is_run]
-                low, high = p[inner] // BIN, np.where(p[inner] < 0, p[inner], p[inner] + k[inner] - 1) // BIN
-                bins = np.repeat(low, high - low + 1) + runs(high - low + 1)
-                for kind, key, row in ((IN_FACTOR, bins, np.repeat(inner, high - low + 1)), (STARTS, place[1:], every[1:]), (ENDS, end[:-1], every[1:]), (CHAIN, chain_key(p, k)[1:], every[1:]), (RUN, np.zeros(int(is_run.sum()), np.int64), every[is_run])):
-                    if held is not None:
-                        at_key = np.minimum(np.searchsorted(held[kind], key), max(len(held[kind]) - 1, 0))
-                        met = held[kind][at_key] == key if len(held[kind]) else np.zeros(len(key), bool)
-                        key, row = key[met], row[met]
-                    for a in range(0, len(row), 1 << 14):
-                        own, n = row[a : a + (1 << 14)], len(row[a : a + (1 << 14)])
-                        ahead = [kernels.window(r, p, k, at, int(at[j]), min(int(at[j]) + longest, int(at[-1] + k[-1]))).decode() for j in own] if kind == CHAIN else [None] * n
-                        prev = np.maximum(own - 1, 0)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(key[a : a + n].astype(np.int64)), pa.array(np.full(n, seq_id, np.int64)), *(pa.array(x.astype(np.int64)) for x in (at[own], p[own], k[own], p[prev], k[prev])), pa.array(ahead, pa.string())], FACTORS_NAMES)
+            p, k, at = (batch.column(c).flatten().to_numpy() for c in (1, 2, 3))
+            sizes = np.diff(batch.column(1).offsets.to_numpy())
+            if not len(p):
+                continue
+            seq = np.repeat(batch.column(0).to_numpy(), sizes)
+            stop = np.repeat(np.cumsum(sizes), sizes)  # where the factors of a factor's sequence end
+            every = np.arange(len(p))
+            is_run = p == len(r)
+            place, end = np.where(is_run, RUN_PLACE, p), np.where(is_run, RUN_PLACE, np.where(p < 0, p, p + k))
+            inside = (p >= 0) & ~is_run
+            head = np.where(p < 0, -1 - p, symbols[np.clip(p, 0, len(r))])
+            tail = np.where(p < 0, -1 - p, symbols[np.where(inside, p + k - 1, len(r))])
+            inner = every[~is_run]
+            low, high = p[inner] // BIN, np.where(p[inner] < 0, p[inner], p[inner] + k[inner] - 1) // BIN
+            bins, of_bin = np.repeat(low, high - low + 1) + runs(high - low + 1), np.repeat(inner, high - low + 1)
+            later = every[1:][stop[1:] == stop[:-1]]  # factors with one before them
+            keys = [(IN_FACTOR, bins, of_bin), (STARTS, beside(place[later], tail[later - 1]), later), (ENDS, beside(end[later - 1], head[later]), later), (RUN, np.zeros(int(is_run.sum()), np.int64), every[is_run])]
+            for j, x in enumerate(chain_keys(p, k)):
+                own = later[later + j < stop[later]]
+                keys.append((CHAIN + j, beside(x[own], tail[own - 1]), own))
+            for kind, key, row in keys:
+                if held is not None:
+                    place_of = np.minimum(np.searchsorted(held[kind], key), max(len(held[kind]) - 1, 0))
+                    met = held[kind][place_of] == key if len(held[kind]) else np.zeros(len(key), bool)
+                    key, row = key[met], row[met]
+                for a in range(0, len(row), 1 << 14):
+                    own, n = row[a : a + (1 << 14)], len(row[a : a + (1 << 14)])
+                    ahead = [ahead_of(r, p, k, j, e, longest) for j, e in zip(own.tolist(), stop[own].tolist(), strict=True)] if kind >= CHAIN else [None] * n
+                    prev = np.maximum(own - 1, 0)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(key[a : a + n].astype(np.int64)), *(pa.array(x.astype(np.int64)) for x in (seq[own], at[own], p[own], k[own], p[prev], k[prev])), pa.array(ahead, pa.string())], FACTORS_NAMES)
 
     return parsed.select("seq_id", "pos", "size", "start").mapInArrow(run, FACTORS)
 
@@ -146,6 +164,21 @@ def keyed(parsed: DataFrame, ref: bytes, asked: DataFrame) -> DataFrame:
 FACTORS_NAMES = [x.split()[0] for x in FACTORS.split(", ")]
 
 
+def beside(keys: np.ndarray, symbol: np.ndarray | int) -> np.ndarray:
+    """Keys together with the symbol on the other side of the border."""
+    return keys * 8 + (symbol & 7)
+
+
+def ahead_of(ref: bytes, p: np.ndarray, k: np.ndarray, j: int, stop: int, most: int) -> str:
+    """The text from factor j on, at most so many symbols."""
+    out, left = [], most
+    while left > 0 and j < stop:
+        out.append(kernels.head_of(ref, int(p[j]), int(k[j]), left))
+        left -= int(k[j])
+        j += 1
+    return b"".join(out).decode()
+
+
 def runs(sizes: np.ndarray) -> np.ndarray:
     """0, 1, .. for each of the sizes."""
     return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -159,28 +192,30 @@ def hits(parsed: DataFrame, ref: bytes, patterns: DataFrame) -> DataFrame:
     n, inner = len(ref), F.col("kind") == IN_FACTOR
     length = F.when(F.col("pos") < 0, F.lit(1)).otherwise(F.col("len"))
     holds = (F.col("place") >= F.col("pos")) & (F.col("place") + F.col("m") <= F.col("pos") + length)
-    fits = (F.col("prev_len") >= F.col("i")) & ((F.col("kind") == CHAIN) | (F.col("len") >= F.col("m") - F.col("i")))
+    fits = (F.col("prev_len") >= F.col("i")) & ((F.col("kind") >= CHAIN) | (F.col("len") >= F.col("m") - F.col("i")))
     met = keyed(parsed, ref, asked).join(small(asked), ["kind", "key"])
     met = met.where(F.when(inner, holds).when(F.col("kind") == RUN, F.col("len") >= F.col("m")).otherwise(fits))
-    first = F.when(inner, F.col("at") + F.col("place") - F.col("pos")).otherwise(F.col("at") - F.col("i"))
+    first = F.when(inner, F.col("at") + F.col("place") - F.col("pos")).when(F.col("kind") == RUN, F.col("at")).otherwise(F.col("at") - F.col("i"))
     meets_n = (F.col("kind") == RUN) | (~inner & ((F.col("pos") == n) | (F.col("prev_pos") == n)))
-    sure = met.where(inner).select("pattern_id", "seq_id", first.alias("pos"), "kind", meets_n.alias("meets_n"))
-    in_runs = met.where(F.col("kind") == RUN).select("pattern_id", "seq_id", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("len") - F.col("m"))).alias("pos"), "kind", meets_n.alias("meets_n"))
+    more = F.when(F.col("kind") == RUN, F.col("len") - F.col("m")).otherwise(F.lit(0))
+    met = met.select("pattern_id", "seq_id", first.alias("first"), "kind", meets_n.alias("meets_n"), more.alias("more"), "pos", "len", "prev_pos", "prev_len", "ahead", "m", "i", "before", "behind")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = text.value
         for batch in batches:
-            same = []
-            for pos, size, prev_pos, prev_len, ahead, kind, m, i, before, behind in zip(*(c.to_pylist() for c in batch.columns[5:]), strict=True):
+            kinds = batch.column(3).to_numpy()
+            same = (kinds == IN_FACTOR) | (kinds == RUN)
+            open_ = np.flatnonzero(~same)
+            rows = batch.take(pa.array(open_))
+            for row, kind, pos, size, prev_pos, prev_len, ahead, m, i, before, behind in zip(open_.tolist(), kinds[open_].tolist(), *(c.to_pylist() for c in rows.columns[6:]), strict=True):
                 ok = kind == ENDS or kernels.tail_of(r, prev_pos, prev_len, i) == before.encode()
                 if ok and kind == ENDS:
                     ok = kernels.head_of(r, pos, size, m - i) == behind.encode()
-                same.append(ok and (kind != CHAIN or ahead.startswith(behind)))
-            yield pa.RecordBatch.from_arrays(batch.columns[:5], ["pattern_id", "seq_id", "first", "k", "meets_n"]).filter(pa.array(same, pa.bool_()))
+                same[row] = ok and (kind < CHAIN or ahead.startswith(behind))
+            yield pa.RecordBatch.from_arrays(batch.columns[:6], ["pattern_id", "seq_id", "first", "kind", "meets_n", "more"]).filter(pa.array(same))
 
-    open_ = met.where(F.col("kind").isin(STARTS, ENDS, CHAIN)).select("pattern_id", "seq_id", first.alias("first"), F.col("kind").alias("k"), meets_n.alias("meets_n"), "pos", "len", "prev_pos", "prev_len", "ahead", "kind", "m", "i", "before", "behind")
-    checked = open_.mapInArrow(compare, "pattern_id long, seq_id long, first long, k int, meets_n boolean")
-    return sure.unionByName(in_runs).unionByName(checked.withColumnsRenamed({"first": "pos", "k": "kind"}))
+    checked = met.mapInArrow(compare, "pattern_id long, seq_id long, first long, kind int, meets_n boolean, more long")
+    return checked.select("pattern_id", "seq_id", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("more"))).alias("pos"), "kind", "meets_n")
 
 
 def in_reference(ref: bytes, patterns: DataFrame) -> DataFrame:

@@ -23,7 +23,9 @@ from seqloom.streaming import requests as streams
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
+#: Patterns of a few symbols; pieces of the targets of the ``LENGTHS`` are added to them.
 PATTERNS = ((0, "acgtgt"), (1, "nn"), (2, "gagag"), (3, "TCTGACG"), (4, "xa"), (5, "ctctctctc"))
+LENGTHS, PIECES = (10, 23, 49, 82, 100), 50
 
 #: The reference sequence and the targets of the documents table, for the SQL side.
 WITH = f"""with docs as (select doc_id, regexp_replace(translate(coalesce(text, ''), '{S.LETTERS}', '{S.AS_BASES}'), '[^acgt]', 'n', 'g') as seq
@@ -32,7 +34,9 @@ head as (select doc_id, seq from docs order by doc_id limit {HEAD}),
 ref as (select coalesce(string_agg(seq, 'n' order by doc_id), '') as ref from head),
 targets as (select doc_id + 1 as seq_id, 'doc' || doc_id as name, seq, cast(length(seq) as bigint) as len from docs where doc_id not in (select doc_id from head)),
 sequences as (select 0 as seq_id, 'reference' as name, ref as seq, cast(length(ref) as bigint) as len from ref union all select * from targets),
-patterns(pattern_id, pattern) as (values {", ".join(f"({i}, '{p}')" for i, p in PATTERNS)}),
+drawn as (select * from targets where len >= {max(LENGTHS)} order by (seq_id * 2654435761) % 4294967296, seq_id limit {PIECES}),
+patterns(pattern_id, pattern) as (select * from (values {", ".join(f"({i}, '{p}')" for i, p in PATTERNS)})
+  union all select 1000 + 8 * seq_id + k, substring(seq, (seq_id * 7919 + m * 104729) % (len - m + 1) + 1, m) from drawn, (values {", ".join(f"({k}, {m})" for k, m in enumerate(LENGTHS))}) as l(k, m)),
 requests as (select 2 * seq_id + k as req_id, seq_id, (seq_id * 7919 + k * 104729) % (len + 1) as "start",
   least(len, (seq_id * 7919 + k * 104729) % (len + 1) + seq_id % 91) as "end" from sequences, (values (0), (1)) as t(k)) """
 
@@ -51,8 +55,17 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
+def drawn_patterns(c: Collection) -> DataFrame:
+    """Pieces of the targets, for a workload: ``PIECES`` sequences by a hash of their number, a piece of each length from each."""
+    rows = c.targets.withColumn("len", F.length("seq").cast("long")).where(F.col("len") >= max(LENGTHS))
+    rows = rows.orderBy((F.col("seq_id") * 2654435761) % 4294967296, "seq_id").limit(PIECES)
+    rows = rows.select("seq_id", "seq", "len", F.posexplode(F.array(*map(F.lit, LENGTHS))).alias("k", "m"))
+    start = (F.col("seq_id") * 7919 + F.col("m") * 104729) % (F.col("len") - F.col("m") + 1)
+    return rows.select((1000 + 8 * F.col("seq_id") + F.col("k")).alias("pattern_id"), F.substring("seq", (start + 1).cast("int"), F.col("m")).alias("pattern"))
+
+
 def patterns(c: Collection) -> DataFrame:
-    return c.spark.createDataFrame(list(PATTERNS), "pattern_id long, pattern string")
+    return c.spark.createDataFrame(list(PATTERNS), "pattern_id long, pattern string").unionByName(drawn_patterns(c))
 
 
 def requests(c: Collection) -> DataFrame:
@@ -112,17 +125,26 @@ def suffix_array(c):
     return index.suffix_table(c.spark, c.ref)
 
 
-@query("""select p.pattern_id, min(rank) as lo, max(rank) as hi from patterns p left join (select row_number() over (order by substring(ref, i + 1)) - 1 as rank, ref, i
-from (select ref, unnest(range(length(ref) + 1)) as i from ref)) s on substring(ref, i + 1, length(pattern)) = lower(pattern) group by p.pattern_id""")
+@query("select 1")
 def sa_interval(c):
     return search.intervals(c.ref, patterns(c))
 
 
+ORACLE_SQL["sa_interval"] = WITH + """, heads as (select row_number() over (order by substring(ref, i + 1)) - 1 as rank, substring(ref, i + 1, 100) as head from (select ref, unnest(range(length(ref) + 1)) as i from ref))
+select p.pattern_id, min(rank) as lo, max(rank) as hi from patterns p left join heads on starts_with(head, lower(pattern)) and pattern <> '' group by p.pattern_id"""
+
+
 @query()
 def factorize(c):
     return O.numbered(written(O.parse(c), "parsed"), len(c.ref))
 
 
+@query("""select seq_id, len, cast(len(regexp_extract_all(seq, 'n+')) as bigint) as n_runs, cast(0 as bigint) as n_gaps, cast(0 as bigint) as n_wrong, cast(0 as bigint) as n_longer from targets""")
+def parse_properties(c):
+    """What makes a parse right, for each sequence: no gaps, every factor reads as the sequence does, none could be longer."""
+    return O.properties(c, written(O.parse(c), "parsed"))
+
+
 @query()
 def factor_stats(c):
     return O.statistics(O.parse(c), len(c.ref))
@@ -163,8 +185,12 @@ def display_target(c):
     return search.display(O.parse(c), c.ref, requests(c))
 
 
-HITS = """hits as (select pattern_id, seq_id, unnest(list_filter(range(len - length(pattern) + 1), lambda i: substring(seq, i + 1, length(pattern)) = lower(pattern))) as pos
-  from patterns, sequences where regexp_full_match(lower(pattern), '[acgnt]+')) """
+#: What stands at each place, cut from pieces of the sequences, as cutting from long texts is slow.
+PLACES = f"""pieces as (select seq_id, 1000 * c as base, least(len - 1000 * c, 1000) as n, substring(seq, 1000 * c + 1, 1000 + {max(LENGTHS)}) as piece
+  from (select seq_id, seq, len, unnest(range((len + 999) // 1000)) as c from sequences)),
+places as (select seq_id, base + i as pos, substring(piece, i + 1, {max(LENGTHS)}) as head from (select seq_id, base, piece, unnest(range(n)) as i from pieces)) """
+HITS = PLACES + f""", hits as (select pattern_id, seq_id, pos from patterns join places on starts_with(head, lower(pattern)) where length(pattern) < {min(LENGTHS)} and regexp_full_match(lower(pattern), '[acgnt]+')
+  union all select pattern_id, seq_id, pos from patterns join places on substring(pattern, 1, {min(LENGTHS)}) = substring(head, 1, {min(LENGTHS)}) where length(pattern) >= {min(LENGTHS)} and starts_with(head, pattern)) """
 
 
 @query("select 1")
@@ -183,6 +209,17 @@ def count_patterns(c):
 ORACLE_SQL["count_patterns"] = WITH + ", " + HITS + "select pattern_id, pattern, count(pos) as n from patterns left join hits using (pattern_id) group by all"
 
 
+@query("select 1")
+def workload_stats(c):
+    """What a run of the patterns amounts to."""
+    asked = written(patterns(c), "patterns")
+    return search.workload(asked, search.count(O.parse(c), c.ref, asked))
+
+
+ORACLE_SQL["workload_stats"] = WITH + ", " + HITS + """, counted as (select pattern_id, length(pattern) as m, count(pos) as n from patterns left join hits using (pattern_id) group by all)
+select count(*) as n_queries, cast(sum(m) as bigint) as n_symbols, cast(sum(n) as bigint) as n_hits, max(n) as most_hits, count(*) filter (n = 0) as n_without from counted"""
+
+
 @query("select 1")
 def count_lines(c):
     """Counts as the console shows them."""
@@ -195,12 +232,12 @@ ORACLE_SQL["count_lines"] = WITH + ", " + HITS + "select pattern || ' : ' || cou
 @query("select 1")
 def count_by_regex(c):
     """Overlapping counts on plain sequences, by look-ahead."""
-    usable = [(i, p.lower()) for i, p in PATTERNS if p and not set(p.lower()) - set(S.ALPHABET)]
+    usable = [(i, p.lower()) for i, p in PATTERNS if not set(p.lower()) - set(S.ALPHABET)]
     sums = c.sequences().agg(*[F.sum(F.regexp_count("seq", F.lit(f"(?={p})"))).cast("long").alias(f"n{i}") for i, p in usable])
     return sums.select(F.inline(F.array(*[F.struct(F.lit(i).cast("long").alias("pattern_id"), F.col(f"n{i}").alias("n")) for i, _ in usable])))
 
 
-ORACLE_SQL["count_by_regex"] = WITH + ", " + HITS + "select pattern_id, count(pos) as n from patterns left join hits using (pattern_id) where pattern_id <> 4 group by pattern_id"
+ORACLE_SQL["count_by_regex"] = WITH + ", " + HITS + "select pattern_id, count(pos) as n from patterns left join hits using (pattern_id) where pattern_id < 1000 and pattern_id <> 4 group by pattern_id"
 
 
 @query()
@@ -215,12 +252,12 @@ def locate_strict(c):
 
 @query()
 def locate_in_factor(c):
-    return search.in_factors(O.exploded(O.parse(c), len(c.ref)), c.ref, patterns(c))
+    return search.in_targets(O.parse(c), c.ref, patterns(c), "in_factor")
 
 
 @query()
 def locate_boundary(c):
-    return search.across(O.exploded(O.parse(c), len(c.ref)), c.ref, patterns(c))
+    return search.in_targets(O.parse(c), c.ref, patterns(c), "boundary")
 
 
 @query()
@@ -232,6 +269,16 @@ def rank_factor(c):
     return rows.select("req_id", "seq_id", at.cast("long").alias("fac_no"), F.element_at("starts", at + 1).alias("seq_start"))
 
 
+@query("""select req_id, substring(seq, "start" + 1, 1) as symbol from requests join targets using (seq_id) where "start" < len""")
+def rank_symbol(c):
+    """The first symbol of each requested window of a target, from the factor that holds it."""
+    parsed = written(O.parse(c), "parsed")
+    at = F.size(F.filter("starts", lambda s: s <= F.col("a")))
+    rows = parsed.select("seq_id", "len", "pos", "size", F.col("start").alias("starts")).join(requests(c).select("req_id", "seq_id", F.col("start").alias("a")), "seq_id").where("a < len")
+    one = rows.select("req_id", F.element_at("pos", at).alias("pos"), F.element_at("size", at).alias("len"), (F.col("a") - F.element_at("starts", at)).alias("offset"))
+    return O.symbols_at(one, c.ref).select("req_id", "symbol")
+
+
 @query()
 def select_factor(c):
     """The start of the k-th factor of each sequence, k from its number."""
@@ -271,6 +318,18 @@ def rising_factors(c):
     return O.rising(O.parse(c), len(c.ref))
 
 
+@query("select seq_id, cast(0 as bigint) as n_falling, cast(0 as bigint) as n_unlike from targets")
+def rising_properties(c):
+    """For each sequence: chosen factors that do not rise, and those whose position does not come back from the deltas."""
+    parsed = written(O.parse(c), "parsed")
+    back = O.restore_rising(O.rising(parsed, len(c.ref)), O.exploded(parsed, len(c.ref)))
+    from pyspark.sql import Window
+
+    back = back.withColumn("before", F.lag("pos").over(Window.partitionBy("seq_id").orderBy("fac_no")))
+    found = back.groupBy("seq_id").agg(F.count_if(F.col("before") >= F.col("pos")).alias("n_falling"), F.count_if(F.col("pos") != F.col("restored")).alias("n_unlike"))
+    return parsed.select("seq_id").join(found, "seq_id", "left").na.fill(0)
+
+
 @query()
 def rising_restored(c):
     parsed = written(O.parse(c), "parsed")
