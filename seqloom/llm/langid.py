@@ -5,9 +5,11 @@ loss-weighted decoding picks the codeword that the margins fit best. The word of
 others' as a deterministic search makes it, so single wrong bits are outvoted. A text whose second-best language fits
 nearly as well is flagged as ambiguous.
 
-The classifiers are fitted on a sample of about ``PER_LANG`` labelled rows of each language, picked by a hash of the
+The weight of a bit in a language's loss is how well it was predicted for rows of that language that a first fit had not seen.
+
+The classifiers are fitted on a sample of about ``PER_LANG`` labelled rows of each language, and ``SAMPLE`` rows in all, picked by a hash of the
 id: a documented bound. All texts are read whole, for fitting and for prediction. Null texts and texts without a letter
-are ``und`` with score 0. With one learned language every text with a letter gets it, with none every text is ``und``.
+are ``und`` with score 0. Rows with a null id are identified but not learned from. With one learned language every text with a letter gets it, with none every text is ``und``.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 from seqloom.llm.common import single_threaded, slices
 
 PER_LANG = 500
+SAMPLE = 20_000
+UNSEEN = 5
 BITS = 11
 WIDTH = 1 << BITS
 PIECE = 1 << 20
@@ -101,25 +105,38 @@ def fit(x: np.ndarray, langs: list[str], rounds: int = 150, rate: float = 20.0,
     code = codewords(len(names)) if len(names) > 1 else np.ones((len(names), 1))
     target = code[y].astype(np.float32)
     share = (1.0 / np.bincount(y)[y] / len(names)).astype(np.float32)[:, None] if len(y) else np.zeros((0, 1), np.float32)
-    w = np.zeros((WIDTH, code.shape[1]), np.float32)
-    b = np.zeros(code.shape[1], np.float32)
-    vw, vb = w.copy(), b.copy()
-    for _ in range(rounds if len(names) > 1 else 0):
-        g = share * -target / (1 + np.exp(np.clip((x @ w + b) * target, -30, 30)))
-        vw, vb = 0.9 * vw - rate * (x.T @ g + ridge * w), 0.9 * vb - rate * g.sum(0)
-        w, b = w + vw, b + vb
-    right = (x @ w + b) * target > 0 if len(y) else np.zeros((0, code.shape[1]), bool)
-    trust = np.array([right[y == k].mean(0) for k in range(len(names))]) if len(names) else np.ones((0, 1))
-    return Model(names, code, w, b, np.maximum(trust, 0.05))
+
+    def steps(x: np.ndarray, target: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = np.zeros((WIDTH, code.shape[1]), np.float32)
+        b = np.zeros(code.shape[1], np.float32)
+        vw, vb = w.copy(), b.copy()
+        for _ in range(rounds if len(names) > 1 else 0):
+            g = share * -target / (1 + np.exp(np.clip((x @ w + b) * target, -30, 30)))
+            vw, vb = 0.9 * vw - rate * (x.T @ g + ridge * w), 0.9 * vb - rate * g.sum(0)
+            w, b = w + vw, b + vb
+        return w, b
+
+    trust = np.ones(code.shape)
+    unseen = np.arange(len(y)) % UNSEEN == 0
+    if len(names) > 1:
+        w, b = steps(x[~unseen], target[~unseen], share[~unseen])
+        right = (x[unseen] @ w + b) * target[unseen] > 0
+        for k in range(len(names)):
+            own = right[y[unseen] == k]
+            # one right and one wrong prediction are added, so that few rows give no certainty
+            trust[k] = (own.sum(0) + 1) / (len(own) + 2)
+    w, b = steps(x, target, share)
+    return Model(names, code, w, b, np.maximum(2 * trust - 1, 0.05))
 
 
 def learn(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> Model:
     """Fit on about ``per_lang`` rows of each language among the rows for which ``trains`` holds."""
     single_threaded()
-    rows = docs.where(trains & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = docs.where(trains & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = {r[0]: r[1] for r in rows.groupBy(F.col(lang_col)).count().collect()}
     if not sizes:
         return fit(np.zeros((0, WIDTH), np.float32), [])
+    per_lang = max(1, min(per_lang, SAMPLE // len(sizes)))
     limit = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(HASHES, int(HASHES * per_lang / n) + 1))])
     hashed = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(HASHES))
     picked = rows.where(hashed < limit[F.col(lang_col)]).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))

@@ -32,8 +32,10 @@ def test_features_of_pieces(monkeypatch):
 def test_held_out(spark):
     df = spark.createDataFrame(corpus(), "doc_id long, text string, lang string").repartition(3)
     model = langid.learn(df, crc_mod("doc_id", 4) != 2)
-    odd = spark.createDataFrame([(900, None), (901, ""), (902, "12 34 !"), (903, "der die und " * 30000), (903, "der die und " * 30000)], "doc_id long, text string").withColumn("score", F.lit("x"))
-    got = {r.doc_id: r for r in langid.identify(df.select("doc_id", "text").unionByName(odd.drop("score")), model).collect()}
+    odd = spark.createDataFrame([(900, None), (901, ""), (902, "12 34 !"), (903, "der die und " * 30000), (903, "der die und " * 30000)], "doc_id long, text string")
+    clashing = df.select("doc_id", "text").unionByName(odd).selectExpr("*", "'x' as score", "1 as id", "2 as lang_pred", "'y' as ambiguous")
+    got = {r.doc_id: r for r in langid.identify(clashing, model).collect()}
+    assert langid.clean(clashing, model).columns == clashing.columns
     assert all(got[i].lang_pred == lang for i, _, lang in corpus())
     assert [got[i].lang_pred for i in (900, 901, 902, 903)] == ["und", "und", "und", "bb"]
     assert all(0 <= r.score <= 1 for r in got.values()) and not got[903].ambiguous
@@ -46,3 +48,20 @@ def test_degenerate_training(spark):
     none = langid.identify(df, langid.learn(df.limit(0), F.lit(True))).collect()
     assert {r.lang_pred for r in none} == {"und"}
     assert langid.identify(df.limit(0), langid.learn(df, F.lit(True))).collect() == []
+
+
+def test_null_ids_are_identified_but_not_learned(spark):
+    df = spark.createDataFrame([*corpus(), *[(None, "der die und " * 5, "aa")] * 60], "doc_id long, text string, lang string")
+    model = langid.learn(df, F.lit(True))
+    assert {r.lang_pred for r in langid.identify(df, model).where("doc_id is null").collect()} == {"bb"}
+
+
+def test_trust_comes_from_unseen_rows():
+    """A bit that is right on the rows of its fit alone weighs little."""
+    rng = np.random.default_rng(4)
+    x = np.sqrt(rng.dirichlet(np.full(langid.WIDTH, 0.01), 200)).astype(np.float32)
+    model = langid.fit(x, [["aa", "bb"][i % 2] for i in range(200)])
+    assert (model.trust < 0.7).all()
+    sure = langid.fit(np.array([langid.features(t) for _, t, _ in corpus()]), [lang for _, _, lang in corpus()])
+    assert (sure.trust > 0.75).all()
+    assert langid.SAMPLE // 200 < langid.PER_LANG
