@@ -42,8 +42,10 @@ HOT = 48
 STARS = 4
 HOT_ROUNDS = 1
 CACHE = 100_000
-FILTER_BITS = 26
-TOKEN_BYTES = 5
+#: Bits of the filter of shared tokens at most, and for each token at least; with more tokens there is none.
+FILTER_BITS = 28
+BITS_A_TOKEN = 4
+TOKEN_BYTES = 8
 #: Fixed odd multipliers, one for each place in a shingle.
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
@@ -94,14 +96,11 @@ def kept(n: int) -> int:
 
 
 def pack(tokens: np.ndarray) -> bytes:
-    """The leading bytes of rising hashes."""
-    return np.ascontiguousarray(tokens.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES]).tobytes()
+    return tokens.tobytes()
 
 
 def unpack(raw: bytes) -> np.ndarray:
-    wide = np.zeros((len(raw) // TOKEN_BYTES, 8), np.uint8)
-    wide[:, 8 - TOKEN_BYTES :] = np.frombuffer(raw, np.uint8).reshape(-1, TOKEN_BYTES)
-    return wide.view(">u8").ravel().astype(np.int64)
+    return np.frombuffer(raw, np.int64)
 
 
 def class_of(s: np.ndarray) -> int:
@@ -110,7 +109,7 @@ def class_of(s: np.ndarray) -> int:
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
-    """From (doc_id, text): doc_id, n, sig (the class of equal sets, null for empty sets), pre (the least shingles)."""
+    """From (doc_id, text): doc_id, n, sig (the class of equal sets, null for empty sets), pre (the least shingles), t (a hash of the text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler()
@@ -121,13 +120,13 @@ def sets_of(docs: DataFrame) -> DataFrame:
                 n.append(len(s))
                 sig.append(class_of(s) if len(s) else None)
                 pre.append(pack(s[: kept(len(s))]) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(pre, pa.binary())], ["doc_id", "n", "sig", "pre"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(pre, pa.binary()), batch.column(2)], ["doc_id", "n", "sig", "pre", "t"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, sig long, pre binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInArrow(run, "doc_id long, n long, sig long, pre binary, t long")
 
 
 def entries(sets: DataFrame, most: int | None = None, bits: np.ndarray | None = None) -> DataFrame:
-    """token, sig, n and rank r of the kept shingles; of the first ``most``, or of those that the filter may hold."""
+    """token, sig, n and rank r of the kept shingles; of the first ``most``, or of those that the filter, if any, may hold."""
     shared = None if bits is None else sets.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +136,7 @@ def entries(sets: DataFrame, most: int | None = None, bits: np.ndarray | None =
             sizes = [len(x) for x in parts]
             token, row, r = np.concatenate(parts), np.repeat(np.arange(len(sizes)), sizes), np.concatenate([np.arange(k) for k in sizes])
             if shared is not None:
-                at = place(token)
+                at = place(token, len(shared.value))
                 held = (shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
                 token, row, r = token[held], row[held], r[held]
             yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(sig[row]), pa.array(n[row]), pa.array(r.astype(np.int64))], ["token", "sig", "n", "r"])
@@ -157,24 +156,28 @@ def parities(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def place(token: np.ndarray) -> np.ndarray:
-    """A token's bit in the filter."""
-    return ((token.astype(np.uint64) * ODD[1]) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+def place(token: np.ndarray, words: int) -> np.ndarray:
+    """A token's bit in a filter of so many 64-bit words, a power of two."""
+    return ((token.astype(np.uint64) * ODD[1]) >> np.uint64(64 - 6 - (words.bit_length() - 1))).astype(np.int64)
 
 
-def token_filter(tokens: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size, like that of a Bloom join: a set bit for each token of the table."""
+def token_filter(tokens: DataFrame) -> np.ndarray | None:
+    """A bitmap like that of a Bloom join, with a set bit for each token and about 16 bits a token; none for too many tokens."""
+    n = tokens.count()
+    if n * BITS_A_TOKEN > 1 << FILTER_BITS:
+        return None
+    words = 1 << max(0, min(FILTER_BITS, (16 * n).bit_length()) - 6)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = place(batch.column(0).to_numpy())
+            at = place(batch.column(0).to_numpy(), words)
             word, inverse = np.unique(at >> 6, return_inverse=True)
             bits = np.zeros(len(word), np.uint64)
             np.bitwise_or.at(bits, inverse, np.uint64(1) << (at & 63).astype(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bits.view(np.int64))], ["word", "bits"])
 
     got = tokens.select("token").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    out = np.zeros(words, np.uint64)
     out[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
     return out
 
@@ -274,9 +277,11 @@ def star_pairs(sets: DataFrame) -> DataFrame:
 
 def shared_entries(sets: DataFrame) -> DataFrame:
     """token, sig, n, r of the kept shingles that more than one document has (and a few more that the filter lets pass)."""
-    often = entries(sets).groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
+    often = materialize(entries(sets).groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"), "jaccard-often")
     found = entries(sets, bits=token_filter(often)).groupBy("token", "sig", "n", "r").agg(F.count("*").alias("copies")).drop("copies")
-    return materialize(found, "jaccard-entries")
+    out = materialize(found, "jaccard-entries")
+    release(often)
+    return out
 
 
 def with_comp(shared: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -349,6 +354,11 @@ def candidate_pairs(docs: DataFrame, sets: DataFrame, shared: DataFrame, comp: D
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_shingles and component_id, the least id reachable by links."""
+    return linked(docs, id_col, text_col).select(F.col("doc_id").alias(id_col), "n_shingles", "component_id")
+
+
+def linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Per row: doc_id, t (a hash of the text), n_shingles and component_id."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sets = materialize(sets_of(docs), "jaccard-sets")
     links = verify(docs, sets, star_pairs(sets), "star")
@@ -371,11 +381,16 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     classes = classes.join(comp.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
     least = classes.groupBy("comp").agg(F.min("least").alias("component_id"))
     named = classes.join(least, "comp").select("sig", "component_id")
-    out = sets.select("doc_id", "n", "sig").join(named, "sig", "left")
-    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = sets.select("doc_id", "t", "n", "sig").join(named, "sig", "left")
+    return out.select("doc_id", "t", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with the least id of their component, with all their columns. Rows that share that id stay."""
-    gone = link(docs, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(maybe_broadcast(materialize(gone, "jaccard-gone")), id_col, "left_anti").select(*docs.columns)
+    """The rows of ``docs`` with the least id of their component, with all their columns.
+
+    It is decided by id and text, so of an id with several texts only those go that link to a smaller id. Rows that share
+    the least id of their component stay, and so do rows without an id.
+    """
+    gone = linked(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("_id"), F.col("t").alias("_t")).distinct()
+    named = docs.withColumn("_id", F.col(id_col).cast("long")).withColumn("_t", F.xxhash64(text_col))
+    return named.join(maybe_broadcast(materialize(gone, "jaccard-gone")), ["_id", "_t"], "left_anti").select(*docs.columns)

@@ -111,7 +111,7 @@ def test_empty_table_and_repeats(spark):
 
 def test_pack_round_trip():
     x = np.sort(np.random.default_rng(0).integers(0, 1 << 63, 500).astype(np.uint64) * np.uint64(2))
-    assert (jaccard.unpack(jaccard.pack(x)) == (x >> np.uint64(24)).astype(np.int64)).all()
+    assert (jaccard.unpack(jaccard.pack(x)) == x.view(np.int64)).all()
 
 
 def test_components(spark):
@@ -120,3 +120,22 @@ def test_components(spark):
     got = {r.node: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     want = roots({x for e in edges for x in e}, edges)
     assert got == {x: c for x, c in want.items() if any(x in e and e[0] != e[1] for e in edges)}
+
+
+def test_no_filter_for_too_many_tokens(spark, monkeypatch):
+    """Without the filter more entries are written, but the links are the same."""
+    monkeypatch.setattr(jaccard, "FILTER_BITS", 3)
+    assert jaccard.token_filter(spark.range(3).withColumnRenamed("id", "token")) is None
+    texts = [(i, " ".join(f"w{(i // 3) * 100 + k}" for k in range(40)) + f" end{i}") for i in range(12)]
+    got = {r.doc_id: r.component_id for r in jaccard.link(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {i: i // 3 * 3 for i in range(12)}
+
+
+def test_representatives_go_by_id_and_text(spark):
+    """Of an id with two texts only the one that links to a smaller id goes; rows without an id stay."""
+    page = " ".join(f"w{k}" for k in range(30))
+    rows = [(1, page), (2, page), (2, "quite another text of its own words"), (3, page + " x"), (None, page), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "7 as t", "8 as sig", "9 as n")
+    kept = jaccard.representatives(df)
+    assert kept.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([rows[0], rows[2], rows[4], rows[5]], key=str)
