@@ -361,20 +361,22 @@ def linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Per row: doc_id, t (a hash of the text), n_shingles and component_id."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sets = materialize(sets_of(docs), "jaccard-sets")
-    links = verify(docs, sets, star_pairs(sets), "star")
+    # texts are read again by id, so classes are compared by their rows with one
+    known = sets.where("doc_id is not null")
+    links = verify(docs, known, star_pairs(known), "star")
     comp = materialize(components(links), "jaccard-comp")
-    shared = shared_entries(sets)
+    shared = shared_entries(known)
     for _ in range(HOT_ROUNDS):
         pairs = materialize(hot_star_pairs(shared, comp), "hot-pairs")
         if pairs.isEmpty():
             break
-        found = verify(docs, sets, pairs, "hot")
+        found = verify(docs, known, pairs, "hot")
         if found.isEmpty():
             break
         links = links.unionByName(found)
         comp = materialize(components(links), "jaccard-comp")
     scratch = [shared]
-    found = verify(docs, sets, candidate_pairs(docs, sets, shared, comp, scratch), "prefix")
+    found = verify(docs, known, candidate_pairs(docs, known, shared, comp, scratch), "prefix")
     release(*scratch)
     comp = materialize(components(links.unionByName(found)), "jaccard-comp")
     classes = sets.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"))
