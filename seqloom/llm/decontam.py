@@ -16,7 +16,7 @@ for the condition are looked up as they are.
 
 Items are gathered in groups of bounded size; with more items than one group holds, each group takes a pass over the
 documents. Null or empty texts and items, and items without a character that is not white space, match nothing. Items
-with equal texts are all reported. Repeated document ids count as one.
+with equal texts are all reported. Repeated document ids count as one, and so do rows with a null id; items with a null id match nothing.
 """
 
 from __future__ import annotations
@@ -242,6 +242,16 @@ class Finder:
         return out
 
 
+_last: list = [None, None]
+
+
+def finder_of(group: list[tuple[int, str]]) -> Finder:
+    """The finder of a group, made once in a worker for the group that it met last."""
+    if _last[0] is not group:
+        _last[:] = group, Finder(group)
+    return _last[1]
+
+
 def stretches(starts: list[int], span: int) -> Iterator[tuple[int, int]]:
     """The union of the spans from each start, as intervals."""
     lo = hi = None
@@ -276,7 +286,7 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
         shared = spark.sparkContext.broadcast(group)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            finder = Finder(shared.value)
+            finder = finder_of(shared.value)
             for batch in slices(batches, 1000):
                 got = finder.find(batch.column(1).to_pylist())
                 ids = batch.column(0).take(pa.array([g[0] for g in got], pa.int64()))
@@ -296,7 +306,7 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: s
         shared = docs.sparkSession.sparkContext.broadcast(group)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            finder = Finder(shared.value)
+            finder = finder_of(shared.value)
             for batch in slices(batches, 1000):
                 leaks = {g[0] for g in finder.find(batch.column(at).to_pylist())}
                 yield batch.take(pa.array([i for i in range(batch.num_rows) if i not in leaks], pa.int64()))

@@ -73,3 +73,46 @@ def test_beam_is_never_worse_than_greedy():
         return ((x - sum(books.words[s][codes[:, s]] for s in range(4))) ** 2).sum(1).mean()
 
     assert error(8) <= error(1) + 1e-6
+
+
+def test_clusters_need_few_cells(spark):
+    """Where rows lie in clusters, a query probes a small part of the cells and meets a small part of the blocks."""
+    rng = np.random.default_rng(5)
+    centres = 3 * rng.normal(size=(200, 16))
+    vecs = {i: (centres[i % 200] + 0.15 * rng.normal(size=16)).astype(np.float32) for i in range(6000)}
+    df = frame(spark, vecs)
+    index = ann.build(df, block=150)
+    assert index.count >= 40 and index.cells.probes <= 40
+    got, want = answers(ann.search(index, df.where(ann.is_query()), 20)), brute(vecs, range(0, 6000, 20), 20)
+    assert np.mean([len({j for j, _ in got[i]} & {j for j, _ in want[i]}) / 20 for i in want]) > 0.9
+    assert index.blocks.selectExpr("sum(length(ids))").first()[0] == 8 * len(vecs)
+
+
+def test_cells_hold_every_row_once():
+    """Large cells have blocks of their own, small ones share some, and no block is larger than asked for."""
+    words = np.random.default_rng(0).normal(size=(2, 4, 3)).astype(np.float32)
+    counts = [(c, n, 2.0 * n) for c, n in ((0, 10), (1, 95), (2, 1000), (5, 30), (6, 30), (7, 60), (15, 250))]
+    cells, blocks = ann.deal(counts, words, 100)
+    load = np.zeros(blocks)
+    for c, n, _ in counts:
+        load[cells.first[c] : cells.first[c] + cells.parts[c]] += n / cells.parts[c]
+    assert (load > 0).all() and load.max() <= 100 and cells.size[2] == 2 and cells.size[3] == 0
+    x = np.random.default_rng(1).normal(size=(500, 3)).astype(np.float32)
+    cell, ids = cells.of(x), np.arange(500)
+    block = cells.block(cell, ids)
+    assert ((block >= cells.first[cell]) & (block < cells.first[cell] + cells.parts[cell])).all()
+    order = cells.order(x)
+    assert order.shape[1] == len(counts) and set(order.ravel()) == {c for c, _, _ in counts}
+
+
+def test_rows_that_share_an_id(spark):
+    """Of them the least vector counts, wherever their cells are; rows with a null id take no part."""
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(200)]
+    rows += [(i, [float(x) for x in rng.normal(size=4)]) for i in range(0, 200, 10)] + [(None, [9.0, 9.0, 9.0, 9.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    least = {}
+    for i, v in rows[:-1]:
+        v = np.array(v, np.float32)
+        least[i] = v if i not in least or tuple(v) < tuple(least[i]) else least[i]
+    assert answers(ann.search(ann.build(df), df.where(ann.is_query()), 20)) == brute(least, range(0, 200, 20), 20)

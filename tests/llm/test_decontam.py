@@ -52,6 +52,36 @@ def test_recall_within_the_limit():
             assert slow_distance(decontam.normal(items[i][1]), decontam.normal(texts[t]))[0] == d
 
 
+HAN = "".join(map(chr, range(0x4E00, 0x4E00 + 900)))
+CYRILLIC = "абвгдеёжзийклмнопрстуфхцчшщъыьэюя"
+
+
+def written(rng, kind, n):
+    """About n characters of a kind: words, one run of letters, or one of Chinese characters."""
+    if kind == "cyrillic":
+        return " ".join("".join(rng.choices(CYRILLIC, k=rng.randint(2, 9))) for _ in range(n // 6 + 1))
+    return words(rng, n // 6 + 1) if kind == "spaced" else "".join(rng.choices("etaoinshrdlu" if kind == "glued" else HAN, k=n))
+
+
+@pytest.mark.parametrize("kind", ["spaced", "glued", "han", "cyrillic"])
+def test_recall_at_the_limit(kind):
+    """Leaks with as many edits as are allowed, against a search over all passages of every text for every item."""
+    rng = random.Random(11)
+    items = [(i, decontam.normal(written(rng, kind, rng.randint(80, 320)))) for i in range(40)]
+    texts = []
+    for _, item in items:
+        leak = item
+        for _ in range(decontam.edits(len(item))):
+            at = rng.randrange(len(leak))
+            leak = rng.choice([leak[:at] + leak[at + 1 :], leak[:at] + rng.choice(item) + leak[at:], leak[:at] + rng.choice(item) + leak[at + 1 :]])
+        join = " " if kind in ("spaced", "cyrillic") else ""
+        texts.append(join.join([written(rng, kind, rng.randint(1, 500)), leak, written(rng, kind, rng.randint(1, 300))]))
+    found = {(t, i): d for t, i, d, _ in decontam.Finder(items).find(texts)}
+    brute = {(t, i): d for t, text in enumerate(texts) for i, item in items for d, _ in [decontam.distance(item, decontam.normal(text))] if d <= decontam.edits(len(item))}
+    assert len(brute) >= 40 and all(brute[k] == d for k, d in found.items())
+    assert len(found) >= 0.95 * len(brute)
+
+
 @pytest.mark.parametrize("alphabet", ["etaoinshrdlu", "的一是在不了有和人这中大为上个国"])
 def test_runs_without_spaces(alphabet):
     """Exact items at any place in long runs without a space, spaced items or not, and other text of that kind."""
@@ -77,11 +107,11 @@ def test_rows(spark, monkeypatch, group):
     rng = random.Random(7)
     items = [(0, words(rng, 30)), (1, words(rng, 50)), (2, "short item"), (3, None), (4, " "), (5, None)]
     items[5] = (5, items[0][1])
-    docs = [(0, None), (1, ""), (2, f"a {items[0][1]} b"), (2, f"a {items[0][1]} b"), (3, items[1][1].replace(" ", "\n\t ")), (4, "the Short  ITEM."), (5, words(rng, 30000) + " " + items[1][1]), (6, "clean")]
+    docs = [(0, None), (1, ""), (2, f"a {items[0][1]} b"), (2, f"a {items[0][1]} b"), (3, items[1][1].replace(" ", "\n\t ")), (4, "the Short  ITEM."), (5, words(rng, 30000) + " " + items[1][1]), (6, "clean"), (None, items[1][1]), (None, items[1][1])]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit("x"))
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1))
-    got = sorted(tuple(r)[:3] for r in decontam.find(df, bench).collect())
-    assert got == [(2, 0, 0), (2, 5, 0), (3, 1, 0), (4, 2, 0), (5, 1, 0)]
+    got = sorted((tuple(r)[:3] for r in decontam.find(df, bench.unionByName(spark.createDataFrame([(None, "clean", 1)], bench.schema))).collect()), key=str)
+    assert got == [(2, 0, 0), (2, 5, 0), (3, 1, 0), (4, 2, 0), (5, 1, 0), (None, 1, 0)]
     kept = decontam.clean(df, bench)
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [0, 1, 6]
     assert decontam.find(df, bench.limit(0)).collect() == [] and decontam.clean(df, bench.limit(0)).count() == len(docs)
