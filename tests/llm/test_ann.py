@@ -116,3 +116,16 @@ def test_rows_that_share_an_id(spark):
         v = np.array(v, np.float32)
         least[i] = v if i not in least or tuple(v) < tuple(least[i]) else least[i]
     assert answers(ann.search(ann.build(df), df.where(ann.is_query()), 20)) == brute(least, range(0, 200, 20), 20)
+
+
+def test_doubles_are_scored_as_doubles(spark):
+    """Scores come from the given doubles, also where single precision cannot tell rows apart or hold them."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=8)
+    vecs = {i: base * (1 + i * 1e-12) for i in range(0, 60)} | {i: 1e60 * rng.normal(size=8) for i in range(60, 90)}
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in vecs.items()], "vec_id long, embedding array<double>")
+    got, want = answers(ann.search(ann.build(df), df.where(ann.is_query()), 20)), brute(vecs, range(0, 90, 20), 20)
+    assert got.keys() == want.keys()
+    for i in want:
+        assert [s for _, s in got[i]] == pytest.approx([s for _, s in want[i]], rel=1e-14)
+    assert [j for j, _ in got[60]] == [j for j, _ in want[60]]
