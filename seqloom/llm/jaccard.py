@@ -358,7 +358,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Per row: doc_id, t (a hash of the text), n_shingles and component_id."""
+    """Per row: doc_id, t (a hash of the text), n_shingles, component_id, and comp, the component of its class (null for empty sets)."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sets = materialize(sets_of(docs), "jaccard-sets")
     # texts are read again by id, so classes are compared by their rows with one
@@ -382,17 +382,35 @@ def linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     classes = sets.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"))
     classes = classes.join(comp.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
     least = classes.groupBy("comp").agg(F.min("least").alias("component_id"))
-    named = classes.join(least, "comp").select("sig", "component_id")
+    named = classes.join(least, "comp").select("sig", "component_id", "comp")
     out = sets.select("doc_id", "t", "n", "sig").join(named, "sig", "left")
-    return out.select("doc_id", "t", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "t", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "comp")
+
+
+def fresh_names(df: DataFrame, count: int) -> list[str]:
+    """Names that no column of the table has."""
+    used = {c.lower() for c in df.columns}
+    return [n for n in (f"_c{k}" for k in range(len(used) + count)) if n not in used][:count]
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with the least id of their component, with all their columns.
+    """One row of ``docs`` for each component, with all its columns: that with the least id, and of its texts the one with the least hash.
 
-    It is decided by id and text, so of an id with several texts only those go that link to a smaller id. Rows that share
-    the least id of their component stay, and so do rows without an id.
+    It is decided by id and text, so of an id with several texts only those go that link to a row that stays. Of repeated
+    rows one stays. Rows without words link with nothing, and rows without an id take no part; all of those stay.
     """
-    gone = linked(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("_id"), F.col("t").alias("_t")).distinct()
-    named = docs.withColumn("_id", F.col(id_col).cast("long")).withColumn("_t", F.xxhash64(text_col))
-    return named.join(maybe_broadcast(materialize(gone, "jaccard-gone")), ["_id", "_t"], "left_anti").select(*docs.columns)
+    found = materialize(linked(docs, id_col, text_col).where("comp is not null and doc_id is not null").groupBy("comp", "doc_id", "t").agg(F.count("*").alias("copies")), "jaccard-rows")
+    stays = found.groupBy("comp").agg(F.min(F.struct("doc_id", "t")).alias("m"))
+    marked = found.join(stays, "comp").withColumn("stays", (F.col("doc_id") == F.col("m.doc_id")) & (F.col("t") == F.col("m.t")))
+    row, t, at = fresh_names(docs, 3)
+    marked = materialize(marked.where("not stays or copies > 1").select(F.col("doc_id").alias(row), F.col("t").alias(t), "stays"), "jaccard-gone")
+    release(found)
+    named = docs.withColumn(row, F.col(id_col).cast("long")).withColumn(t, F.xxhash64(text_col))
+    out = named.join(maybe_broadcast(marked.select(row, t)), [row, t], "left_anti")
+    repeated = marked.where("stays").select(row, t)
+    if not repeated.isEmpty():
+        plain = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]
+        again = named.join(maybe_broadcast(repeated), [row, t], "left_semi")
+        first = F.row_number().over(Window.partitionBy(row, t).orderBy(F.xxhash64(*plain)))
+        out = out.unionByName(again.withColumn(at, first).where(F.col(at) == 1).drop(at))
+    return out.select(*docs.columns)

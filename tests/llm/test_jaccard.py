@@ -139,3 +139,15 @@ def test_representatives_go_by_id_and_text(spark):
     kept = jaccard.representatives(df)
     assert kept.columns == df.columns
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([rows[0], rows[2], rows[4], rows[5]], key=str)
+
+
+def test_one_row_of_each_component_stays(spark):
+    """Also where the least id has several rows, whatever their other columns and the names of these are."""
+    page, other = " ".join(f"w{k}" for k in range(30)), " ".join(f"v{k}" for k in range(30))
+    rows = [(1, page, "a"), (1, page, "b"), (1, page + " x", "c"), (1, other, "d"), (2, page, "e"), (3, other, "f"), (4, None, "g"), (4, None, "g"), (5, "own words", "h"), (5, "own words", "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _c0 string").selectExpr("*", "map('k', 1) as m", "1 as comp").repartition(4)
+    kept = jaccard.representatives(df)
+    assert kept.columns == df.columns
+    got = sorted((r.doc_id, (r.text or "-").split()[0], r._c0) for r in kept.collect())
+    assert [g[:2] for g in got] == [(1, "v0"), (1, "w0"), (4, "-"), (4, "-"), (5, "own")]
+    assert {g[2] for g in got if g[1] == "w0"} < {"a", "b", "c"}
