@@ -58,15 +58,19 @@ class Codebooks:
         stages, size, dim = self.words.shape
         codes = np.zeros((len(x), stages), np.uint8)
         norms = np.ones(len(x), np.float32)
-        step = max(1, (1 << 22) // (beam * size))
+        step = max(1, (1 << 18) // (beam * size))
         for a in range(0, len(x), step):
             rest = x[a : a + step, None, :]  # rows x beams x dimensions
             path = np.zeros((len(rest), 1, 0), np.uint8)
             for words in self.words:
-                cost = (words**2).sum(1) - 2 * rest @ words.T + (rest**2).sum(2, keepdims=True)
+                cost = rest.reshape(-1, dim) @ (-2 * words.T)
+                cost += (words**2).sum(1)
+                cost += (rest**2).sum(2).reshape(-1, 1)
                 flat = cost.reshape(len(rest), -1)
-                keep = min(beam, flat.shape[1])
-                best = np.argpartition(flat, keep - 1, 1)[:, :keep] if keep < flat.shape[1] else np.tile(np.arange(keep), (len(rest), 1))
+                best = np.empty((len(rest), min(beam, flat.shape[1])), np.int64)
+                for j in range(best.shape[1]):  # a few passes for the least are faster than a partition
+                    best[:, j] = flat.argmin(1)
+                    flat[np.arange(len(rest)), best[:, j]] = np.inf
                 row = np.arange(len(rest))[:, None]
                 beams, word = best // size, best % size
                 rest = rest[row, beams] - words[word]
@@ -78,6 +82,13 @@ class Codebooks:
         return codes, norms
 
 
+def nearest(x: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The nearest codeword of each vector."""
+    cost = x @ (-2 * words.T)
+    cost += (words**2).sum(1)
+    return cost.argmin(1)
+
+
 def fit(x: np.ndarray, stages: int = STAGES, size: int = WORDS, rounds: int = 12, seed: int = 5) -> Codebooks:
     """Residual k-means on unit vectors; with fewer vectors than codewords, the vectors themselves and zeros."""
     rng, rest, out = np.random.default_rng(seed), x.astype(np.float32), []
@@ -86,13 +97,11 @@ def fit(x: np.ndarray, stages: int = STAGES, size: int = WORDS, rounds: int = 12
         start = rng.permutation(len(rest))[:size]
         words[: len(start)] = rest[start]
         for _ in range(rounds):
-            near = ((words**2).sum(1) - 2 * rest @ words.T).argmin(1)
+            near = nearest(rest, words)
             n = np.bincount(near, minlength=size)
-            total = np.zeros_like(words)
-            np.add.at(total, near, rest)
-            words = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], words)
-        near = ((words**2).sum(1) - 2 * rest @ words.T).argmin(1)
-        rest = rest - words[near]
+            met = np.flatnonzero(n)
+            words[met] = np.add.reduceat(rest[near.argsort(kind="stable")], (np.cumsum(n) - n)[met]) / n[met, None]
+        rest = rest - words[nearest(rest, words)]
         out.append(words)
     return Codebooks(np.array(out))
 
@@ -154,7 +163,7 @@ class Cells:
         """The cell of each direction."""
         cell = np.zeros(len(x), np.int64)
         for words in self.words:
-            near = ((words**2).sum(1) - 2 * x @ words.T).argmin(1)
+            near = nearest(x, words)
             x = x - words[near]
             cell = cell * len(words) + near
         return cell
