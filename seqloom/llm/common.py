@@ -15,7 +15,7 @@ from seqloom.scratch import written as materialize
 #: Rows of at most 8-byte keys that may be broadcast; beyond it a shuffle join is used.
 BROADCAST_KEYS = 1_000_000
 
-__all__ = ["BROADCAST_KEYS", "bounded_batches", "by_bytes", "crc_mod", "materialize", "maybe_broadcast", "release", "remove", "shared_path", "single_threaded", "slices", "small_enough", "spread", "table", "texts_of", "utf8_sizes"]
+__all__ = ["BROADCAST_KEYS", "bounded_batches", "by_bytes", "crc_mod", "fresh_names", "materialize", "maybe_broadcast", "release", "remove", "shared_path", "single_threaded", "slices", "small_enough", "spread", "table", "texts_of", "utf8_sizes"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,12 @@ def by_bytes(sizes: Iterable[int], budget: int) -> Iterator[tuple[int, int]]:
         yield start, end + 1
 
 
+def fresh_names(df: DataFrame, count: int) -> list[str]:
+    """Names that no column of the table has."""
+    used = {c.lower() for c in df.columns}
+    return [n for n in (f"_c{k}" for k in range(len(used) + count)) if n not in used][:count]
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """The batches in parts of so many rows, to bound what a task holds beside them."""
     for batch in batches:

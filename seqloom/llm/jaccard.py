@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import BROADCAST_KEYS, materialize, maybe_broadcast, release, slices, small_enough
+from seqloom.llm.common import BROADCAST_KEYS, fresh_names, materialize, maybe_broadcast, release, slices, small_enough
 from seqloom.llm.components import components
 
 SHINGLE = 5
@@ -387,12 +387,6 @@ def linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return out.select("doc_id", "t", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "comp")
 
 
-def fresh_names(df: DataFrame, count: int) -> list[str]:
-    """Names that no column of the table has."""
-    used = {c.lower() for c in df.columns}
-    return [n for n in (f"_c{k}" for k in range(len(used) + count)) if n not in used][:count]
-
-
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs`` for each component, with all its columns: that with the least id, and of its texts the one with the least hash.
 
@@ -400,11 +394,13 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows one stays. Rows without words link with nothing, and rows without an id take no part; all of those stay.
     """
     found = materialize(linked(docs, id_col, text_col).where("comp is not null and doc_id is not null").groupBy("comp", "doc_id", "t").agg(F.count("*").alias("copies")), "jaccard-rows")
-    stays = found.groupBy("comp").agg(F.min(F.struct("doc_id", "t")).alias("m"))
-    marked = found.join(stays, "comp").withColumn("stays", (F.col("doc_id") == F.col("m.doc_id")) & (F.col("t") == F.col("m.t")))
+    stays = found.groupBy("comp").agg(F.min(F.struct("doc_id", "t")).alias("m"), F.sum("copies").alias("rows")).where("rows > 1").drop("rows")
+    # written first, so that the rows of a large component can be split where the join shuffles
+    stays = materialize(stays, "jaccard-stays")
+    marked = found.join(maybe_broadcast(stays), "comp").withColumn("stays", (F.col("doc_id") == F.col("m.doc_id")) & (F.col("t") == F.col("m.t")))
     row, t, at = fresh_names(docs, 3)
     marked = materialize(marked.where("not stays or copies > 1").select(F.col("doc_id").alias(row), F.col("t").alias(t), "stays"), "jaccard-gone")
-    release(found)
+    release(found, stays)
     named = docs.withColumn(row, F.col(id_col).cast("long")).withColumn(t, F.xxhash64(text_col))
     out = named.join(maybe_broadcast(marked.select(row, t)), [row, t], "left_anti")
     repeated = marked.where("stays").select(row, t)

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import crc_mod, materialize, maybe_broadcast, release, single_threaded, slices
+from seqloom.llm.common import crc_mod, fresh_names, materialize, maybe_broadcast, release, single_threaded, slices
 
 DISCOUNT = 1.0
 SPREAD = 3.0
@@ -314,8 +314,9 @@ def clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with all their columns."""
     if model.rest is not None:
         scored = llr(docs.select(F.lit(0).cast("long").alias("doc_id"), F.col(text_col).alias("text")), model)
-        toxic = materialize(scored.where(F.lit(model.slope) * F.col("llr") + F.lit(model.shift) >= 0).select(F.col("t").alias("_t")).distinct(), "toxic-texts")
-        return docs.withColumn("_t", F.xxhash64(F.coalesce(text_col, F.lit("")))).join(maybe_broadcast(toxic), "_t", "left_anti").select(*docs.columns)
+        name = fresh_names(docs, 1)[0]
+        toxic = materialize(scored.where(F.lit(model.slope) * F.col("llr") + F.lit(model.shift) >= 0).select(F.col("t").alias(name)).distinct(), "toxic-texts")
+        return docs.withColumn(name, F.xxhash64(F.coalesce(text_col, F.lit("")))).join(maybe_broadcast(toxic), name, "left_anti").select(*docs.columns)
     shared, at = docs.sparkSession.sparkContext.broadcast((*model.shared()[:3], model.slope, model.shift)), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
