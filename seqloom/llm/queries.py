@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import ann, bpe, decontam, html, jaccard, langid, licenses, oracles, tokens, toxicity, warc
+from seqloom.llm import ann, bpe, decontam, fim, html, jaccard, langid, licenses, merkle, oracles, simhash, tokens, toxicity, warc
 from seqloom.llm.common import crc_mod, table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -60,5 +60,20 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("target_uri")
 
 
-QUERIES = {f.__name__: f for f in (op1_additive_quantisation, op2_token_counts, op3_decontamination, op4_license_scan, op5_jaccard_join, op6_toxicity, op7_language_id, op8_bpe, op9_html_text, op10_warc)}
-ORACLE_SQL: dict[str, str] = {"op5_jaccard_join": oracles.JACCARD, "op10_warc": oracles.WARC, "op4_license_scan": licenses.oracle()}
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.link(table(spark, sf_dir, "documents")).drop("fp")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transform(table(spark, sf_dir, "documents"))
+    back = fim.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    suspect = F.coalesce(crc_mod("doc_id", 3) == 0, F.lit(False))
+    return merkle.verify(table(spark, sf_dir, "documents"), suspect)
+
+
+QUERIES = {f.__name__: f for f in (op1_additive_quantisation, op2_token_counts, op3_decontamination, op4_license_scan, op5_jaccard_join, op6_toxicity, op7_language_id, op8_bpe, op9_html_text, op10_warc, op11_simhash, op12_fill_in_middle, op13_merkle)}
+ORACLE_SQL: dict[str, str] = {"op5_jaccard_join": oracles.JACCARD, "op10_warc": oracles.WARC, "op4_license_scan": licenses.oracle(), "op12_fill_in_middle": oracles.FILL_IN_MIDDLE, "op13_merkle": oracles.MERKLE}
