@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import symbols
 from seqloom.operators import kernels
+from seqloom.operators.keys import text_bytes
 from seqloom.operators.range_join import range_join
 from seqloom.operators.running import running_sums
 from seqloom.sources import reference
@@ -33,9 +34,12 @@ def parse(c: Collection) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = reference.parser(where)
         for batch in batches:
-            found = [p.parse((s or "").encode("ascii")) for s in batch.column(2).to_pylist()]
-            starts = [np.concatenate(([0], np.cumsum(k)[:-1])).astype(np.int64) if k else np.zeros(0, np.int64) for _, k in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([sum(k) for _, k in found], pa.int64()), pa.array([p for p, _ in found], LISTS), pa.array([k for _, k in found], LISTS), pa.array(starts, LISTS)], ["seq_id", "name", "len", "pos", "size", "start"])
+            data, bounds = text_bytes(batch.column(2))
+            pos, size, start, counts = p.parse_texts(data, bounds)
+            offsets = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
+            start = start - np.repeat(bounds[:-1], counts)
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (pos, size, start)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(bounds)), *lists], ["seq_id", "name", "len", "pos", "size", "start"])
 
     return c.targets.select("seq_id", "name", F.lower("seq").alias("seq")).mapInArrow(run, PARSED)
 

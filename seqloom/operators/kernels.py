@@ -6,16 +6,13 @@ literal symbol that the reference sequence lacks, as -(byte + 1).
 
 from __future__ import annotations
 
-import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
 
 from seqloom.functions.symbols import BASES, LENGTH_DIVISOR, SHORT_DIVISOR
-
-N = ord("n")
-RUN = re.compile(rb"n+")
+from seqloom.operators.matching import Parser
 
 
 def suffix_array(text: bytes) -> np.ndarray:
@@ -62,135 +59,6 @@ def _groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(starts, np.diff(np.append(starts, len(values)))), ~(new & np.append(new[1:], True))
 
 
-def common(a: bytes, b: bytes) -> int:
-    """Length of the longest common prefix."""
-    n = min(len(a), len(b))
-    if a[:n] == b[:n]:
-        return n
-    lo, hi = 0, n
-    while hi - lo > 1:
-        mid = (lo + hi) // 2
-        if a[lo:mid] == b[lo:mid]:
-            lo = mid
-        else:
-            hi = mid
-    return lo
-
-
-def word_length(n: int, kinds: int) -> int:
-    """How many symbols index the table of a reference sequence: about as many entries as it has symbols."""
-    return max(1, int(np.log(max(n, 2)) / np.log(max(kinds, 2)) + 1e-9))
-
-
-def code_words(text: bytes, symbols: bytes, size: int) -> np.ndarray:
-    """The number of each run of ``size`` symbols, -1 where it has a symbol of another kind."""
-    code = np.full(256, -1, np.int64)
-    code[list(symbols)] = np.arange(len(symbols))
-    x = code[np.frombuffer(text, np.uint8)]
-    n = len(x) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    out = np.zeros(n, np.int64)
-    bad = np.concatenate(([0], np.cumsum(x < 0)))
-    for j in range(size):
-        out *= len(symbols)
-        out += x[j : j + n]
-    out[bad[size:] > bad[:-size]] = -1
-    return out
-
-
-def word_table(ref: bytes, sa: np.ndarray) -> np.ndarray:
-    """Row 0 and 1: for each word of ``word_length`` symbols, where its suffixes start and end in the suffix array."""
-    symbols = bytes(sorted(set(ref)))
-    size = word_length(len(ref), len(symbols))
-    table = np.zeros((2, max(len(symbols), 1) ** size), sa.dtype)
-    codes = code_words(ref, symbols, size)
-    ranks = np.flatnonzero(sa < len(codes))
-    if len(ranks):
-        sorted_codes = codes[sa[ranks]]
-        first = np.concatenate(([True], sorted_codes[1:] != sorted_codes[:-1]))
-        last = np.append(first[1:], True)
-        table[0, sorted_codes[first]], table[1, sorted_codes[last]] = ranks[first], ranks[last] + 1
-    return table
-
-
-class Parser:
-    """Greedy parsing against one reference sequence, and its occurrences of patterns.
-
-    The words of a fixed number of symbols have a table of their ranges in the suffix array, as arrays that may be mapped from files; a longer
-    match is found within the range, between the two suffixes next to the rest of the text. Of equal matches the first in
-    suffix order counts.
-    """
-
-    def __init__(self, ref: bytes, sa: np.ndarray, table: np.ndarray | None = None) -> None:
-        table = word_table(ref, sa) if table is None else table
-        self.ref, self.sa, self.symbols = ref, memoryview(sa), bytes(sorted(set(ref)))
-        self.size = word_length(len(ref), len(self.symbols))
-        self.low, self.high = table
-        self.array = sa
-
-    def interval(self, pattern: bytes) -> tuple[int, int]:
-        """The ranks of the suffixes that start with the pattern, end exclusive."""
-        ref, k = self.ref, len(pattern)
-        lo = bisect_left(self.sa, pattern, key=lambda p: ref[p : p + k])
-        return lo, bisect_right(self.sa, pattern, lo, key=lambda p: ref[p : p + k])
-
-    def occurrences(self, pattern: bytes) -> np.ndarray:
-        """All starts of a pattern, rising."""
-        if not pattern:
-            return np.zeros(0, np.int64)
-        lo, hi = self.interval(pattern)
-        return np.sort(self.array[lo:hi]).astype(np.int64)
-
-    def longest(self, text: bytes, i: int, stop: int, lo: int, hi: int, known: int) -> tuple[int, int]:
-        """The longest match of text[i:stop] among ranks lo .. hi, all of which match ``known`` symbols: position and length."""
-        ref, sa, width, best = self.ref, self.sa, max(32, known), known
-        if hi - lo == 1:
-            p = sa[lo]
-            while True:
-                got = common(ref[p + best : p + best + width], text[i + best : min(stop, i + best + width)])
-                best += got
-                if got < width:
-                    return p, best
-                width *= 4
-        while True:
-            want = text[i : min(stop, i + width)]
-            at = bisect_left(sa, want, lo, hi, key=lambda p: ref[p : p + width])
-            best = max(common(ref[sa[j] : sa[j] + width], want) for j in (at - 1, at) if lo <= j < hi)
-            if best < width or i + best == stop:
-                break
-            width *= 4
-        if not best:
-            return -1, 0
-        want = text[i : i + best]
-        return sa[bisect_left(sa, want, lo, hi, key=lambda p: ref[p : p + best])], best
-
-    def parse(self, text: bytes) -> tuple[list[int], list[int]]:
-        """Positions and lengths of the factors of a lower-case sequence."""
-        pos, size, i, n, run, word = [], [], 0, len(text), len(self.ref), self.size
-        codes = code_words(text, self.symbols, word)
-        lows, highs = (memoryview(np.where(codes >= 0, side[codes], 0)) for side in (self.low, self.high))
-        every = len(self.sa)
-        while i < n:
-            if text[i] == N:
-                end = RUN.match(text, i).end()
-                pos.append(run)
-                size.append(end - i)
-                i = end
-                continue
-            stop = text.find(b"n", i)
-            stop = n if stop < 0 else stop
-            while i < stop:
-                lo, hi = (lows[i], highs[i]) if stop - i >= word else (0, 0)
-                p, k = self.longest(text, i, stop, lo, hi, word) if hi > lo else self.longest(text, i, stop, 0, every, 0)
-                if not k:
-                    p, k = -1 - text[i], 1
-                pos.append(p)
-                size.append(k)
-                i += k
-        return pos, size
-
-
 @lru_cache(2)
 def parser(ref: bytes) -> Parser:
     """A parser of a short reference sequence, for use in one process."""

@@ -1,221 +1,129 @@
 """Reading windows and finding patterns in parsed sequences, from the factors alone; no sequence is expanded for a search.
 
-A hit in a target lies within one factor, or it has a first border between factors at some split of the pattern. The
-parse is greedy, so what follows that border is known from the pattern: if the rest of the pattern occurs in the
-reference sequence, the next factor starts with it; else the next factor is the first one of the rest's own parse. So a hit
-is found by one of these equi-joins between keys of the patterns and keys of the factors:
-
-* ``in_factor``: an occurrence of the pattern in the reference sequence and a factor that contains it, by bins of positions;
-* ``border``: the longer part of a split, by the places where it occurs and where the factor behind the border starts, or the factor
-  before it ends, with the symbol on the other side; the shorter part is compared;
-* ``chain``: the positions and lengths of the first factors of the rest's parse, up to three of them, with the symbol before; the rest is compared;
-* ``run``: a pattern of n and a run of n.
-
-Factors whose keys no pattern asks for are passed over before the join, as long as the keys of the patterns are few
-enough to be sent. ``strict`` leaves out, in targets, chains and whatever meets a run of n; ``complete`` keeps all.
+A hit in a target lies within one factor, or it has a first border between factors at some split of the pattern. Both are equi-joins
+of keys of the patterns and keys of the factors (see ``keys``): an occurrence of the pattern in the reference sequence with
+the dyadic parts at which factors stand, and the longer part of a split with the words beside the borders. Masks compare what the
+words hold on both sides within the join; only what reaches beyond them is read from the factors afterwards.
+
+The keys of the factors are made when they are asked for, or come from a saved index, sorted, of which only
+the ranges that a pattern asks for are read. ``strict`` leaves out, in targets, hits over more than two factors and whatever meets a run of n;
+``complete`` keeps all.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.operators import kernels
+from seqloom.operators import kernels, keys
+from seqloom.operators.matching import Texts
 from seqloom.scratch import BROADCAST_ROWS, small, written
 from seqloom.sources import reference
 
-#: Positions that share a key of ``in_factor``.
-BIN = 64
-IN_FACTOR, STARTS, ENDS, RUN, CHAIN = range(5)
-#: Kinds from ``CHAIN`` on have one factor more each.
-LINKS = 3
-KINDS = CHAIN + LINKS
-#: The place of a run of n as a key; literals have their negative positions.
-RUN_PLACE = -1
-MODES = {"complete": "true", "strict": "not meets_n and kind <= 2", "in_factor": f"not meets_n and kind = {IN_FACTOR}", "boundary": "not meets_n and kind in (1, 2)"}
+#: By the number of factors that a hit meets: 1, 2, or 3 for more.
+MODES = {"complete": "true", "strict": "not meets_n and met <= 2", "in_factor": "not meets_n and met = 1", "boundary": "not meets_n and met = 2"}
 REQUESTS_A_ROW = 10_000
+#: Ranges of keys that a scan of a saved index is told, and sequences of which it is told the numbers.
+RANGES, SEQUENCES = 256, 1000
 
 
-def valid(patterns: DataFrame) -> DataFrame:
-    """pattern_id and pattern in lower case; empty ones and those with other symbols match nothing."""
-    return patterns.select("pattern_id", F.lower("pattern").alias("pattern")).where("pattern rlike '^[acgnt]+$'")
-
-
-SIDES = "kind int, key long, pattern_id long, m int, i int, place long, before string, behind string"
-
-
-def sides(ref: bytes, patterns: DataFrame) -> DataFrame:
-    """The keys of the patterns, with what is to be compared: a row for each split and place."""
-    where = reference.stored(patterns.sparkSession, ref)
-
-    def places(p: kernels.Parser, part: bytes) -> np.ndarray:
-        """Where a part that stands in one factor may lie: its occurrences, or the place of runs or of a literal."""
-        if not part.strip(b"n"):
-            return np.array([RUN_PLACE])
-        if len(part) == 1 and part not in p.ref:
-            return np.array([-1 - part[0]])
-        return p.occurrences(part) if b"n" not in part else np.zeros(0, np.int64)
-
-    def of(p: kernels.Parser, pattern: bytes) -> Iterator[tuple[int, np.ndarray, int, np.ndarray, bytes, bytes]]:
-        """kind, keys, split, places, and the texts before and behind the split to compare."""
-        m = len(pattern)
-        none = np.zeros(1, np.int64)
-        if pattern.strip(b"n"):
-            at = places(p, pattern)
-            yield IN_FACTOR, at // BIN, 0, at, b"", b""
-        else:
-            yield RUN, none, 0, none, b"", b""
-        for i in range(1, m):
-            before, behind = pattern[:i], pattern[i:]
-            pos, size = p.parse(behind)
-            if len(pos) > 1:
-                links = min(LINKS, len(pos) - 1)
-                yield CHAIN + links - 1, beside(chain_keys(np.array(pos[:links]), np.array(size[:links]))[links - 1], pattern[i - 1]), i, none, before, behind
-            elif m - i >= i:
-                at = places(p, behind)
-                yield STARTS, beside(at, pattern[i - 1]), i, at, before, b""
-            else:
-                at = places(p, before)
-                at = at + i * (at >= 0)
-                yield ENDS, beside(at, pattern[i]), i, at, b"", behind
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = reference.parser(where)
-        for batch in batches:
-            for pattern_id, pattern in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for kind, keys, i, at, before, behind in of(p, pattern.encode()):
-                    for a in range(0, len(keys), 1 << 16):
-                        n = len(keys[a : a + (1 << 16)])
-                        same = lambda v, t, n=n: pa.array([v], t).take(pa.array(np.zeros(n, np.int32)))
-                        yield pa.RecordBatch.from_arrays([same(kind, pa.int32()), pa.array(keys[a : a + n].astype(np.int64)), same(pattern_id, pa.int64()), same(len(pattern), pa.int32()), same(i, pa.int32()), pa.array(at[a : a + n].astype(np.int64)), same(before.decode(), pa.string()), same(behind.decode(), pa.string())], SIDES_NAMES)
+@dataclass
+class Keys:
+    """Saved keys: borders sorted by the word behind them, and by the word before them, and dyadic parts sorted by key."""
 
-    return valid(patterns).mapInArrow(run, SIDES)
+    by_right: DataFrame
+    by_left: DataFrame
+    inside: DataFrame
 
 
-SIDES_NAMES = [x.split()[0] for x in SIDES.split(", ")]
-
-
-def chain_keys(p: np.ndarray, k: np.ndarray) -> list[np.ndarray]:
-    """For 1 .. ``LINKS`` factors the keys of each factor with those behind it; equal keys are told apart by comparing the text."""
-    one = p.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ k.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    out = [one]
-    for _ in range(1, LINKS):
-        out.append((out[-1][:-1] ^ (out[-1][:-1] >> np.uint64(29))) * np.uint64(0x165667B19E3779F9) ^ one[len(out) :])
-    return [x.view(np.int64) for x in out]
-
-
-FACTORS = "kind int, key long, seq_id long, at long, pos long, len long, prev_pos long, prev_len long, ahead string"
-
-
-def keyed(parsed: DataFrame, ref: bytes, asked: DataFrame) -> DataFrame:
-    """The keys of the factors, a row for each: those that ``asked`` has, if these are few enough to be sent."""
-    spark = parsed.sparkSession
-    keys = asked.select("kind", "key").distinct()
-    wanted = None
-    if keys.limit(2 * BROADCAST_ROWS + 1).count() <= 2 * BROADCAST_ROWS:
-        got = keys.toArrow()
-        wanted = [np.sort(got["key"].to_numpy()[got["kind"].to_numpy() == kind]) for kind in range(KINDS)]
-    longest = asked.where(F.col("kind") >= CHAIN).agg(F.max("m")).first()[0] or 0
-    shared, text = spark.sparkContext.broadcast(wanted), spark.sparkContext.broadcast(ref)
+def valid(patterns: DataFrame) -> DataFrame:
+    """pattern_id and pattern in lower case; empty ones and those with other symbols match nothing."""
+    return patterns.select("pattern_id", F.lower("pattern").alias("pattern")).where("pattern rlike '^[acgnt]+$'")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = text.value
-        held = shared.value
-        symbols = np.frombuffer(r + b"n", np.uint8)
-        for batch in batches:
-            p, k, at = (batch.column(c).flatten().to_numpy() for c in (1, 2, 3))
-            sizes = np.diff(batch.column(1).offsets.to_numpy())
-            if not len(p):
-                continue
-            seq = np.repeat(batch.column(0).to_numpy(), sizes)
-            stop = np.repeat(np.cumsum(sizes), sizes)  # where the factors of a factor's sequence end
-            every = np.arange(len(p))
-            is_run = p == len(r)
-            place, end = np.where(is_run, RUN_PLACE, p), np.where(is_run, RUN_PLACE, np.where(p < 0, p, p + k))
-            inside = (p >= 0) & ~is_run
-            head = np.where(p < 0, -1 - p, symbols[np.clip(p, 0, len(r))])
-            tail = np.where(p < 0, -1 - p, symbols[np.where(inside, p + k - 1, len(r))])
-            inner = every[~is_run]
-            low, high = p[inner] // BIN, np.where(p[inner] < 0, p[inner], p[inner] + k[inner] - 1) // BIN
-            bins, of_bin = np.repeat(low, high - low + 1) + runs(high - low + 1), np.repeat(inner, high - low + 1)
-            later = every[1:][stop[1:] == stop[:-1]]  # factors with one before them
-            keys = [(IN_FACTOR, bins, of_bin), (STARTS, beside(place[later], tail[later - 1]), later), (ENDS, beside(end[later - 1], head[later]), later), (RUN, np.zeros(int(is_run.sum()), np.int64), every[is_run])]
-            for j, x in enumerate(chain_keys(p, k)):
-                own = later[later + j < stop[later]]
-                keys.append((CHAIN + j, beside(x[own], tail[own - 1]), own))
-            for kind, key, row in keys:
-                if held is not None:
-                    place_of = np.minimum(np.searchsorted(held[kind], key), max(len(held[kind]) - 1, 0))
-                    met = held[kind][place_of] == key if len(held[kind]) else np.zeros(len(key), bool)
-                    key, row = key[met], row[met]
-                for a in range(0, len(row), 1 << 14):
-                    own, n = row[a : a + (1 << 14)], len(row[a : a + (1 << 14)])
-                    ahead = [ahead_of(r, p, k, j, e, longest) for j, e in zip(own.tolist(), stop[own].tolist(), strict=True)] if kind >= CHAIN else [None] * n
-                    prev = np.maximum(own - 1, 0)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(key[a : a + n].astype(np.int64)), *(pa.array(x.astype(np.int64)) for x in (seq[own], at[own], p[own], k[own], p[prev], k[prev])), pa.array(ahead, pa.string())], FACTORS_NAMES)
-
-    return parsed.select("seq_id", "pos", "size", "start").mapInArrow(run, FACTORS)
-
-
-FACTORS_NAMES = [x.split()[0] for x in FACTORS.split(", ")]
-
-
-def beside(keys: np.ndarray, symbol: np.ndarray | int) -> np.ndarray:
-    """Keys together with the symbol on the other side of the border."""
-    return keys * 8 + (symbol & 7)
-
-
-def ahead_of(ref: bytes, p: np.ndarray, k: np.ndarray, j: int, stop: int, most: int) -> str:
-    """The text from factor j on, at most so many symbols."""
-    out, left = [], most
-    while left > 0 and j < stop:
-        out.append(kernels.head_of(ref, int(p[j]), int(k[j]), left))
-        left -= int(k[j])
-        j += 1
-    return b"".join(out).decode()
-
-
-def runs(sizes: np.ndarray) -> np.ndarray:
-    """0, 1, .. for each of the sizes."""
-    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-
-
-def hits(parsed: DataFrame, ref: bytes, patterns: DataFrame) -> DataFrame:
-    """pattern_id, seq_id, pos, kind, meets_n: all hits in the targets."""
-    spark = parsed.sparkSession
-    asked = written(sides(ref, patterns), "pattern-keys")
-    text = spark.sparkContext.broadcast(ref)
-    n, inner = len(ref), F.col("kind") == IN_FACTOR
-    length = F.when(F.col("pos") < 0, F.lit(1)).otherwise(F.col("len"))
-    holds = (F.col("place") >= F.col("pos")) & (F.col("place") + F.col("m") <= F.col("pos") + length)
-    fits = (F.col("prev_len") >= F.col("i")) & ((F.col("kind") >= CHAIN) | (F.col("len") >= F.col("m") - F.col("i")))
-    met = keyed(parsed, ref, asked).join(small(asked), ["kind", "key"])
-    met = met.where(F.when(inner, holds).when(F.col("kind") == RUN, F.col("len") >= F.col("m")).otherwise(fits))
-    first = F.when(inner, F.col("at") + F.col("place") - F.col("pos")).when(F.col("kind") == RUN, F.col("at")).otherwise(F.col("at") - F.col("i"))
-    meets_n = (F.col("kind") == RUN) | (~inner & ((F.col("pos") == n) | (F.col("prev_pos") == n)))
-    more = F.when(F.col("kind") == RUN, F.col("len") - F.col("m")).otherwise(F.lit(0))
-    met = met.select("pattern_id", "seq_id", first.alias("first"), "kind", meets_n.alias("meets_n"), more.alias("more"), "pos", "len", "prev_pos", "prev_len", "ahead", "m", "i", "before", "behind")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = text.value
-        for batch in batches:
-            kinds = batch.column(3).to_numpy()
-            same = (kinds == IN_FACTOR) | (kinds == RUN)
-            open_ = np.flatnonzero(~same)
-            rows = batch.take(pa.array(open_))
-            for row, kind, pos, size, prev_pos, prev_len, ahead, m, i, before, behind in zip(open_.tolist(), kinds[open_].tolist(), *(c.to_pylist() for c in rows.columns[6:]), strict=True):
-                ok = kind == ENDS or kernels.tail_of(r, prev_pos, prev_len, i) == before.encode()
-                if ok and kind == ENDS:
-                    ok = kernels.head_of(r, pos, size, m - i) == behind.encode()
-                same[row] = ok and (kind < CHAIN or ahead.startswith(behind))
-            yield pa.RecordBatch.from_arrays(batch.columns[:6], ["pattern_id", "seq_id", "first", "kind", "meets_n", "more"]).filter(pa.array(same))
 
-    checked = met.mapInArrow(compare, "pattern_id long, seq_id long, first long, kind int, meets_n boolean, more long")
-    return checked.select("pattern_id", "seq_id", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("more"))).alias("pos"), "kind", "meets_n")
+def in_ranges(column: str, ranges: list[tuple[int, int]]) -> Column:
+    """Whether a column lies in one of the ranges; as comparisons with constants, so that scans skip what holds none."""
+    parts = [F.col(column).between(lo, hi) for lo, hi in ranges]
+    while len(parts) > 1:
+        parts = [reduce(lambda a, b: a | b, parts[k : k + 2]) for k in range(0, len(parts), 2)]
+    return parts[0] if parts else F.lit(False)
+
+
+def by_tags(borders: DataFrame, tags: list[int]) -> DataFrame:
+    """Borders once for each side and size of a key."""
+    side = lambda t: F.col("right" if t > 0 else "left").bitwiseAND(F.lit(int(keys.HIGH[abs(t)])))
+    rows = F.array(*[F.struct(F.lit(t).alias("tag"), side(t).alias("key")) for t in tags])
+    return borders.withColumn("k", F.explode(rows)).select("*", F.col("k.tag").alias("own_tag"), F.col("k.key").alias("key")).drop("k")
+
+
+def border_rows(parsed: DataFrame, ref: bytes, asked: DataFrame, saved: Keys | None) -> DataFrame | None:
+    """The borders with the keys that splits ask for; those that are saved only from the ranges in which some split has its key."""
+    tags = sorted(r["tag"] for r in asked.select("tag").distinct().collect())
+    if not tags:
+        return None
+    if saved is None:
+        return by_tags(keys.borders(parsed, ref), tags)
+    out = None
+    bounded = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    for table, column, own in ((saved.by_right, "right", [t for t in tags if t > 0]), (saved.by_left, "left", [t for t in tags if t < 0])):
+        if own:
+            rows = table.where(in_ranges(column, keys.ranges(asked.where(F.col("tag").isin(own)), "lo", "hi", RANGES))) if bounded else table
+            rows = by_tags(rows, own)
+            out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def across(parsed: DataFrame, ref: bytes, patterns: DataFrame, saved: Keys | None) -> DataFrame | None:
+    """pattern_id, seq_id, pos, met, meets_n of the hits over borders."""
+    asked = written(keys.splits(ref, patterns), "splits")
+    rows = border_rows(parsed, ref, asked, saved)
+    if rows is None:
+        return None
+    agree = lambda side: F.col(side).bitwiseXOR(F.col(f"own_{side}")).bitwiseAND(F.col(f"{side}_mask")) == 0
+    sides = asked.drop("lo", "hi").withColumnRenamed("left", "own_left").withColumnRenamed("right", "own_right")
+    found = rows.join(small(sides), "key").where((F.col("own_tag") - F.col("tag") == 0) & (F.col("prev_len") >= F.col("least")) & agree("left") & agree("right"))
+    met = F.when((F.col("prev_len") >= F.col("i")) & (F.col("len") >= F.col("m") - F.col("i")), 2).otherwise(3)
+    found = found.select("pattern_id", "seq_id", (F.col("at") - F.col("i")).alias("pos"), met.alias("met"), "meets_n", "more", "m")
+    if not asked.where("more").limit(1).count():
+        return found.drop("more", "m")
+    found = written(found.withColumn("req_id", F.monotonically_increasing_id()), "candidates")
+    open_ = found.where("more")
+    if saved is not None:
+        some = [r[0] for r in open_.select("seq_id").distinct().limit(SEQUENCES + 1).collect()]
+        parsed = parsed.where(F.col("seq_id").isin(some)) if len(some) <= SEQUENCES else parsed
+    texts = display(parsed, ref, open_.select("req_id", "seq_id", F.col("pos").alias("start"), (F.col("pos") + F.col("m")).alias("end")))
+    same = open_.join(texts, "req_id").join(small(patterns.select("pattern_id", "pattern")), "pattern_id").where("text = pattern")
+    columns = ["pattern_id", "seq_id", "pos", "met", "meets_n"]
+    return found.where("not more").select(columns).unionByName(same.select(columns))
+
+
+def within(parsed: DataFrame, ref: bytes, patterns: DataFrame, saved: Keys | None) -> DataFrame:
+    """pattern_id, seq_id, pos, met, meets_n of the hits in one factor."""
+    asked = written(keys.points(ref, patterns), "points")
+    few = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    if saved is None:
+        rows = keys.inside(parsed, ref, asked.agg(F.coalesce(F.min("m"), F.lit(1))).first()[0])
+    else:
+        rows = saved.inside.where(in_ranges("key", keys.ranges(asked, "key", "key", RANGES))) if few else saved.inside
+    run, usual = F.col("key") == keys.RUN_KEY, F.col("key") >= 0
+    holds = (F.col("place") >= F.col("pos")) & (F.col("place") + F.col("m") <= F.col("pos") + F.col("len"))
+    found = rows.join(F.broadcast(asked) if few else asked, "key").where(F.when(usual, holds).otherwise(F.col("len") >= F.col("m")))
+    first = F.when(usual, F.col("at") + F.col("place") - F.col("pos")).otherwise(F.col("at"))
+    more = F.when(run, F.col("len") - F.col("m")).otherwise(F.lit(0))
+    return found.select("pattern_id", "seq_id", F.explode(F.sequence(first, first + more)).alias("pos"), F.lit(1).alias("met"), run.alias("meets_n"))
+
+
+def hits(parsed: DataFrame, ref: bytes, patterns: DataFrame, saved: Keys | None = None) -> DataFrame:
+    """pattern_id, seq_id, pos, met (1, 2 or 3 for more factors), meets_n: all hits in the targets."""
+    usable = written(valid(patterns), "usable")
+    inner, over = within(parsed, ref, usable, saved), across(parsed, ref, usable, saved)
+    return inner if over is None else inner.unionByName(over)
 
 
 def in_reference(ref: bytes, patterns: DataFrame) -> DataFrame:
@@ -225,26 +133,27 @@ def in_reference(ref: bytes, patterns: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = reference.parser(where)
         for batch in batches:
-            for pattern_id, pattern in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                at = p.occurrences(pattern.encode())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), pattern_id)), pa.array(np.zeros(len(at), np.int64)), pa.array(at)], ["pattern_id", "seq_id", "pos"])
+            data, bounds = keys.text_bytes(batch.column(1))
+            ids = batch.column(0).to_numpy()
+            for own, place in keys.places(p, data, bounds):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(np.zeros(len(own), np.int64)), pa.array(place)], ["pattern_id", "seq_id", "pos"])
 
     return valid(patterns).mapInArrow(run, "pattern_id long, seq_id long, pos long")
 
 
-def in_targets(parsed: DataFrame, ref: bytes, patterns: DataFrame, mode: str = "complete") -> DataFrame:
+def in_targets(parsed: DataFrame, ref: bytes, patterns: DataFrame, mode: str = "complete", saved: Keys | None = None) -> DataFrame:
     """pattern_id, seq_id, pos of the hits of a mode in the targets."""
-    return hits(parsed, ref, patterns).where(MODES[mode]).select("pattern_id", "seq_id", "pos")
+    return hits(parsed, ref, patterns, saved).where(MODES[mode]).select("pattern_id", "seq_id", "pos")
 
 
-def locate(parsed: DataFrame, ref: bytes, patterns: DataFrame, mode: str = "complete") -> DataFrame:
+def locate(parsed: DataFrame, ref: bytes, patterns: DataFrame, mode: str = "complete", saved: Keys | None = None) -> DataFrame:
     """pattern_id, seq_id, pos of all hits, those in the reference sequence as sequence 0."""
-    return in_reference(ref, patterns).unionByName(in_targets(parsed, ref, patterns, mode))
+    return in_reference(ref, patterns).unionByName(in_targets(parsed, ref, patterns, mode, saved))
 
 
-def count(parsed: DataFrame, ref: bytes, patterns: DataFrame, mode: str = "complete") -> DataFrame:
+def count(parsed: DataFrame, ref: bytes, patterns: DataFrame, mode: str = "complete", saved: Keys | None = None) -> DataFrame:
     """pattern_id, pattern, n; patterns without a hit have 0."""
-    n = locate(parsed, ref, patterns, mode).groupBy("pattern_id").agg(F.count("*").alias("n"))
+    n = locate(parsed, ref, patterns, mode, saved).groupBy("pattern_id").agg(F.count("*").alias("n"))
     return patterns.join(n, "pattern_id", "left").select("pattern_id", "pattern", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
@@ -261,11 +170,9 @@ def intervals(ref: bytes, patterns: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = reference.parser(where)
         for batch in batches:
-            out = []
-            for pattern_id, pattern in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                lo, hi = p.interval(pattern.encode())
-                out.append((pattern_id, lo, hi - 1) if lo < hi else (pattern_id, None, None))
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(3)], ["pattern_id", "lo", "hi"])
+            data, bounds = keys.text_bytes(batch.column(1))
+            lo, hi = p.intervals(Texts(p, data, bounds), bounds[:-1], np.diff(bounds)) if len(bounds) > 1 else (bounds[:0], bounds[:0])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lo, mask=lo >= hi), pa.array(hi - 1, mask=lo >= hi)], ["pattern_id", "lo", "hi"])
 
     return patterns.select("pattern_id").join(valid(patterns).mapInArrow(run, "pattern_id long, lo long, hi long"), "pattern_id", "left")
 

@@ -1,4 +1,7 @@
-"""A saved index: the reference sequence, parsed sequences, their catalog and the suffix array.
+"""A saved index: the reference sequence, parsed sequences, their catalog, the suffix array and the keys of the factors.
+
+The keys lie in three tables, each dealt into ranges of its key and sorted, with small row groups. A search tells the scan the ranges of keys
+that its patterns have, so files and row groups without them are passed over, and of the factors only those of sequences with a candidate are read.
 
 The suffix array lies in a folder named after the digest of the reference sequence, so it is never used with
 another one; a loaded index searches with it and does not build it again. A display-only index has no suffix array; searching one fails with a clear message.
@@ -14,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.operators import factors, search
+from seqloom.operators import keys as factors_keys
 from seqloom.sources import reference
 from seqloom.sources.sequences import Collection
 
@@ -24,6 +28,7 @@ class Index:
     parsed: DataFrame
     catalog: DataFrame
     suffixes: str | None
+    keys: search.Keys | None = None
 
     def display(self, requests: DataFrame) -> DataFrame:
         return search.display(self.parsed, self.ref, requests)
@@ -34,11 +39,11 @@ class Index:
 
     def count(self, patterns: DataFrame, mode: str = "complete") -> DataFrame:
         self._search()
-        return search.count(self.parsed, self.ref, patterns, mode)
+        return search.count(self.parsed, self.ref, patterns, mode, self.keys)
 
     def locate(self, patterns: DataFrame, mode: str = "complete") -> DataFrame:
         self._search()
-        return search.locate(self.parsed, self.ref, patterns, mode)
+        return search.locate(self.parsed, self.ref, patterns, mode, self.keys)
 
     def factors(self) -> DataFrame:
         return factors.numbered(self.parsed, len(self.ref))
@@ -58,6 +63,23 @@ def size_report(parsed: DataFrame, ref_len: int, display_only: bool = False) ->
     return all_of.select(F.inline(rows))
 
 
+#: Rows of a file of keys, and bytes of a row group of it.
+KEY_ROWS, KEY_BYTES = 1 << 22, 1 << 20
+#: The tables of keys and the column that each is sorted by.
+SORTED = {"by_right": "right", "by_left": "left", "inside": "key"}
+
+
+def write_keys(parsed: DataFrame, ref: bytes, folder: str, rows: int = KEY_ROWS, group_bytes: int = KEY_BYTES) -> None:
+    """The keys of parsed factors, sorted. Rows with one key may be very many, so ranges are of keys and places."""
+    n = parsed.agg(F.coalesce(F.sum(F.size("pos")), F.lit(0))).first()[0]
+    border, inside = factors_keys.borders(parsed, ref), factors_keys.inside(parsed, ref)
+    for name, column in SORTED.items():
+        table = inside if name == "inside" else border
+        order = [column, "seq_id", "at"]
+        dealt = table.repartitionByRange(max(1, -(-n // rows)), *order).sortWithinPartitions(*order)
+        dealt.write.mode("overwrite").option("parquet.block.size", group_bytes).option("parquet.page.size", group_bytes // 4).parquet(f"{folder}/{name}")
+
+
 def write(c: Collection, folder: str, display_only: bool = False) -> None:
     spark = c.spark
     key = reference.digest(c.ref)
@@ -66,6 +88,8 @@ def write(c: Collection, folder: str, display_only: bool = False) -> None:
         reference.use(spark, c.ref, place)
     spark.createDataFrame([(key, c.ref.decode(), display_only)], "digest string, seq string, display_only boolean").coalesce(1).write.mode("overwrite").parquet(f"{folder}/reference")
     factors.parse(c).write.mode("overwrite").parquet(f"{folder}/parsed")
+    if not display_only:
+        write_keys(spark.read.parquet(f"{folder}/parsed"), c.ref, f"{folder}/keys")
     factors.catalog(spark.read.parquet(f"{folder}/parsed")).write.mode("overwrite").parquet(f"{folder}/catalog")
 
 
@@ -79,4 +103,5 @@ def load(spark: SparkSession, folder: str) -> Index:
     head = spark.read.parquet(f"{folder}/reference").first()
     ref = head["seq"].encode()
     suffixes = None if head["display_only"] else reference.use(spark, ref, f"{folder}/suffixes-{head['digest'][:16]}")
-    return Index(ref, spark.read.parquet(f"{folder}/parsed"), spark.read.parquet(f"{folder}/catalog"), suffixes)
+    saved = search.Keys(**{name: spark.read.parquet(f"{folder}/keys/{name}") for name in SORTED}) if suffixes else None
+    return Index(ref, spark.read.parquet(f"{folder}/parsed"), spark.read.parquet(f"{folder}/catalog"), suffixes, saved)

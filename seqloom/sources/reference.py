@@ -1,4 +1,4 @@
-"""A reference sequence with its suffix array and word table, made once and read by all workers.
+"""A reference sequence with its suffix array and packed words, made once and read by all workers.
 
 The arrays are files in the folder that the cluster shares. Workers on the same file system map them, so that those of
 one machine hold them once; others read them. A parser is kept in each worker for the reference sequence it met last.
@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import SparkSession
 
-from seqloom.operators.kernels import Parser, suffix_array, word_table
+from seqloom.operators.kernels import suffix_array
+from seqloom.operators.matching import Parser
 from seqloom.scratch import shared_path
 
 _places: dict[tuple[str, str], str] = {}
@@ -25,11 +26,12 @@ def digest(ref: bytes) -> str:
 
 
 def save(ref: bytes, folder: str) -> None:
-    """Write the sequence, its suffix array and its word table."""
+    """Write the sequence, its suffix array and its words, by position and by rank."""
     sa = suffix_array(ref)
+    p = Parser(ref, sa)
     fs, base = pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
     fs.create_dir(base, recursive=True)
-    for name, array in (("symbols", np.frombuffer(ref, np.uint8)), ("suffixes", sa), ("words", word_table(ref, sa))):
+    for name, array in (("symbols", np.frombuffer(ref, np.uint8)), ("suffixes", sa), ("packed", p.packed), ("ranked", p.ranked)):
         with fs.open_output_stream(f"{base}/{name}.npy", compression=None) as out:
             np.lib.format.write_array_header_1_0(out, np.lib.format.header_data_from_array_1_0(array))
             out.write(memoryview(np.ascontiguousarray(array)).cast("B") if array.size else b"")
@@ -65,4 +67,4 @@ def parser(folder: str) -> Parser:
         with fs.open_input_stream(f"{base}/{name}.npy", compression=None) as source:
             return np.load(pa.BufferReader(source.read()))
 
-    return Parser(array("symbols").tobytes(), array("suffixes"), array("words"))
+    return Parser(array("symbols").tobytes(), array("suffixes"), array("packed"), array("ranked"))

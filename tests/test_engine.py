@@ -1,12 +1,13 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from seqloom import cli
 from seqloom.functions import symbols as S
 from seqloom.operators import factors as O
-from seqloom.operators import kernels, search
+from seqloom.operators import kernels, keys, search
 from seqloom.operators.range_join import range_join
 from seqloom.operators.running import running_sums
 from seqloom.sources import factor_files, index, reference
@@ -151,6 +152,63 @@ def test_literals_are_found(spark):
     assert tuple(search.workload(counted, counted).first()) == (len(asked), sum(len(p) for _, p in asked), sum(n), max(n), n.count(0))
 
 
+def test_search_in_a_saved_index_equals_brute_force(spark, tmp_path):
+    """With the saved keys, over several files and many row groups; patterns that need texts beyond the words are among them."""
+    ref, targets = family(11, n=30, size=400)
+    c = collection(spark, ref, targets)
+    index.write(c, f"{tmp_path}/i")
+    found = index.load(spark, f"{tmp_path}/i")
+    index.write_keys(found.parsed, c.ref, f"{tmp_path}/i/keys", rows=40, group_bytes=1024)
+    asked = PATTERNS + own_patterns(11, targets)
+    patterns = spark.createDataFrame(asked, "pattern_id long, pattern string")
+    want = brute_hits(ref, targets, asked)
+    found = index.load(spark, f"{tmp_path}/i")
+    assert sorted(map(tuple, found.locate(patterns).collect())) == sorted(w[:3] for w in want)
+    assert {r.pattern_id: r.n for r in found.count(patterns, "strict").collect()} == {i: sum(w[0] == i and (not w[1] or w[3] <= 2 and not w[4]) for w in want) for i, _ in asked}
+
+
+def test_a_search_reads_a_part_of_the_keys(spark, tmp_path):
+    """Of the rows of the keys, fewer than a tenth leave the scans for 10 patterns of 20 symbols or more."""
+    rng = random.Random(3)
+    ref = "".join(rng.choices("acgt", k=20_000))
+    targets = [(i, "".join(ref[a : a + rng.randrange(8, 60)] for _ in range(1500) for a in [rng.randrange(len(ref) - 60)])) for i in range(1, 121)]
+    c = collection(spark, ref, targets)
+    index.write(c, f"{tmp_path}/i")
+    index.write_keys(index.load(spark, f"{tmp_path}/i").parsed, c.ref, f"{tmp_path}/i/keys", rows=1 << 14, group_bytes=1 << 13)
+    found = index.load(spark, f"{tmp_path}/i")
+    asked = [(i, targets[i][1][a : a + k]) for i, k in enumerate((20, 20, 21, 22, 25, 28, 30, 36, 44, 52)) for a in [rng.randrange(20_000)]]
+    patterns = spark.createDataFrame(asked, "pattern_id long, pattern string")
+    read = total = 0
+    for table, column, rows, lo, hi in ((found.keys.by_right, "right", keys.splits(c.ref, patterns).where("tag > 0"), "lo", "hi"), (found.keys.by_left, "left", keys.splits(c.ref, patterns).where("tag < 0"), "lo", "hi"), (found.keys.inside, "key", keys.points(c.ref, patterns), "key", "key")):
+        pruned = table.where(search.in_ranges(column, keys.ranges(rows, lo, hi, search.RANGES)))
+        pruned.collect()
+        scan = pruned._jdf.queryExecution().executedPlan().collectLeaves().head()
+        read, total = read + scan.metrics().apply("numOutputRows").value(), total + table.count()
+    assert total > 100_000 and 0 < read < total / 10
+    got = sorted(map(tuple, found.locate(patterns).collect()))
+    assert got == sorted((i, s, a) for i, p in asked for s, t in [(0, ref), *targets] for a in kernels.occurrences(t.encode(), p.encode()))
+
+
+def test_parts_of_a_factor_do_not_grow_with_its_length(spark):
+    """At most two parts of each size cover factors of any length, and every place in one is in one part."""
+    rng = random.Random(2)
+    for size in (1, 15, 16, 17, 1000, 10**6):
+        low = np.array([rng.randrange(10**7) for _ in range(20)])
+        high = low + size
+        rows = [(i, int(k) >> keys.LEVEL, int(k) & ((1 << keys.LEVEL) - 1)) for lanes, ks in keys.parts(low, high) for i, k in zip(lanes.tolist(), ks.tolist(), strict=True)]
+        for i in range(20):
+            own = sorted((at << level, (at + 1) << level) for j, level, at in rows if j == i)
+            assert own[0][0] == low[i] and own[-1][1] == high[i] and all(a[1] == b[0] for a, b in zip(own, own[1:], strict=False))
+            assert len(own) <= 2 * max(1, size.bit_length())
+    ref = "".join(rng.choices("acgt", k=1_500_000))
+    c = collection(spark, ref, [(1, ref[1000:1_001_000] + ref[400_000:1_400_000])])
+    parsed = O.parse(c).cache()
+    assert keys.inside(parsed, c.ref).count() <= 40 * O.exploded(parsed, len(ref)).count()
+    asked = [(0, ref[500_000:500_030]), (1, ref[999_000:1_000_900])]
+    got = sorted(map(tuple, search.in_targets(parsed, c.ref, spark.createDataFrame(asked, "pattern_id long, pattern string")).collect()))
+    assert got == [(0, 1, 499_000), (0, 1, 1_100_000), (1, 1, 998_000), (1, 1, 1_599_000)]
+
+
 def test_a_saved_suffix_array_is_used(spark, tmp_path, monkeypatch):
     ref, targets = family(8, n=4)
     c = collection(spark, ref + "acgacg", targets)

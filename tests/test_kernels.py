@@ -4,6 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from seqloom.operators import kernels as K
+from seqloom.operators import matching
 
 REF, T = b"acgtacgn", b"acgtannncgtt"
 seqs = st.text("acgnt", max_size=60).map(str.encode)
@@ -46,6 +47,39 @@ def test_parse_equals_naive_and_round_trips(ref, text):
     assert K.expand(ref, pos, size) == text
 
 
+@given(st.text("acgnt", max_size=300).map(str.encode), st.lists(st.text("acgntx", max_size=150).map(str.encode), max_size=5), st.data())
+@settings(max_examples=300, deadline=None)
+def test_many_texts_in_small_blocks_equal_naive(ref, texts, data):
+    """Streams that leave their blocks, windows of long texts, matches beyond the words, several texts at once."""
+    old = matching.BLOCK, matching.GROUP, matching.BEYOND, matching.DEPTH
+    if len(ref) > 30:  # pieces of the reference sequence, so that matches are long
+        at = [data.draw(st.integers(0, len(ref) - 30)) for _ in range(4)]
+        pieces = [ref[a : a + data.draw(st.integers(1, 200))] for a in at]
+        # the text behind one goes on as the reference sequence does
+        texts = [*texts, *pieces, pieces[0], ref[at[0] + len(pieces[0]) :], ref + ref]
+    try:
+        matching.BLOCK, matching.GROUP, matching.BEYOND, matching.DEPTH = (data.draw(st.sampled_from(x)) for x in ((1, 4, 16), (10, 50, 10**6), (0, 3, 100), (0, 1, 4)))
+        bounds = np.cumsum([0, *map(len, texts)]).astype(np.int64)
+        pos, size, start, counts = K.Parser(ref, K.suffix_array(ref)).parse_texts(np.frombuffer(b"".join(texts), np.uint8), bounds)
+        got, at = [], 0
+        for t, n, base in zip(texts, counts.tolist(), bounds.tolist(), strict=False):
+            rows = slice(at, at + n)
+            got.append(list(zip(pos[rows].tolist(), size[rows].tolist(), strict=True)))
+            assert (start[rows] - base).tolist() == [0, *np.cumsum(size[rows]).tolist()][:n] and int(size[rows].sum()) == len(t)
+            at += n
+        assert got == [naive_parse(ref, t) for t in texts] and at == len(pos)
+    finally:
+        matching.BLOCK, matching.GROUP, matching.BEYOND, matching.DEPTH = old
+
+
+@given(st.text("acgnt", max_size=200).map(str.encode), st.text("acgntx", min_size=1, max_size=60).map(str.encode), st.integers(0, 150), st.integers(1, 90))
+@settings(max_examples=300, deadline=None)
+def test_intervals_equal_plain_search(ref, pattern, at, size):
+    p = K.Parser(ref, K.suffix_array(ref))
+    for part in (pattern, ref[at : at + size]):
+        assert p.occurrences(part).tolist() == K.occurrences(ref, part)
+
+
 def test_long_repeats():
     ref = b"acgt" * 500
     text = ref[3:1900] + b"n" + ref[1:1200]
