@@ -8,8 +8,8 @@ leaf itself. The groups' roots, by group name (null first, then by bytes), make
 A node's coordinates are its tree, level and place. Leaves get their places from ranges of about ``running.ROWS`` rows
 and the counts of the ranges before, so no group is sorted in one task. A level is an aggregate over runs of the one below, and is written before
 the next. From its place and the size of its group a leaf knows the coordinates of all siblings of its path; they are exploded and
-looked up in the table of nodes. The levels that hold at most ``BROADCAST_NODES`` nodes in all are broadcast, so what is asked by very many leaves
-makes no hot key; a node of the other levels is asked by the leaves of one run of its level only. In the upper tree
+looked up in the table of nodes. Upper levels that hold at most ``BROADCAST_NODES`` nodes in all are broadcast, so what is asked by very many leaves
+makes no hot key; a node of the lower levels is asked by the leaves of one run of its level only. In the upper tree
 every leaf of a group asks the same nodes; where that tree is too large to be broadcast they are copied over ``SALTS``. The siblings of
 a leaf, in order, are its proof, and folding them around the leaf gives the root.
 
@@ -34,6 +34,8 @@ FAN = 8
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 #: Nodes that are broadcast, of all levels together.
 BROADCAST_NODES = 1 << 16
+#: Levels of the groups' trees that are looked up by a shuffle at every size of the table.
+SHUFFLED = 2
 SALTS = 64
 #: The number of the upper tree; the groups' trees are numbered from 0.
 UPPER = -1
@@ -118,7 +120,7 @@ def height(size: Column) -> Column:
 
 
 def path(tree: Column, idx: Column, size: Column, first: int) -> Column:
-    """The siblings on the way from a leaf to its root: (step, tree, level, at), steps numbered from ``first``."""
+    """The siblings on the way from a leaf to its root: (order, t, level, at), in order, counted from step ``first`` on."""
     powers = F.slice(F.array(*[F.lit(FAN**k) for k in range(21)]), F.lit(1), height(size))
 
     def of_level(p: Column, k: Column) -> Column:
@@ -126,19 +128,20 @@ def path(tree: Column, idx: Column, size: Column, first: int) -> Column:
         start = own - own % FAN
         stop = F.least(start + FAN, F.ceil(size / p)) - 1
         others = F.filter(F.sequence(start, stop), lambda x: x != own)
-        return F.transform(others, lambda x: F.struct((k + first).alias("step"), tree.alias("tree"), k.alias("level"), x.alias("at")))
+        return F.transform(others, lambda x: F.struct(((k + first) * FAN + (x - start).cast("int")).alias("order"), tree.alias("t"), k.alias("level"), x.alias("at")))
 
     return F.flatten(F.transform(powers, of_level))
 
 
 def proofs(m: Manifest) -> DataFrame:
-    """tree, idx, subroot and proof (the siblings' digests as text, in order) of every leaf."""
+    """The leaves with ``subroot`` and ``proof``, the siblings' digests as text, in order."""
     tree, idx, size = F.col("tree"), F.col("idx"), F.col("size")
-    own = F.array(F.struct(F.lit(-1).alias("step"), tree.alias("tree"), height(size).alias("level"), F.lit(0).cast("long").alias("at")))
+    own = F.array(F.struct(F.lit(-1).alias("order"), tree.alias("t"), height(size).alias("level"), F.lit(0).cast("long").alias("at")))
     whole = F.concat(own, path(tree, idx, size, 0), path(F.lit(UPPER).cast("long"), tree, F.lit(m.trees).cast("long"), UPPER_STEP))
-    asked = m.leaves.select("tree", "idx", "size").repartition("tree", "idx").select("tree", "idx", F.explode(whole).alias("c")).select("tree", "idx", "c.step", F.col("c.tree").alias("t"), F.col("c.level").alias("level"), F.col("c.at").alias("at"))
-    held, sent, shuffled = 0, [], []
-    for level, n in sorted(((k, t.count()) for k, t in m.nodes.items()), key=lambda x: x[1]):
+    leaves = m.leaves.repartition("tree", "idx")
+    asked = leaves.select("tree", "idx", F.explode(whole).alias("c")).select("tree", "idx", "c.order", "c.t", "c.level", "c.at")
+    held, sent, shuffled = 0, [], [k for k in m.nodes if not k[0] and k[1] < SHUFFLED]
+    for level, n in sorted(((k, t.count()) for k, t in m.nodes.items() if k not in shuffled), key=lambda x: x[1]):
         held += n
         (sent if held <= BROADCAST_NODES else shuffled).append(level)
 
@@ -149,24 +152,26 @@ def proofs(m: Manifest) -> DataFrame:
             out = one if out is None else out.unionByName(one)
         return out
 
-    def gathered(rows: DataFrame, name: str) -> DataFrame:
-        return rows.groupBy("tree", "idx").agg(F.collect_list(F.struct("step", "at", "h")).alias(name))
+    def gathered(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("tree", "idx").agg(F.collect_list(F.struct("order", "h")).alias("found"))
 
-    out = gathered(asked.where(among(sent)).join(F.broadcast(nodes_of(sent)), ["t", "level", "at"]), "found") if sent else None
+    parts = []
+    if sent:
+        # leaves stay where they are, so their lists are gathered there
+        parts.append(gathered(asked.where(among(sent)).join(F.broadcast(nodes_of(sent)), ["t", "level", "at"])))
     if shuffled:
         upper = F.col("t") == UPPER
-        salted = asked.where(among(shuffled)).withColumn("salt", F.when(upper, F.pmod(F.xxhash64("tree", "idx"), F.lit(SALTS))).otherwise(0))
-        copied = nodes_of(shuffled).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.when(upper, SALTS - 1).otherwise(0).cast("long"))))
-        more = gathered(salted.join(copied, ["t", "level", "at", "salt"]), "more")
-        if out is None:
-            out = more.withColumnRenamed("more", "found")
-        else:
-            both = F.concat(F.coalesce("found", F.array()), F.coalesce("more", F.array()))
-            out = out.join(more, ["tree", "idx"], "full_outer").select("tree", "idx", both.alias("found"))
-    found = out.withColumn("found", F.sort_array("found"))
-    # the least step is the group's root
+        salted = asked.where(among(shuffled)).withColumn("salt", F.when(upper, F.pmod(F.xxhash64("tree", "idx"), F.lit(SALTS))).otherwise(0).cast("int"))
+        copied = nodes_of(shuffled).withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(upper, SALTS - 1).otherwise(0))))
+        parts.append(gathered(salted.join(copied, ["t", "level", "at", "salt"])))
+    out, lists = leaves.withColumn("found", F.array().cast("array<struct<order:int,h:binary>>")), F.col("found")
+    for k, part in enumerate(parts):
+        out = out.join(part.withColumnRenamed("found", f"found{k}"), ["tree", "idx"], "left")
+        lists = F.concat(lists, F.coalesce(f"found{k}", "found"))
+    out = out.withColumn("found", F.sort_array(lists)).drop(*(f"found{k}" for k in range(len(parts))))
+    # the group's root stands before the siblings
     rest = F.slice("found", F.lit(2), F.greatest(F.size("found") - 1, F.lit(0)))
-    return found.select("tree", "idx", hexed(F.col("found")[0]["h"]).alias("subroot"), F.array_join(F.transform(rest, lambda x: hexed(x["h"])), "").alias("proof"))
+    return out.withColumn("subroot", hexed(F.col("found")[0]["h"])).withColumn("proof", F.array_join(F.transform(rest, lambda x: hexed(x["h"])), "")).drop("found")
 
 
 def among(levels_: list[tuple[bool, int]]) -> Column:
@@ -215,6 +220,5 @@ def verify(docs: DataFrame, suspect: Column, every: int = ROWS) -> DataFrame:
     own = [F.col(c) for c in FIELDS]
     rows = docs.select("doc_id", "lang", leaf(own).alias("h"), F.when(suspect, leaf(tampered(own))).alias("bad"))
     m = build(rows, "lang", "doc_id", every)
-    found = m.leaves.join(proofs(m), ["tree", "idx"])
-    found = found.select("tree", "idx", "size", "doc_id", hexed(F.col("h")).alias("leaf"), hexed(F.coalesce("bad", "h")).alias("leaf_in"), "subroot", F.lit(m.root).alias("root"), "proof", F.sha2("proof", 256).alias("proof_sha256"))
+    found = proofs(m).select("tree", "idx", "size", "doc_id", hexed(F.col("h")).alias("leaf"), hexed(F.coalesce("bad", "h")).alias("leaf_in"), "subroot", F.lit(m.root).alias("root"), "proof", F.sha2("proof", 256).alias("proof_sha256"))
     return folded(found, m.trees).withColumn("verified", F.col("folded_root") == F.col("root"))
