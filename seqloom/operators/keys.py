@@ -275,15 +275,25 @@ def points(ref: bytes, patterns: DataFrame) -> DataFrame:
     return patterns.select("pattern_id", "pattern").mapInArrow(run, POINTS)
 
 
-def ranges(asked: DataFrame, low: str, high: str, most: int) -> list[tuple[int, int]]:
-    """At most so many ranges that cover all of (low, high) of a table of bounded size, parted at the widest gaps."""
+def ranges(asked: DataFrame, low: str, high: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ranges (low, high) that a table of bounded size asks for, by their start; ends are those of all ranges so far."""
     got = asked.select(F.col(low).alias("lo"), F.col(high).alias("hi")).distinct().toArrow()
     lo, hi = got["lo"].to_numpy(), got["hi"].to_numpy()
+    by = np.argsort(lo)
+    return lo[by], np.maximum.accumulate(hi[by]) if len(by) else hi
+
+
+def merged(lo: np.ndarray, hi: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """At most so many ranges that cover all of them, parted at the widest gaps."""
     if not len(lo):
         return []
-    by = np.argsort(lo)
-    lo, hi = lo[by], np.maximum.accumulate(hi[by])
     gaps = lo[1:] - hi[:-1]
     cuts = np.sort(np.argsort(-gaps)[: most - 1])
     cuts = cuts[gaps[cuts] > 1]
     return list(zip(lo[np.append(0, cuts + 1)].tolist(), hi[np.append(cuts, len(hi) - 1)].tolist(), strict=True))
+
+
+def met(lo: np.ndarray, hi: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Which of the spans low .. high meet one of the ranges."""
+    last = np.searchsorted(lo, high, "right") - 1
+    return (last >= 0) & (hi[np.maximum(last, 0)] >= low) if len(lo) else np.zeros(len(low), bool)

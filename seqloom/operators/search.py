@@ -23,23 +23,48 @@ from pyspark.sql import functions as F
 
 from seqloom.operators import kernels, keys
 from seqloom.operators.matching import Texts
-from seqloom.scratch import BROADCAST_ROWS, small, written
+from seqloom.scratch import BROADCAST_ROWS, written
 from seqloom.sources import reference
 
 #: By the number of factors that a hit meets: 1, 2, or 3 for more.
 MODES = {"complete": "true", "strict": "not meets_n and met <= 2", "in_factor": "not meets_n and met = 1", "boundary": "not meets_n and met = 2"}
 REQUESTS_A_ROW = 10_000
-#: Ranges of keys that a scan of a saved index is told, and sequences of which it is told the numbers.
-RANGES, SEQUENCES = 256, 1000
+#: Ranges of keys that one scan of a saved index is told beside its buckets (so few that the check of a row stays small), scans of a
+#: table, and sequences of which a scan is told the numbers.
+RANGES, SCANS, SEQUENCES = 32, 8, 1000
+
+
+@dataclass
+class Table:
+    """A saved table of keys, sorted by a column and dealt into buckets; ``low`` and ``high`` are the keys of each bucket."""
+
+    rows: DataFrame
+    column: str
+    bucket: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    def within(self, lo: np.ndarray, hi: np.ndarray) -> DataFrame:
+        """The rows in ranges of keys, from the buckets and row groups that meet them; at most ``SCANS`` scans with ``RANGES`` ranges each."""
+        # ranges that do not overlap, so no row is in two scans
+        ranges = keys.merged(lo, hi, RANGES * SCANS)
+        out = None
+        for a in range(0, max(1, len(ranges)), RANGES):
+            own = ranges[a : a + RANGES]
+            ends = np.array(own, np.int64).reshape(-1, 2)
+            buckets = self.bucket[keys.met(ends[:, 0], ends[:, 1], self.low, self.high)].tolist()
+            rows = self.rows.where(F.col("bucket").isin(buckets) if buckets else F.lit(False)).where(in_ranges(self.column, own)).drop("bucket")
+            out = rows if out is None else out.unionByName(rows)
+        return out
 
 
 @dataclass
 class Keys:
-    """Saved keys: borders sorted by the word behind them, and by the word before them, and dyadic parts sorted by key."""
+    """Saved keys: borders by the word behind them, and by the word before them, and dyadic parts by key."""
 
-    by_right: DataFrame
-    by_left: DataFrame
-    inside: DataFrame
+    by_right: Table
+    by_left: Table
+    inside: Table
 
 
 def valid(patterns: DataFrame) -> DataFrame:
@@ -62,19 +87,14 @@ def by_tags(borders: DataFrame, tags: list[int]) -> DataFrame:
     return borders.withColumn("k", F.explode(rows)).select("*", F.col("k.tag").alias("own_tag"), F.col("k.key").alias("key")).drop("k")
 
 
-def border_rows(parsed: DataFrame, ref: bytes, asked: DataFrame, saved: Keys | None) -> DataFrame | None:
+def border_rows(parsed: DataFrame, ref: bytes, asked: DataFrame, tags: list[int], saved: Keys | None) -> DataFrame:
     """The borders with the keys that splits ask for; those that are saved only from the ranges in which some split has its key."""
-    tags = sorted(r["tag"] for r in asked.select("tag").distinct().collect())
-    if not tags:
-        return None
     if saved is None:
         return by_tags(keys.borders(parsed, ref), tags)
     out = None
-    bounded = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    for table, column, own in ((saved.by_right, "right", [t for t in tags if t > 0]), (saved.by_left, "left", [t for t in tags if t < 0])):
+    for table, own in ((saved.by_right, [t for t in tags if t > 0]), (saved.by_left, [t for t in tags if t < 0])):
         if own:
-            rows = table.where(in_ranges(column, keys.ranges(asked.where(F.col("tag").isin(own)), "lo", "hi", RANGES))) if bounded else table
-            rows = by_tags(rows, own)
+            rows = by_tags(table.within(*keys.ranges(asked.where(F.col("tag").isin(own)), "lo", "hi")), own)
             out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -82,15 +102,17 @@ def border_rows(parsed: DataFrame, ref: bytes, asked: DataFrame, saved: Keys | N
 def across(parsed: DataFrame, ref: bytes, patterns: DataFrame, saved: Keys | None) -> DataFrame | None:
     """pattern_id, seq_id, pos, met, meets_n of the hits over borders."""
     asked = written(keys.splits(ref, patterns), "splits")
-    rows = border_rows(parsed, ref, asked, saved)
-    if rows is None:
+    n, tags, more = asked.agg(F.count("*"), F.sort_array(F.collect_set("tag")), F.max("more")).first()
+    if not n:
         return None
+    few = n <= BROADCAST_ROWS
+    rows = border_rows(parsed, ref, asked, tags, saved if few else None)
     agree = lambda side: F.col(side).bitwiseXOR(F.col(f"own_{side}")).bitwiseAND(F.col(f"{side}_mask")) == 0
     sides = asked.drop("lo", "hi").withColumnRenamed("left", "own_left").withColumnRenamed("right", "own_right")
-    found = rows.join(small(sides), "key").where((F.col("own_tag") - F.col("tag") == 0) & (F.col("prev_len") >= F.col("least")) & agree("left") & agree("right"))
+    found = rows.join(F.broadcast(sides) if few else sides, "key").where((F.col("own_tag") - F.col("tag") == 0) & (F.col("prev_len") >= F.col("least")) & agree("left") & agree("right"))
     met = F.when((F.col("prev_len") >= F.col("i")) & (F.col("len") >= F.col("m") - F.col("i")), 2).otherwise(3)
     found = found.select("pattern_id", "seq_id", (F.col("at") - F.col("i")).alias("pos"), met.alias("met"), "meets_n", "more", "m")
-    if not asked.where("more").limit(1).count():
+    if not more:
         return found.drop("more", "m")
     found = written(found.withColumn("req_id", F.monotonically_increasing_id()), "candidates")
     open_ = found.where("more")
@@ -98,7 +120,7 @@ def across(parsed: DataFrame, ref: bytes, patterns: DataFrame, saved: Keys | Non
         some = [r[0] for r in open_.select("seq_id").distinct().limit(SEQUENCES + 1).collect()]
         parsed = parsed.where(F.col("seq_id").isin(some)) if len(some) <= SEQUENCES else parsed
     texts = display(parsed, ref, open_.select("req_id", "seq_id", F.col("pos").alias("start"), (F.col("pos") + F.col("m")).alias("end")))
-    same = open_.join(texts, "req_id").join(small(patterns.select("pattern_id", "pattern")), "pattern_id").where("text = pattern")
+    same = open_.join(texts, "req_id").join(F.broadcast(patterns) if few else patterns, "pattern_id").where("text = pattern")
     columns = ["pattern_id", "seq_id", "pos", "met", "meets_n"]
     return found.where("not more").select(columns).unionByName(same.select(columns))
 
@@ -106,11 +128,12 @@ def across(parsed: DataFrame, ref: bytes, patterns: DataFrame, saved: Keys | Non
 def within(parsed: DataFrame, ref: bytes, patterns: DataFrame, saved: Keys | None) -> DataFrame:
     """pattern_id, seq_id, pos, met, meets_n of the hits in one factor."""
     asked = written(keys.points(ref, patterns), "points")
-    few = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    if saved is None:
-        rows = keys.inside(parsed, ref, asked.agg(F.coalesce(F.min("m"), F.lit(1))).first()[0])
+    n, least = asked.agg(F.count("*"), F.coalesce(F.min("m"), F.lit(1))).first()
+    few = n <= BROADCAST_ROWS
+    if saved is None or not few:
+        rows = keys.inside(parsed, ref, least)
     else:
-        rows = saved.inside.where(in_ranges("key", keys.ranges(asked, "key", "key", RANGES))) if few else saved.inside
+        rows = saved.inside.within(*keys.ranges(asked, "key", "key"))
     run, usual = F.col("key") == keys.RUN_KEY, F.col("key") >= 0
     holds = (F.col("place") >= F.col("pos")) & (F.col("place") + F.col("m") <= F.col("pos") + F.col("len"))
     found = rows.join(F.broadcast(asked) if few else asked, "key").where(F.when(usual, holds).otherwise(F.col("len") >= F.col("m")))

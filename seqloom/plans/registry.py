@@ -57,15 +57,15 @@ def query(sql: str | None = None) -> Callable:
 
 def drawn_patterns(c: Collection) -> DataFrame:
     """Pieces of the targets, for a workload: ``PIECES`` sequences by a hash of their number, a piece of each length from each."""
-    rows = c.targets.withColumn("len", F.length("seq").cast("long")).where(F.col("len") >= max(LENGTHS))
-    rows = rows.orderBy((F.col("seq_id") * 2654435761) % 4294967296, "seq_id").limit(PIECES)
-    rows = rows.select("seq_id", "seq", "len", F.posexplode(F.array(*map(F.lit, LENGTHS))).alias("k", "m"))
+    sizes = c.targets.select("seq_id", F.length("seq").cast("long").alias("len")).where(F.col("len") >= max(LENGTHS))
+    drawn = [r["seq_id"] for r in sizes.orderBy((F.col("seq_id") * 2654435761) % 4294967296, "seq_id").limit(PIECES).collect()]
+    rows = c.targets.where(F.col("seq_id").isin(drawn)).select("seq_id", "seq", F.length("seq").cast("long").alias("len"), F.posexplode(F.array(*map(F.lit, LENGTHS))).alias("k", "m"))
     start = (F.col("seq_id") * 7919 + F.col("m") * 104729) % (F.col("len") - F.col("m") + 1)
     return rows.select((1000 + 8 * F.col("seq_id") + F.col("k")).alias("pattern_id"), F.substring("seq", (start + 1).cast("int"), F.col("m")).alias("pattern"))
 
 
 def patterns(c: Collection) -> DataFrame:
-    return c.spark.createDataFrame(list(PATTERNS), "pattern_id long, pattern string").unionByName(drawn_patterns(c))
+    return written(c.spark.createDataFrame(list(PATTERNS), "pattern_id long, pattern string").unionByName(drawn_patterns(c)).coalesce(1), "patterns")
 
 
 def requests(c: Collection) -> DataFrame:
@@ -212,7 +212,7 @@ ORACLE_SQL["count_patterns"] = WITH + ", " + HITS + "select pattern_id, pattern,
 @query("select 1")
 def workload_stats(c):
     """What a run of the patterns amounts to."""
-    asked = written(patterns(c), "patterns")
+    asked = patterns(c)
     return search.workload(asked, search.count(written(O.parse(c), "parsed"), c.ref, asked))
 
 

@@ -1,7 +1,7 @@
 """A saved index: the reference sequence, parsed sequences, their catalog, the suffix array and the keys of the factors.
 
-The keys lie in three tables, each dealt into ranges of its key and sorted, with small row groups. A search tells the scan the ranges of keys
-that its patterns have, so files and row groups without them are passed over, and of the factors only those of sequences with a candidate are read.
+The keys lie in three tables, each dealt into buckets that are ranges of its key, and sorted. A search reads the buckets and row groups that meet the ranges of keys
+that its patterns have, and of the factors only those of sequences with a candidate are read.
 
 The suffix array lies in a folder named after the digest of the reference sequence, so it is never used with
 another one; a loaded index searches with it and does not build it again. A display-only index has no suffix array; searching one fails with a clear message.
@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,21 +64,38 @@ def size_report(parsed: DataFrame, ref_len: int, display_only: bool = False) ->
     return all_of.select(F.inline(rows))
 
 
-#: Rows of a file of keys, and bytes of a row group of it.
-KEY_ROWS, KEY_BYTES = 1 << 22, 1 << 20
+#: Rows of a bucket of keys, and bytes of a row group of it.
+KEY_ROWS, KEY_BYTES = 1 << 19, 1 << 20
 #: The tables of keys and the column that each is sorted by.
 SORTED = {"by_right": "right", "by_left": "left", "inside": "key"}
 
 
 def write_keys(parsed: DataFrame, ref: bytes, folder: str, rows: int = KEY_ROWS, group_bytes: int = KEY_BYTES) -> None:
-    """The keys of parsed factors, sorted. Rows with one key may be very many, so ranges are of keys and places."""
+    """The keys of parsed factors, sorted, in buckets, with the least and greatest key of each bucket. Rows with one key may be very many, so buckets are ranges of keys and places."""
     n = parsed.agg(F.coalesce(F.sum(F.size("pos")), F.lit(0))).first()[0]
     border, inside = factors_keys.borders(parsed, ref), factors_keys.inside(parsed, ref)
     for name, column in SORTED.items():
-        table = inside if name == "inside" else border
         order = [column, "seq_id", "at"]
-        dealt = table.repartitionByRange(max(1, -(-n // rows)), *order).sortWithinPartitions(*order)
-        dealt.write.mode("overwrite").option("parquet.block.size", group_bytes).option("parquet.page.size", group_bytes // 4).parquet(f"{folder}/{name}")
+        dealt = (inside if name == "inside" else border).repartitionByRange(max(1, -(-n // rows)), *order)
+        dealt = dealt.withColumn("bucket", F.spark_partition_id()).sortWithinPartitions("bucket", *order)
+        dealt.write.mode("overwrite").partitionBy("bucket").option("parquet.block.size", group_bytes).option("parquet.page.size", group_bytes // 4).parquet(f"{folder}/{name}")
+    spans = [_table(parsed.sparkSession, folder, name).groupBy("bucket").agg(F.min(c).alias("low"), F.max(c).alias("high")).select(F.lit(name).alias("name"), "bucket", "low", "high") for name, c in SORTED.items()]
+    spans[0].unionByName(spans[1]).unionByName(spans[2]).coalesce(1).write.mode("overwrite").parquet(f"{folder}/buckets")
+
+
+def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    schema = factors_keys.INSIDE if name == "inside" else factors_keys.BORDERS
+    return spark.read.schema(f"{schema}, bucket int").parquet(f"{folder}/{name}")
+
+
+def load_keys(spark: SparkSession, folder: str) -> search.Keys:
+    """Saved keys; of their rows only the buckets' spans are read, one row a bucket."""
+    spans = spark.read.parquet(f"{folder}/buckets").toArrow()
+    tables = {}
+    for name, column in SORTED.items():
+        own = spans.filter(pc.equal(spans["name"], name))
+        tables[name] = search.Table(_table(spark, folder, name), column, *(own[k].to_numpy() for k in ("bucket", "low", "high")))
+    return search.Keys(**tables)
 
 
 def write(c: Collection, folder: str, display_only: bool = False) -> None:
@@ -103,5 +121,5 @@ def load(spark: SparkSession, folder: str) -> Index:
     head = spark.read.parquet(f"{folder}/reference").first()
     ref = head["seq"].encode()
     suffixes = None if head["display_only"] else reference.use(spark, ref, f"{folder}/suffixes-{head['digest'][:16]}")
-    saved = search.Keys(**{name: spark.read.parquet(f"{folder}/keys/{name}") for name in SORTED}) if suffixes else None
+    saved = load_keys(spark, f"{folder}/keys") if suffixes else None
     return Index(ref, spark.read.parquet(f"{folder}/parsed"), spark.read.parquet(f"{folder}/catalog"), suffixes, saved)

@@ -49,8 +49,10 @@ def from_documents(docs: DataFrame, head: int = HEAD, id_col: str = "doc_id", te
 
     Null text is an empty sequence; rows without an id are left out. The sequence of id i has number i + 1.
     """
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), symbols.sanitize_text(F.coalesce(F.col(text_col), F.lit(""))).alias("seq"))
-    first = rows.orderBy("id").limit(head).collect()
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    seq = symbols.sanitize_text(F.col("text")).alias("seq")
+    first = rows.orderBy("id").limit(head).select("id", seq).collect()  # only these texts are read as sequences here
+    rows = rows.select("id", seq)
     targets = rows.where(~F.col("id").isin([r["id"] for r in first])) if first else rows
     return Collection(bounded("n".join(r["seq"] for r in first)), targets.select((F.col("id") + 1).alias("seq_id"), F.concat(F.lit("doc"), F.col("id")).alias("name"), "seq"))
 
