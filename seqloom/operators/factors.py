@@ -111,21 +111,11 @@ def encoded_bits(parsed: DataFrame, ref: bytes) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = shared.value
-        w = kernels.width_of(r)
 
         def bits(pos: list[int], size: list[int], short: bool, liss: bool) -> int | None:
             if not short and any(p < 0 for p in pos):
                 return None
-            total = 0
-            for kind, p, k in kernels.plan(r, pos, size, short, liss):
-                total += liss
-                if kind == "d":
-                    total += (1 if not p else 2 + (abs(p) >> 6) + 7) + (k >> 6) + 7
-                elif kind == "s":
-                    total += 1 + (k >> 3) + 4 + 2 * k
-                else:
-                    total += short + w + (k >> 6) + 7
-            return total
+            return kernels.encode_bits(r, pos, size, short, liss)
 
         for batch in batches:
             rows = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))

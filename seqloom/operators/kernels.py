@@ -11,7 +11,8 @@ from functools import lru_cache
 
 import numpy as np
 
-from seqloom.functions.symbols import BASES, LENGTH_DIVISOR, SHORT_DIVISOR
+from seqloom.functions.symbols import LENGTH_DIVISOR, SHORT_DIVISOR
+from seqloom.operators import bitcodec
 from seqloom.operators.matching import Parser
 
 
@@ -188,31 +189,21 @@ def encode_text(ref: bytes, pos: list[int], size: list[int], short: bool = False
     return header(True, short, liss) + "".join(rows).encode()
 
 
-def rice(n: int, divisor: int) -> str:
-    k = divisor.bit_length() - 1
-    return "1" * (n >> k) + "0" + format(n & (divisor - 1), f"0{k}b")
+def layout(ref: bytes, pos: list[int], size: list[int], short: bool, liss: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Kinds, positions or changes, and lengths of the binary encoding's factors."""
+    p, k = np.asarray(pos, np.int64), np.asarray(size, np.int64)
+    chosen = np.array(rising(pos, len(ref)) if liss else [], np.int64)
+    return *bitcodec.kinds(ref, p, k, chosen, short, short_limit(ref)), k
 
 
-def encode_bits(ref: bytes, pos: list[int], size: list[int], short: bool = False, liss: bool = False) -> str:
-    """The factors' bits, without the file's header and divisors."""
-    w, out = width_of(ref), []
-    for kind, p, k in plan(ref, pos, size, short, liss):
-        if liss:
-            out.append("1" if kind in "hd" else "0")
-        if kind == "d":
-            out.append("0" if not p else ("11" if p > 0 else "10") + rice(abs(p), LENGTH_DIVISOR))
-            out.append(rice(k, LENGTH_DIVISOR))
-        elif kind == "s":
-            out.append("0" + rice(k, SHORT_DIVISOR) + "".join(format(BASES.index(chr(c)), "02b") for c in text_of(ref, p, k)))
-        else:
-            out.append("1" * short + format(p, f"0{w}b") + rice(k, LENGTH_DIVISOR))
-    return "".join(out)
+def encode_bits(ref: bytes, pos: list[int], size: list[int], short: bool = False, liss: bool = False) -> int:
+    """How many bits the factors take, without the file's header and divisors; no bits are made."""
+    return int(bitcodec.bit_lengths(*layout(ref, pos, size, short, liss), width_of(ref), short, liss).sum())
 
 
 def encode_binary(ref: bytes, pos: list[int], size: list[int], short: bool = False, liss: bool = False) -> bytes:
-    bits = format(LENGTH_DIVISOR, "08b") + (format(SHORT_DIVISOR, "08b") if short else "") + encode_bits(ref, pos, size, short, liss)
-    bits += "0" * (-len(bits) % 8)
-    return header(False, short, liss) + int("1" + bits, 2).to_bytes(len(bits) // 8 + 1, "big")[1:]
+    divisors = bytes([LENGTH_DIVISOR, SHORT_DIVISOR] if short else [LENGTH_DIVISOR])
+    return header(False, short, liss) + divisors + bitcodec.encode(ref, *layout(ref, pos, size, short, liss), width_of(ref), short, liss)
 
 
 def decode_file(ref: bytes, data: bytes) -> list[tuple[int, int, bytes]]:
@@ -220,9 +211,20 @@ def decode_file(ref: bytes, data: bytes) -> list[tuple[int, int, bytes]]:
     if not data:
         raise ValueError("an empty file has no header")
     flags = data[0]
-    read = _read_text if flags >> 7 & 1 else _read_binary
+    short, liss = bool(flags >> 5 & 1), bool(flags >> 4 & 1)
+    if flags >> 7 & 1:
+        return _decode_text(ref, data[1:], short, liss)
+    long_divisor, short_divisor = (*data[1 : 2 + short], 0)[:2]
+    kind, value, size, literals = bitcodec.decode(data, 8 * (2 + short), width_of(ref), long_divisor, short_divisor, short, liss)
+    pos = bitcodec.positions(kind, value, size)
+    own = np.where(kind == bitcodec.LITERAL, size, 0)
+    rows = zip(pos.tolist(), size.tolist(), (np.cumsum(own) - own).tolist(), strict=True)
+    return [(p, k, literals[a : a + k] if p < 0 else text_of(ref, p, k)) for p, k, a in rows if k]
+
+
+def _decode_text(ref: bytes, body: bytes, short: bool, liss: bool) -> list[tuple[int, int, bytes]]:
     out, base, first = [], 0, True
-    for kind, p, k, literal in read(ref, data[1:], bool(flags >> 5 & 1), bool(flags >> 4 & 1)):
+    for kind, p, k, literal in _read_text(ref, body, short, liss):
         if kind == "r":
             p = p if first else base + p
             first, base = False, p
@@ -242,43 +244,3 @@ def _read_text(ref: bytes, body: bytes, short: bool, liss: bool):
                 yield "s", -1, int(k), head[0].encode()
             else:
                 yield "f", int(head[0]), int(k), b""
-
-
-def _read_binary(ref: bytes, body: bytes, short: bool, liss: bool):
-    bits, at = format(int.from_bytes(b"\1" + body, "big"), "b")[1:], 0
-
-    def take(n: int) -> int:
-        nonlocal at
-        if at + n > len(bits):
-            raise EOFError
-        at += n
-        return int(bits[at - n : at], 2) if n else 0
-
-    def rice_of(divisor: int) -> int:
-        nonlocal at
-        end = bits.find("0", at)
-        if end < 0:
-            raise EOFError
-        quotient, at = end - at, end + 1
-        return quotient * divisor + take(divisor.bit_length() - 1)
-
-    divisor = take(8)
-    small = take(8) if short else 0
-    w, first = width_of(ref), True
-    try:
-        while True:
-            if liss and take(1):
-                if first:
-                    if short:
-                        take(1)
-                    p, first = take(w), False
-                else:
-                    p = 0 if not take(1) else (1 if take(1) else -1) * rice_of(divisor)
-                yield "r", p, rice_of(divisor), b""
-            elif short and not take(1):
-                k = rice_of(small)
-                yield "s", -1, k, "".join(BASES[take(2)] for _ in range(k)).encode()
-            else:
-                yield "f", take(w), rice_of(divisor), b""
-    except EOFError:
-        return

@@ -3,8 +3,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from seqloom.operators import bitcodec, matching
 from seqloom.operators import kernels as K
-from seqloom.operators import matching
 
 REF, T = b"acgtacgn", b"acgtannncgtt"
 seqs = st.text("acgnt", max_size=60).map(str.encode)
@@ -101,6 +101,42 @@ def test_codecs_round_trip(ref, text, short, liss, as_text):
     assert b"".join(t for _, _, t in K.decode_file(ref, data)) == text
 
 
+def slow_binary(ref, pos, size, short, liss):
+    """The binary format, bit by bit."""
+    w = K.width_of(ref)
+    rice = lambda n, d: "1" * (n // d) + "0" + format(n % d, f"0{d.bit_length() - 1}b")
+    out = format(64, "08b") + (format(8, "08b") if short else "")
+    for kind, p, k in K.plan(ref, pos, size, short, liss):
+        out += ("1" if kind in "hd" else "0") if liss else ""
+        if kind == "d":
+            out += ("0" if not p else ("11" if p > 0 else "10") + rice(abs(p), 64)) + rice(k, 64)
+        elif kind == "s":
+            out += "0" + rice(k, 8) + "".join(format("acgt".index(chr(c)), "02b") for c in K.text_of(ref, p, k))
+        else:
+            out += "1" * short + format(p, f"0{w}b") + rice(k, 64)
+    out += "0" * (-len(out) % 8)
+    return K.header(False, short, liss) + bytes(int(out[i : i + 8], 2) for i in range(0, len(out), 8))
+
+
+@given(st.text("acgnt", min_size=1, max_size=200).map(str.encode), st.lists(st.text("acgnt", max_size=90), max_size=4), st.booleans(), st.booleans(), st.sampled_from([8, 64, 1 << 21]))
+@settings(max_examples=400, deadline=None)
+def test_binary_codec_equals_the_format_bit_by_bit(ref, parts, short, liss, window):
+    """With windows that end within factors, long runs of n, and pieces of the reference sequence."""
+    text = b"".join(p.encode() + b"n" * (70 * i) + ref[i:] for i, p in enumerate(parts))
+    pos, size = K.Parser(ref, K.suffix_array(ref)).parse(text)
+    if not short and any(p < 0 for p in pos):
+        return
+    data = K.encode_binary(ref, pos, size, short, liss)
+    assert data == slow_binary(ref, pos, size, short, liss)
+    old, bitcodec.WINDOW = bitcodec.WINDOW, window
+    try:
+        rows = K.decode_file(ref, data)
+    finally:
+        bitcodec.WINDOW = old
+    assert b"".join(t for _, _, t in rows) == text and [k for _, k, _ in rows] == size
+    assert all(p == q or p == -1 for (p, _, _), q in zip(rows, pos, strict=True))
+
+
 def test_text_format():
     pos, size = K.parser(REF).parse(T)
     assert K.encode_text(REF, pos, size)[1:] == b"\n0 5\n8 3\n1 3\n3 1\n"
