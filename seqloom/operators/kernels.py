@@ -13,7 +13,7 @@ import numpy as np
 
 from seqloom.functions.symbols import LENGTH_DIVISOR, SHORT_DIVISOR
 from seqloom.operators import bitcodec
-from seqloom.operators.matching import Parser
+from seqloom.operators.matching import Parser, spans
 
 
 def suffix_array(text: bytes) -> np.ndarray:
@@ -210,18 +210,43 @@ def decode_file(ref: bytes, data: bytes) -> list[tuple[int, int, bytes]]:
     """(position, length, text) of the factors of a file; literals have position -1."""
     if not data:
         raise ValueError("an empty file has no header")
-    flags = data[0]
-    short, liss = bool(flags >> 5 & 1), bool(flags >> 4 & 1)
-    if flags >> 7 & 1:
-        return _decode_text(ref, data[1:], short, liss)
-    long_divisor, short_divisor = (*data[1 : 2 + short], 0)[:2]
-    kind, value, size, literals = bitcodec.decode(data, 8 * (2 + short), width_of(ref), long_divisor, short_divisor, short, liss)
+    if data[0] >> 7 & 1:
+        return _decode_text(ref, data[1:], bool(data[0] >> 5 & 1), bool(data[0] >> 4 & 1))
+    kind, value, size, literals = _read_arrays(ref, data)
     pos = bitcodec.positions(kind, value, size)
     own = np.where(kind == bitcodec.LITERAL, size, 0)
     rows = zip(pos.tolist(), size.tolist(), (np.cumsum(own) - own).tolist(), strict=True)
     return [(p, k, literals[a : a + k] if p < 0 else text_of(ref, p, k)) for p, k, a in rows if k]
 
 
+def decode_sequence(ref: bytes, data: bytes) -> bytes:
+    """The sequence of a file. Of binary files the symbols of all factors are gathered at once."""
+    if len(data) < 3 or data[0] >> 7 & 1:
+        return b"".join(t for _, _, t in decode_file(ref, data))
+    kind, value, size, literals = _read_arrays(ref, data)
+    if not len(size):
+        return b""
+    pos, n = bitcodec.positions(kind, value, size), len(ref)
+    own = np.where(kind == bitcodec.LITERAL, size, 0)
+    start = np.where(kind == bitcodec.LITERAL, n + 1 + np.cumsum(own) - own, pos)
+    source, out = np.frombuffer(ref + b"n" + literals, np.uint8), []
+    # about a million symbols at a time
+    cuts = np.flatnonzero(np.diff(np.cumsum(size) >> 20, prepend=-1)).tolist()
+    for a, b in zip(cuts, [*cuts[1:], len(size)], strict=True):
+        at = spans(start[a:b], size[a:b])
+        run = pos[a:b] == n
+        if run.any():
+            at[np.repeat(run, size[a:b])] = n
+        out.append(source[at].tobytes())
+    return b"".join(out)
+
+
+def _read_arrays(ref: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
+    short, liss = bool(data[0] >> 5 & 1), bool(data[0] >> 4 & 1)
+    long_divisor, short_divisor = (*data[1 : 2 + short], 0)[:2]
+    return bitcodec.decode(data, 8 * (2 + short), width_of(ref), long_divisor, short_divisor, short, liss)
+
+
 def _decode_text(ref: bytes, body: bytes, short: bool, liss: bool) -> list[tuple[int, int, bytes]]:
     out, base, first = [], 0, True
     for kind, p, k, literal in _read_text(ref, body, short, liss):

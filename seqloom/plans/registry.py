@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import symbols as S
 from seqloom.operators import factors as O
-from seqloom.operators import search
+from seqloom.operators import search, suffixes
 from seqloom.operators.running import running_sums
 from seqloom.scratch import bounded_batches, shared_path, spread, written
 from seqloom.sources import factor_files, index
@@ -122,7 +122,7 @@ def symbol_codes(c):
 
 @query("select cast(row_number() over (order by substring(ref, i + 1)) - 1 as bigint) as rank, cast(i as bigint) as pos from (select ref, unnest(range(length(ref) + 1)) as i from ref)")
 def suffix_array(c):
-    return index.suffix_table(c.spark, c.ref)
+    return suffixes.suffix_ranks(c.spark, c.ref)
 
 
 @query("select 1")

@@ -12,6 +12,8 @@ from seqloom.operators import kernels
 from seqloom.sources.sequences import write_files
 
 ENDING = ".fac"
+#: Factors of an output batch, about.
+ROWS = 1 << 16
 
 
 def encode(parsed: DataFrame, ref: bytes, text: bool = False, short: bool = False, liss: bool = False) -> DataFrame:
@@ -27,16 +29,25 @@ def encode(parsed: DataFrame, ref: bytes, text: bool = False, short: bool = Fals
     return parsed.select("seq_id", "name", "pos", "size").mapInArrow(run, "seq_id long, name string, content binary")
 
 
+def _rows(held: list[tuple]) -> pa.RecordBatch:
+    kinds = (*[pa.int64()] * 4, pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], ["seq_id", "fac_no", "pos", "len", "text"])
+
+
 def factors(files: DataFrame, ref: bytes) -> DataFrame:
     """seq_id, fac_no, pos (null for literals), len, text of every factor of encoded files; the header says how to read."""
     shared = files.sparkSession.sparkContext.broadcast(ref)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            held: list[tuple] = []
             for seq_id, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = kernels.decode_file(shared.value, data)
-                cols = [[seq_id] * len(rows), list(range(len(rows))), [None if p < 0 else p for p, _, _ in rows], [k for _, k, _ in rows]]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array([t.decode() for _, _, t in rows], pa.string())], ["seq_id", "fac_no", "pos", "len", "text"])
+                held += [(seq_id, i, None if p < 0 else p, k, t.decode()) for i, (p, k, t) in enumerate(kernels.decode_file(shared.value, data))]
+                if len(held) >= ROWS:
+                    yield _rows(held)
+                    held = []
+            if held:
+                yield _rows(held)
 
     return files.select("seq_id", "content").mapInArrow(run, "seq_id long, fac_no long, pos long, len long, text string")
 
@@ -47,7 +58,7 @@ def decode(files: DataFrame, ref: bytes) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seqs = [b"".join(t for _, _, t in kernels.decode_file(shared.value, d)).decode() for d in batch.column(2).to_pylist()]
+            seqs = [kernels.decode_sequence(shared.value, d).decode() for d in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(seqs, pa.string())], ["seq_id", "name", "seq"])
 
     return files.select("seq_id", "name", "content").mapInArrow(run, "seq_id long, name string, seq string")

@@ -11,8 +11,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -111,12 +109,6 @@ def write(c: Collection, folder: str, display_only: bool = False) -> None:
     factors.catalog(spark.read.parquet(f"{folder}/parsed")).write.mode("overwrite").parquet(f"{folder}/catalog")
 
 
-def suffix_table(spark: SparkSession, ref: bytes) -> DataFrame:
-    """rank, pos of every suffix, the empty one first."""
-    sa = reference.parser(reference.stored(spark, ref)).array
-    return spark.createDataFrame(pa.table({"rank": pa.array(np.arange(len(sa)), pa.int64()), "pos": pa.array(sa.astype(np.int64))}))
-
-
 def load(spark: SparkSession, folder: str) -> Index:
     head = spark.read.parquet(f"{folder}/reference").first()
     ref = head["seq"].encode()

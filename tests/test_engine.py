@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from seqloom import cli
 from seqloom.functions import symbols as S
 from seqloom.operators import factors as O
-from seqloom.operators import kernels, keys, search
+from seqloom.operators import kernels, keys, search, suffixes
 from seqloom.operators.range_join import range_join
 from seqloom.operators.running import running_sums
 from seqloom.sources import factor_files, index, reference
@@ -270,6 +270,13 @@ def test_helpers(spark):
     assert sorted((r.i, r.j) for r in found.collect()) == sorted((i, j) for i, lo, hi in spans for j, p in points if lo <= p < hi)
 
 
+@pytest.mark.parametrize("ref", [b"", b"a", b"acgtacgn" * 30 + b"acgtt", b"a" * 150])
+def test_suffix_ranks_equal_plain_sorting(spark, ref):
+    """Over several ranges and pieces, with repeats longer than the words."""
+    got = [(r.rank, r.pos) for r in suffixes.suffix_ranks(spark, ref, every=60, piece=50).collect()]
+    assert sorted(got) == list(enumerate(sorted(range(len(ref) + 1), key=lambda i: ref[i:])))
+
+
 def test_symbol_expressions(spark):
     row = spark.range(1).select(*[S.code(F.lit(x)).alias(f"c{i}") for i, x in enumerate("acgntAx")], S.two_bit(F.lit("t")), S.base_of(F.lit(2)), S.is_power_of_two(F.lit(64)), S.is_power_of_two(F.lit(1)), S.log2_of(F.lit(64)), S.position_bits(F.lit(8)), S.short_limit(F.lit(24)), S.rice_bits(F.lit(200), 64), S.rice(F.lit(130), 64), S.from_rice(S.rice(F.lit(130), 8), 8)).first()
     assert tuple(row) == (1, 2, 3, 4, 5, 1, 0, 3, "g", True, False, 6, 4, 12, 10, "110000010", 130)

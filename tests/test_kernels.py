@@ -131,6 +131,7 @@ def test_binary_codec_equals_the_format_bit_by_bit(ref, parts, short, liss, wind
     old, bitcodec.WINDOW = bitcodec.WINDOW, window
     try:
         rows = K.decode_file(ref, data)
+        assert K.decode_sequence(ref, data) == text
     finally:
         bitcodec.WINDOW = old
     assert b"".join(t for _, _, t in rows) == text and [k for _, k, _ in rows] == size
