@@ -9,7 +9,8 @@ from collections.abc import Iterable
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.operators import factors
+from seqloom.operators import factors, search
+from seqloom.scratch import shared_path
 from seqloom.sources import factor_files, index, sequences
 
 
@@ -40,6 +41,7 @@ def parser() -> argparse.ArgumentParser:
         one = sub.add_parser(name)
         one.add_argument("index")
         one.add_argument("--mode", choices=["complete", "strict"], default="complete")
+        one.add_argument("--times", action="store_true", help="tell the microseconds for each symbol (display) or hit on the error output")
     return top
 
 
@@ -61,16 +63,23 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, sourc
         asked = lines(source)
         if a.command == "display":
             rows = [(i, *map(int, x.split())) for i, x in enumerate(asked)]
-            found = got.display(spark.createDataFrame(rows, "req_id long, seq_id long, start long, end long"))
-            out = [r["text"] or "" for r in found.orderBy("req_id").collect()]
+            found, order, units = got.display(spark.createDataFrame(rows, "req_id long, seq_id long, start long, end long")), ["req_id"], F.length("text")
+            line = F.coalesce("text", F.lit(""))
         else:
             patterns = spark.createDataFrame(list(enumerate(asked)), "pattern_id long, pattern string")
             if a.command == "count":
-                out = [r[0] for r in got.count(patterns, a.mode).orderBy("pattern_id").select(F.format_string("%s : %d", "pattern", "n")).collect()]
+                found, order, units, line = got.count(patterns, a.mode), ["pattern_id"], F.col("n"), F.format_string("%s : %d", "pattern", "n")
             else:
-                out = [r[0] for r in got.locate(patterns, a.mode).orderBy("pattern_id", "seq_id", "pos").select(F.format_string("%d %d", "seq_id", "pos")).collect()]
-    for line in out:
-        print(line)
+                found, order, units, line = got.locate(patterns, a.mode), ["pattern_id", "seq_id", "pos"], F.lit(1), F.format_string("%d %d", "seq_id", "pos")
+        target = shared_path(spark, "answers")
+        times = search.timed(found, units, target)
+        if a.times:
+            print(f"{a.command}: {times.answers} answers, {times.units} {'symbols' if a.command == 'display' else 'hits'}, {times.micros:.3f} microseconds each", file=sys.stderr)
+        # answers may be many, so they pass in parts
+        answers = (r[0] for r in spark.read.schema(found.schema).parquet(target).orderBy(*order).select(line).toLocalIterator())
+        for text in answers:
+            print(text)
+            out.append(text)
     return out
 
 

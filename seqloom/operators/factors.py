@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import symbols
 from seqloom.operators import kernels
+from seqloom.operators.asof import asof_join
 from seqloom.operators.keys import text_bytes
 from seqloom.operators.range_join import range_join
-from seqloom.operators.running import running_sums
+from seqloom.operators.running import ROWS, running_sums
 from seqloom.sources import reference
 from seqloom.sources.sequences import Collection
 
@@ -177,6 +178,13 @@ def code_strings(factors: DataFrame, ref_len: int) -> DataFrame:
     return factors.where("pos is not null").select("seq_id", "fac_no", symbols.fixed_binary(F.col("pos"), width).alias("pos_bits"), symbols.rice(F.col("len"), symbols.LENGTH_DIVISOR).alias("len_bits"))
 
 
+def rank(parsed: DataFrame, places: DataFrame, every: int = ROWS) -> DataFrame:
+    """Places (seq_id, at, ...) of sequences with the factor that holds them: fac_no, pos (negative for literals), len, seq_start. Places outside their sequence are left out."""
+    rows = parsed.select("seq_id", F.posexplode(F.arrays_zip("pos", "size", "start")).alias("no", "f"))
+    rows = rows.select("seq_id", F.col("no").cast("long").alias("fac_no"), F.col("f.pos").alias("pos"), F.col("f.size").alias("len"), F.col("f.start").alias("seq_start"))
+    return asof_join(places, rows, "seq_id", "at", "seq_start", every).where(F.col("at") < F.col("seq_start") + F.col("len"))
+
+
 def symbols_at(rows: DataFrame, ref: bytes) -> DataFrame:
     """Adds ``symbol``: the one at ``offset`` in the factor (pos, len)."""
     shared = rows.sparkSession.sparkContext.broadcast(ref)

@@ -12,13 +12,14 @@ the ranges that a pattern asks for are read. ``strict`` leaves out, in targets,
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from seqloom.operators import kernels, keys
@@ -186,6 +187,30 @@ def workload(patterns: DataFrame, counted: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("n_queries"), F.coalesce(F.sum("m"), F.lit(0)).cast("long").alias("n_symbols"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_hits"), F.coalesce(F.max("n"), F.lit(0)).cast("long").alias("most_hits"), F.count_if(F.col("n") == 0).alias("n_without"))
 
 
+@dataclass
+class Times:
+    """What a run of requests took: answers, what they count (symbols or hits), and seconds."""
+
+    answers: int
+    units: int
+    seconds: float
+
+    @property
+    def micros(self) -> float:
+        """Microseconds for each symbol or hit; all of them if there was none."""
+        return 1e6 * self.seconds / max(self.units, 1)
+
+
+def timed(answers: DataFrame, units: Column, target: str) -> Times:
+    """Write the answers and observe them as they are written: how many, and the sum of their units."""
+    seen = Observation("answers")
+    watched = answers.observe(seen, F.count("*").alias("answers"), F.coalesce(F.sum(units), F.lit(0)).cast("long").alias("units"))
+    began = time.perf_counter()
+    watched.write.mode("overwrite").parquet(target)
+    seconds = time.perf_counter() - began
+    return Times(seen.get["answers"], seen.get["units"], seconds)
+
+
 def intervals(ref: bytes, patterns: DataFrame) -> DataFrame:
     """pattern_id, lo, hi: the ranks in the suffix array whose suffixes start with the pattern; null without a hit."""
     where = reference.stored(patterns.sparkSession, ref)

@@ -263,19 +263,15 @@ def locate_boundary(c):
 @query()
 def rank_factor(c):
     """The factor that holds the first symbol of each requested window: the last start at or before it."""
-    spans = written(O.parse(c), "parsed")
-    at = F.size(F.filter("starts", lambda s: s <= F.col("a"))) - 1
-    rows = spans.select("seq_id", "len", F.col("start").alias("starts")).join(requests(c).select("req_id", "seq_id", F.col("start").alias("a")), "seq_id").where("a < len")
-    return rows.select("req_id", "seq_id", at.cast("long").alias("fac_no"), F.element_at("starts", at + 1).alias("seq_start"))
+    met = O.rank(written(O.parse(c), "parsed"), requests(c).select("req_id", "seq_id", F.col("start").alias("at")))
+    return met.select("req_id", "seq_id", "fac_no", "seq_start")
 
 
 @query("""select req_id, substring(seq, "start" + 1, 1) as symbol from requests join targets using (seq_id) where "start" < len""")
 def rank_symbol(c):
     """The first symbol of each requested window of a target, from the factor that holds it."""
-    parsed = written(O.parse(c), "parsed")
-    at = F.size(F.filter("starts", lambda s: s <= F.col("a")))
-    rows = parsed.select("seq_id", "len", "pos", "size", F.col("start").alias("starts")).join(requests(c).select("req_id", "seq_id", F.col("start").alias("a")), "seq_id").where("a < len")
-    one = rows.select("req_id", F.element_at("pos", at).alias("pos"), F.element_at("size", at).alias("len"), (F.col("a") - F.element_at("starts", at)).alias("offset"))
+    met = O.rank(written(O.parse(c), "parsed"), requests(c).select("req_id", "seq_id", F.col("start").alias("at")))
+    one = met.select("req_id", "pos", "len", (F.col("at") - F.col("seq_start")).alias("offset"))
     return O.symbols_at(one, c.ref).select("req_id", "symbol")
 
 

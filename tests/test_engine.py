@@ -8,6 +8,7 @@ from seqloom import cli
 from seqloom.functions import symbols as S
 from seqloom.operators import factors as O
 from seqloom.operators import kernels, keys, search, suffixes
+from seqloom.operators.asof import asof_join
 from seqloom.operators.range_join import range_join
 from seqloom.operators.running import running_sums
 from seqloom.sources import factor_files, index, reference
@@ -277,6 +278,38 @@ def test_suffix_ranks_equal_plain_sorting(spark, ref):
     assert sorted(got) == list(enumerate(sorted(range(len(ref) + 1), key=lambda i: ref[i:])))
 
 
+@pytest.mark.parametrize("every", [7, 1 << 17])
+def test_asof_join_equals_definition(spark, every):
+    rng = random.Random(every)
+    spans = [(g, a, g * 1000 + a) for g in range(4) for a in rng.sample(range(60), 12)] + [(None, 3, 1)]
+    requests = [(i, rng.choice((0, 1, 2, 3, 9, None)), rng.choice((None, rng.randrange(70)))) for i in range(200)]
+    got = asof_join(spark.createDataFrame(requests, "i long, g long, at long"), spark.createDataFrame(spans, "g long, a long, v long"), "g", "at", "a", every)
+    want = {i: max(((a, v) for h, a, v in spans if h == g and at is not None and a <= at), default=(None, None)) if g is not None else (None, None) for i, g, at in requests}
+    assert {r.i: (r.a, r.v) for r in got.collect()} == want and got.columns == ["i", "g", "at", "a", "v"]
+
+
+def test_many_places_of_one_sequence(spark):
+    """A million places, all in one sequence, meet their factors."""
+    ref, targets = family(9, n=3, size=400)
+    text = "".join(t for _, t in targets) * 40
+    c = collection(spark, ref, [(1, text), (2, "")])
+    places = spark.range(1_000_000).select("id", F.lit(1).cast("long").alias("seq_id"), (F.col("id") % (len(text) + 50)).alias("at"))
+    met = O.rank(O.parse(c), places).select("id", "at", "pos", "len", (F.col("at") - F.col("seq_start")).alias("offset"))
+    found = O.symbols_at(met, c.ref).groupBy("at").agg(F.min("symbol").alias("low"), F.max("symbol").alias("high"), F.count("*").alias("n")).collect()
+    assert {r["at"]: (r.low, r.high) for r in found} == {i: (x, x) for i, x in enumerate(text.lower())}
+    assert sum(r.n for r in found) == sum(i % (len(text) + 50) < len(text) for i in range(1_000_000))
+
+
+def test_times_of_a_workload(spark, tmp_path):
+    ref, targets = family(3, n=4)
+    c = collection(spark, ref, targets)
+    asked = spark.createDataFrame([(0, "ac"), (1, "tttttttttt")], "pattern_id long, pattern string")
+    times = search.timed(search.count(O.parse(c), c.ref, asked), F.col("n"), f"{tmp_path}/n")
+    hits = len(brute_hits(ref, targets, [(0, "ac"), (1, "tttttttttt")]))
+    assert (times.answers, times.units) == (2, hits) and times.seconds > 0 and abs(times.micros - 1e6 * times.seconds / hits) < 1e-6
+    assert spark.read.parquet(f"{tmp_path}/n").count() == 2
+
+
 def test_symbol_expressions(spark):
     row = spark.range(1).select(*[S.code(F.lit(x)).alias(f"c{i}") for i, x in enumerate("acgntAx")], S.two_bit(F.lit("t")), S.base_of(F.lit(2)), S.is_power_of_two(F.lit(64)), S.is_power_of_two(F.lit(1)), S.log2_of(F.lit(64)), S.position_bits(F.lit(8)), S.short_limit(F.lit(24)), S.rice_bits(F.lit(200), 64), S.rice(F.lit(130), 64), S.from_rice(S.rice(F.lit(130), 8), 8)).first()
     assert tuple(row) == (1, 2, 3, 4, 5, 1, 0, 3, "g", True, False, 6, 4, 12, 10, "110000010", 130)
@@ -299,7 +332,8 @@ def test_files_index_and_command_line(spark, tmp_path, capsys):
         assert cli.main(["display", f"{tmp_path}/{where}"], spark, ["1 3 9", "0 0 5", "", "0 0 1"]) == [targets[0][1][3:9], ref[:5]]
     hits = brute_hits(ref, targets[:3], [(0, "ac"), (1, "tttttttttt")])
     assert cli.main(["count", f"{tmp_path}/full"], spark, ["ac", "tttttttttt"]) == [f"ac : {sum(h[0] == 0 for h in hits)}", f"tttttttttt : {sum(h[0] == 1 for h in hits)}"]
-    assert cli.main(["locate", f"{tmp_path}/full"], spark, ["ac"]) == [f"{s} {p}" for _, s, p in sorted(h[:3] for h in hits if h[0] == 0)]
+    assert cli.main(["locate", f"{tmp_path}/full", "--times"], spark, ["ac"]) == [f"{s} {p}" for _, s, p in sorted(h[:3] for h in hits if h[0] == 0)]
+    assert f"locate: {sum(h[0] == 0 for h in hits)} answers" in capsys.readouterr().err
     with pytest.raises(ValueError, match="display only"):
         cli.main(["count", f"{tmp_path}/light"], spark, ["ac"])
     full = index.load(spark, f"{tmp_path}/full")
