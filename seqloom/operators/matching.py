@@ -241,6 +241,18 @@ class Parser:
         pos, size, starts = (np.concatenate([f[j] for f in found] or [none]) for j in range(3))
         return pos, size, starts, counts
 
+    def parse_part(self, data: np.ndarray, upto: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Positions, lengths and starts of the factors of one text that start before ``upto``."""
+        found, at, last = [], 0, len(data)
+        while at < min(upto, last):
+            end = min(upto, at + GROUP, last)
+            stop = min(last, end + BEYOND)
+            found.append(self._parse_group(data, at, end - at, Texts(self, data[at:stop], np.array([0, stop - at]), stop < last)))
+            at = int(found[-1][2][-1] + found[-1][1][-1])
+        none = np.zeros(0, np.int64)
+        pos, size, starts = (np.concatenate([f[j] for f in found] or [none]) for j in range(3))
+        return pos, size, starts
+
     def _parse_group(self, data: np.ndarray, base: int, upto: int, t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The factors from the start of each text on, those that start before ``upto``."""
         ends = t.bounds[1:]

@@ -33,6 +33,8 @@ REQUESTS_A_ROW = 10_000
 #: Ranges of keys that one scan of a saved index is told beside its buckets (so few that the check of a row stays small), scans of a
 #: table, and sequences of which a scan is told the numbers.
 RANGES, SCANS, SEQUENCES = 32, 8, 1000
+#: Rows of a saved table that is scanned whole rather than in several scans.
+SMALL = 1 << 20
 
 
 @dataclass
@@ -44,9 +46,15 @@ class Table:
     bucket: np.ndarray
     low: np.ndarray
     high: np.ndarray
+    count: np.ndarray
 
     def within(self, lo: np.ndarray, hi: np.ndarray) -> DataFrame:
-        """The rows in ranges of keys, from the buckets and row groups that meet them; at most ``SCANS`` scans with ``RANGES`` ranges each."""
+        """The rows in ranges of keys, from the buckets and row groups that meet them; at most ``SCANS`` scans with ``RANGES`` ranges each.
+
+        Of a small table that would take several scans all rows come, in one.
+        """
+        if len(lo) > RANGES and self.count.sum() <= SMALL:
+            return self.rows.drop("bucket")
         # ranges that do not overlap, so no row is in two scans
         ranges = keys.merged(lo, hi, RANGES * SCANS)
         out = None

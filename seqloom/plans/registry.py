@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import symbols as S
 from seqloom.operators import factors as O
-from seqloom.operators import search, suffixes
+from seqloom.operators import blocks, search, suffixes
 from seqloom.operators.running import running_sums
 from seqloom.scratch import bounded_batches, shared_path, spread, written
 from seqloom.sources import factor_files, index
@@ -170,6 +170,14 @@ def defactorize(c):
     return O.expand(O.parse(c), c.ref)
 
 
+@query("select seq_id, seq from targets")
+def defactorize_blocks(c):
+    """Sequences parsed in blocks of 4,096 symbols, and put together again from the texts of their blocks."""
+    texts = O.expand(blocks.parse_blocks(c, 4096, 1024).select("seq_id", F.col("block").cast("string").alias("name"), "pos", "size"), c.ref)
+    rows = texts.groupBy("seq_id").agg(F.sort_array(F.collect_list(F.struct(F.col("name").cast("long").alias("block"), "seq"))).alias("parts"))
+    return rows.select("seq_id", F.array_join(F.transform("parts", lambda x: x["seq"]), "").alias("seq"))
+
+
 @query("select cast(count(*) as bigint) as n_seqs, cast(coalesce(sum(len), 0) as bigint) as n_symbols, cast(0 as bigint) as n_diffs from targets")
 def round_trip(c):
     return O.round_trip(c, written(O.parse(c), "parsed"))

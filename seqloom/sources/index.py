@@ -77,7 +77,7 @@ def write_keys(parsed: DataFrame, ref: bytes, folder: str, rows: int = KEY_ROWS,
         dealt = (inside if name == "inside" else border).repartitionByRange(max(1, -(-n // rows)), *order)
         dealt = dealt.withColumn("bucket", F.spark_partition_id()).sortWithinPartitions("bucket", *order)
         dealt.write.mode("overwrite").partitionBy("bucket").option("parquet.block.size", group_bytes).option("parquet.page.size", group_bytes // 4).parquet(f"{folder}/{name}")
-    spans = [_table(parsed.sparkSession, folder, name).groupBy("bucket").agg(F.min(c).alias("low"), F.max(c).alias("high")).select(F.lit(name).alias("name"), "bucket", "low", "high") for name, c in SORTED.items()]
+    spans = [_table(parsed.sparkSession, folder, name).groupBy("bucket").agg(F.min(c).alias("low"), F.max(c).alias("high"), F.count("*").alias("count")).select(F.lit(name).alias("name"), "bucket", "low", "high", "count") for name, c in SORTED.items()]
     spans[0].unionByName(spans[1]).unionByName(spans[2]).coalesce(1).write.mode("overwrite").parquet(f"{folder}/buckets")
 
 
@@ -92,7 +92,7 @@ def load_keys(spark: SparkSession, folder: str) -> search.Keys:
     tables = {}
     for name, column in SORTED.items():
         own = spans.filter(pc.equal(spans["name"], name))
-        tables[name] = search.Table(_table(spark, folder, name), column, *(own[k].to_numpy() for k in ("bucket", "low", "high")))
+        tables[name] = search.Table(_table(spark, folder, name), column, *(own[k].to_numpy() for k in ("bucket", "low", "high", "count")))
     return search.Keys(**tables)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from seqloom import cli
 from seqloom.functions import symbols as S
 from seqloom.operators import factors as O
-from seqloom.operators import kernels, keys, search, suffixes
+from seqloom.operators import blocks, kernels, keys, search, suffixes
 from seqloom.operators.asof import asof_join
 from seqloom.operators.range_join import range_join
 from seqloom.operators.running import running_sums
@@ -168,8 +168,9 @@ def test_search_in_a_saved_index_equals_brute_force(spark, tmp_path):
     assert {r.pattern_id: r.n for r in found.count(patterns, "strict").collect()} == {i: sum(w[0] == i and (not w[1] or w[3] <= 2 and not w[4]) for w in want) for i, _ in asked}
 
 
-def test_a_search_reads_a_part_of_the_keys(spark, tmp_path):
+def test_a_search_reads_a_part_of_the_keys(spark, tmp_path, monkeypatch):
     """Of the rows of the keys, fewer than a tenth leave the scans for 10 patterns of 20 symbols or more."""
+    monkeypatch.setattr(search, "SMALL", 0)
     rng = random.Random(3)
     ref = "".join(rng.choices("acgt", k=20_000))
     targets = [(i, "".join(ref[a : a + rng.randrange(8, 60)] for _ in range(1500) for a in [rng.randrange(len(ref) - 60)])) for i in range(1, 121)]
@@ -211,6 +212,19 @@ def test_parts_of_a_factor_do_not_grow_with_its_length(spark):
     assert got == [(0, 1, 499_000), (0, 1, 1_100_000), (1, 1, 998_000), (1, 1, 1_599_000)]
 
 
+@pytest.mark.parametrize("block,ahead", [(16, 4), (64, 64), (1 << 20, 1 << 16)])
+def test_blocks_give_the_same_factors(spark, block, ahead):
+    """Also where one factor covers many blocks, or reaches further than a block's piece."""
+    ref, targets = family(7, n=6, size=500)
+    targets += [(50, ref * 3 + "n" * 100 + ref[17:] + "x"), (51, None), (52, "n" * 90)]
+    c = collection(spark, ref, targets)
+    got = {}
+    for r in sorted(blocks.parse_blocks(c, block, ahead).collect(), key=lambda r: (r.seq_id, r.block)):
+        assert all(r.block * block <= a < (r.block + 1) * block for a in r.start)
+        got.setdefault(r.seq_id, []).extend(zip(r.pos, r.size, r.start, strict=True))
+    assert got == {i: factor_rows(ref, t or "") for i, t in targets}
+
+
 def test_a_saved_suffix_array_is_used(spark, tmp_path, monkeypatch):
     ref, targets = family(8, n=4)
     c = collection(spark, ref + "acgacg", targets)
