@@ -10,12 +10,14 @@ ends within them; if one does not, all is done again with more.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.operators.keys import text_bytes
 from seqloom.operators.matching import Parser
 from seqloom.scratch import release, written
 from seqloom.sources import reference
@@ -23,7 +25,7 @@ from seqloom.sources.sequences import Collection
 
 BLOCK, AHEAD = 1 << 20, 1 << 16
 #: Symbols that are parsed from a new place before known factors are looked for.
-STRIDE = 1 << 12
+STRIDE = 1 << 8
 LISTS = pa.list_(pa.int64())
 PARTS = "seq_id long, block long, entry long, exit long, open boolean, pos array<long>, size array<long>, start array<long>"
 NAMES = [x.split()[0] for x in PARTS.split(", ")]
@@ -61,24 +63,36 @@ def parse_blocks(c: Collection, block: int = BLOCK, ahead: int = AHEAD) -> DataF
     where = reference.stored(c.spark, c.ref)
     cut = written(pieces(c, block, ahead), "pieces")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], fresh: bool = False) -> Iterator[pa.RecordBatch]:
         p = reference.parser(where)
         for batch in batches:
             out = []
-            for seq, k, total, piece, entry, *old in zip(*(batch.column(j).to_pylist() for j in range(8)), strict=True):
+            data, bounds = text_bytes(batch.column(3))
+            if not batch.num_rows:
+                continue
+            if fresh:  # blocks that are parsed for the first time are parsed at once, to the ends of their pieces
+                all_pos, all_size, all_start, counts = p.parse_texts(data, bounds)
+                last = np.cumsum(counts)
+            for row, (seq, k, total, entry, *old) in enumerate(zip(*(batch.column(j).to_pylist() for j in (0, 1, 2, 4, 5, 6, 7)), strict=True)):
                 base = k * block
-                data, upto = np.frombuffer(piece, np.uint8), min(block, total - base)
-                known = tuple(np.array(x or [], np.int64) for x in old)
-                pos, size, start = until_known(p, data, entry - base, upto, (known[0], known[1], known[2] - base))
+                piece, upto = data[bounds[row] : bounds[row + 1]], min(block, total - base)
+                if fresh:
+                    own = slice(last[row] - counts[row], last[row])
+                    start = all_start[own] - bounds[row]
+                    n = int(np.searchsorted(start, upto))
+                    pos, size, start = all_pos[own][:n], all_size[own][:n], start[:n]
+                else:
+                    known = tuple(np.array(x, np.int64) for x in old)
+                    pos, size, start = until_known(p, piece, entry - base, upto, (known[0], known[1], known[2] - base))
                 exit_ = base + int(start[-1] + size[-1]) if len(start) else entry
-                out.append((seq, k, entry, exit_, exit_ == base + len(data) < total, pos, size, start + base))
+                out.append((seq, k, entry, exit_, exit_ == base + len(piece) < total, pos, size, start + base))
             columns = list(zip(*out, strict=True))
             kinds = (*[pa.int64()] * 4, pa.bool_(), *[LISTS] * 3)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], NAMES)
 
     empty = F.array().cast("array<long>")
     first = cut.select("seq_id", "block", "len", "piece", (F.col("block") * block).alias("entry"), empty.alias("pos"), empty.alias("size"), empty.alias("start"))
-    done = written(first.mapInArrow(run, PARTS), "blocks")
+    done = written(first.mapInArrow(partial(run, fresh=True), PARTS), "blocks")
     before = Window.partitionBy("seq_id").orderBy("block")
     while True:
         if done.where("open").limit(1).count():

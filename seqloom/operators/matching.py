@@ -257,11 +257,14 @@ class Parser:
         """The factors from the start of each text on, those that start before ``upto``."""
         ends = t.bounds[1:]
         pos, size = np.zeros(t.n, np.int64), np.zeros(t.n, np.int64)
-        blocks = -(-np.diff(t.bounds) // BLOCK)
+        # few symbols have many short blocks, as a step costs about the same for one stream and for a hundred
+        block = min(BLOCK, max(64, upto // 64))
+        blocks = -(-np.diff(t.bounds) // block)
         text_of = np.repeat(np.arange(len(blocks)), blocks)
-        start = t.bounds[text_of] + BLOCK * spans(np.zeros(len(blocks), np.int64), blocks)
-        left = self.follow(t, start, np.minimum(start + BLOCK, ends[text_of]), pos, size)
-        left = np.unique(left[left < t.n])
+        start = t.bounds[text_of] + block * spans(np.zeros(len(blocks), np.int64), blocks)
+        start, text_of = start[start < upto], text_of[start < upto]
+        left = self.follow(t, start, np.minimum(start + block, ends[text_of]), pos, size)
+        left = np.unique(left[left < min(upto, t.n)])
         left = left[size[left] == 0]
         self.follow(t, left, ends[np.searchsorted(ends, left, "right")], pos, size)
         p, k, out = memoryview(pos), memoryview(size), []
