@@ -389,7 +389,9 @@ ORACLE_SQL["index_locate"] = ORACLE_SQL["locate_patterns"]
 
 @query()
 def index_sizes(c):
-    return index.size_report(O.parse(c), len(c.ref))
+    folder = shared_path(c.spark, "index")
+    index.write(c, folder)
+    return index.size_report(c.spark, folder)
 
 
 @query("select req_id, seq_id, \"start\", \"end\" from requests")

@@ -31,6 +31,13 @@ def _place(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme of the file system that Spark takes it for, so that tasks and Spark write to the same place."""
+    fs, where = _place(spark, path)
+    full = fs.makeQualified(where).toString()
+    return full if not full.startswith("file:/") or full.startswith("file://") else f"file://{full[5:]}"
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder, removed when the driver's JVM ends."""
     path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"

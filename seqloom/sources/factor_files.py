@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.operators import kernels
+from seqloom.operators.running import running_sums
 from seqloom.sources.sequences import write_files
 
 ENDING = ".fac"
@@ -72,6 +73,5 @@ def write(files: DataFrame, folder: str) -> int:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """seq_id, name, content of factor files in a folder or by a pattern; numbered from 1 in the order of their names."""
     raw = spark.read.format("binaryFile").load(path).select(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.fac$", "").alias("name"), "content")
-    names = sorted(r[0] for r in raw.select("name").collect())
-    numbers = F.create_map(*[F.lit(x) for i, n in enumerate(names, 1) for x in (n, i)]) if names else F.create_map()
-    return raw.select(numbers[F.col("name")].cast("long").alias("seq_id"), "name", "content")
+    names = running_sums(raw.select("name").distinct().withColumn("one", F.lit(1).cast("long")), "name", {"before": "one"}).select("name", (F.col("before") + 1).alias("seq_id"))
+    return raw.join(names, "name").select("seq_id", "name", "content")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from seqloom.operators import factors, search
 from seqloom.operators import keys as factors_keys
+from seqloom.scratch import qualified
 from seqloom.sources import reference
 from seqloom.sources.sequences import Collection
 
@@ -27,6 +28,7 @@ class Index:
     parsed: DataFrame
     catalog: DataFrame
     suffixes: str | None
+    folder: str
     keys: search.Keys | None = None
 
     def display(self, requests: DataFrame) -> DataFrame:
@@ -48,18 +50,17 @@ class Index:
         return factors.numbered(self.parsed, len(self.ref))
 
     def sizes(self) -> DataFrame:
-        return size_report(self.parsed, len(self.ref), self.suffixes is None)
+        return size_report(self.parsed.sparkSession, self.folder)
 
 
-def size_report(parsed: DataFrame, ref_len: int, display_only: bool = False) -> DataFrame:
-    """component, bits: packed sizes, from the counts of symbols, factors and sequences."""
-    w = max(1, ref_len.bit_length())
-    all_of = parsed.agg(F.count("*").alias("seqs"), F.coalesce(F.sum("len"), F.lit(0)).alias("symbols"), F.coalesce(F.sum(F.size("pos")), F.lit(0)).alias("facs"))
-    parts = {"reference": F.lit(3 * (ref_len + 1)), "positions": F.col("facs") * w, "starts": F.col("symbols"), "sequence_lengths": (F.col("seqs") + 2) * 64, "start_sites": F.lit(ref_len + 1)}
-    if not display_only:
-        parts |= {"suffix_array": F.lit((ref_len + 1) * w), "end_sites": F.lit(ref_len + 1), "sequence_starts": F.col("facs")}
-    rows = F.array(*[F.struct(F.lit(k).alias("component"), v.cast("long").alias("bits")) for k, v in parts.items()])
-    return all_of.select(F.inline(rows))
+def size_report(spark: SparkSession, folder: str) -> DataFrame:
+    """component, files, bytes of a saved index, from the list of its files; none is read."""
+    base = F.length(F.lit(qualified(spark, folder).rstrip("/"))) + 2
+    path = F.substring(F.regexp_replace("path", "^file:/+", "file:///"), base, F.lit(1 << 20))
+    part = F.split(path, "/")
+    component = F.when(part[0] == "keys", F.concat_ws("/", part[0], part[1])).when(part[0].startswith("suffixes-"), F.regexp_replace(part[1], r"\.npy$", "")).otherwise(part[0])
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(component.alias("component"), "length")
+    return rows.groupBy("component").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
 
 
 #: Rows of a bucket of keys, and bytes of a row group of it.
@@ -100,7 +101,7 @@ def write(c: Collection, folder: str, display_only: bool = False) -> None:
     spark = c.spark
     key = reference.digest(c.ref)
     if not display_only:
-        reference.save(c.ref, place := f"{folder}/suffixes-{key[:16]}")
+        reference.save(c.ref, place := qualified(spark, f"{folder}/suffixes-{key[:16]}"))
         reference.use(spark, c.ref, place)
     spark.createDataFrame([(key, c.ref.decode(), display_only)], "digest string, seq string, display_only boolean").coalesce(1).write.mode("overwrite").parquet(f"{folder}/reference")
     factors.parse(c).write.mode("overwrite").parquet(f"{folder}/parsed")
@@ -114,4 +115,4 @@ def load(spark: SparkSession, folder: str) -> Index:
     ref = head["seq"].encode()
     suffixes = None if head["display_only"] else reference.use(spark, ref, f"{folder}/suffixes-{head['digest'][:16]}")
     saved = load_keys(spark, f"{folder}/keys") if suffixes else None
-    return Index(ref, spark.read.parquet(f"{folder}/parsed"), spark.read.parquet(f"{folder}/catalog"), suffixes, saved)
+    return Index(ref, spark.read.parquet(f"{folder}/parsed"), spark.read.parquet(f"{folder}/catalog"), suffixes, folder, saved)

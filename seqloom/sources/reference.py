@@ -16,7 +16,7 @@ from pyspark.sql import SparkSession
 
 from seqloom.operators.kernels import suffix_array
 from seqloom.operators.matching import Parser
-from seqloom.scratch import shared_path
+from seqloom.scratch import qualified, shared_path
 
 _places: dict[tuple[str, str], str] = {}
 
@@ -26,10 +26,10 @@ def digest(ref: bytes) -> str:
 
 
 def save(ref: bytes, folder: str) -> None:
-    """Write the sequence, its suffix array and its words, by position and by rank."""
+    """Write, to a folder with a scheme, the sequence, its suffix array and its words, by position and by rank."""
     sa = suffix_array(ref)
     p = Parser(ref, sa)
-    fs, base = pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+    fs, base = pafs.FileSystem.from_uri(folder)
     fs.create_dir(base, recursive=True)
     for name, array in (("symbols", np.frombuffer(ref, np.uint8)), ("suffixes", sa), ("packed", p.packed), ("ranked", p.ranked)):
         with fs.open_output_stream(f"{base}/{name}.npy", compression=None) as out:
@@ -39,6 +39,7 @@ def save(ref: bytes, folder: str) -> None:
 
 def use(spark: SparkSession, ref: bytes, folder: str) -> str:
     """Take the saved files of a folder for this sequence from now on."""
+    folder = qualified(spark, folder)
     _places[spark.sparkContext.applicationId, digest(ref)] = folder
     return folder
 
@@ -47,7 +48,7 @@ def stored(spark: SparkSession, ref: bytes) -> str:
     """Where the files of this sequence lie; they are written when it is met for the first time."""
     place = _places.get((spark.sparkContext.applicationId, digest(ref)))
     if place is None:
-        place = shared_path(spark, "reference")
+        place = qualified(spark, shared_path(spark, "reference"))
         save(ref, place)
         use(spark, ref, place)
     return place
@@ -56,7 +57,7 @@ def stored(spark: SparkSession, ref: bytes) -> str:
 @lru_cache(1)
 def parser(folder: str) -> Parser:
     """The parser over saved files."""
-    fs, base = pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+    fs, base = pafs.FileSystem.from_uri(folder)
 
     def array(name: str) -> np.ndarray:
         if isinstance(fs, pafs.LocalFileSystem):

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.functions import symbols
+from seqloom.scratch import qualified
 
 #: Symbols of a reference sequence at most; it is sent to every worker with its suffix array.
 MOST_SYMBOLS = 64_000_000
@@ -59,10 +60,11 @@ def from_documents(docs: DataFrame, head: int = HEAD, id_col: str = "doc_id", te
 
 def read_files(spark: SparkSession, paths: list[str], clean: bool = False) -> Collection:
     """One raw sequence a file, the first one the reference sequence. Symbols outside acgtn fail, or become n with ``clean``."""
-    parts = None
-    for i, path in enumerate(paths):
-        one = spark.read.format("binaryFile").load(path).select(F.lit(i).cast("long").alias("seq_id"), F.element_at(F.split("path", "/"), -1).alias("name"), F.decode("content", "ISO-8859-1").alias("raw"))
-        parts = one if parts is None else parts.unionByName(one)
+    # one scan of all files, numbered by a join with the order of their paths
+    order = spark.createDataFrame([(i, qualified(spark, p)) for i, p in enumerate(paths)], "seq_id long, path string")
+    raw = spark.read.format("binaryFile").load(list(dict.fromkeys(paths)))
+    one_form = F.regexp_replace("path", "^file:/+", "file:///")
+    parts = raw.select(one_form.alias("path"), F.element_at(F.split("path", "/"), -1).alias("name"), F.decode("content", "ISO-8859-1").alias("raw")).join(F.broadcast(order), "path")
     seq = symbols.sanitize(F.col("raw")) if clean else symbols.checked(F.col("raw"), F.col("name"))
     rows = parts.select("seq_id", "name", seq.alias("seq"))
     ref = rows.where("seq_id = 0").first()["seq"]
@@ -72,8 +74,10 @@ def read_files(spark: SparkSession, paths: list[str], clean: bool = False) -> Co
 def write_files(rows: DataFrame, folder: str) -> int:
     """One file a row of (name, content); the number of files. A file appears under its name when it is complete."""
 
+    target = qualified(rows.sparkSession, folder)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        fs, base = pafs.FileSystem.from_uri(target)
         fs.create_dir(base, recursive=True)
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

@@ -351,7 +351,11 @@ def test_files_index_and_command_line(spark, tmp_path, capsys):
     with pytest.raises(ValueError, match="display only"):
         cli.main(["count", f"{tmp_path}/light"], spark, ["ac"])
     full = index.load(spark, f"{tmp_path}/full")
-    assert full.sizes().count() == 8 and index.load(spark, f"{tmp_path}/light").sizes().count() == 5
+    sizes = {r.component: (r.files, r.bytes) for r in full.sizes().collect()}
+    assert set(sizes) == {"reference", "parsed", "catalog", "keys/by_right", "keys/by_left", "keys/inside", "keys/buckets", "symbols", "suffixes", "packed", "ranked"}
+    on_disk = [f for f in (tmp_path / "full").rglob("*") if f.is_file() and f.name[0] not in "._"]
+    assert sum(n for n, _ in sizes.values()) == len(on_disk) and sum(b for _, b in sizes.values()) == sum(f.stat().st_size for f in on_disk)
+    assert {r.component for r in index.load(spark, f"{tmp_path}/light").sizes().collect()} == {"reference", "parsed", "catalog"}
     files = factor_files.encode(O.parse(read_files(spark, paths)), full.ref)
     assert factor_files.write(files, f"{tmp_path}/fac") == len(want) and {f.name for f in (tmp_path / "fac").iterdir() if f.suffix == ".fac"} == {f"{n}.fac" for n in want}
     back = factor_files.decode(factor_files.read(spark, f"{tmp_path}/fac"), full.ref)
