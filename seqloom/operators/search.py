@@ -151,11 +151,13 @@ def within(parsed: DataFrame, ref: bytes, patterns: DataFrame, saved: Keys | Non
     return found.select("pattern_id", "seq_id", F.explode(F.sequence(first, first + more)).alias("pos"), F.lit(1).alias("met"), run.alias("meets_n"))
 
 
-def hits(parsed: DataFrame, ref: bytes, patterns: DataFrame, saved: Keys | None = None) -> DataFrame:
-    """pattern_id, seq_id, pos, met (1, 2 or 3 for more factors), meets_n: all hits in the targets."""
+def hits(parsed: DataFrame, ref: bytes, patterns: DataFrame, saved: Keys | None = None, mode: str = "complete") -> DataFrame:
+    """pattern_id, seq_id, pos, met (1, 2 or 3 for more factors), meets_n: the hits of a mode in the targets."""
     usable = written(valid(patterns), "usable")
-    inner, over = within(parsed, ref, usable, saved), across(parsed, ref, usable, saved)
-    return inner if over is None else inner.unionByName(over)
+    over = across(parsed, ref, usable, saved) if mode != "in_factor" else None
+    inner = within(parsed, ref, usable, saved) if mode != "boundary" or over is None else None
+    found = over if inner is None else inner if over is None else inner.unionByName(over)
+    return found.where(MODES[mode])
 
 
 def in_reference(ref: bytes, patterns: DataFrame) -> DataFrame:
@@ -175,7 +177,7 @@ def in_reference(ref: bytes, patterns: DataFrame) -> DataFrame:
 
 def in_targets(parsed: DataFrame, ref: bytes, patterns: DataFrame, mode: str = "complete", saved: Keys | None = None) -> DataFrame:
     """pattern_id, seq_id, pos of the hits of a mode in the targets."""
-    return hits(parsed, ref, patterns, saved).where(MODES[mode]).select("pattern_id", "seq_id", "pos")
+    return hits(parsed, ref, patterns, saved, mode).select("pattern_id", "seq_id", "pos")
 
 
 def locate(parsed: DataFrame, ref: bytes, patterns: DataFrame, mode: str = "complete", saved: Keys | None = None) -> DataFrame:
