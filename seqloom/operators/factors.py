@@ -28,9 +28,9 @@ LISTS = pa.list_(pa.int64())
 LEVEL_BLOCK = 4096
 
 
-def parse(c: Collection) -> DataFrame:
-    """Every target as factors."""
-    where = reference.stored(c.spark, c.ref)
+def parse(c: Collection, where: str | None = None) -> DataFrame:
+    """Every target as factors; ``where``: the folder of the reference sequence's files, if not the usual one."""
+    where = where or reference.stored(c.spark, c.ref)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = reference.parser(where)

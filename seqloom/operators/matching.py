@@ -17,6 +17,8 @@ from bisect import bisect_left, bisect_right
 
 import numpy as np
 
+from seqloom.operators.ranges import Ranges
+
 N = ord("n")
 RUN = re.compile(rb"n+")
 #: Symbols in the order of their codes, if the reference sequence has no others.
@@ -97,14 +99,14 @@ class Texts:
 
 
 class Parser:
-    """Parsing against one reference sequence, and the ranks and places of patterns in it. The arrays may be mapped from files."""
+    """Parsing against one reference sequence, and the ranks and places of patterns in it. The arrays may be mapped from files, or be in ranges."""
 
-    def __init__(self, ref: bytes, sa: np.ndarray, packed: np.ndarray | None = None, ranked: np.ndarray | None = None) -> None:
-        self.ref, self.array, self.sa = ref, np.asarray(sa), memoryview(np.asarray(sa))
+    def __init__(self, ref: bytes, sa: np.ndarray | Ranges, packed: np.ndarray | Ranges | None = None, ranked: np.ndarray | Ranges | None = None) -> None:
+        self.ref, self.array, self.sa = ref, sa, sa if isinstance(sa, Ranges) else memoryview(sa)
         self.codes, self.bits = code_table(ref)
         self.per = WORD_BITS // self.bits
-        self.packed = np.asarray(self.pack_reference() if packed is None else packed)
-        self.ranked = np.asarray(self.packed[self.array] if ranked is None else ranked)
+        self.packed = self.pack_reference() if packed is None else packed
+        self.ranked = self.packed[self.array] if ranked is None else ranked
         shifts = self.bits * (self.per - np.arange(self.per + 1))
         self.high = ((1 << self.bits * self.per) - 1) >> shifts << shifts  # masks of the first symbols
         self.steps = 1 << self.bits * np.arange(self.per)

@@ -60,7 +60,9 @@ def suffix_ranks(spark: SparkSession, ref: bytes, every: int = ROWS, piece: int
         tied = written(ranks.join(groups, "rank"), "tied")
         if not tied.limit(1).count():
             release(tied)
-            return ranks.select("rank", "pos")
+            out = ranks.select("rank", "pos")
+            out.scratch = ranks.scratch
+            return out
         later = ranks.select((F.col("pos") - reach).alias("pos"), F.col("rank").alias("after"))
         # suffixes that end within the known symbols come first
         pairs = tied.join(later, "pos", "left").withColumn("after", F.coalesce("after", F.lit(-1)))

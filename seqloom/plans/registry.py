@@ -15,8 +15,8 @@ from seqloom.functions import symbols as S
 from seqloom.operators import factors as O
 from seqloom.operators import blocks, search, suffixes
 from seqloom.operators.running import running_sums
-from seqloom.scratch import bounded_batches, shared_path, spread, written
-from seqloom.sources import factor_files, index
+from seqloom.scratch import bounded_batches, qualified, shared_path, spread, written
+from seqloom.sources import factor_files, index, reference
 from seqloom.sources.sequences import HEAD, Collection, from_documents
 from seqloom.streaming import requests as streams
 
@@ -139,12 +139,25 @@ def factorize(c):
     return O.numbered(written(O.parse(c), "parsed"), len(c.ref))
 
 
-@query("""select seq_id, len, cast(len(regexp_extract_all(seq, 'n+')) as bigint) as n_runs, cast(0 as bigint) as n_gaps, cast(0 as bigint) as n_wrong, cast(0 as bigint) as n_longer from targets""")
+PARSE_PROPERTIES = """select seq_id, len, cast(len(regexp_extract_all(seq, 'n+')) as bigint) as n_runs, cast(0 as bigint) as n_gaps, cast(0 as bigint) as n_wrong, cast(0 as bigint) as n_longer from targets"""
+#: Rows of a file of the reference sequence where it is put in ranges.
+REF_ROWS = 1 << 13
+
+
+@query(PARSE_PROPERTIES)
 def parse_properties(c):
     """What makes a parse right, for each sequence: no gaps, every factor reads as the sequence does, none could be longer."""
     return O.properties(c, written(O.parse(c), "parsed"))
 
 
+@query(PARSE_PROPERTIES)
+def parse_properties_ranges(c):
+    """The same of a parse against a suffix array in several files, which tasks have written."""
+    place = qualified(c.spark, shared_path(c.spark, "reference"))
+    reference.save_ranges(c.spark, c.ref, place, each=REF_ROWS)
+    return O.properties(c, written(O.parse(c, place), "parsed"))
+
+
 @query()
 def factor_stats(c):
     return O.statistics(O.parse(c), len(c.ref))

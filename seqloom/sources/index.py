@@ -58,7 +58,7 @@ def size_report(spark: SparkSession, folder: str) -> DataFrame:
     base = F.length(F.lit(qualified(spark, folder).rstrip("/"))) + 2
     path = F.substring(F.regexp_replace("path", "^file:/+", "file:///"), base, F.lit(1 << 20))
     part = F.split(path, "/")
-    component = F.when(part[0] == "keys", F.concat_ws("/", part[0], part[1])).when(part[0].startswith("suffixes-"), F.regexp_replace(part[1], r"\.npy$", "")).otherwise(part[0])
+    component = F.when(part[0] == "keys", F.concat_ws("/", part[0], part[1])).when(part[0].startswith("suffixes-"), F.regexp_replace(part[1], r"(-[0-9]+)?\.npy$", "")).otherwise(part[0])
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(component.alias("component"), "length")
     return rows.groupBy("component").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
 
@@ -101,7 +101,7 @@ def write(c: Collection, folder: str, display_only: bool = False) -> None:
     spark = c.spark
     key = reference.digest(c.ref)
     if not display_only:
-        reference.save(c.ref, place := qualified(spark, f"{folder}/suffixes-{key[:16]}"))
+        reference.save(spark, c.ref, place := qualified(spark, f"{folder}/suffixes-{key[:16]}"))
         reference.use(spark, c.ref, place)
     spark.createDataFrame([(key, c.ref.decode(), display_only)], "digest string, seq string, display_only boolean").coalesce(1).write.mode("overwrite").parquet(f"{folder}/reference")
     factors.parse(c).write.mode("overwrite").parquet(f"{folder}/parsed")

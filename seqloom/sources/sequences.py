@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from seqloom.functions import symbols
 from seqloom.scratch import qualified
 
-#: Symbols of a reference sequence at most; it is sent to every worker with its suffix array.
-MOST_SYMBOLS = 64_000_000
+#: Symbols of a reference sequence at most: what one string of a row holds.
+MOST_SYMBOLS = 2_000_000_000
 HEAD = 10
 
 
@@ -41,7 +41,7 @@ class Collection:
 
 def bounded(ref: str) -> bytes:
     if len(ref) > MOST_SYMBOLS:
-        raise ValueError(f"a reference sequence of {len(ref)} symbols; at most {MOST_SYMBOLS} fit on each worker")
+        raise ValueError(f"a reference sequence of {len(ref)} symbols; at most {MOST_SYMBOLS} fit a row")
     return ref.encode("ascii")
 
 

@@ -292,6 +292,38 @@ def test_suffix_ranks_equal_plain_sorting(spark, ref):
     assert sorted(got) == list(enumerate(sorted(range(len(ref) + 1), key=lambda i: ref[i:])))
 
 
+@pytest.mark.parametrize("each", [1 << 20, 37, 11])
+def test_reference_in_ranges(spark, monkeypatch, tmp_path, each):
+    """Files that tasks have written hold what the driver's do, and parses, searches and a saved index on them are the same."""
+    ref, targets = family(12, n=5, size=90)
+    ref += "acg" * 40
+    targets.append((40, ref[20:] + ref))
+    c = collection(spark, ref, targets)
+    rows = lambda: sorted((r.seq_id, r.pos, r.size, r.start) for r in O.parse(c).collect())
+    want, one = rows(), kernels.parser(c.ref)
+    before = dict(reference._places)
+    try:
+        reference._places.clear()
+        monkeypatch.setattr(reference, "WHOLE", 10)
+        save = reference.save_ranges
+        monkeypatch.setattr(reference, "save_ranges", lambda s, r, f: save(s, r, f, each, 50, 40))
+        assert rows() == want
+        several = reference.parser(reference.stored(spark, c.ref))
+        for a, b in ((several.array, one.array), (several.packed, one.packed), (several.ranked, one.ranked)):
+            assert a[np.arange(len(ref) + 1)].tolist() == b.tolist()
+        assert len(several.array.parts) == -(-(len(ref) + 1) // each)
+        index.write(c, str(tmp_path / "i"))
+        ix = index.load(spark, str(tmp_path / "i"))
+        p = spark.createDataFrame([(0, ref[30:48]), (1, "acgacg"), (2, "n")], "pattern_id long, pattern string")
+        got = {r.pattern_id: r.n for r in ix.count(p).collect()}
+        texts = [ref, *(t.lower() for _, t in targets)]
+        assert got == {i: sum(len(kernels.occurrences(t.encode(), q.encode())) for t in texts) for i, q in ((0, ref[30:48]), (1, "acgacg"), (2, "n"))}
+        assert {"suffixes", "ranked", "packed", "symbols"} <= {r.component for r in ix.sizes().collect()}
+    finally:
+        reference._places.clear()
+        reference._places.update(before)
+
+
 @pytest.mark.parametrize("every", [7, 1 << 17])
 def test_asof_join_equals_definition(spark, every):
     rng = random.Random(every)

@@ -5,6 +5,7 @@ from hypothesis import strategies as st
 
 from seqloom.operators import bitcodec, matching
 from seqloom.operators import kernels as K
+from seqloom.operators.ranges import Ranges
 
 REF, T = b"acgtacgn", b"acgtannncgtt"
 seqs = st.text("acgnt", max_size=60).map(str.encode)
@@ -80,6 +81,25 @@ def test_intervals_equal_plain_search(ref, pattern, at, size):
         assert p.occurrences(part).tolist() == K.occurrences(ref, part)
 
 
+@given(st.text("acgn", max_size=120).map(str.encode), seqs, st.integers(1, 5), st.text("acgn", min_size=1, max_size=6).map(str.encode))
+@settings(max_examples=300, deadline=None)
+def test_ranges_read_as_one_array(ref, text, k, pattern):
+    """Parses and places against arrays in one to five ranges equal those against one."""
+    one = K.Parser(ref, K.suffix_array(ref))
+    each = -(-(len(ref) + 1) // k)
+    cut = lambda x: Ranges([x[a : a + each] for a in range(0, len(x), each)])
+    several = K.Parser(ref, cut(one.array), cut(one.packed), cut(one.ranked))
+    assert several.parse(text + ref) == one.parse(text + ref)
+    assert several.occurrences(pattern).tolist() == K.occurrences(ref, pattern)
+
+
+@given(st.lists(st.integers(0, 9), min_size=1, max_size=40).map(sorted), st.lists(st.integers(-1, 10), max_size=20), st.integers(1, 12), st.sampled_from(["left", "right"]))
+def test_ranges_search(values, asked, each, side):
+    values, asked = np.array(values), np.array(asked, np.int64)
+    got = Ranges([values[a : a + each] for a in range(0, len(values), each)]).searchsorted(asked, side)
+    assert got.tolist() == np.searchsorted(values, asked, side).tolist()
+
+
 def test_long_repeats():
     ref = b"acgt" * 500
     text = ref[3:1900] + b"n" + ref[1:1200]
