@@ -1,13 +1,14 @@
 """Main text of web pages: flat text blocks and a small decision tree.
 
 A page becomes a flat list of blocks, cut at block-level tags. Each block has its word count and link density, those
-of the blocks before and after it, the longest link-poor block near it, and signs of the markup around it: whether it is in an
+of the blocks before and after it, the longest link-poor block near it, the longest anywhere before and after it, whether it is a paragraph, heading or item
+or bare text of a division, and signs of the markup around it: whether it is in an
 ``article`` or ``main`` element, whether in an element for things beside the text (``nav``, ``aside``, ``footer``, a
-form, a header of the page), and one weak sign from class names. A decision tree, grown without any preference among these on the labelled blocks of
+form, a header of the page) or one that is not shown (``hidden``, ``display: none``), and one weak sign from class names. A decision tree, grown without any preference among these on the labelled blocks of
 ``LABELLED`` when a worker starts, keeps or drops each block. Most labelled pages share no markup, so that words, links
 and neighbours have to decide on them. Nothing is cut off by length.
 
-Null html gives an empty text. Comments, scripts, styles and the contents of form fields are never text; formulas and
+Null html gives an empty text. Null ids and urls stay, repeated rows are extracted one by one, and columns other than the three named are not read, whatever their names. Comments, scripts, styles and the contents of form fields are never text; formulas and
 the text of drawings are. An unclosed raw element runs to the end of the page, as in HTML; a tag that the page ends within is dropped. A list item, table
 cell or term that is not closed ends where the next one starts.
 """
@@ -38,16 +39,22 @@ INSIDE = frozenset("article main".split())
 BESIDE = frozenset("nav footer aside form menu dialog search fieldset".split())
 BESIDE_ROLE = frozenset("navigation complementary contentinfo banner search dialog alertdialog alert menu menubar toolbar form".split())
 #: Words of class names and ids that often go with things beside the text, or with the text.
-OFF_NAME = frozenset("ad ads adv advert adverts advertisement advertising banner banners breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer discussion disqus footer menu modal nav navbar navigation newsletter notice notices notification notifications overlay pagination pager paywall popup promo promos promotion replies respond share sharing sidebar signup skyscraper social sponsor sponsored sponsors subscribe subscription toolbar topbar trackback masthead".split())
+OFF_NAME = frozenset("ad ads adv advert adverts advertisement advertising banner banners breadcrumb breadcrumbs comment comments commentlist consent adsbygoogle cookie cookies copyright disclaimer discussion disqus footer menu modal nav navbar navigation newsletter notice notices notification notifications overlay pagination pager paywall popup promo promos promotion recommended related replies respond response responses feedback share sharing sidebar signup skyscraper social sponsor sponsored sponsors subscribe subscription toolbar topbar trackback masthead".split())
 ON_NAME = frozenset("article articlebody content entry post story maincontent postbody articletext".split())
 #: Words that say nothing by themselves, so that the one before them counts; words that undo the one behind them.
-GENERIC = frozenset("container list item items area box block section slot links link buttons bar panel inner unit text title form widget group row".split())
+GENERIC = frozenset("container list item items area box block section slot links link buttons bar panel inner unit text title form widget group row posts articles stories".split())
 UNDONE = frozenset("no has with without".split())
+#: Elements whose own text is running text; the first two hold no other block.
+RUNNING = frozenset("p pre".split())
+HOLDS_RUNNING = frozenset("li blockquote dd dt".split())
 
 TAG = re.compile(r"""<(?:!--(?:-?>|.*?(?:--!?>|\Z))|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[!?/][^>]*(?:>|\Z)|/?[a-zA-Z][^>]*\Z)""", re.S)
 NAMED = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PARTS = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
-FEATURES = "words links before_words before_links after_words after_links near heading named inside beside page_inside".split()
+QUOTED = re.compile(r"""=\s*(?:"[^"]*"|'[^']*')""")
+UNSHOWN = re.compile(r"""(?<![\w-])(?:aria-hidden\s*=\s*["']?true|style\s*=\s*(?:"[^"]*|'[^']*)display\s*:\s*none)""", re.I)
+HIDDEN = re.compile(r"(?<![\w-])hidden(?![\w-])", re.I)
+FEATURES = "words links before_words before_links after_words after_links near earlier later heading running named inside beside page_inside".split()
 
 
 def sign(name: str) -> int:
@@ -72,13 +79,21 @@ def signs(attributes: str) -> tuple[int, bool]:
     return (total > 0) - (total < 0), beside
 
 
+def unshown(attributes: str) -> bool:
+    """Whether an element with these attributes is not shown."""
+    low = attributes.lower()
+    if "hidden" not in low and "none" not in low:
+        return False
+    return bool(UNSHOWN.search(attributes) or HIDDEN.search(QUOTED.sub("=", attributes)))
+
+
 def blocks(html: str) -> tuple[list[str], np.ndarray]:
     """The text blocks of a page and a row of features for each."""
     texts: list[str] = []
     rows: list[tuple] = []
     stack: list[tuple[str, int, bool, bool]] = []
     named, inside, beside = 0, False, False
-    in_link = in_heading = page_inside = False
+    in_link = in_heading = in_running = running_hidden = page_inside = False
     held: list[str] = []
     linked = 0
 
@@ -87,7 +102,8 @@ def blocks(html: str) -> tuple[list[str], np.ndarray]:
         words = "".join(held).split()
         if words:
             texts.append(" ".join(words))
-            rows.append((len(words), min(1.0, linked / len(words)), in_heading, named, inside, beside))
+            running = in_heading or in_running or bool(stack) and stack[-1][0] in HOLDS_RUNNING
+            rows.append((len(words), min(1.0, linked / len(words)), in_heading, running, named, inside, beside or running_hidden))
         held, linked = [], 0
 
     at = 0
@@ -122,8 +138,12 @@ def blocks(html: str) -> tuple[list[str], np.ndarray]:
         if tag in BLOCK:
             flush()
             in_link = False
+            in_running = not closing and tag in RUNNING
+            running_hidden = False
             if tag[0] == "h" and tag[1:].isdigit():
                 in_heading = not closing
+            if not closing and (in_running or in_heading) and attributes:
+                running_hidden = unshown(attributes)
         if tag not in NESTED:
             continue
         if not closing:
@@ -138,7 +158,7 @@ def blocks(html: str) -> tuple[list[str], np.ndarray]:
             if tag in ("body", "article", "main"):
                 says = max(says, 0)
             named = -1 if named < 0 or says < 0 else max(named, says)
-            beside |= by_role or tag in BESIDE or (tag == "header" and not inside)
+            beside |= by_role or tag in BESIDE or unshown(attributes) or (tag == "header" and not inside)
             inside |= tag in INSIDE and not beside
             page_inside |= inside
         elif any(t[0] == tag for t in reversed(stack)):
@@ -155,7 +175,9 @@ def blocks(html: str) -> tuple[list[str], np.ndarray]:
         out[1:, 2:4], out[:-1, 4:6] = raw[:-1, 0:2], raw[1:, 0:2]
         plain = np.concatenate(([0, 0], np.where(raw[:, 1] <= 1 / 3, raw[:, 0], 0), [0, 0]))
         out[:, 6] = np.max([plain[0:n], plain[1 : n + 1], plain[3 : n + 3], plain[4 : n + 4]], axis=0)
-        out[:, 7:11], out[:, 11] = raw[:, 2:6], page_inside
+        poor = plain[2:-2]
+        out[1:, 7], out[:-1, 8] = np.maximum.accumulate(poor)[:-1], np.maximum.accumulate(poor[::-1])[::-1][1:]
+        out[:, 9:14], out[:, 14] = raw[:, 2:7], page_inside
     return texts, out
 
 
@@ -183,6 +205,19 @@ PLAIN = (
     ("<td>{2}</td><td>{a2}</td><td>{3}</td><td>{a1}</td><p>{26}</p><p>{30}</p><div>{a1} {a1} {a1}</div><div>{8}</div>", "----++--"),
     ("<h1>{4}</h1><p>{35} {a12} {9}</p><p>{2}</p><p>{18} {a16} {8}</p><div>{a9}</div><div>{a11}</div><div>{2} {a8}</div>", "++++---"),
     ("<p>{a2}</p><p>{2}</p><p>{a3}</p><p>{1}</p><p>{48}</p><p>{a2}</p><p>{3}</p>", "----+--"),
+    # a line without links at the end, after long and after short paragraphs
+    ("<div>{a1} {a1} {a1}</div><h1>{7}</h1><p>{70}</p><p>{45}</p><div>{9}</div>", "-+++-"),
+    ("<ul><li>{a1}</li><li>{a1}</li><li>{a1}</li></ul><div>{9}</div><h1>{6}</h1><p>{90}</p><p>{8}</p><p>{35}</p><p>{5}</p><div>{16}</div>", "----+++++-"),
+    ("<div><ul><li>{a1}</li><li>{a1}</li></ul></div><div><h1>{9}</h1><p>{12}</p></div><div>{12}</div>", "--++-"),
+    ("<div>{a1} {a1}</div><h1>{4}</h1><p>{25}</p><p>{6}</p><p>{150}</p><p>{11}</p><div>{20}</div>", "-+++++-"),
+    ("<div>{a1}</div><h2>{5}</h2><p>{110}</p><p>{30}</p><div>{8}</div><div>{14}</div>", "-+++--"),
+    # a line that heads a list of links, and one of the text in the same place
+    ("<div>{a1} {a1}</div><h1>{5}</h1><p>{60}</p><p>{40}</p><p>{3}</p><ul><li>{a6}</li><li>{a5}</li><li>{a7}</li></ul>", "-+++----"),
+    ("<h1>{6}</h1><p>{50}</p><p>{3}</p><p>{44}</p><p>{4}</p><div>{a4}</div><div>{a6}</div>", "++++---"),
+    ("<h1>{6}</h1><p>{50}</p><p>{44}</p><p>{4}</p><p>{28}</p><p>{3}</p>", "++++++"),
+    # text in divisions
+    ("<div>{a1} {a1}</div><div>{60}</div><div>{7}</div><div>{55}</div><div>{48}</div><div>{13}</div>", "-++++-"),
+    ("<h1>{5}</h1><div>{70}</div><div>{34}</div>", "+++"),
 )
 #: Pages whose markup tells, or misleads.
 TELLING = (
