@@ -11,8 +11,10 @@ alignment of the item with the stretch about the window gives the exact distance
 
 Before embedding, stretches are passed over that cannot leak: a passage within k edits of an item of length L keeps at
 least L - q + 1 - k q of its q-grams, counted here with a bitmap of all q-grams of the items. That is a necessary
-condition, so it loses nothing, and the same count, of one item's q-grams, goes before an alignment. Items too short
-for the condition are looked up as they are.
+condition, so it loses nothing, and the same count, of one item's q-grams, goes before an alignment. Many items that meet one
+stretch, as those with a phrase in common do, are aligned with it together, their columns side by side in one long number, and only those
+within their limit are aligned by themselves. Items too short for the condition are cut into one piece more than the edits they
+may have; one of these stands in a text that leaks the item, so the others are passed over.
 
 Items are gathered in groups of bounded size; with more items than one group holds, each group takes a pass over the
 documents. Null or empty texts and items, and items without a character that is not white space, match nothing. Items
@@ -24,7 +26,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +44,8 @@ RATIO = 1.25
 GROUP_BYTES = 16 << 20
 BITS = 21
 OWN = 1 << 12
+#: Bytes of the columns that are aligned together, and how many items make it worth while.
+PACK, FEW = 1 << 15, 4
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -149,12 +153,66 @@ def distance(item: str, text: str) -> tuple[int, int]:
     return best, end
 
 
+@lru_cache(1 << 12)
+def columns(item: str) -> tuple[int, dict[str, bytes]]:
+    """Bytes that the item takes in a long number, with a bit to spare, and the places of each of its characters."""
+    where: dict[str, int] = defaultdict(int)
+    for i, c in enumerate(item):
+        where[c] |= 1 << i
+    width = len(item) // 8 + 1
+    return width, {c: m.to_bytes(width, "little") for c, m in where.items()}
+
+
+def close(items: list[str], text: str) -> list[bool]:
+    """Which items have a passage of the text within their limit; all are aligned at once.
+
+    The columns of the items lie side by side, each with a spare bit that takes what an addition carries. How far an item is above its limit
+    is a number in two's complement whose bits, at the place of the item's last character, lie in one long number each.
+    """
+    made = [columns(item) for item in items]
+    widths = [w for w, _ in made]
+    join = lambda parts: int.from_bytes(b"".join(parts), "little")
+    full = join(((1 << len(i)) - 1).to_bytes(w, "little") for i, w in zip(items, widths, strict=True))
+    lasts = [(1 << len(i) - 1).to_bytes(w, "little") for i, w in zip(items, widths, strict=True)]
+    top, none = join(lasts), [bytes(w) for w in widths]
+    where = {c: join(m.get(c, z) for (_, m), z in zip(made, none, strict=True)) for c in set(text)}
+    above = [len(i) - edits(len(i)) - 1 for i in items]
+    planes = [join(m if v >> b & 1 else z for m, z, v in zip(lasts, none, above, strict=True)) for b in range(max(above).bit_length() + 2)]
+    up, down, hit = full, 0, planes[-1]
+    for c in text:
+        eq = where[c]
+        diagonal = (((eq & up) + up) ^ up) | eq | down
+        plus, minus = down | (full & ~(diagonal | up)), up & diagonal
+        more, less = plus & top, minus & top
+        for b in range(len(planes)):  # a carry out of the last one turns -1 to 0
+            if not more and not less:
+                break
+            bits = planes[b]
+            planes[b] = bits ^ more ^ less
+            more, less = bits & more, ~bits & less
+        hit |= planes[-1]
+        plus, minus = (plus << 1) & full, (minus << 1) & full
+        up, down = minus | (full & ~(diagonal | plus)), plus & diagonal
+    out, at = [], 0
+    for item, w in zip(items, widths, strict=True):
+        out.append(bool(hit >> at + len(item) - 1 & 1))
+        at += 8 * w
+    return out
+
+
 class Finder:
     """Items ready for search."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
         self.items = [(i, t) for i, t in ((i, normal(t)) for i, t in items) if t]
         self.short = [k for k, (_, t) in enumerate(self.items) if not least_grams(len(t))]
+        self.pieces: dict[int, dict[str, list[int]]] = defaultdict(lambda: defaultdict(list))
+        for k in self.short:
+            item = self.items[k][1]
+            n, parts = len(item), edits(len(item)) + 1
+            for j in range(parts):
+                piece = item[n * j // parts : n * (j + 1) // parts]
+                self.pieces[len(piece)][piece].append(k)
         rest = sorted((k for k in range(len(self.items)) if least_grams(len(self.items[k][1]))), key=lambda k: len(self.items[k][1]))
         self.bits = np.zeros(1 << BITS if rest else 1, bool)
         self.own: dict[int, np.ndarray] = {}
@@ -183,6 +241,32 @@ class Finder:
         coarse, span = total[::64], -(-self.reach // 64) + 1
         return int(total[-1] if len(coarse) <= span else max((coarse[span:] - coarse[:-span]).max(), total[-1] - coarse[-span]))
 
+    def short_in(self, text: str) -> list[int]:
+        """The short items of which a piece stands in the text."""
+        met: set[int] = set()
+        for size, known in self.pieces.items():
+            for piece in known.keys() & {text[i : i + size] for i in range(len(text) - size + 1)}:
+                met.update(known[piece])
+        return sorted(met)
+
+    def within(self, text: str, asked: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]]:
+        """Of (from, to, item) those that may hold a leak; items that ask for stretches about one place are aligned together."""
+        asked, a = sorted(asked), 0
+        while a < len(asked):
+            lo, hi = asked[a][:2]
+            b, size = a, 0
+            while b < len(asked) and size < PACK and asked[b][0] < hi and max(hi, asked[b][1]) - lo <= 2 * (asked[a][1] - lo):
+                hi = max(hi, asked[b][1])
+                size += len(self.items[asked[b][2]][1]) // 8 + 1
+                b += 1
+            own = asked[a:b]
+            if len(own) < FEW:
+                yield from own
+            else:
+                kept = close([self.items[k][1] for _, _, k in own], text[lo:hi])
+                yield from (x for x, keep in zip(own, kept, strict=True) if keep)
+            a = b
+
     def find(self, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
         """(text, item id, distance, end of the passage in the normal text) of every leak."""
         out = []
@@ -190,7 +274,7 @@ class Finder:
         codes: dict[int, np.ndarray] = {}
         for t, text in enumerate(texts):
             text = normal(text)
-            for k in self.short:
+            for k in self.short_in(text):
                 i, item = self.items[k]
                 d, end = (0, text.find(item) + len(item)) if not edits(len(item)) else distance(item, text)
                 if d <= edits(len(item)) and (d or item in text):
@@ -226,19 +310,22 @@ class Finder:
                         for k in table.get(key, ()):
                             met[t, k].append(s)
                 texts_of = {t: text for t, text, _ in part}
+                asked: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
                 for (t, k), at in met.items():
-                    i, item = self.items[k]
-                    best = None
-                    margin = len(item) // 4 + 16
-                    for lo, hi in stretches(sorted(set(at)), len(item) + margin):
+                    size = len(self.items[k][1])
+                    margin = size // 4 + 16
+                    for lo, hi in stretches(sorted(set(at)), size + margin):
                         lo = max(0, lo - margin)
-                        if np.count_nonzero(self.own[k][codes[t][lo:hi]]) < least_grams(len(item)):
-                            continue
+                        if np.count_nonzero(self.own[k][codes[t][lo:hi]]) >= least_grams(size):
+                            asked[t].append((lo, hi, k))
+                best: dict[tuple[int, int], tuple[int, int]] = {}
+                for t, wanted in asked.items():
+                    for lo, hi, k in self.within(texts_of[t], wanted):
+                        item = self.items[k][1]
                         d, end = distance(item, texts_of[t][lo:hi])
-                        if d <= edits(len(item)) and (best is None or d < best[0]):
-                            best = (d, lo + end)
-                    if best:
-                        out.append((t, i, *best))
+                        if d <= edits(len(item)) and ((t, k) not in best or d < best[t, k][0]):
+                            best[t, k] = (d, lo + end)
+                out += [(t, self.items[k][0], *found) for (t, k), found in best.items()]
         return out
 
 

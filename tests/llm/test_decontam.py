@@ -26,6 +26,13 @@ def test_distance(item, text):
     assert d == want and (end == at or d == len(item))
 
 
+@given(st.lists(st.text("abc", min_size=1, max_size=40), min_size=1, max_size=8), st.text("abc", max_size=70))
+@settings(max_examples=400, deadline=None)
+def test_items_aligned_together(items, text):
+    text += items[0][:-1]  # often within a limit, or just beyond it
+    assert decontam.close(items, text) == [decontam.distance(i, text)[0] <= decontam.edits(len(i)) for i in items]
+
+
 def words(rng, n):
     return " ".join("".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 9))) for _ in range(n))
 
@@ -94,6 +101,29 @@ def test_runs_without_spaces(alphabet):
     assert finder.find([run(3000) for _ in range(5)]) == []
 
 
+def test_phrase_of_many_items():
+    """Clean texts that hold a phrase of all items, and leaks among them, come out as with each item aligned by itself."""
+    rng = random.Random(31)
+    phrase = words(rng, 12)
+    items = [(i, f"{words(rng, rng.randint(4, 10))} {phrase} {words(rng, rng.randint(4, 10))}") for i in range(300)]
+    texts = [f"{words(rng, 40)} {phrase} {words(rng, 40)}" for _ in range(6)] + [f"{words(rng, 9)} {edited(rng, items[7][1], 3)} {words(rng, 9)} {items[8][1]}"]
+    got = decontam.Finder(items).find(texts)
+    want = {(t, i, d) for t, text in enumerate(texts) for i, item in items for d, _ in [decontam.distance(decontam.normal(item), decontam.normal(text))] if d <= decontam.edits(len(item))}
+    assert {(t, i) for t, i, *_ in got} == {(6, 7), (6, 8)} and {x[:3] for x in got} == want
+
+
+def test_short_items():
+    """Each item that stands in a text, or of seventeen characters with one edit, is found, as by aligning all."""
+    rng = random.Random(32)
+    pool = ["".join(rng.choices("ab c", k=rng.choice((1, 3, 5, 8, 17)))) for _ in range(150)]
+    items = [(i, t) for i, t in enumerate(pool) if decontam.normal(t)]
+    texts = ["".join(rng.choices("abc ", k=60)) for _ in range(20)] + [edited(rng, f"xx {t} yy", 1) for _, t in items if len(t) == 17] + ["", None]
+    got = {x[:3] for x in decontam.Finder(items).find(texts) if not decontam.least_grams(len(decontam.normal(pool[x[1]])))}
+    normal = [(i, decontam.normal(t)) for i, t in items]
+    want = {(t, i, d) for t, text in enumerate(texts) for i, item in normal if not decontam.least_grams(len(item)) for d in [decontam.distance(item, decontam.normal(text))[0]] if d <= decontam.edits(len(item))}
+    assert got == want and len({d for _, _, d in got}) == 2
+
+
 def test_no_false_alarm():
     rng = random.Random(6)
     items = [(i, words(rng, 40)) for i in range(40)]
