@@ -7,12 +7,14 @@ Rows lie in cells: the greedy first codeword of their direction, or the first tw
 A cell of more rows than a block holds has blocks of its own, which its rows share by a hash of the id; smaller cells
 share a block with others near them. So blocks hold about ``BLOCK`` rows at most, whatever the data. A query probes the
 cells with the largest inner product of query and centre times the mean norm in the cell. How many it probes is
-measured: ``PROBED`` vectors of the sample are searched exactly, in one pass over all rows, and as many cells are
-probed as hold ``REACHED`` of their nearest rows.
+measured: ``PROBED`` of the queries, if they are known, or else of the sample are searched exactly, in one pass over all rows, and as
+many cells are probed as hold ``REACHED`` of their nearest rows.
 
 In a probed block a query is scored against all codes through one table of inner products of the query with all codewords;
-the best ``SHORTLIST`` are reranked exactly, in double precision, on the original vectors. A task holds one block and at
-most ``CHUNK`` queries at a time. Equal vectors of a block are one entry of the index with a list of their ids, so a
+the best ``SHORTLIST`` are reranked exactly, in double precision, on the original vectors, and so is every other entry that
+could still be among the nearest: how far codes are off for a query is measured on ``MEASURED`` entries of the block, and
+an entry counts as long as ``SPREAD`` such deviations would lift it to the last one found. So vectors that the codes describe
+badly, as those of many dimensions, cost more exact scores, not neighbours. A task holds one block and at most ``CHUNK`` queries at a time. Equal vectors of a block are one entry of the index with a list of their ids, so a
 vector that fills a third of a table costs one entry a block, and ties come out by id.
 
 Vectors that are null, empty or zero, that hold null or non-finite components, or that are not as long as most, take
@@ -40,13 +42,16 @@ SAMPLE = 8192
 BLOCK = 4096
 CHUNK = 512
 SHORTLIST = 128
-PROBED = 64
+MEASURED, SPREAD = 256, 3.0
+PROBED = 128
 REACHED = 0.97
 NEAREST = 20
 #: Queries with a copy for each probed block that a task holds before it sends them on.
 ROUTED = 1 << 16
 TILE = 256
 HASHES = 1 << 30
+#: Pairs of a query and an entry that are scored exactly at a time.
+PAIRS = 1 << 15
 
 
 @dataclass
@@ -269,8 +274,8 @@ def probes_for(cells: Cells, probe: np.ndarray, hits: np.ndarray) -> int:
     return int(rank[min(len(rank) - 1, int(np.ceil(REACHED * len(rank))) - 1)]) + 1
 
 
-def build(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", block: int = BLOCK, k: int = NEAREST) -> Index:
-    """Fit on at most ``SAMPLE`` rows picked by a hash of the id; encode every row."""
+def build(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", block: int = BLOCK, k: int = NEAREST, queries: DataFrame | None = None) -> Index:
+    """Fit on at most ``SAMPLE`` rows picked by a hash of the id; encode every row. ``queries``: rows of which some are searched exactly to measure how much must be probed."""
     single_threaded()
     good = usable(rows, id_col, vec_col)
     sizes = good.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
@@ -286,10 +291,15 @@ def build(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", b
     else:
         sample_ids, x, books = np.zeros(0, np.int64), np.zeros((0, dim)), Codebooks(np.zeros((STAGES, WORDS, dim), np.float32))
     picked = np.random.default_rng(9).permutation(len(x))[:PROBED]
+    probe_ids, probe = sample_ids[picked], x[picked]
+    if queries is not None:
+        asked = usable(queries, id_col, vec_col).where(F.size("v") == dim).orderBy(F.xxhash64("vec_id"), "vec_id").limit(PROBED).toArrow().combine_chunks()
+        if asked.num_rows:
+            probe_ids, probe = asked["vec_id"].to_numpy(), as_matrix(asked["v"].combine_chunks(), dim)
     cells, _ = deal([], books.words[: 1 if n <= WORDS * block else 2], block)
-    counts, hits = survey(good, cells, sample_ids[picked], x[picked], dim, k)
+    counts, hits = survey(good, cells, probe_ids, probe, dim, k)
     cells, count = deal(counts, cells.words, block)
-    cells.probes = probes_for(cells, x[picked], hits)
+    cells.probes = probes_for(cells, probe, hits)
     shared = rows.sparkSession.sparkContext.broadcast((books, cells))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,9 +333,34 @@ def build(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", b
     return Index(materialize(packed, "ann-index"), count, books, cells, dim, kind == "array<float>")
 
 
+def with_likely(ways: np.ndarray, sizes: np.ndarray, q: np.ndarray, vecs: np.ndarray, near: np.ndarray, listed: np.ndarray, exact: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The listed entries of each query, and their exact scores, with those beside them that may be as near as the last of k + 1; -inf beyond a query's last one."""
+    way, size = unit(vecs)
+    part, scale = (size / size.max()).astype(np.float32), sizes * size.max()
+    some = np.random.default_rng(len(vecs)).permutation(len(vecs))[:MEASURED]
+    off = (ways @ way[some].T) - near[:, some] / np.maximum(part[some], np.finfo(np.float32).tiny)
+    spread = SPREAD * np.sqrt(np.mean(off**2, 1))
+    last = -np.partition(-exact, min(k, exact.shape[1] - 1), 1)[:, min(k, exact.shape[1] - 1)] / scale
+    may = near + spread[:, None] * part >= last[:, None]
+    np.put_along_axis(may, listed, False, 1)
+    of, entry = np.nonzero(may)
+    if not len(of):
+        return listed, exact
+    score = np.empty(len(of))
+    for a in range(0, len(of), PAIRS):
+        o, e = of[a : a + PAIRS], entry[a : a + PAIRS]
+        score[a : a + PAIRS] = np.einsum("pd,pd->p", vecs[e].astype(np.float64), q[o].astype(np.float64))
+    counts = np.bincount(of, minlength=len(q))
+    at = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+    more, scores = np.zeros((len(q), counts.max()), np.int64), np.full((len(q), counts.max()), -np.inf)
+    more[of, at], scores[of, at] = entry, score
+    return np.concatenate([listed, more], 1), np.concatenate([exact, scores], 1)
+
+
 def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, starts: np.ndarray, vecs: np.ndarray, codes: np.ndarray, norms: np.ndarray, words: np.ndarray, k: int, shortlist: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query ids, ids of their k nearest in the block, and exact scores."""
-    table = np.einsum("swd,qd->swq", words, unit(q)[0], optimize=True)
+    ways, sizes = unit(q)
+    table = np.einsum("swd,qd->swq", words, ways, optimize=True)
     near = np.zeros((len(vecs), len(q)), np.float32)
     for a in range(0, len(vecs), TILE):
         tile = near[a : a + TILE]
@@ -338,10 +373,12 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, starts: np.n
     exact = np.empty(listed.shape)
     for a in range(0, len(q), 64):
         exact[a : a + 64] = np.einsum("qld,qd->ql", vecs[listed[a : a + 64]].astype(np.float64), q[a : a + 64].astype(np.float64))
+    if take < len(vecs):
+        listed, exact = with_likely(ways, sizes, q, vecs, near, listed, exact, k)
     # an entry behind k + 1 others, by score and least id, has no id among the k nearest
     best = np.lexsort((ids[starts[listed]], -exact), axis=1)[:, : k + 1]
     entry, score = np.take_along_axis(listed, best, 1).ravel(), np.take_along_axis(exact, best, 1).ravel()
-    size = np.minimum(starts[entry + 1] - starts[entry], k + 1)
+    size = np.where(score > -np.inf, np.minimum(starts[entry + 1] - starts[entry], k + 1), 0)
     of = np.repeat(np.arange(len(entry)), size)
     found = ids[starts[entry][of] + np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)]
     row, score = of // best.shape[1], score[of]

@@ -129,3 +129,20 @@ def test_doubles_are_scored_as_doubles(spark):
     for i in want:
         assert [s for _, s in got[i]] == pytest.approx([s for _, s in want[i]], rel=1e-14)
     assert [j for j, _ in got[60]] == [j for j, _ in want[60]]
+
+
+@pytest.mark.parametrize("kind", ["many dimensions", "queries unlike the other rows"])
+def test_recall_where_codes_or_probes_of_other_rows_would_miss(spark, kind):
+    """Vectors that 12 codewords describe badly; queries that lie anywhere while the other rows lie in few clusters."""
+    rng = np.random.default_rng(4)
+    if kind == "many dimensions":
+        rows = rng.normal(size=(4000, 192))
+    else:
+        rows = rng.normal(size=(30, 24))[rng.integers(0, 30, 6000)] + 0.02 * rng.normal(size=(6000, 24))
+        rows[::20] = 1.5 * rng.normal(size=(300, 24))
+    vecs = dict(enumerate(rows.astype(np.float32)))
+    df = frame(spark, vecs)
+    asked = df.where(ann.is_query())
+    got, want = answers(ann.search(ann.build(df, queries=asked), asked, 20)), brute(vecs, range(0, len(rows), 20), 20)
+    assert got.keys() == want.keys() and all(len(hits) == 20 for hits in got.values())
+    assert np.mean([len({j for j, _ in got[i]} & {j for j, _ in want[i]}) / 20 for i in want]) > 0.9
