@@ -15,6 +15,7 @@ in order and the words that begin with some symbols are a range.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -40,6 +41,8 @@ LEVEL = 48
 #: Keys of runs of n, and below it of single symbols that the reference sequence lacks.
 RUN_KEY = -1
 ROWS = 1 << 16
+#: Pairs of a border and a split that are compared together.
+PAIRS = 1 << 20
 
 BORDERS = "seq_id long, at long, prev_len long, len long, meets_n boolean, left long, right long"
 INSIDE = "key long, seq_id long, at long, pos long, len long"
@@ -114,9 +117,47 @@ def words_before(words: np.ndarray, n: int, pos: np.ndarray, size: np.ndarray, o
     return out & HIGH[np.minimum(k, PER)]
 
 
-def borders(parsed: DataFrame, ref: bytes) -> DataFrame:
-    """A row for each border between two factors of a sequence: where it is, the lengths beside it, and its words."""
+@dataclass
+class Asked:
+    """What splits ask of borders, those with a key of either side apart: the range of the key, both words with their masks, and the least length before."""
+
+    right: tuple[np.ndarray, ...]
+    left: tuple[np.ndarray, ...]
+
+    @staticmethod
+    def of(splits: DataFrame) -> Asked:
+        """Of a table of bounded size."""
+        columns = ["lo", "hi", "left", "left_mask", "right", "right_mask", "least"]
+        got = splits.select((F.col("tag") > 0).alias("by_right"), *columns).distinct().toArrow()
+        sides = (got.filter(pc.equal(got["by_right"], own)) for own in (True, False))
+        return Asked(*(tuple(t[c].to_numpy() for c in columns) for t in sides))
+
+    def met(self, left: np.ndarray, right: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Which borders, of their words and the length before them, some split asks for."""
+        out = np.zeros(len(left), bool)
+        for asked, word in ((self.right, right), (self.left, left)):
+            order = np.argsort(word)
+            ordered = word[order]
+            first, stop = np.searchsorted(ordered, asked[0]), np.searchsorted(ordered, asked[1], "right")
+            own = np.flatnonzero(stop > first)
+            if not len(own):
+                continue
+            cuts = np.flatnonzero(np.diff(np.cumsum((stop - first)[own]) // PAIRS, prepend=-1))
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(own)], strict=True):
+                k = own[a:b]
+                row, split = order[spans(first[k], (stop - first)[k])], np.repeat(k, (stop - first)[k])
+                _, _, l, l_mask, r, r_mask, least = (x[split] for x in asked)
+                out[row[((left[row] ^ l) & l_mask == 0) & ((right[row] ^ r) & r_mask == 0) & (before[row] >= least)]] = True
+        return out
+
+
+def borders(parsed: DataFrame, ref: bytes, asked: Asked | None = None, by: str | None = None, each: int = ROWS) -> DataFrame:
+    """A row for each border between two factors of a sequence: where it is, the lengths beside it, and its words.
+
+    ``asked``: only borders that some split asks for leave Python. ``by``: so many borders (``each``), one behind the other, are in the order of this column.
+    """
     where = reference.stored(parsed.sparkSession, ref)
+    shared = parsed.sparkSession.sparkContext.broadcast(asked) if asked else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = reference_words(where)
@@ -126,10 +167,18 @@ def borders(parsed: DataFrame, ref: bytes) -> DataFrame:
             if not len(seq):
                 continue
             own = np.flatnonzero(stop[1:] == stop[:-1]) + 1
-            for a in range(0, len(own), ROWS):
-                j = own[a : a + ROWS]
+            for a in range(0, len(own), each):
+                j = own[a : a + each]
+                left, right = words_before(words, n, pos, size, j - 1), words_from(words, n, pos, size, stop, j)
+                if shared is not None:
+                    kept = shared.value.met(left, right, size[j - 1])
+                    j, left, right = j[kept], left[kept], right[kept]
                 meets = (pos[j] == n) | (pos[j - 1] == n)
-                yield from batches_of([seq[j], start[j], size[j - 1], size[j], meets, words_before(words, n, pos, size, j - 1), words_from(words, n, pos, size, stop, j)], BORDERS)
+                columns = [seq[j], start[j], size[j - 1], size[j], meets, left, right]
+                if by:
+                    order = np.lexsort((start[j], seq[j], columns[names(BORDERS).index(by)]))
+                    columns = [x[order] for x in columns]
+                yield from batches_of(columns, BORDERS)
 
     return parsed.select("seq_id", "pos", "size", "start").mapInArrow(run, BORDERS)
 
@@ -151,23 +200,60 @@ def parts(low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.nd
         low, high, level = low >> 1, high >> 1, level + 1
 
 
-def inside(parsed: DataFrame, ref: bytes, least: int = 1) -> DataFrame:
-    """A row for each part at which a factor of at least so many symbols stands; a run of n and a literal have one each."""
+@dataclass
+class Held:
+    """What points ask of factors: places in the reference sequence in order, and for each the least end of those from it on; keys of runs and literals."""
+
+    place: np.ndarray
+    end: np.ndarray
+    keys: np.ndarray
+
+    @staticmethod
+    def of(points: DataFrame) -> Held:
+        """Of a table of bounded size."""
+        got = points.where(f"key >> {LEVEL} <= 0").select("key", "place", "m").distinct().toArrow()
+        key, place, m = (got[c].to_numpy() for c in ("key", "place", "m"))
+        usual = key >= 0
+        place, end = place[usual], (place + m)[usual]
+        order = np.argsort(place)
+        return Held(place[order], np.minimum.accumulate(end[order][::-1])[::-1], np.unique(key[~usual]))
+
+    def met(self, pos: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Which factors of the reference sequence hold one of the occurrences."""
+        first = np.searchsorted(self.place, pos)
+        return np.append(self.end, np.iinfo(np.int64).max)[first] <= pos + size
+
+
+def inside(parsed: DataFrame, ref: bytes, least: int = 1, held: Held | None = None, ordered: int = 0) -> DataFrame:
+    """A row for each part at which a factor of at least so many symbols stands; a run of n and a literal have one each.
+
+    ``held``: only factors that some point asks for leave Python. ``ordered``: so many parts, one behind the other, are in the order of their keys.
+    """
     where, n = reference.stored(parsed.sparkSession, ref), len(ref)
+    shared = parsed.sparkSession.sparkContext.broadcast(held) if held else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seq, pos, size, start, _ = flat(batch)
             rows, keys = [], []
             plain = np.flatnonzero((pos >= 0) & (pos < n) & (size >= least))
+            if shared is not None:
+                plain = plain[shared.value.met(pos[plain], size[plain])]
             for lanes, key in parts(pos[plain] >> GRAIN, (pos[plain] + size[plain] - 1 >> GRAIN) + 1):
                 rows.append(plain[lanes])
                 keys.append(key)
             for own, key in ((np.flatnonzero(pos == n), lambda p: np.full(len(p), RUN_KEY)), (np.flatnonzero(pos < 0), lambda p: RUN_KEY + p)):
+                own = own if shared is None else own[np.isin(key(pos[own]), shared.value.keys)]
                 rows.append(own)
                 keys.append(key(pos[own]))
-            own = np.concatenate(rows)
-            yield from batches_of([np.concatenate(keys).astype(np.int64), seq[own], start[own], pos[own], size[own]], INSIDE)
+            own, key = np.concatenate(rows), np.concatenate(keys).astype(np.int64)
+            each = ordered or max(1, len(own))
+            for a in range(0, len(own), each):
+                j, k = own[a : a + each], key[a : a + each]
+                if ordered:
+                    order = np.lexsort((start[j], seq[j], k))
+                    j, k = j[order], k[order]
+                yield from batches_of([k, seq[j], start[j], pos[j], size[j]], INSIDE)
 
     assert where  # the files of the reference sequence are there before any task needs them
     return parsed.select("seq_id", "pos", "size", "start").mapInArrow(run, INSIDE)
@@ -291,9 +377,3 @@ def merged(lo: np.ndarray, hi: np.ndarray, most: int) -> list[tuple[int, int]]:
     cuts = np.sort(np.argsort(-gaps)[: most - 1])
     cuts = cuts[gaps[cuts] > 1]
     return list(zip(lo[np.append(0, cuts + 1)].tolist(), hi[np.append(cuts, len(hi) - 1)].tolist(), strict=True))
-
-
-def met(lo: np.ndarray, hi: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Which of the spans low .. high meet one of the ranges."""
-    last = np.searchsorted(lo, high, "right") - 1
-    return (last >= 0) & (hi[np.maximum(last, 0)] >= low) if len(lo) else np.zeros(len(low), bool)

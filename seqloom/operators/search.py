@@ -35,34 +35,40 @@ REQUESTS_A_ROW = 10_000
 RANGES, SCANS, SEQUENCES = 32, 8, 1000
 #: Rows of a saved table that is scanned whole rather than in several scans.
 SMALL = 1 << 20
+#: How much of all words the ranges may have for which a saved table is read (words of any 20 symbols: 2 ** 60).
+WIDE = 1 << 54
 
 
 @dataclass
 class Table:
-    """A saved table of keys, sorted by a column and dealt into buckets; ``low`` and ``high`` are the keys of each bucket."""
+    """A saved table of keys in runs that are sorted by a column; ``count``: the rows of each file."""
 
     rows: DataFrame
     column: str
-    bucket: np.ndarray
-    low: np.ndarray
-    high: np.ndarray
     count: np.ndarray
 
+    def serves(self, lo: np.ndarray, hi: np.ndarray) -> bool:
+        """Whether a search should read this table: it is small, or the ranges take no more scans than it gives them and have few of the keys.
+
+        For many or wide ranges most rows would be read, several times as many bytes as the factors that they were made from.
+        """
+        if self.count.sum() <= SMALL:
+            return True
+        apart = keys.merged(lo, hi, len(lo)) if len(lo) else []
+        return len(apart) <= RANGES * SCANS and sum(b - a for a, b in apart) <= WIDE
+
     def within(self, lo: np.ndarray, hi: np.ndarray) -> DataFrame:
-        """The rows in ranges of keys, from the buckets and row groups that meet them; at most ``SCANS`` scans with ``RANGES`` ranges each.
+        """The rows in ranges of keys, from the row groups that meet them; at most ``SCANS`` scans with ``RANGES`` ranges each.
 
         Of a small table that would take several scans all rows come, in one.
         """
         if len(lo) > RANGES and self.count.sum() <= SMALL:
-            return self.rows.drop("bucket")
+            return self.rows
         # ranges that do not overlap, so no row is in two scans
         ranges = keys.merged(lo, hi, RANGES * SCANS)
         out = None
         for a in range(0, max(1, len(ranges)), RANGES):
-            own = ranges[a : a + RANGES]
-            ends = np.array(own, np.int64).reshape(-1, 2)
-            buckets = self.bucket[keys.met(ends[:, 0], ends[:, 1], self.low, self.high)].tolist()
-            rows = self.rows.where(F.col("bucket").isin(buckets) if buckets else F.lit(False)).where(in_ranges(self.column, own)).drop("bucket")
+            rows = self.rows.where(in_ranges(self.column, ranges[a : a + RANGES]))
             out = rows if out is None else out.unionByName(rows)
         return out
 
@@ -96,14 +102,21 @@ def by_tags(borders: DataFrame, tags: list[int]) -> DataFrame:
     return borders.withColumn("k", F.explode(rows)).select("*", F.col("k.tag").alias("own_tag"), F.col("k.key").alias("key")).drop("k")
 
 
-def border_rows(parsed: DataFrame, ref: bytes, asked: DataFrame, tags: list[int], saved: Keys | None) -> DataFrame:
-    """The borders with the keys that splits ask for; those that are saved only from the ranges in which some split has its key."""
+def border_rows(parsed: DataFrame, ref: bytes, asked: DataFrame, tags: list[int], saved: Keys | None, few: bool) -> DataFrame:
+    """The borders with the keys that splits ask for; those that are saved only from the ranges in which some split has its key, if they are few.
+
+    A bounded table of splits goes to the tasks that make the borders, so that no others leave them.
+    """
+    if saved is not None:
+        wanted = {k: keys.ranges(asked.where(f"tag {sign} 0"), "lo", "hi") for k, sign in (("by_right", ">"), ("by_left", "<"))}
+        if not all(getattr(saved, k).serves(*w) for k, w in wanted.items()):
+            saved = None
     if saved is None:
-        return by_tags(keys.borders(parsed, ref), tags)
+        return by_tags(keys.borders(parsed, ref, keys.Asked.of(asked) if few else None), tags)
     out = None
-    for table, own in ((saved.by_right, [t for t in tags if t > 0]), (saved.by_left, [t for t in tags if t < 0])):
+    for name, own in (("by_right", [t for t in tags if t > 0]), ("by_left", [t for t in tags if t < 0])):
         if own:
-            rows = by_tags(table.within(*keys.ranges(asked.where(F.col("tag").isin(own)), "lo", "hi")), own)
+            rows = by_tags(getattr(saved, name).within(*wanted[name]), own)
             out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -115,7 +128,7 @@ def across(parsed: DataFrame, ref: bytes, patterns: DataFrame, saved: Keys | Non
     if not n:
         return None
     few = n <= BROADCAST_ROWS
-    rows = border_rows(parsed, ref, asked, tags, saved if few else None)
+    rows = border_rows(parsed, ref, asked, tags, saved if few else None, few)
     agree = lambda side: F.col(side).bitwiseXOR(F.col(f"own_{side}")).bitwiseAND(F.col(f"{side}_mask")) == 0
     sides = asked.drop("lo", "hi").withColumnRenamed("left", "own_left").withColumnRenamed("right", "own_right")
     found = rows.join(F.broadcast(sides) if few else sides, "key").where((F.col("own_tag") - F.col("tag") == 0) & (F.col("prev_len") >= F.col("least")) & agree("left") & agree("right"))
@@ -139,10 +152,11 @@ def within(parsed: DataFrame, ref: bytes, patterns: DataFrame, saved: Keys | Non
     asked = written(keys.points(ref, patterns), "points")
     n, least = asked.agg(F.count("*"), F.coalesce(F.min("m"), F.lit(1))).first()
     few = n <= BROADCAST_ROWS
-    if saved is None or not few:
-        rows = keys.inside(parsed, ref, least)
+    wanted = keys.ranges(asked, "key", "key") if saved is not None and few else None
+    if wanted is None or not saved.inside.serves(*wanted):
+        rows = keys.inside(parsed, ref, least, keys.Held.of(asked) if few else None)
     else:
-        rows = saved.inside.within(*keys.ranges(asked, "key", "key"))
+        rows = saved.inside.within(*wanted)
     run, usual = F.col("key") == keys.RUN_KEY, F.col("key") >= 0
     holds = (F.col("place") >= F.col("pos")) & (F.col("place") + F.col("m") <= F.col("pos") + F.col("len"))
     found = rows.join(F.broadcast(asked) if few else asked, "key").where(F.when(usual, holds).otherwise(F.col("len") >= F.col("m")))

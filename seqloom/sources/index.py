@@ -1,7 +1,7 @@
 """A saved index: the reference sequence, parsed sequences, their catalog, the suffix array and the keys of the factors.
 
-The keys lie in three tables, each dealt into buckets that are ranges of its key, and sorted. A search reads the buckets and row groups that meet the ranges of keys
-that its patterns have, and of the factors only those of sequences with a candidate are read.
+The keys lie in three tables, in runs that were sorted by the tasks that wrote them. A search reads the row groups that meet the ranges of keys
+that its patterns have, and of the factors only those of sequences with a candidate are read. Where ranges are many or wide it goes over the factors instead.
 
 The suffix array lies in a folder named after the digest of the reference sequence, so it is never used with
 another one; a loaded index searches with it and does not build it again. A display-only index has no suffix array; searching one fails with a clear message.
@@ -63,37 +63,35 @@ def size_report(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("component").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
 
 
-#: Rows of a bucket of keys, and bytes of a row group of it.
-KEY_ROWS, KEY_BYTES = 1 << 19, 1 << 20
+#: Rows of keys that are sorted together, those of a file, and bytes of a row group of them.
+RUN, KEY_ROWS, KEY_BYTES = 1 << 20, 1 << 22, 1 << 20
 #: The tables of keys and the column that each is sorted by.
 SORTED = {"by_right": "right", "by_left": "left", "inside": "key"}
 
 
 def write_keys(parsed: DataFrame, ref: bytes, folder: str, rows: int = KEY_ROWS, group_bytes: int = KEY_BYTES) -> None:
-    """The keys of parsed factors, sorted, in buckets, with the least and greatest key of each bucket. Rows with one key may be very many, so buckets are ranges of keys and places."""
-    n = parsed.agg(F.coalesce(F.sum(F.size("pos")), F.lit(0))).first()[0]
-    border, inside = factors_keys.borders(parsed, ref), factors_keys.inside(parsed, ref)
+    """The keys of parsed factors in files of at most ``rows``, with the least and greatest key of each. A task writes the keys of the factors that it reads in runs of
+    at most ``RUN`` rows that were sorted together, so no row is shuffled or spilled; as runs are much longer than row groups, a search reads few groups of each."""
+    narrow = parsed.select("seq_id", "pos", "size", "start")
     for name, column in SORTED.items():
-        order = [column, "seq_id", "at"]
-        dealt = (inside if name == "inside" else border).repartitionByRange(max(1, -(-n // rows)), *order)
-        dealt = dealt.withColumn("bucket", F.spark_partition_id()).sortWithinPartitions("bucket", *order)
-        dealt.write.mode("overwrite").partitionBy("bucket").option("parquet.block.size", group_bytes).option("parquet.page.size", group_bytes // 4).parquet(f"{folder}/{name}")
-    spans = [_table(parsed.sparkSession, folder, name).groupBy("bucket").agg(F.min(c).alias("low"), F.max(c).alias("high"), F.count("*").alias("count")).select(F.lit(name).alias("name"), "bucket", "low", "high", "count") for name, c in SORTED.items()]
+        dealt = factors_keys.inside(narrow, ref, ordered=RUN) if name == "inside" else factors_keys.borders(narrow, ref, by=column, each=RUN)
+        dealt.write.mode("overwrite").option("maxRecordsPerFile", rows).option("parquet.block.size", group_bytes).option("parquet.page.size", group_bytes // 4).option("parquet.writer.version", "v2").option("compression", "zstd").parquet(f"{folder}/{name}")
+    spans = [_table(parsed.sparkSession, folder, name).groupBy(F.input_file_name().alias("file")).agg(F.min(c).alias("low"), F.max(c).alias("high"), F.count("*").alias("count")).select(F.lit(name).alias("name"), F.element_at(F.split("file", "/"), -1).alias("file"), "low", "high", "count") for name, c in SORTED.items()]
     spans[0].unionByName(spans[1]).unionByName(spans[2]).coalesce(1).write.mode("overwrite").parquet(f"{folder}/buckets")
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     schema = factors_keys.INSIDE if name == "inside" else factors_keys.BORDERS
-    return spark.read.schema(f"{schema}, bucket int").parquet(f"{folder}/{name}")
+    return spark.read.schema(schema).parquet(f"{folder}/{name}")
 
 
 def load_keys(spark: SparkSession, folder: str) -> search.Keys:
-    """Saved keys; of their rows only the buckets' spans are read, one row a bucket."""
+    """Saved keys; of their rows only the files' spans are read, one row a file."""
     spans = spark.read.parquet(f"{folder}/buckets").toArrow()
     tables = {}
     for name, column in SORTED.items():
         own = spans.filter(pc.equal(spans["name"], name))
-        tables[name] = search.Table(_table(spark, folder, name), column, *(own[k].to_numpy() for k in ("bucket", "low", "high", "count")))
+        tables[name] = search.Table(_table(spark, folder, name), column, own["count"].to_numpy())
     return search.Keys(**tables)
 
 
