@@ -16,16 +16,18 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import symbols
 from seqloom.operators import kernels
-from seqloom.operators.asof import asof_join
 from seqloom.operators.keys import text_bytes
 from seqloom.operators.range_join import range_join
-from seqloom.operators.running import ROWS, running_sums
+from seqloom.operators.running import running_sums
+from seqloom.scratch import BROADCAST_ROWS, small
 from seqloom.sources import reference
 from seqloom.sources.sequences import Collection
 
 PARSED = "seq_id long, name string, len long, pos array<long>, size array<long>, start array<long>"
 LISTS = pa.list_(pa.int64())
 LEVEL_BLOCK = 4096
+#: Places of a sequence that meet its factors together.
+PLACES = 10_000
 
 
 def parse(c: Collection, where: str | None = None) -> DataFrame:
@@ -71,7 +73,7 @@ def expand(parsed: DataFrame, ref: bytes) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seqs = [kernels.expand(shared.value, p, k).decode("ascii") for p, k in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            seqs = [kernels.expand(shared.value, p, k).decode("ascii") for p, k in kernels.factor_lists(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(seqs, pa.string())], ["seq_id", "name", "seq"])
 
     return parsed.select("seq_id", "name", "pos", "size").mapInArrow(run, "seq_id long, name string, seq string")
@@ -178,11 +180,34 @@ def code_strings(factors: DataFrame, ref_len: int) -> DataFrame:
     return factors.where("pos is not null").select("seq_id", "fac_no", symbols.fixed_binary(F.col("pos"), width).alias("pos_bits"), symbols.rice(F.col("len"), symbols.LENGTH_DIVISOR).alias("len_bits"))
 
 
-def rank(parsed: DataFrame, places: DataFrame, every: int = ROWS) -> DataFrame:
-    """Places (seq_id, at, ...) of sequences with the factor that holds them: fac_no, pos (negative for literals), len, seq_start. Places outside their sequence are left out."""
-    rows = parsed.select("seq_id", F.posexplode(F.arrays_zip("pos", "size", "start")).alias("no", "f"))
-    rows = rows.select("seq_id", F.col("no").cast("long").alias("fac_no"), F.col("f.pos").alias("pos"), F.col("f.size").alias("len"), F.col("f.start").alias("seq_start"))
-    return asof_join(places, rows, "seq_id", "at", "seq_start", every).where(F.col("at") < F.col("seq_start") + F.col("len"))
+def rank(parsed: DataFrame, places: DataFrame, listed: int = PLACES) -> DataFrame:
+    """Places (seq_id, at, ...) of sequences with the factor that holds them: fac_no, pos (negative for literals), len, seq_start. Places outside their sequence are left out.
+
+    The places of a sequence meet its factors as lists of about ``listed`` at most, so factors stay arrays and are sent once for each list.
+    """
+    names = places.columns
+    asked = places.where("seq_id is not null and at is not null")
+    many = asked.groupBy("seq_id").agg(F.ceil(F.count("*") / listed).alias("lists"))
+    part = F.pmod(F.xxhash64(*names), F.col("lists"))
+    lists = asked.join(small(many), "seq_id").groupBy("seq_id", part.alias("list")).agg(F.collect_list(F.struct(*names)).alias("asked"))
+    factors = parsed.select("seq_id", F.col("pos").cast("array<long>").alias("pos"), F.col("size").cast("array<int>").alias("size"))
+    few = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    met = factors.join(F.broadcast(lists) if few else lists, "seq_id").select("asked", "pos", "size")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for asked, pos, size in zip(*batch.columns, strict=True):
+                rows, pos, size = asked.values, pos.values.to_numpy(), size.values.to_numpy().astype(np.int64)
+                at, end = rows.field("at").to_numpy(), np.cumsum(size)
+                own = np.searchsorted(end, at, "right")
+                inside = np.flatnonzero((at >= 0) & (own < len(end)))
+                own, rows = own[inside], rows.take(pa.array(inside))
+                found = (own, pos[own], size[own], end[own] - size[own])
+                yield pa.RecordBatch.from_arrays([*(rows.field(n) for n in names), *map(pa.array, found)], [*names, "fac_no", "pos", "len", "seq_start"])
+
+    nothing = F.lit(0).cast("long")
+    schema = places.select("*", *[nothing.alias(n) for n in ("fac_no", "pos", "len", "seq_start")]).schema
+    return met.mapInArrow(run, schema)
 
 
 def symbols_at(rows: DataFrame, ref: bytes) -> DataFrame:
@@ -205,21 +230,11 @@ def properties(c: Collection, parsed: DataFrame) -> DataFrame:
     shared = c.spark.sparkContext.broadcast(c.ref)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = shared.value
         for batch in batches:
-            out = []
-            for text, pos, size, start in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3, 4)), strict=True):
-                text, at = text.encode("ascii"), 0
-                runs = gaps = wrong = longer = 0
-                for p, k, a in zip(pos, size, start, strict=True):
-                    own, after = text[a : a + k], text[a + k : a + k + 1]
-                    runs += p == len(r)
-                    gaps += a != at
-                    wrong += kernels.text_of(r, p, k) != own
-                    longer += after == b"n" if p == len(r) else after not in (b"", b"n") and (own + after in r) or (p < 0 and own in r)
-                    at = a + k
-                out.append((len(text), runs, gaps + (at != len(text)), wrong, longer))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([o[k] for o in out], pa.int64()) for k in range(5))], names)
+            data, bounds = text_bytes(batch.column(1))
+            counts = np.diff(batch.column(2).offsets.to_numpy())
+            found = kernels.faults(shared.value, data, bounds, *(batch.column(k).flatten().to_numpy() for k in (2, 3, 4)), counts)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (np.diff(bounds), *found))], names)
 
     names = ["seq_id", "len", "n_runs", "n_gaps", "n_wrong", "n_longer"]
     rows = c.targets.select("seq_id", F.lower("seq").alias("seq")).join(parsed.select("seq_id", "pos", "size", "start"), "seq_id")

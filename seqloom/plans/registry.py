@@ -284,14 +284,14 @@ def locate_boundary(c):
 @query()
 def rank_factor(c):
     """The factor that holds the first symbol of each requested window: the last start at or before it."""
-    met = O.rank(written(O.parse(c), "parsed"), requests(c).select("req_id", "seq_id", F.col("start").alias("at")))
+    met = O.rank(O.parse(c), requests(c).select("req_id", "seq_id", F.col("start").alias("at")))
     return met.select("req_id", "seq_id", "fac_no", "seq_start")
 
 
 @query("""select req_id, substring(seq, "start" + 1, 1) as symbol from requests join targets using (seq_id) where "start" < len""")
 def rank_symbol(c):
     """The first symbol of each requested window of a target, from the factor that holds it."""
-    met = O.rank(written(O.parse(c), "parsed"), requests(c).select("req_id", "seq_id", F.col("start").alias("at")))
+    met = O.rank(O.parse(c), requests(c).select("req_id", "seq_id", F.col("start").alias("at")))
     one = met.select("req_id", "pos", "len", (F.col("at") - F.col("seq_start")).alias("offset"))
     return O.symbols_at(one, c.ref).select("req_id", "symbol")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from seqloom.operators.running import running_sums
 from seqloom.sources.sequences import write_files
 
 ENDING = ".fac"
-#: Factors of an output batch, about.
+#: Factors of an output batch at most.
 ROWS = 1 << 16
 
 
@@ -24,31 +25,25 @@ def encode(parsed: DataFrame, ref: bytes, text: bool = False, short: bool = Fals
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = [make(shared.value, p, k, short, liss) for p, k in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            data = [make(shared.value, p, k, short, liss) for p, k in kernels.factor_lists(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary())], ["seq_id", "name", "content"])
 
     return parsed.select("seq_id", "name", "pos", "size").mapInArrow(run, "seq_id long, name string, content binary")
 
 
-def _rows(held: list[tuple]) -> pa.RecordBatch:
-    kinds = (*[pa.int64()] * 4, pa.string())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], ["seq_id", "fac_no", "pos", "len", "text"])
-
-
 def factors(files: DataFrame, ref: bytes) -> DataFrame:
     """seq_id, fac_no, pos (null for literals), len, text of every factor of encoded files; the header says how to read."""
     shared = files.sparkSession.sparkContext.broadcast(ref)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held: list[tuple] = []
-            for seq_id, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held += [(seq_id, i, None if p < 0 else p, k, t.decode()) for i, (p, k, t) in enumerate(kernels.decode_file(shared.value, data))]
-                if len(held) >= ROWS:
-                    yield _rows(held)
-                    held = []
-            if held:
-                yield _rows(held)
+            for seq_id, data in zip(batch.column(0), batch.column(1), strict=True):
+                pos, size, texts, bounds = kernels.decode_arrays(shared.value, data.as_buffer().to_pybytes())
+                for a in range(0, len(pos), ROWS):
+                    p, k, at = pos[a : a + ROWS], size[a : a + ROWS], bounds[a : a + ROWS + 1]
+                    text = pa.StringArray.from_buffers(len(p), pa.py_buffer((at - at[0]).astype(np.int32).tobytes()), pa.py_buffer(texts[at[0] : at[-1]].tobytes()))
+                    ids, no = np.full(len(p), seq_id.as_py(), np.int64), np.arange(a, a + len(p))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(no), pa.array(p, mask=p < 0), pa.array(k), text], ["seq_id", "fac_no", "pos", "len", "text"])
 
     return files.select("seq_id", "content").mapInArrow(run, "seq_id long, fac_no long, pos long, len long, text string")
 
@@ -59,7 +54,7 @@ def decode(files: DataFrame, ref: bytes) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seqs = [kernels.decode_sequence(shared.value, d).decode() for d in batch.column(2).to_pylist()]
+            seqs = [kernels.decode_sequence(shared.value, d.as_buffer().to_pybytes()).decode() for d in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(seqs, pa.string())], ["seq_id", "name", "seq"])
 
     return files.select("seq_id", "name", "content").mapInArrow(run, "seq_id long, name string, seq string")
