@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.operators import factors as O
-from seqloom.operators import kernels, keys, search
+from seqloom.operators import blocks, kernels, keys, search
+from seqloom.plans import registry
 from seqloom.sources import index
 from seqloom.sources.sequences import Collection
 
@@ -113,3 +114,40 @@ def test_a_batch_is_not_held_as_lists(spark):
     lists = kernels.factor_lists(batch["pos"], batch["size"])
     assert iter(lists) is lists and next(lists) == (batch["pos"][0].as_py(), batch["size"][0].as_py())
     assert {r.seq_id: r.n for r in O.parse(c).select("seq_id", F.size("pos").alias("n")).collect()}.keys() == {s for s, _, _ in rows}
+
+
+def test_only_blocks_that_start_elsewhere_are_written_again(spark, monkeypatch):
+    rng = random.Random(3)
+    ref = "".join(rng.choices("acgt", k=400))
+    texts = [(i, f"s{i}", "".join(rng.choices("acgtn", [30, 30, 30, 30, 2], k=4000))) for i in range(1, 5)]
+    c = Collection(ref.encode(), spark.createDataFrame(texts, "seq_id long, name string, seq string"))
+    rows = []
+
+    def counted(df, label):
+        out = written(df, label)
+        rows.append(out.count() if {"pos", "piece"} & set(out.columns) else 0)
+        return out
+
+    written = blocks.written
+    monkeypatch.setattr(blocks, "written", counted)
+    got = blocks.parse_blocks(c, 200, 100).collect()
+    assert sum(rows) <= 1.25 * len(got)
+    found = {}
+    for r in sorted(got, key=lambda r: (r.seq_id, r.block)):
+        found.setdefault(r.seq_id, []).extend(zip(r.pos, r.size, r.start, strict=True))
+    for i, _, t in texts:
+        pos, size = kernels.parser(c.ref).parse(t.encode())
+        assert found[i] == list(zip(pos, size, np.cumsum([0, *size[:-1]]).tolist(), strict=True))
+
+
+def test_streams_of_a_parse_take_their_length_from_the_factors():
+    rng = random.Random(4)
+    ref = "".join(rng.choices("acgt", k=3000)).encode()
+    short, long_ = "".join(rng.choices("acgt", k=200_000)).encode(), ref[5:2500] * 80
+    p, want = kernels.parser(ref), {}
+    for t in (short, long_, short):
+        got = p.parse(t)
+        assert b"".join(kernels.text_of(ref, *f) for f in zip(*got, strict=True)) == t
+        assert want.setdefault(t, got) == got
+        assert p.block == (1024 if t is long_ else min(1024, max(64, 32 * len(t) // len(got[0]))))
+        assert p.block < 400 or t is long_
