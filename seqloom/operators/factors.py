@@ -127,24 +127,33 @@ def encoded_bits(parsed: DataFrame, ref: bytes) -> DataFrame:
     return parsed.select("seq_id", "pos", "size").mapInArrow(run, "seq_id long, plain long, liss long, short long, short_liss long")
 
 
-def rising(parsed: DataFrame, ref_len: int) -> DataFrame:
-    """The factors of a longest rising run of each sequence: seq_id, fac_no, pos, delta to the suggested position."""
+def rising(parsed: DataFrame, ref_len: int, starts: bool = False) -> DataFrame:
+    """The factors of a longest rising run of each sequence: seq_id, fac_no, pos, delta to the suggested position; with ``starts`` also their seq_start."""
+    names = ["seq_id", "fac_no", "pos", "delta", "seq_start"][: 4 + starts]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s, p, k in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                chosen = kernels.rising(p, ref_len)
-                d = [None, *kernels.deltas(p, k, chosen)][: len(chosen)]
-                yield pa.RecordBatch.from_arrays([pa.array([s] * len(chosen), pa.int64()), pa.array(chosen, pa.int64()), pa.array([p[i] for i in chosen], pa.int64()), pa.array(d, pa.int64())], ["seq_id", "fac_no", "pos", "delta"])
-
-    return parsed.select("seq_id", "pos", "size").mapInArrow(run, "seq_id long, fac_no long, pos long, delta long")
-
-
-def restore_rising(chosen: DataFrame, factors: DataFrame) -> DataFrame:
-    """Positions from deltas: a running sum of the deltas plus the factor's start."""
+            found: list[tuple[np.ndarray, ...]] = []
+            for s, p, k in zip(*batch.columns, strict=True):
+                pos, size = p.values.to_numpy(), k.values.to_numpy()
+                chosen = np.array(kernels.rising(pos.tolist(), ref_len), np.int64)
+                start = (np.cumsum(size) - size)[chosen]
+                shift = pos[chosen] - start
+                found.append((np.full(len(chosen), s.as_py(), np.int64), chosen, pos[chosen], np.diff(shift, prepend=shift[:1]), start))
+            if found:
+                # the first of each sequence has no delta
+                first = np.concatenate([np.arange(len(f[1])) == 0 for f in found])
+                columns = [np.concatenate(x) for x in zip(*found, strict=True)][: len(names)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, mask=first if n == "delta" else None) for n, x in zip(names, columns, strict=True)], names)
+
+    return parsed.select("seq_id", "pos", "size").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
+def restore_rising(chosen: DataFrame, factors: DataFrame | None = None) -> DataFrame:
+    """Positions from deltas: a running sum of the deltas plus the factor's start, which comes from a table of factors unless the chosen ones have it."""
     from pyspark.sql import Window
 
-    rows = chosen.join(factors.select("seq_id", "fac_no", "seq_start"), ["seq_id", "fac_no"])
+    rows = chosen if factors is None else chosen.join(factors.select("seq_id", "fac_no", "seq_start"), ["seq_id", "fac_no"])
     w = Window.partitionBy("seq_id").orderBy("fac_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     step = F.when(F.col("delta").isNull(), F.col("pos") - F.col("seq_start")).otherwise(F.col("delta"))
     return rows.withColumn("restored", F.sum(step).over(w) + F.col("seq_start")).select("seq_id", "fac_no", "pos", "restored")

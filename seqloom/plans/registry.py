@@ -339,7 +339,7 @@ def rising_factors(c):
 def rising_properties(c):
     """For each sequence: chosen factors that do not rise, and those whose position does not come back from the deltas."""
     parsed = written(O.parse(c), "parsed")
-    back = O.restore_rising(O.rising(parsed, len(c.ref)), O.exploded(parsed, len(c.ref)))
+    back = O.restore_rising(O.rising(parsed, len(c.ref), starts=True))
     from pyspark.sql import Window
 
     back = back.withColumn("before", F.lag("pos").over(Window.partitionBy("seq_id").orderBy("fac_no")))
@@ -349,8 +349,7 @@ def rising_properties(c):
 
 @query()
 def rising_restored(c):
-    parsed = written(O.parse(c), "parsed")
-    return O.restore_rising(O.rising(parsed, len(c.ref)), O.exploded(parsed, len(c.ref)))
+    return O.restore_rising(O.rising(O.parse(c), len(c.ref), starts=True))
 
 
 def codec(text: bool, short: bool, liss: bool) -> Callable[[Collection], DataFrame]:

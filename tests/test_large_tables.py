@@ -116,6 +116,10 @@ def test_a_batch_is_not_held_as_lists(spark):
     assert {r.seq_id: r.n for r in O.parse(c).select("seq_id", F.size("pos").alias("n")).collect()}.keys() == {s for s, _, _ in rows}
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_only_blocks_that_start_elsewhere_are_written_again(spark, monkeypatch):
     rng = random.Random(3)
     ref = "".join(rng.choices("acgt", k=400))
@@ -140,6 +144,15 @@ def test_only_blocks_that_start_elsewhere_are_written_again(spark, monkeypatch):
         assert found[i] == list(zip(pos, size, np.cumsum([0, *size[:-1]]).tolist(), strict=True))
 
 
+def test_rising_factors_are_restored_without_a_join(spark):
+    c, _ = collection(spark, 5)
+    parsed = O.parse(c).cache()
+    want = O.restore_rising(O.rising(parsed, len(c.ref)), O.exploded(parsed, len(c.ref)))
+    got = O.restore_rising(O.rising(parsed, len(c.ref), starts=True))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "Join" not in plan_of(registry.QUERIES["rising_restored"](spark, "/root/testdata/sf0.001"))
+
+
 def test_streams_of_a_parse_take_their_length_from_the_factors():
     rng = random.Random(4)
     ref = "".join(rng.choices("acgt", k=3000)).encode()
