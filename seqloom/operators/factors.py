@@ -87,6 +87,19 @@ def neighbours(factors: DataFrame) -> DataFrame:
     return factors.select("*", *[f(c).over(w).alias(f"{n}_{c}") for n, f in (("prev", F.lag), ("next", F.lead)) for c in ("pos", "len", "is_n")])
 
 
+def with_neighbours(parsed: DataFrame, ref_len: int) -> DataFrame:
+    """What ``neighbours`` gives of the factors of parsed sequences, from their arrays, without a shuffle."""
+    some = parsed.where(F.size("pos") > 0)
+    beside = {"prev": lambda c: F.concat(F.array(F.lit(None).cast("long")), F.slice(c, 1, F.size(c) - 1)), "next": lambda c: F.concat(F.slice(c, 2, F.size(c) - 1), F.array(F.lit(None).cast("long")))}
+    lists = some.select("seq_id", "pos", "size", "start", *[f(F.col(c)).alias(f"{n}_{c}") for n, f in beside.items() for c in ("pos", "size")])
+    rows = lists.select("seq_id", F.posexplode(F.arrays_zip(*lists.columns[1:])).alias("no", "f"))
+    plain = lambda p: F.when(p >= 0, p)
+    p = F.col("f.pos")
+    own = ["seq_id", F.col("no").cast("long").alias("fac_no"), plain(p).alias("pos"), F.col("f.size").alias("len"), (p == ref_len).alias("is_n"), F.when(p < 0, F.chr(-1 - p)).alias("literal"), F.col("f.start").alias("seq_start")]
+    near = [x for n in beside for x in (plain(F.col(f"f.{n}_pos")).alias(f"{n}_pos"), F.col(f"f.{n}_size").alias(f"{n}_len"), (F.col(f"f.{n}_pos") == ref_len).alias(f"{n}_is_n"))]
+    return rows.select(*own, *near)
+
+
 def statistics(parsed: DataFrame, ref_len: int) -> DataFrame:
     """Per sequence: symbols, factors, runs of n, the longest factor; from the arrays, without a shuffle."""
     n = F.size(F.filter("pos", lambda p: p == ref_len)).cast("long")

@@ -165,7 +165,7 @@ def factor_stats(c):
 
 @query()
 def factor_neighbours(c):
-    return O.neighbours(O.exploded(O.parse(c), len(c.ref)))
+    return O.with_neighbours(O.parse(c), len(c.ref))
 
 
 @query()

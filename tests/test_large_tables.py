@@ -153,6 +153,17 @@ def test_rising_factors_are_restored_without_a_join(spark):
     assert "Join" not in plan_of(registry.QUERIES["rising_restored"](spark, "/root/testdata/sf0.001"))
 
 
+def test_neighbours_of_factors_come_without_a_window(spark):
+    c, _ = collection(spark, 6)
+    c.targets = c.targets.unionByName(spark.createDataFrame([(90, "e", ""), (91, "o", "nx"), (92, "a", "a")], c.targets.schema))
+    parsed = O.parse(c).cache()
+    want, got = O.neighbours(O.exploded(parsed, len(c.ref))), O.with_neighbours(parsed, len(c.ref))
+    assert got.columns == want.columns and got.dtypes == want.dtypes
+    by = lambda r: (r.seq_id, r.fac_no)
+    assert sorted(got.collect(), key=by) == sorted(want.collect(), key=by)
+    assert "Window" not in plan_of(registry.QUERIES["factor_neighbours"](spark, "/root/testdata/sf0.001"))
+
+
 def test_streams_of_a_parse_take_their_length_from_the_factors():
     rng = random.Random(4)
     ref = "".join(rng.choices("acgt", k=3000)).encode()
