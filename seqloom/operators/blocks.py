@@ -17,10 +17,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from seqloom.operators.keys import text_bytes
 from seqloom.scratch import release, small, written
 from seqloom.sources import reference
-from seqloom.sources.sequences import Collection
+from seqloom.sources.sequences import Collection, text_bytes
 
 BLOCK, AHEAD = 1 << 20, 1 << 16
 #: Bytes of pieces that leave a task together.
@@ -35,9 +34,11 @@ KEY, ENDS = ["seq_id", "block"], ["seq_id", "block", "entry", "exit"]
 def pieces(c: Collection, block: int, ahead: int, behind: int) -> DataFrame:
     """seq_id, block, len (of the sequence), base and piece: the block's symbols and those beside it, and where they start; an empty sequence has one empty block."""
 
+    symbols_of = c.symbols()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, bounds = text_bytes(batch.column(1))
+            data, bounds = symbols_of(batch.column(1))
             raw, at, n = data.tobytes(), bounds[:-1], np.diff(bounds)
             count = np.maximum(-(-n // block), 1)
             row = np.repeat(np.arange(len(n)), count)
@@ -50,7 +51,7 @@ def pieces(c: Collection, block: int, ahead: int, behind: int) -> DataFrame:
                 cut = [raw[x:y] for x, y in zip((at[r] + low[own]).tolist(), (at[r] + high[own]).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, (ids[r], k[own], n[r], low[own])), pa.array(cut, pa.binary())], [x.split()[0] for x in PIECES.split(", ")])
 
-    return c.targets.select("seq_id", F.lower("seq").alias("seq")).mapInArrow(run, PIECES)
+    return c.raw("seq_id").mapInArrow(run, PIECES)
 
 
 @F.arrow_udf(ArrayType(LongType()))

@@ -7,7 +7,7 @@ reference sequence and its suffix array and parses the sequences it reads.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import symbols
 from seqloom.operators import kernels
-from seqloom.operators.keys import text_bytes
 from seqloom.operators.range_join import range_join
 from seqloom.operators.running import running_sums
 from seqloom.scratch import BROADCAST_ROWS, small
@@ -24,27 +23,38 @@ from seqloom.sources import reference
 from seqloom.sources.sequences import Collection
 
 PARSED = "seq_id long, name string, len long, pos array<long>, size array<long>, start array<long>"
+PACKED = "seq_id long, name string, len long, pos binary, size binary"
 LISTS = pa.list_(pa.int64())
 LEVEL_BLOCK = 4096
 #: Places of a sequence that meet its factors together.
 PLACES = 10_000
 
 
-def parse(c: Collection, where: str | None = None) -> DataFrame:
-    """Every target as factors; ``where``: the folder of the reference sequence's files, if not the usual one."""
-    where = where or reference.stored(c.spark, c.ref)
+def _parse(c: Collection, where: str | None, schema: str, lists: Callable[[np.ndarray, pa.Array], pa.Array], names: list[str]) -> DataFrame:
+    """Every target as factors, whose lists are made of their values and offsets."""
+    where, symbols_of = where or reference.stored(c.spark, c.ref), c.symbols()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = reference.parser(where)
         for batch in batches:
-            data, bounds = text_bytes(batch.column(2))
+            data, bounds = symbols_of(batch.column(2))
             pos, size, start, counts = p.parse_texts(data, bounds)
-            offsets = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
-            start = start - np.repeat(bounds[:-1], counts)
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (pos, size, start)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(bounds)), *lists], ["seq_id", "name", "len", "pos", "size", "start"])
+            offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+            found = (pos, size, start - np.repeat(bounds[:-1], counts))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(bounds)), *(lists(x, offsets) for x in found[: len(names) - 3])], names)
+
+    return c.raw("seq_id", "name").mapInArrow(run, schema)
+
+
+def parse(c: Collection, where: str | None = None) -> DataFrame:
+    """Every target as factors; ``where``: the folder of the reference sequence's files, if not the usual one."""
+    return _parse(c, where, PARSED, lambda x, offsets: pa.ListArray.from_arrays(pa.array(offsets), pa.array(x)), ["seq_id", "name", "len", "pos", "size", "start"])
+
 
-    return c.targets.select("seq_id", "name", F.lower("seq").alias("seq")).mapInArrow(run, PARSED)
+def packed(c: Collection) -> DataFrame:
+    """Every target as factors for a search, whose lists ``pos`` and ``size`` are bytes of 32-bit numbers, so that Spark passes them on as they are."""
+    pack = lambda x, offsets: pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(4 * offsets), pa.py_buffer(x.astype(np.int32))])
+    return _parse(c, None, PACKED, pack, ["seq_id", "name", "len", "pos", "size"])
 
 
 def exploded(parsed: DataFrame, ref_len: int) -> DataFrame:
@@ -249,17 +259,17 @@ def symbols_at(rows: DataFrame, ref: bytes) -> DataFrame:
 def properties(c: Collection, parsed: DataFrame) -> DataFrame:
     """Per sequence: symbols, runs of n, gaps between factors, factors that read otherwise than the sequence, and factors
     that could be longer. Found from the sequences by plain search in the reference sequence, not by its suffix array."""
-    shared = c.spark.sparkContext.broadcast(c.ref)
+    shared, symbols_of = c.spark.sparkContext.broadcast(c.ref), c.symbols()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, bounds = text_bytes(batch.column(1))
+            data, bounds = symbols_of(batch.column(1))
             counts = np.diff(batch.column(2).offsets.to_numpy())
             found = kernels.faults(shared.value, data, bounds, *(batch.column(k).flatten().to_numpy() for k in (2, 3, 4)), counts)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (np.diff(bounds), *found))], names)
 
     names = ["seq_id", "len", "n_runs", "n_gaps", "n_wrong", "n_longer"]
-    rows = c.targets.select("seq_id", F.lower("seq").alias("seq")).join(parsed.select("seq_id", "pos", "size", "start"), "seq_id")
+    rows = c.raw("seq_id").join(parsed.select("seq_id", "pos", "size", "start"), "seq_id")
     return rows.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 

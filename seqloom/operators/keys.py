@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from seqloom.operators.matching import N, USUAL, Parser, Texts, pack, spans
 from seqloom.sources import reference
+from seqloom.sources.sequences import text_bytes
 
 BITS, PER = 3, 20
 #: Codes of symbols in words; any other symbol has one that no pattern has.
@@ -54,16 +55,6 @@ def names(schema: str) -> list[str]:
     return [x.split()[0] for x in schema.split(", ")]
 
 
-def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of a column of texts, and where each one starts in them; null is an empty text."""
-    column = pc.fill_null(column, "").cast(pa.large_binary())
-    if not len(column):
-        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    bounds = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, 8 * column.offset)
-    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
-    return data[bounds[0] : bounds[-1]], bounds - bounds[0]
-
-
 def batches_of(columns: list[np.ndarray], schema: str) -> Iterator[pa.RecordBatch]:
     """Columns as batches of at most ``ROWS`` rows."""
     for a in range(0, len(columns[0]), ROWS):
@@ -80,11 +71,21 @@ def reference_words(where: str) -> np.ndarray:
     return np.append(pack(CODES[np.frombuffer(p.ref, np.uint8)], BITS, PER), 0)
 
 
+def lists_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all lists of a column, and how many each list has; ``factors.packed`` lists are bytes of 32-bit numbers."""
+    if pa.types.is_list(column.type):
+        return column.flatten().to_numpy(), np.diff(column.offsets.to_numpy())
+    bounds = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset)
+    values = np.frombuffer(column.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]] if len(column) else np.zeros(0, np.uint8)
+    return values.view(np.int32).astype(np.int64), np.diff(bounds) // 4
+
+
 def flat(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    """Of parsed sequences (seq_id, pos, size, start): sequence, position, length and start of every factor, and where the factors of its sequence end."""
-    pos, size, start = (batch.column(c).flatten().to_numpy() for c in (1, 2, 3))
-    counts = np.diff(batch.column(1).offsets.to_numpy())
-    return np.repeat(batch.column(0).to_numpy(), counts), pos, size, start, np.repeat(np.cumsum(counts), counts)
+    """Of parsed sequences (seq_id, pos, size): sequence, position, length and start of every factor, and where the factors of its sequence end."""
+    (pos, counts), (size, _) = (lists_of(batch.column(c)) for c in (1, 2))
+    stop, before = np.cumsum(counts), np.concatenate(([0], np.cumsum(size)))
+    start = before[:-1] - np.repeat(before[stop - counts], counts)
+    return np.repeat(batch.column(0).to_numpy(), counts), pos, size, start, np.repeat(stop, counts)
 
 
 def words_from(words: np.ndarray, n: int, pos: np.ndarray, size: np.ndarray, stop: np.ndarray, own: np.ndarray) -> np.ndarray:
@@ -180,7 +181,7 @@ def borders(parsed: DataFrame, ref: bytes, asked: Asked | None = None, by: str |
                     columns = [x[order] for x in columns]
                 yield from batches_of(columns, BORDERS)
 
-    return parsed.select("seq_id", "pos", "size", "start").mapInArrow(run, BORDERS)
+    return parsed.select("seq_id", "pos", "size").mapInArrow(run, BORDERS)
 
 
 def parts(low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -256,7 +257,7 @@ def inside(parsed: DataFrame, ref: bytes, least: int = 1, held: Held | None = No
                 yield from batches_of([k, seq[j], start[j], pos[j], size[j]], INSIDE)
 
     assert where  # the files of the reference sequence are there before any task needs them
-    return parsed.select("seq_id", "pos", "size", "start").mapInArrow(run, INSIDE)
+    return parsed.select("seq_id", "pos", "size").mapInArrow(run, INSIDE)
 
 
 def split_places(p: Parser, t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

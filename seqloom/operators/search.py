@@ -276,9 +276,10 @@ def display(parsed: DataFrame, ref: bytes, requests: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = whole.value
         for batch in batches:
-            for asked, *arrays in zip(batch.column(0).to_pylist(), *(batch.column(c) for c in (1, 2, 3)), strict=True):
-                pos, size, starts = (np.asarray(x.values) for x in arrays)
-                total = int(size.sum())
+            (all_pos, counts), (all_size, _) = (keys.lists_of(batch.column(c)) for c in (1, 2))
+            for asked, n, stop in zip(batch.column(0).to_pylist(), counts.tolist(), np.cumsum(counts).tolist(), strict=True):
+                pos, size = all_pos[stop - n : stop], all_size[stop - n : stop]
+                starts, total = np.cumsum(size) - size, int(size.sum())
                 text = ["" if q["a"] >= q["b"] else None if q["a"] < 0 or q["b"] > total else kernels.window(r, pos, size, starts, q["a"], q["b"]).decode() for q in asked]
                 yield pa.RecordBatch.from_arrays([pa.array([q["req_id"] for q in asked], pa.int64()), pa.array(text, pa.string())], ["req_id", "text"])
 
@@ -287,8 +288,8 @@ def display(parsed: DataFrame, ref: bytes, requests: DataFrame) -> DataFrame:
     many = targets.groupBy("seq_id").agg(F.ceil(F.count("*") / REQUESTS_A_ROW).alias("lists"))
     listed = targets.join(F.broadcast(many) if few else many, "seq_id").withColumn("list", F.pmod(F.xxhash64("req_id", "start", "end"), F.col("lists")))
     listed = listed.groupBy("seq_id", "list").agg(F.collect_list(F.struct("req_id", F.col("start").alias("a"), F.col("end").alias("b"))).alias("asked")).select("seq_id", "asked")
-    met = parsed.select("seq_id", "pos", "size", F.col("start").alias("starts")).join(F.broadcast(listed) if few else listed, "seq_id")
-    found = met.select("asked", "pos", "size", "starts").mapInArrow(run, "req_id long, text string")
+    met = parsed.select("seq_id", "pos", "size").join(F.broadcast(listed) if few else listed, "seq_id")
+    found = met.select("asked", "pos", "size").mapInArrow(run, "req_id long, text string")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = whole.value

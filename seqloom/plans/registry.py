@@ -57,7 +57,7 @@ def query(sql: str | None = None) -> Callable:
 
 def drawn_patterns(c: Collection) -> DataFrame:
     """Pieces of the targets, for a workload: ``PIECES`` sequences by a hash of their number, a piece of each length from each."""
-    sizes = c.targets.select("seq_id", F.length("seq").cast("long").alias("len")).where(F.col("len") >= max(LENGTHS))
+    sizes = c.sizes().where(F.col("len") >= max(LENGTHS))
     drawn = [r["seq_id"] for r in sizes.orderBy((F.col("seq_id") * 2654435761) % 4294967296, "seq_id").limit(PIECES).collect()]
     rows = c.targets.where(F.col("seq_id").isin(drawn)).select("seq_id", "seq", F.length("seq").cast("long").alias("len"), F.posexplode(F.array(*map(F.lit, LENGTHS))).alias("k", "m"))
     start = (F.col("seq_id") * 7919 + F.col("m") * 104729) % (F.col("len") - F.col("m") + 1)
@@ -65,7 +65,7 @@ def drawn_patterns(c: Collection) -> DataFrame:
 
 
 def patterns(c: Collection) -> DataFrame:
-    return written(c.spark.createDataFrame(list(PATTERNS), "pattern_id long, pattern string").unionByName(drawn_patterns(c)).coalesce(1), "patterns")
+    return written(c.spark.createDataFrame(list(PATTERNS), "pattern_id long, pattern string").unionByName(drawn_patterns(c)).repartition(1), "patterns")
 
 
 def requests(c: Collection) -> DataFrame:
@@ -198,12 +198,12 @@ def round_trip(c):
 
 @query('select req_id, substring(seq, "start" + 1, "end" - "start") as text from requests join sequences using (seq_id) where seq_id = 0')
 def display_ref(c):
-    return search.display(O.parse(c), c.ref, requests(c).where("seq_id = 0"))
+    return search.display(O.packed(c), c.ref, requests(c).where("seq_id = 0"))
 
 
 @query('select req_id, substring(seq, "start" + 1, "end" - "start") as text from requests join sequences using (seq_id)')
 def display_target(c):
-    return search.display(O.parse(c), c.ref, requests(c))
+    return search.display(O.packed(c), c.ref, requests(c))
 
 
 #: What stands at each place, cut from pieces of the sequences, as cutting from long texts is slow.
@@ -216,7 +216,7 @@ HITS = PLACES + f""", hits as (select pattern_id, seq_id, pos from patterns join
 
 @query("select 1")
 def locate_patterns(c):
-    return search.locate(written(O.parse(c), "parsed"), c.ref, patterns(c))
+    return search.locate(written(O.packed(c), "parsed"), c.ref, patterns(c))
 
 
 ORACLE_SQL["locate_patterns"] = WITH + ", " + HITS + "select pattern_id, seq_id, pos from hits"
@@ -224,7 +224,7 @@ ORACLE_SQL["locate_patterns"] = WITH + ", " + HITS + "select pattern_id, seq_id,
 
 @query("select 1")
 def count_patterns(c):
-    return search.count(written(O.parse(c), "parsed"), c.ref, patterns(c))
+    return search.count(written(O.packed(c), "parsed"), c.ref, patterns(c))
 
 
 ORACLE_SQL["count_patterns"] = WITH + ", " + HITS + "select pattern_id, pattern, count(pos) as n from patterns left join hits using (pattern_id) group by all"
@@ -234,7 +234,7 @@ ORACLE_SQL["count_patterns"] = WITH + ", " + HITS + "select pattern_id, pattern,
 def workload_stats(c):
     """What a run of the patterns amounts to."""
     asked = patterns(c)
-    return search.workload(asked, search.count(written(O.parse(c), "parsed"), c.ref, asked))
+    return search.workload(asked, search.count(written(O.packed(c), "parsed"), c.ref, asked))
 
 
 ORACLE_SQL["workload_stats"] = WITH + ", " + HITS + """, counted as (select pattern_id, length(pattern) as m, count(pos) as n from patterns left join hits using (pattern_id) group by all)
@@ -244,7 +244,7 @@ select count(*) as n_queries, cast(sum(m) as bigint) as n_symbols, cast(sum(n) a
 @query("select 1")
 def count_lines(c):
     """Counts as the console shows them."""
-    return search.count(written(O.parse(c), "parsed"), c.ref, patterns(c)).select(F.format_string("%s : %d", "pattern", "n").alias("line"))
+    return search.count(written(O.packed(c), "parsed"), c.ref, patterns(c)).select(F.format_string("%s : %d", "pattern", "n").alias("line"))
 
 
 ORACLE_SQL["count_lines"] = WITH + ", " + HITS + "select pattern || ' : ' || count(pos) as line from patterns left join hits using (pattern_id) group by pattern_id, pattern"
@@ -263,22 +263,22 @@ ORACLE_SQL["count_by_regex"] = WITH + ", " + HITS + "select pattern_id, count(po
 
 @query()
 def count_strict(c):
-    return search.count(written(O.parse(c), "parsed"), c.ref, patterns(c), "strict")
+    return search.count(written(O.packed(c), "parsed"), c.ref, patterns(c), "strict")
 
 
 @query()
 def locate_strict(c):
-    return search.locate(written(O.parse(c), "parsed"), c.ref, patterns(c), "strict")
+    return search.locate(written(O.packed(c), "parsed"), c.ref, patterns(c), "strict")
 
 
 @query()
 def locate_in_factor(c):
-    return search.in_targets(written(O.parse(c), "parsed"), c.ref, patterns(c), "in_factor")
+    return search.in_targets(written(O.packed(c), "parsed"), c.ref, patterns(c), "in_factor")
 
 
 @query()
 def locate_boundary(c):
-    return search.in_targets(written(O.parse(c), "parsed"), c.ref, patterns(c), "boundary")
+    return search.in_targets(written(O.packed(c), "parsed"), c.ref, patterns(c), "boundary")
 
 
 @query()

@@ -6,10 +6,12 @@ The reference sequence is sequence 0. It is the one object that every task holds
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,14 +22,18 @@ from seqloom.scratch import qualified
 #: Symbols of a reference sequence at most: what one string of a row holds.
 MOST_SYMBOLS = 2_000_000_000
 HEAD = 10
+#: The symbol of each first byte of a character in a text.
+AS_SYMBOLS = np.full(256, ord("n"), np.uint8)
+AS_SYMBOLS[list(symbols.LETTERS.encode())] = list(symbols.AS_BASES.encode())
 
 
 @dataclass
 class Collection:
-    """The reference sequence and the targets (seq_id, name, seq), seq_id from 1 on."""
+    """The reference sequence and the targets (seq_id, name, seq), seq_id from 1 on; ``texts``: the same rows with any texts that are read as sequences."""
 
     ref: bytes
     targets: DataFrame
+    texts: DataFrame | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -39,6 +45,41 @@ class Collection:
         return first.unionByName(self.targets).withColumn("len", F.length("seq").cast("long"))
 
 
+    def raw(self, *columns: str) -> DataFrame:
+        """Columns and the text of the targets, for Python steps, which take the symbols by ``symbols``."""
+        if self.texts is not None:
+            return self.texts.select(*columns, F.col("seq").alias("text"))
+        return self.targets.select(*columns, F.lower("seq").alias("text"))
+
+    def sizes(self) -> DataFrame:
+        """seq_id and len of the targets."""
+        return (self.targets if self.texts is None else self.texts).select("seq_id", F.length("seq").cast("long").alias("len"))
+
+    def symbols(self) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
+        """What gives the symbols of a column of texts and where each text starts in them; it is sent to tasks, without the tables."""
+        return text_bytes if self.texts is None else text_symbols
+
+
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a column of texts, and where each one starts in them; null is an empty text."""
+    column = pc.fill_null(column, "").cast(pa.large_binary())
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    bounds = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, 8 * column.offset)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    return data[bounds[0] : bounds[-1]], bounds - bounds[0]
+
+
+def text_symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The same of any texts, read as sequences as ``symbols.sanitize_text`` does: a symbol for each character."""
+    data, bounds = text_bytes(column)
+    more = (data & 0xC0) == 0x80  # the bytes of a character behind its first
+    if more.any():
+        bounds = bounds - np.concatenate(([0], np.cumsum(more)))[bounds]
+        data = data[~more]
+    return AS_SYMBOLS[data], bounds
+
+
 def bounded(ref: str) -> bytes:
     if len(ref) > MOST_SYMBOLS:
         raise ValueError(f"a reference sequence of {len(ref)} symbols; at most {MOST_SYMBOLS} fit a row")
@@ -53,9 +94,9 @@ def from_documents(docs: DataFrame, head: int = HEAD, id_col: str = "doc_id", te
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     seq = symbols.sanitize_text(F.col("text")).alias("seq")
     first = rows.orderBy("id").limit(head).select("id", seq).collect()  # only these texts are read as sequences here
-    rows = rows.select("id", seq)
-    targets = rows.where(~F.col("id").isin([r["id"] for r in first])) if first else rows
-    return Collection(bounded("n".join(r["seq"] for r in first)), targets.select((F.col("id") + 1).alias("seq_id"), F.concat(F.lit("doc"), F.col("id")).alias("name"), "seq"))
+    others = rows.where(~F.col("id").isin([r["id"] for r in first])) if first else rows
+    targets, texts = (others.select((F.col("id") + 1).alias("seq_id"), F.concat(F.lit("doc"), F.col("id")).alias("name"), s.alias("seq")) for s in (seq, F.col("text")))
+    return Collection(bounded("n".join(r["seq"] for r in first)), targets, texts)
 
 
 def read_files(spark: SparkSession, paths: list[str], clean: bool = False) -> Collection:

@@ -11,7 +11,7 @@ from seqloom.operators import factors as O
 from seqloom.operators import blocks, kernels, keys, search
 from seqloom.plans import registry
 from seqloom.sources import index
-from seqloom.sources.sequences import Collection
+from seqloom.sources.sequences import Collection, from_documents
 
 
 def collection(spark, seed=1, n=12, size=300):
@@ -175,3 +175,43 @@ def test_streams_of_a_parse_take_their_length_from_the_factors():
         assert want.setdefault(t, got) == got
         assert p.block == (1024 if t is long_ else min(1024, max(64, 32 * len(t) // len(got[0]))))
         assert p.block < 400 or t is long_
+
+
+def test_texts_become_the_same_sequences_in_python_as_in_the_plan(spark):
+    """Characters of one to four bytes, null, and rows behind an offset."""
+    texts = ["", None, "The 3 Quick\tfoxes\n", "naïve 中文 \U0001f600x\U0001f600", "\x00\x7f{}~", "".join(map(chr, range(1, 800)))]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 2)], "doc_id long, text string").coalesce(1)
+    c = from_documents(docs, head=2)
+    want = {r.seq_id: r.seq for r in c.targets.collect()}
+    table = c.raw("seq_id").toArrow().combine_chunks()
+    for a in (0, 3):
+        part = table.slice(a).to_batches()[0]
+        data, bounds = c.symbols()(part.column(1))
+        got = [data[x:y].tobytes().decode() for x, y in zip(bounds, bounds[1:])]
+        assert got == [want[i] for i in part.column(0).to_pylist()]
+    assert {r.seq_id: r.len for r in c.sizes().collect()} == {i: len(s) for i, s in want.items()}
+    assert "regexp_replace" not in plan_of(O.packed(c)) + plan_of(O.parse(c)) + plan_of(c.sizes())
+
+
+def test_packed_factors_are_searched_as_lists_are(spark):
+    c, rows = collection(spark, 8)
+    c.targets = c.targets.unionByName(spark.createDataFrame([(90, "e", ""), (91, "o", "nx")], c.targets.schema))
+    lists, bytes_ = O.parse(c).cache(), O.packed(c).cache()
+    pieces = [(i, t[a : a + m]) for i, (a, m) in enumerate([(3, 2), (10, 9), (40, 30), (60, 80)]) for t in [rows[i][2]]]
+    asked = spark.createDataFrame([*pieces, (9, "n"), (10, "a"), (11, "xa")], "pattern_id long, pattern string")
+    for mode in ("complete", "strict"):
+        got, want = (sorted(map(tuple, search.locate(x, c.ref, asked, mode).collect())) for x in (bytes_, lists))
+        assert got == want and got
+    windows = spark.createDataFrame([(k, s, a, b) for k, (s, a, b) in enumerate([(1, 0, 9), (2, 5, 100), (90, 0, 0), (91, 0, 2), (0, 2, 8), (1, 0, 9999)])], "req_id long, seq_id long, start long, end long")
+    got, want = (sorted(search.display(x, c.ref, windows).collect(), key=lambda r: r.req_id) for x in (bytes_, lists))
+    assert got == want
+
+
+def test_patterns_are_drawn_by_many_tasks(spark):
+    """The scan for the drawn sequences is not one task's."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(4).localCheckpoint()
+    seen = []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(registry, "written", lambda df, label: seen.append(plan_of(df)) or df)
+        registry.patterns(from_documents(docs))
+    assert "Coalesce" not in seen[0]
