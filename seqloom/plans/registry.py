@@ -353,7 +353,8 @@ def rising_restored(c):
 
 
 def codec(text: bool, short: bool, liss: bool) -> Callable[[Collection], DataFrame]:
-    return lambda c: factor_files.decode(factor_files.encode(O.parse(c), c.ref, text, short, liss), c.ref)
+    # files are complete before any is read, so a core's Python workers parse and encode, or they decode
+    return lambda c: factor_files.decode(written(factor_files.encode(O.parse(c), c.ref, text, short, liss), "files"), c.ref)
 
 
 for _text in (False, True):
